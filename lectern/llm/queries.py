@@ -15,7 +15,22 @@ def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(_table(spark, sf_dir, "documents"))
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lectern.llm.recompress import remove_repeats
+
+    return remove_repeats(_table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lectern.llm.quality_rules import quality_verdicts
+
+    out = quality_verdicts(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 QUERIES = {
+    "op1_substring_dedup": op1_substring_dedup,
+    "op9_quality_rules": op9_quality_rules,
     "op4_ngram_jaccard": op4_ngram_jaccard,
 }
 
@@ -35,4 +50,30 @@ links AS MATERIALIZED (SELECT x, y FROM both_ JOIN n p ON p.doc_id = x JOIN n q
 reach AS (SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT reach.x, links.y FROM reach JOIN links ON links.x = reach.y)
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, r.component_id
 FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT x AS doc_id, min(y) AS component_id FROM reach GROUP BY x) r USING (doc_id)""",
+    "op1_substring_dedup": rf"""
+WITH w AS MATERIALIZED (SELECT doc_id, {_WORDS.format("text")} AS w FROM documents),
+win AS MATERIALIZED (SELECT doc_id, p, array_to_string(w[p:p+34], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 33)) AS p FROM w WHERE len(w) >= 35)),
+hit AS (SELECT doc_id, p FROM win JOIN (SELECT s FROM win GROUP BY s HAVING count(*) > 1) USING (s)),
+gone AS (SELECT DISTINCT doc_id, unnest(range(p, p + 35)) AS p FROM hit),
+each_ AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM w),
+rest AS (SELECT e.doc_id, count(*) AS kept, string_agg(word, ' ' ORDER BY p) AS t FROM each_ e ANTI JOIN gone g ON e.doc_id = g.doc_id AND e.p = g.p GROUP BY e.doc_id)
+SELECT w.doc_id, len(w.w) AS n_words, len(w.w) - coalesce(rest.kept, 0) AS n_removed, sha256(coalesce(rest.t, '')) AS kept_sha256
+FROM w LEFT JOIN rest USING (doc_id)""",
+    "op9_quality_rules": rf"""
+WITH w AS MATERIALIZED (SELECT doc_id, source, coalesce(text, '') AS t, {_WORDS.format("text")} AS w,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS l FROM documents),
+win AS MATERIALIZED (SELECT doc_id, p, array_to_string(w[p:p+7], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS p FROM w WHERE len(w) >= 8)),
+hit AS (SELECT DISTINCT doc_id, unnest(range(p, p + 8)) AS p FROM (SELECT doc_id, p, count(*) OVER (PARTITION BY doc_id, s) AS c FROM win) WHERE c > 1),
+rep AS (SELECT doc_id, count(*) AS c FROM hit GROUP BY doc_id),
+f AS (SELECT w.doc_id, source AS host, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+    len(l) AS n_lines, len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(rep.c, 0) AS n_repeat_words FROM w LEFT JOIN rep USING (doc_id)),
+r AS MATERIALIZED (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+    base_failed OR 100 * n_symbols > 10 * word_chars OR 100 * n_dup_lines > 30 * n_lines OR word_chars < 2 * n_words OR word_chars > 15 * n_words AS weak FROM f),
+h AS (SELECT host, count(*) AS docs, sum(weak::int) AS bad FROM r WHERE host IS NOT NULL GROUP BY host),
+g AS (SELECT sum(bad) / sum(docs) AS m, sum(docs) AS n, count(*) AS k, sum(bad * bad / docs) AS sq FROM h),
+b AS (SELECT m, (sq - n * m * m - (k - 1) * m * (1 - m)) / (n - 1) AS v FROM g),
+p AS (SELECT m, CASE WHEN v > 0 THEN least(10000.0, greatest(2.0, m * (1 - m) / v - 1)) ELSE 10000.0 END AS s FROM b),
+q AS (SELECT host, (bad + m * s) / (docs + s) AS rate FROM h, p)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT (base_failed OR (weak AND coalesce(rate > 0.9, false))) AS kept
+FROM r LEFT JOIN q USING (host)""",
 }
