@@ -28,7 +28,17 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from lectern.llm.packing import pack
+
+    spec = (public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return pack(_table(spark, sf_dir, "documents"), spec)
+
+
 QUERIES = {
+    "op7_best_fit_packing": op7_best_fit_packing,
     "op1_substring_dedup": op1_substring_dedup,
     "op9_quality_rules": op9_quality_rules,
     "op4_ngram_jaccard": op4_ngram_jaccard,
