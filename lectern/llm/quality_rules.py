@@ -34,23 +34,38 @@ CASE WHEN size(names) = size(array_distinct(names)) THEN 0L ELSE
       aggregate(sequence(0, size(p) - 1), 0L, (a, k) -> a + least({WINDOW}, coalesce(get(p, k + 1) - p[k], {WINDOW}))))[0])[0] END"""
 
 
+#: The rules as columns over text and host, in steps that need one another.
+_STEPS = (
+    {"t": "coalesce(text, '')"},
+    {"w": f"array_remove(split(t, '{_SPACE}', -1), '')", "l": r"filter(split(t, '\n', -1), l -> l rlike '[^\\x20\\x09-\\x0D]')"},
+    {"names": f"CASE WHEN size(w) >= {WINDOW} THEN transform(sequence(1, size(w) - {WINDOW - 1}), i -> xxhash64(slice(w, i, {WINDOW}))) ELSE array() END"},
+    {
+        "n_words": "cast(size(w) AS long)",
+        "word_chars": "cast(length(array_join(w, '')) AS long)",
+        "n_symbols": "cast(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '')) AS long)",
+        "n_lines": "cast(size(l) AS long)",
+        "n_dup_lines": "cast(size(l) - size(array_distinct(l)) AS long)",
+        "n_repeat_words": _COVERED,
+    },
+    {"base_failed": f"n_words < {WORDS} OR 100 * n_repeat_words > {REPEATED} * n_words"},
+    {"weak": f"base_failed OR 100 * n_symbols > {SYMBOLS} * word_chars OR 100 * n_dup_lines > {DUP_LINES} * n_lines OR word_chars < 2 * n_words OR word_chars > 15 * n_words"},
+)
+_RULES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "base_failed", "weak")
+_VERDICT = f"NOT (base_failed OR (weak AND coalesce(host_rate > {HOST_RATE}, false)))"
+
+
+def _ruled(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """keys and the rules of rows with a column text."""
+    kept = [*keys, "text"]
+    for step in _STEPS:
+        rows = rows.select(*kept, *[F.expr(e).alias(c) for c, e in step.items()])
+        kept = [c for c in rows.columns if c not in ("text", "names") and not (c in ("t", "w", "l") and "n_words" in rows.columns)]
+    return rows.select(*keys, *_RULES)
+
+
 def document_rules(docs: DataFrame, host: str = "source") -> DataFrame:
     """doc_id, host, n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words, base_failed, weak by row."""
-    t = docs.select(F.col("doc_id"), F.col(f"`{host}`").cast("string").alias("host"), F.expr("coalesce(text, '')").alias("t"))
-    t = t.select("*", F.expr(f"array_remove(split(t, '{_SPACE}', -1), '')").alias("w"), F.expr(r"filter(split(t, '\n', -1), l -> l rlike '[^\\x20\\x09-\\x0D]')").alias("l"))
-    t = t.select("*", F.expr(f"CASE WHEN size(w) >= {WINDOW} THEN transform(sequence(1, size(w) - {WINDOW - 1}), i -> xxhash64(slice(w, i, {WINDOW}))) ELSE array() END").alias("names"))
-    t = t.select(
-        "doc_id",
-        "host",
-        F.expr("cast(size(w) AS long)").alias("n_words"),
-        F.expr("cast(length(array_join(w, '')) AS long)").alias("word_chars"),
-        F.expr("cast(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '')) AS long)").alias("n_symbols"),
-        F.expr("cast(size(l) AS long)").alias("n_lines"),
-        F.expr("cast(size(l) - size(array_distinct(l)) AS long)").alias("n_dup_lines"),
-        F.expr(_COVERED).alias("n_repeat_words"),
-    )
-    t = t.withColumn("base_failed", F.expr(f"n_words < {WORDS} OR 100 * n_repeat_words > {REPEATED} * n_words"))
-    return t.withColumn("weak", F.expr(f"base_failed OR 100 * n_symbols > {SYMBOLS} * word_chars OR 100 * n_dup_lines > {DUP_LINES} * n_lines OR word_chars < 2 * n_words OR word_chars > 15 * n_words"))
+    return _ruled(docs.select("doc_id", F.col(f"`{host}`").cast("string").alias("host"), "text"), ["doc_id", "host"])
 
 
 def host_rates(rules: DataFrame) -> DataFrame:
@@ -67,5 +82,13 @@ def quality_verdicts(docs: DataFrame, host: str = "source") -> DataFrame:
     """The rules of every row, host_rate and kept."""
     rules = keep(document_rules(docs, host))
     rates = host_rates(rules).select("host", F.col("rate").alias("host_rate"))
-    out = rules.join(rates, "host", "left")
-    return out.withColumn("kept", F.expr(f"NOT (base_failed OR (weak AND coalesce(host_rate > {HOST_RATE}, false)))"))
+    return rules.join(rates, "host", "left").withColumn("kept", F.expr(_VERDICT))
+
+
+def kept_rows(docs: DataFrame, host: str = "source") -> DataFrame:
+    """The rows of docs that are kept, with all their columns. Texts are judged again rather than shuffled."""
+    rates = keep(host_rates(document_rules(docs, host)).select("host", F.col("rate").alias("host_rate")))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col(f"`{host}`").cast("string").alias("host"), "text")
+    # A filter doesn't move below a column that isn't deterministic: there it would work out the rules once for each use.
+    rows = _ruled(rows, ["doc", "host"]).withColumn("at", F.spark_partition_id())
+    return rows.join(rates, "host", "left").where(f"at >= 0 AND {_VERDICT}").select("doc.*")

@@ -18,7 +18,8 @@ def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lectern.llm.recompress import remove_repeats
 
-    return remove_repeats(_table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return remove_repeats(docs).select("doc.doc_id", "n_words", "n_removed", "kept_sha256")
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,16 +29,27 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+def tokenizer_spec() -> tuple[str, str, str]:
+    """Paths of the vocabulary files, which every machine has, and the pattern that goes with them."""
     import public_tokenizers
 
+    return public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+
+
+def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lectern.llm.packing import pack
 
-    spec = (public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
-    return pack(_table(spark, sf_dir, "documents"), spec)
+    return pack(_table(spark, sf_dir, "documents"), tokenizer_spec())
+
+
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lectern.llm.decontam import contamination
+
+    return contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
 QUERIES = {
+    "op3_decontamination": op3_decontamination,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op1_substring_dedup": op1_substring_dedup,
     "op9_quality_rules": op9_quality_rules,

@@ -20,6 +20,7 @@ own. Windows are equal if their 64-bit names and the names' ranges, taken from t
 from __future__ import annotations
 
 import hashlib
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -180,23 +181,38 @@ def covered(n: int, starts: np.ndarray) -> np.ndarray:
     return np.cumsum(step[:-1]) > 0
 
 
-def _cut(batches):
+_WORD = re.compile(rb"[^\x20\x09-\x0D]+")
+
+
+def cut(text: bytes, gone: np.ndarray) -> bytes:
+    """The text without the words marked as gone; what stood around them shrinks to one line break."""
+    out, last, open_gap = [], 0, False
+    for m, g in zip(_WORD.finditer(text), gone.tolist()):
+        if not g:
+            if open_gap:
+                out.append(b"\n" if out else b"")
+            else:
+                out.append(text[last : m.start()])
+            out.append(m.group())
+        open_gap, last = g, m.end()
+    return b"".join(out if open_gap else [*out, text[last:]])
+
+
+def _judged(batches):
     for b in batches:
-        total, gone, digest, kept = [], [], [], []
+        total, removed, digest, left = [], [], [], []
         for text, blobs in zip(as_bytes(b.column("text")), b.column("found").to_pylist()):
-            words, removed = split_words(text), 0
+            words, gone = split_words(text), None
             total.append(len(words))
             if blobs:
-                out = covered(len(words), np.frombuffer(b"".join(blobs), np.int32))
-                removed = int(out.sum())
-                words = [w for w, x in zip(words, out.tolist()) if not x]
-            text = b" ".join(words)
-            gone.append(removed)
-            digest.append(hashlib.sha256(text).hexdigest())
-            kept.append(text)
+                gone = covered(len(words), np.frombuffer(b"".join(blobs), np.int32))
+                words = [w for w, x in zip(words, gone.tolist()) if not x]
+            removed.append(int(gone.sum()) if gone is not None else 0)
+            digest.append(hashlib.sha256(b" ".join(words)).hexdigest())
+            left.append(cut(text, gone) if gone is not None else text)
         yield pa.RecordBatch.from_arrays(
-            [b.column("doc_id"), pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(digest), pa.array(kept, pa.binary()).cast(pa.string())],
-            ["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"],
+            [b.column("doc"), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(digest), pa.array(left, pa.binary()).cast(pa.string())],
+            ["doc", "n_words", "n_removed", "kept_sha256", "kept_text"],
         )
 
 
@@ -216,8 +232,12 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_sha256, kept_text of every row."""
+    """doc (a struct of all columns of the row), n_words, n_removed, kept_sha256 and kept_text of every row.
+
+    kept_sha256 is of the kept words joined by one space; kept_text has the spacing of the text (null stays null).
+    """
     found = repeated_windows(docs)
-    docs = only(docs, "doc_id", "text").withColumn("row", F.xxhash64("doc_id", "text"))
-    joined = docs.join(found, "row", "left").select("doc_id", "text", "found")
-    return joined.mapInArrow(_cut, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.xxhash64("doc_id", "text").alias("row"))
+    rows = rows.join(found, "row", "left").select("doc", F.col("doc.text").alias("text"), "found")
+    shape = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")).schema["doc"].dataType.simpleString()
+    return rows.mapInArrow(_judged, f"doc {shape}, n_words long, n_removed long, kept_sha256 string, kept_text string")

@@ -54,5 +54,30 @@ def only(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[F.col(f"`{x}`") for x in names])
 
 
-def empty_like(spark: SparkSession, schema: str) -> DataFrame:
-    return spark.createDataFrame([], schema)
+#: Bits of the filter below: 8 MB, whatever the number of keys.
+FILTER_BITS = 1 << 26
+
+
+def _marked(df: DataFrame, key: str, keys: DataFrame) -> DataFrame:
+    """df with _hit: false only if the key is not among keys.
+
+    A one-hash Bloom filter in 32768-bit bitmaps, at most FILTER_BITS / 32768 of them, so its broadcast has a fixed bound.
+    It only saves shuffled rows ahead of a join on the key; with any number of keys the join's result is the same.
+    """
+    spot = F.pmod(F.xxhash64(F.col(f"`{key}`")), F.lit(FILTER_BITS))
+    marks = keys.select(spot.alias("_spot")).groupBy(F.bitmap_bucket_number("_spot").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("_spot")).alias("_bits"))
+    held = df.withColumn("_spot", spot).withColumn("_bucket", F.bitmap_bucket_number("_spot"))
+    held = held.join(F.broadcast(marks), "_bucket", "left").withColumn("_at", F.bitmap_bit_position("_spot").cast("int"))
+    hit = F.expr("(cast(conv(hex(substring(_bits, _at div 8 + 1, 1)), 16, 10) AS int) & shiftleft(1, _at % 8)) <> 0")
+    return held.withColumn("_hit", F.coalesce(hit, F.lit(False))).drop("_spot", "_bucket", "_bits", "_at")
+
+
+def likely(df: DataFrame, key: str, keys: DataFrame) -> DataFrame:
+    """The rows of df whose key may be among keys: all that are, and few others as long as the bits aren't filled."""
+    return _marked(df, key, keys).where("_hit").drop("_hit")
+
+
+def without(df: DataFrame, key: str, keys: DataFrame) -> DataFrame:
+    """The rows of df whose key is not among keys; only those that may be are shuffled."""
+    marked = _marked(df, key, keys)
+    return marked.where("NOT _hit").drop("_hit").unionByName(marked.where("_hit").drop("_hit").join(keys, key, "left_anti"))
