@@ -48,7 +48,27 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+#: Rows of which crc32(doc_id as text) modulo FOLDS is 0 are never learnt from.
+FOLDS = 5
+
+
+def _held_out(column: str = "doc_id"):
+    from pyspark.sql import functions as F
+
+    return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")) % FOLDS == 0, F.lit(False))
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lectern.llm.langid import fit, predict, training_sample
+
+    docs = _table(spark, sf_dir, "documents")
+    sample = training_sample(docs.where(~_held_out()))
+    trees = fit((lang, text.encode()) for lang, text in sample.toLocalIterator())
+    return predict(docs, trees).select("doc_id", _held_out().alias("held_out"), "lang_pred", "score")
+
+
 QUERIES = {
+    "op6_language_id": op6_language_id,
     "op3_decontamination": op3_decontamination,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op1_substring_dedup": op1_substring_dedup,
