@@ -67,7 +67,19 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict(docs, trees).select("doc_id", _held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from lectern.llm.toxicity import char_counts, learn, sample, score
+
+    docs = _table(spark, sf_dir, "documents")
+    rows = sample(docs, _table(spark, sf_dir, "labels").where(~_held_out()))
+    out = score(docs, learn(rows, char_counts(docs)))
+    return out.select("doc_id", _held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 QUERIES = {
+    "op8_toxicity": op8_toxicity,
     "op6_language_id": op6_language_id,
     "op3_decontamination": op3_decontamination,
     "op7_best_fit_packing": op7_best_fit_packing,
