@@ -26,14 +26,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm.components import components
-from lectern.llm.runtime import empty_like, keep, only, parts_for, small_batches, width
+from lectern.llm.runtime import keep, likely, only, parts_for, small_batches, width
 from lectern.llm.words import U, as_bytes, grams, hashes, mix, prefix, split_words
 
 SHINGLE = 5
 #: Overlap bound as 100 * intersection >= PER_CENT * union.
 PER_CENT = 75
 #: Shingles in one range of columns, shingles gathered before a map task sends blobs, documents on a side of a block.
-RANGE, FLUSH, BLOCK = 4_000_000, 2_000_000, 256
+RANGE, FLUSH, BLOCK = 2_000_000, 1_000_000, 256
 CHUNK = 4096
 
 
@@ -221,8 +221,8 @@ def _named_sets(batches):
 
 def _products(members: DataFrame) -> DataFrame:
     """Links between the sets of each candidate component; members: fp, cand, names."""
-    size = members.groupBy("cand").agg(F.count("*").alias("m"))
-    members = members.join(size, "cand").withColumn("label", F.col("fp"))
+    size = keep(members.groupBy("cand").agg(F.count("*").alias("m")).where(F.col("m") > BLOCK))  # at most a row for each 256
+    members = members.join(size, "cand", "left").withColumn("m", F.coalesce("m", F.lit(1))).withColumn("label", F.col("fp"))
     spread = F.pmod(F.xxhash64("fp"), F.ceil(F.col("m") / BLOCK))
     plain = members.withColumn("block", F.when(F.col("m") > BLOCK, spread).otherwise(F.lit(0)))
     large = members.where(F.col("m") > BLOCK)
@@ -237,10 +237,10 @@ def _products(members: DataFrame) -> DataFrame:
     # Second round: blocks of one label, and blocks that hold several small labels; pairs of blocks with one label are done.
     known = components(first).select(F.col("node").alias("fp"), F.col("comp").alias("known"))
     large = large.drop("label").join(known, "fp", "left").withColumn("label", F.coalesce("known", "fp")).drop("known")
-    held = large.groupBy("cand", "label").agg(F.count("*").alias("held"))
+    held = keep(large.groupBy("cand", "label").agg(F.count("*").alias("held")))
     large = large.join(held, ["cand", "label"])
     big = F.col("held") > BLOCK // 2
-    small = large.where(~big).groupBy("cand").agg(F.count("*").alias("small"))
+    small = keep(large.where(~big).groupBy("cand").agg(F.count("*").alias("small")))
     large = large.join(small, "cand", "left")
     large = keep(
         large.select(
@@ -280,7 +280,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     cand = components(star, "fp", "head").select(F.col("node").alias("fp"), F.col("comp").alias("cand"))
     # Sets of candidates only, each from the text of its first document.
     chosen = keep(cand.join(reps.select("fp", F.col("first").alias("doc_id")), "fp"))
-    members = keep(docs.join(chosen, "doc_id").select("fp", "cand", "text").repartition(width(spark), "fp").mapInArrow(_named_sets, "fp long, cand long, names binary"))
+    members = keep(likely(docs, "doc_id", chosen).join(chosen, "doc_id").select("fp", "cand", "text").repartition(width(spark), "fp").mapInArrow(_named_sets, "fp long, cand long, names binary"))
     comp = components(_products(members)).select(F.col("node").alias("fp"), "comp")
     comp = reps.select("fp", "first").join(comp, "fp", "left").withColumn("comp", F.coalesce("comp", "fp"))
     smallest = comp.groupBy("comp").agg(F.min("first").alias("component_id"))
