@@ -78,7 +78,14 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", _held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lectern.llm.html_extract import extract
+
+    return extract(_table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
+    "op10_html_extraction": op10_html_extraction,
     "op8_toxicity": op8_toxicity,
     "op6_language_id": op6_language_id,
     "op3_decontamination": op3_decontamination,
