@@ -84,7 +84,26 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(_table(spark, sf_dir, "pages"))
 
 
+def op2_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from lectern.llm.license_scan import scan_licenses
+
+    docs = _table(spark, sf_dir, "documents")
+    return scan_licenses(docs.withColumn("path", F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string"))), "path")
+
+
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lectern.llm.quality_eb import quality
+
+    labels = _table(spark, sf_dir, "labels").where(~_held_out())
+    out = quality(_table(spark, sf_dir, "documents"), labels, "source", "lang")
+    return out.select("doc_id", _held_out().alias("held_out"), "evidence", "host_posterior", "path_posterior", "posterior", "keep")
+
+
 QUERIES = {
+    "op5_quality_classifier": op5_quality_classifier,
+    "op2_license_scans": op2_license_scans,
     "op10_html_extraction": op10_html_extraction,
     "op8_toxicity": op8_toxicity,
     "op6_language_id": op6_language_id,
