@@ -157,3 +157,36 @@ q AS (SELECT host, (bad + m * s) / (docs + s) AS rate FROM h, p)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT (base_failed OR (weak AND coalesce(rate > 0.9, false))) AS kept
 FROM r LEFT JOIN q USING (host)""",
 }
+
+
+def _license_sql() -> str:
+    """op2 in SQL: the same constants, a line and a token a row."""
+    from lectern.llm.license_scan import LEAST, TOKEN, Weights
+
+    w = Weights()
+    idf = ", ".join(f"('{t}', {x!r}::double)" for t, x in sorted(w.idf.items()))
+    vectors = ", ".join(f"('{t}', {k}, '{name}', {x!r}::double)" for t, k, name, x in w.rows())
+    return rf"""
+WITH idf(token, idf) AS (VALUES {idf}), vec(token, template, license, weight) AS (VALUES {vectors}),
+d AS (SELECT doc_id, coalesce(text, '') AS text, concat_ws('/', source, lang) AS directory FROM documents),
+lines AS (SELECT doc_id, unnest(range(len(l))) AS line, unnest(l) AS t FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM d)),
+words AS (SELECT doc_id, line, unnest(regexp_extract_all(lower(t), '{TOKEN}')) AS token FROM lines),
+n AS (SELECT doc_id, count(*) AS n FROM words GROUP BY doc_id),
+bag AS MATERIALIZED (SELECT doc_id, line, token, count(*) AS n FROM words GROUP BY ALL),
+x AS MATERIALIZED (SELECT doc_id, line, token, b.n, b.n * coalesce(idf, {w.other!r}::double) AS x FROM bag b LEFT JOIN idf USING (token)),
+norm AS (SELECT doc_id, line, sqrt(sum(x * x)) AS norm, sum(n) AS tokens FROM x GROUP BY ALL),
+dot AS (SELECT doc_id, line, template, license, sum(x * weight) AS dot FROM x JOIN vec USING (token) GROUP BY ALL),
+near AS (SELECT doc_id, line, template, license, tokens, round(dot / norm, 6) AS similarity FROM dot JOIN norm USING (doc_id, line)),
+best AS (SELECT * FROM near WHERE similarity >= {LEAST} QUALIFY row_number() OVER (PARTITION BY doc_id, line ORDER BY similarity DESC, template) = 1),
+own AS (SELECT doc_id, license, similarity, 2 * sum(tokens) OVER (PARTITION BY doc_id) >= n.n AS is_file FROM best JOIN n USING (doc_id)
+  QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY similarity DESC, template, line) = 1),
+m AS MATERIALIZED (SELECT d.doc_id, directory, license, similarity, coalesce(is_file, false) AS is_file FROM d LEFT JOIN own USING (doc_id)),
+files AS (SELECT directory, license AS said FROM m WHERE is_file QUALIFY row_number() OVER (PARTITION BY directory ORDER BY similarity DESC, doc_id) = 1),
+inherited AS (SELECT m.doc_id, said FROM m JOIN files f ON f.directory = '' OR m.directory = f.directory OR starts_with(m.directory, f.directory || '/')
+  WHERE m.license IS NULL QUALIFY row_number() OVER (PARTITION BY m.doc_id ORDER BY length(f.directory) DESC) = 1)
+SELECT doc_id, coalesce(license, said) AS license, similarity,
+  CASE WHEN license IS NULL THEN CASE WHEN said IS NULL THEN 'none' ELSE 'inherited' END WHEN is_file THEN 'file' ELSE 'header' END AS origin, directory
+FROM m LEFT JOIN inherited USING (doc_id)"""
+
+
+SQL["op2_license_scans"] = _license_sql()
