@@ -41,29 +41,38 @@ _NUMBER_WORDS = frozenset("zero one two three four five six seven eight nine ten
 _PUNCTUATION = "!\"#&'()*,-./:;<=>?@[\\]^_`{|}~«»“”‘’…—–%$€£"
 
 
-class Vocabulary:
-    """Kinds of words by their bytes: what the template needs to know of each, as arrays."""
+_IS_NUMBER, _IS_UNIT, _IS_TITLE, _ENDS, _EMPTY = 1, 2, 4, 8, 16
 
-    def __init__(self):
-        self.clear()
 
-    def clear(self) -> None:
-        self.ids: dict[bytes, int] = {}
-        self.rows: list[tuple] = []
+class Vocabulary(dict):
+    """Ids of words by their bytes, and by id what the template needs to know of each: its name and flags."""
+
+    def __init__(self):
+        super().__init__()
+        self.name, self.flags = np.empty(1 << 16, U), np.empty(1 << 16, np.uint8)
 
-    def learn(self, word: bytes) -> int:
+    def __missing__(self, word: bytes) -> int:
         w = word.decode("utf-8", "replace")
         core = w.strip(_PUNCTUATION)
         low = core.lower()
-        number = bool(core) and (_NUMBER.fullmatch(core) is not None or low in _NUMBER_WORDS)
-        title = len(core) > 0 and core[0].isupper() and (len(core) == 1 or not core.isupper())
-        self.rows.append((xxh3_64_intdigest(low.encode()) if core else 0, number, low in _UNITS, title, w[-1] in ".!?:", not core))
-        i = self.ids[word] = len(self.rows) - 1
+        flags = _EMPTY if not core else 0
+        if core and (_NUMBER.fullmatch(core) or low in _NUMBER_WORDS):
+            flags |= _IS_NUMBER
+        if low in _UNITS:
+            flags |= _IS_UNIT
+        if core and core[0].isupper() and (len(core) == 1 or not core.isupper()):
+            flags |= _IS_TITLE
+        if w[-1] in ".!?:":
+            flags |= _ENDS
+        i = self[word] = len(self)
+        if i == len(self.name):
+            self.name, self.flags = np.resize(self.name, 2 * i), np.resize(self.flags, 2 * i)
+        self.name[i], self.flags[i] = xxh3_64_intdigest(low.encode()), flags
         return i
 
     def template(self, text: bytes | None) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
         """Names and slot kinds of the text's template, and the words they stand for."""
-        if len(self.ids) > REMEMBERED:
+        if len(self) > REMEMBERED:
             self.clear()
         words, starts = [], []
         for line in (text or b"").split(b"\n"):
@@ -71,18 +80,18 @@ class Vocabulary:
             if got:
                 starts.append(len(words))
                 words += got
-        ids, learn = self.ids, self.learn
-        rows = [self.rows[ids[w] if w in ids else learn(w)] for w in words]
-        if not rows:
+        ids = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        if not len(ids):
             return np.empty(0, U), np.empty(0, np.int8), []
-        name, number, unit, title, ends, drop = zip(*rows)
-        name, number, unit, title, ends, drop = np.array(name, U), *(np.array(x) for x in (number, unit, title, ends, drop))
-        first = np.append(False, ends[:-1])
+        name, flags = self.name[ids], self.flags[ids]
+        number = (flags & _IS_NUMBER) > 0
+        first = np.append(False, (flags[:-1] & _ENDS) > 0)
         first[starts] = True
-        kind = np.where(number, NUM, np.where(unit & np.append(False, number[:-1]), UNIT, np.where(title & ~first, NAME, 0))).astype(np.int8)
-        stay = np.flatnonzero(~drop)
-        kind = kind[stay]
-        return np.where(kind > 0, _SLOT[kind], name[stay]), kind, [words[i] for i in stay.tolist()]
+        kind = np.where(number, NUM, np.where(((flags & _IS_UNIT) > 0) & np.append(False, number[:-1]), UNIT, np.where(((flags & _IS_TITLE) > 0) & ~first, NAME, 0))).astype(np.int8)
+        if (flags & _EMPTY).any():
+            stay = np.flatnonzero((flags & _EMPTY) == 0)
+            kind, name, words = kind[stay], name[stay], [words[i] for i in stay.tolist()]
+        return np.where(kind > 0, _SLOT[kind], name), kind, words
 
 
 @dataclass
