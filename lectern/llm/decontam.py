@@ -2,7 +2,7 @@
 by hash, and slots must be filled consistently, so that re-parameterised questions are found as well as copies.
 
 A word is stripped of punctuation and lower-cased. A number (digits or a number word) is the slot <num>, a unit right
-after a number <unit>, and a capitalised word that doesn't begin a sentence or line <name>. Words of punctuation alone don't
+after a number <unit>, and a capitalised word that doesn't begin a sentence or line <name> (an item's first word may be met as either). Words of punctuation alone don't
 count. The template windows of the benchmark (8 words; a shorter item of 5 to 7 words as a whole) are looked up in every
 document. Windows that agree on where an item would begin form an alignment. It counts if it covers 13 words or 60 % of
 the item, at least half of the covered words are literal, and its slots can be filled one to one: the same value
@@ -111,7 +111,11 @@ def index(rows: list[tuple[int, str | None]]) -> Index:
         if size < SHORTEST:
             continue
         at = np.arange(len(words) - size + 1)
-        held.setdefault(size, []).append((grams(prefix(name), at, size), np.full(len(at), len(ids)), at))
+        names = grams(prefix(name), at, size)
+        if words[0][:1].isalpha() and words[0].decode("utf-8", "replace")[0].isupper():  # within a sentence, it looks like a name
+            other = np.append(_SLOT[NAME], name[1:size])
+            names, at = np.append(names, grams(prefix(other), at[:1], size)), np.append(at, 0)
+        held.setdefault(size, []).append((names, np.full(len(at), len(ids)), at))
         ids.append(item_id)
         items.append((kind, words))
     windows = {}

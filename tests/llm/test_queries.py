@@ -1,0 +1,38 @@
+"""Registered queries against their SQL, the pipeline stage by stage, and the registry."""
+
+import pytest
+
+from compare import connect, normal
+from lectern.llm.queries import QUERIES, SQL
+from lectern.llm.runtime import keep
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.mark.parametrize("name", sorted(SQL))
+def test_sql(name, spark):
+    assert normal(QUERIES[name](spark, SF).toPandas()) == normal(connect(SF).sql(SQL[name]).df())
+
+
+def test_registry(spark):
+    import __spark_entry__
+
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert set(QUERIES) | {"pipeline"} <= set(__spark_entry__.queries())
+
+
+def test_pipeline(spark):
+    import corpus_pipeline as c
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    names = [n for n, _ in c.STAGES]
+    assert names == ["quality_rules", "ngram_jaccard", "substring_dedup", "decontamination", "packing"]
+    sizes = [docs.count()]
+    for name, stage in c.STAGES:
+        before, docs = docs, keep(stage(spark, docs, SF))
+        if name == "packing":
+            assert docs.select("doc_id").distinct().count() == before.select("doc_id").distinct().count()
+        else:
+            assert docs.schema.names == before.schema.names and docs.join(before, "doc_id", "left_anti").isEmpty()
+            sizes.append(docs.count())
+    assert sizes[0] > sizes[1] > sizes[2] == sizes[3] >= sizes[4] > 0.6 * sizes[0]
