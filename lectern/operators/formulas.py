@@ -99,3 +99,14 @@ def insert_markers(pages: DataFrame, found: DataFrame) -> DataFrame:
     rows = base.unionByName(extra)
     got = F.array_sort(F.collect_list(F.struct("line", "own", "o", "t")))
     return rows.groupBy("rel_path", "page").agg(F.array_join(F.transform(got, lambda x: x["t"]), "").alias("text"))
+
+
+def region_context(found: DataFrame, spans: DataFrame, reach: float = 2.0, most: int = 300) -> DataFrame:
+    """found with context: the page's text within ``reach`` heights above and below a region, in reading order, cut to
+    ``most`` characters. A page bounds what meets."""
+    r = found.select("rel_path", "page", "formula_idx", (F.col("bbox.y0") - reach * (F.col("bbox.y1") - F.col("bbox.y0"))).alias("lo"), (F.col("bbox.y1") + reach * (F.col("bbox.y1") - F.col("bbox.y0"))).alias("hi"))
+    s = spans.where("block_type = 0").select("rel_path", "page", F.col("bbox.y0").alias("y0"), F.col("bbox.y1").alias("y1"), F.col("bbox.x0").alias("x0"), "seq", "text")
+    near = r.join(s, ["rel_path", "page"]).where((F.col("y1") > F.greatest(F.lit(0.0), "lo")) & (F.col("y0") < F.col("hi")))
+    got = F.array_sort(F.collect_list(F.struct("y0", "x0", "seq", "text")))
+    texts = near.groupBy("rel_path", "formula_idx").agg(F.array_join(F.transform(got, lambda x: x["text"]), " ").alias("context"))
+    return found.join(texts, ["rel_path", "formula_idx"], "left").withColumn("context", F.substring(strip(F.coalesce("context", F.lit(""))), 1, most))

@@ -17,3 +17,9 @@ def reply_outcomes(replies: DataFrame, reply: str = "reply") -> DataFrame:
     r = F.col(reply)
     n = lambda c: F.coalesce(F.sum(c.cast("long")), F.lit(0))
     return replies.agg(n(F.coalesce(r != "", F.lit(False))).alias("extracted"), n(F.coalesce(r == "", F.lit(False))).alias("blank"), n(r.isNull()).alias("failed"), F.coalesce(F.sum(F.length(r).cast("long")), F.lit(0)).alias("chars"))
+
+
+def step_deltas(before: DataFrame, after: DataFrame, key: str, text: str = "markdown") -> DataFrame:
+    """key, chars, delta of each document over a step: characters after it, and how many it took or added."""
+    b = before.select(key, F.length(text).cast("long").alias("was"))
+    return after.select(key, F.length(text).cast("long").alias("chars")).join(b, key).select(key, "chars", (F.col("chars") - F.col("was")).alias("delta"))

@@ -112,8 +112,13 @@ class Http:
         raise ProviderDown(f"no answer after {ATTEMPTS} attempts: {last}")
 
 
-def from_environment(model: str = DEFAULT_MODEL) -> Provider:
+def from_environment(model: str = DEFAULT_MODEL, file: str = ".env") -> Provider:
+    """The provider that the environment, else a file of NAME=value lines, has a key for."""
     key = os.environ.get(KEY)
+    if not key and os.path.exists(file):
+        with open(file, encoding="utf-8") as f:
+            pairs = [line.strip().removeprefix("export ").partition("=") for line in f if "=" in line and not line.lstrip().startswith("#")]
+        key = next((v.strip().strip("\"'") for k, _, v in pairs if k.strip() == KEY), None)
     return Http(key, model) if key else NoProvider()
 
 

@@ -498,6 +498,16 @@ def math_span_filter(spark, sf_dir):
     return t.select("doc_id", formulas.math_chars("t").alias("math_chars"), formulas.is_math("t", "font").alias("is_math"))
 
 
+@query(f"""WITH RECURSIVE {_BOXES}, i AS (SELECT o, row_number() OVER (PARTITION BY o ORDER BY r) - 1 AS idx, y0, y1 FROM k)
+SELECT o::varchar AS rel_path, idx AS formula_idx, substr(coalesce(string_agg(concat('s', b.l_partkey), ' ' ORDER BY b.y0, b.x0, b.l_linenumber * 1000000 + b.l_partkey), ''), 1, 300) AS context
+FROM i JOIN b USING (o) WHERE b.y1 > greatest(0, i.y0 - 2 * (i.y1 - i.y0)) AND b.y0 < i.y1 + 2 * (i.y1 - i.y0) GROUP BY ALL""")
+def region_context(spark, sf_dir):
+    """What stands within two heights of each region of an order's line items."""
+    box = f"named_struct('x0', {_X0}, 'y0', {_Y0}, 'x1', {_X1}, 'y1', {_Y1})"
+    spans = table(spark, sf_dir, "lineitem").selectExpr("cast(l_orderkey AS string) AS rel_path", "0L AS page", "l_linenumber * 1000000L + l_partkey AS seq", "0 AS block_type", "concat('s', l_partkey) AS text", f"{box} AS bbox")
+    return formulas.region_context(_order_regions(spark, sf_dir), spans).select("rel_path", "formula_idx", "context")
+
+
 # Images ---------------------------------------------------------------------------------------------------------------
 
 
@@ -524,3 +534,18 @@ def ordinal_pairing(spark, sf_dir):
 def scanned_ratio(spark, sf_dir):
     pages = table(spark, sf_dir, "documents").selectExpr("source AS rel_path", "CASE WHEN n_chars < 900 THEN '  ' ELSE text END AS text")
     return assets.scanned(pages).withColumn("blank_ratio", F.round("blank_ratio", 6))
+
+
+@query("SELECT doc_id, 0::bigint AS ordinal, concat('img/', source, '.png') AS ref FROM documents WHERE source IN (SELECT source FROM documents WHERE n_chars > 20000)")
+def existing_images(spark, sf_dir):
+    """Each document refers to its source's picture; sources with a long document have one."""
+    docs = table(spark, sf_dir, "documents")
+    marked = docs.select("doc_id", F.concat(F.lit("t ![image](img/"), "source", F.lit(".png) u")).alias("markdown"))
+    have = docs.where("n_chars > 20000").select(F.concat(F.lit("img/"), "source", F.lit(".png")).alias("ref"))
+    return markers.existing(markers.markers(marked, "doc_id", "image"), have).select("doc_id", "ordinal", "ref")
+
+
+@query(f"SELECT doc_id, length({_FIXED_SQL.format(_DIRTY)}) AS chars, length({_FIXED_SQL.format(_DIRTY)}) - length({_DIRTY}) AS delta FROM documents")
+def step_deltas(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.expr(_DIRTY).alias("markdown"))
+    return metrics.step_deltas(docs, lint.lint(docs).select("doc_id", "markdown"), "doc_id")

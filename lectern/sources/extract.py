@@ -97,7 +97,8 @@ def asset_table(x: DataFrame) -> DataFrame:
 def formula_table(x: DataFrame) -> DataFrame:
     """Formulas of Office files (OMML) and of PDF files (regions, without a picture here)."""
     office = _explode(x, "formulas").select("rel_path", "formula_idx", F.lit("omml").alias("kind"), "omml", F.lit(None).cast("long").alias("page"), F.lit(None).cast(schemas.BBOX).alias("bbox"), "is_inline", "context", F.lit(None).cast("string").alias("image_ref"))
-    found = M.regions(_explode(x.where(~_scanned_flag()), "spans")).select("rel_path", "formula_idx", F.lit("region").alias("kind"), F.lit(None).cast("string").alias("omml"), "page", "bbox", "is_inline", F.lit("").alias("context"), F.lit(None).cast("string").alias("image_ref"))
+    spans = _explode(x.where(~_scanned_flag()), "spans")
+    found = M.region_context(M.regions(spans), spans).select("rel_path", "formula_idx", F.lit("region").alias("kind"), F.lit(None).cast("string").alias("omml"), "page", "bbox", "is_inline", "context", F.lit(None).cast("string").alias("image_ref"))
     return office.unionByName(found)
 
 
