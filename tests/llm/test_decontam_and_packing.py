@@ -8,7 +8,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from conftest import make
+from corpus import make
 from lectern.llm import decontam, packing
 from lectern.llm.queries import tokenizer_spec
 

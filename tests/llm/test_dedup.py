@@ -8,7 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 import brute
-from conftest import make
+from corpus import make
 from lectern.llm import jaccard, recompress
 from lectern.llm.components import components
 from lectern.llm.words import hashes

@@ -4,7 +4,7 @@ import random
 
 import numpy as np
 
-from conftest import make
+from corpus import make
 from lectern.llm import langid, toxicity
 from lectern.llm.queries import QUERIES
 from lectern.llm.words import U

@@ -3,7 +3,7 @@
 import random
 
 import brute
-from conftest import make
+from corpus import make
 from lectern.llm.quality_eb import quality
 from lectern.llm.quality_rules import kept_rows, quality_verdicts
 
