@@ -79,7 +79,7 @@ def _strength(groups: DataFrame, n: str, mean: str, parent) -> float:
 
 
 def quality(docs: DataFrame, labels: DataFrame, host: str, path: str) -> DataFrame:
-    """doc_id, evidence, host_posterior, path_posterior, posterior, keep of every row. labels: doc_id, quality."""
+    """doc_id, evidence, host_posterior, path_posterior, posterior, kept of every row. labels: doc_id, quality."""
     rows = keep(features(docs, host, path))
     known = labels.where("quality IS NOT NULL").groupBy("doc_id").agg(F.max("quality").alias("quality"))
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_ROWS)
@@ -105,4 +105,4 @@ def quality(docs: DataFrame, labels: DataFrame, host: str, path: str) -> DataFra
     safe = lambda c: F.greatest(F.lit(1e-6), F.least(F.lit(1 - 1e-6), c))
     z = odds(safe(F.col("evidence"))) + PULL * (odds(safe(F.col("path_posterior"))) - odds(safe(F.lit(mean))))
     out = out.withColumn("posterior", 1 / (1 + F.exp(-z)))
-    return out.select("doc_id", "evidence", "host_posterior", "path_posterior", "posterior", (F.col("posterior") >= KEEP).alias("keep"))
+    return out.select("doc_id", "evidence", "host_posterior", "path_posterior", "posterior", (F.col("posterior") >= KEEP).alias("kept"))

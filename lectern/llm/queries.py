@@ -98,7 +98,7 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     labels = _table(spark, sf_dir, "labels").where(~_held_out())
     out = quality(_table(spark, sf_dir, "documents"), labels, "source", "lang")
-    return out.select("doc_id", _held_out().alias("held_out"), "evidence", "host_posterior", "path_posterior", "posterior", "keep")
+    return out.select("doc_id", _held_out().alias("held_out"), "evidence", "host_posterior", "path_posterior", "posterior", "kept")
 
 
 QUERIES = {

@@ -43,7 +43,7 @@ def test_quality(spark, odd):
     labels = spark.createDataFrame([(i, int(i % 3 > 0), 0) for i in range(0, 600, 2)] + [(999, None, 0), (None, 1, 0)], "doc_id long, quality int, toxic int")
     got = quality(make(spark, rows), labels, "source", "lang")
     held = [x for x in got.where("doc_id < 600 AND doc_id % 2 = 1").collect()]
-    assert got.count() == len(rows) and sum(x["keep"] == (x.doc_id % 3 > 0) for x in held) > 0.98 * len(held)
+    assert got.count() == len(rows) and sum(x.kept == (x.doc_id % 3 > 0) for x in held) > 0.98 * len(held)
     assert all(0 <= x.posterior <= 1 and x.path_posterior is not None for x in got.collect())
     assert quality(make(spark, []), labels, "source", "lang").count() == 0
-    assert {x["keep"] for x in quality(make(spark, rows[:5]), labels.limit(0), "source", "lang").collect()} <= {True, False}
+    assert {x.kept for x in quality(make(spark, rows[:5]), labels.limit(0), "source", "lang").collect()} <= {True, False}
