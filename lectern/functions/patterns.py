@@ -5,7 +5,7 @@ Java needs (?d) so that only a line feed ends a line; ``\\s`` and ``\\w`` are AS
 
 #: The characters that count as white space in Unicode text processing.
 WS = r"[\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
-#: The same without the line feed, for greedy use inside a line.
+#: Words: letters, digits and underscores.
 WORD = r"[\p{L}\p{N}_]+"
 IMAGE_REF = r"(?d)!\[image\]\((.+?)\)"
 OCR_REF = r"(?d)!\[ocr\]\((.+?)\)"
