@@ -7,7 +7,7 @@
    has no partner: its overlap with anything stays below the bound that its size sets.
 3. Of the documents left, the rarest n - ceil(3n/4) + 1 shingles must meet a partner's. Shingles that meet span candidate
    components; nothing is emitted per pair.
-4. In each candidate component the product of incidence blocks (256 documents a side) accumulates overlap counts; pairs
+4. In each candidate component the product of incidence blocks (128 documents a side) accumulates overlap counts; pairs
    below 100 * overlap >= 75 * union are dropped, and of the others only a spanning forest leaves the task. In large
    components the blocks on the diagonal come first, each with the same few pivots; then only pairs of blocks whose
    documents aren't already linked to one another.
@@ -33,7 +33,7 @@ SHINGLE = 5
 #: Overlap bound as 100 * intersection >= PER_CENT * union.
 PER_CENT = 75
 #: Shingles in one range of columns, shingles gathered before a map task sends blobs, documents on a side of a block.
-RANGE, FLUSH, BLOCK = 2_000_000, 1_000_000, 256
+RANGE, FLUSH, BLOCK = 2_000_000, 1_000_000, 128
 CHUNK = 4096
 
 
@@ -221,7 +221,7 @@ def _named_sets(batches):
 
 def _products(members: DataFrame) -> DataFrame:
     """Links between the sets of each candidate component; members: fp, cand, names."""
-    size = keep(members.groupBy("cand").agg(F.count("*").alias("m")).where(F.col("m") > BLOCK))  # at most a row for each 256
+    size = keep(members.groupBy("cand").agg(F.count("*").alias("m")).where(F.col("m") > BLOCK))  # at most a row for each BLOCK
     members = members.join(size, "cand", "left").withColumn("m", F.coalesce("m", F.lit(1))).withColumn("label", F.col("fp"))
     spread = F.pmod(F.xxhash64("fp"), F.ceil(F.col("m") / BLOCK))
     plain = members.withColumn("block", F.when(F.col("m") > BLOCK, spread).otherwise(F.lit(0)))
@@ -281,9 +281,10 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     # Sets of candidates only, each from the text of its first document.
     chosen = keep(cand.join(reps.select("fp", F.col("first").alias("doc_id")), "fp"))
     members = keep(likely(docs, "doc_id", chosen).join(chosen, "doc_id").select("fp", "cand", "text").repartition(width(spark), "fp").mapInArrow(_named_sets, "fp long, cand long, names binary"))
-    comp = components(_products(members)).select(F.col("node").alias("fp"), "comp")
-    comp = reps.select("fp", "first").join(comp, "fp", "left").withColumn("comp", F.coalesce("comp", "fp"))
-    smallest = comp.groupBy("comp").agg(F.min("first").alias("component_id"))
-    named = keep(comp.join(smallest, "comp").select("fp", "component_id"))
+    first = reps.select("fp", "first")
+    linked = keep(components(_products(members)).select(F.col("node").alias("fp"), "comp").join(first, "fp"))
+    smallest = keep(linked.groupBy("comp").agg(F.min("first").alias("component_id")))
+    linked = linked.join(smallest, "comp").select("fp", "component_id")
+    named = keep(first.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id")))
     return sets.join(named, "fp", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
