@@ -35,7 +35,7 @@ WINDOW = 35
 RUN, CAPS = 2, (1, 1, 1, 2, 2, 4, 4)
 REACH = RUN + sum(CAPS)
 #: Words gathered before a map task sends blobs; bytes of text for each hash range.
-FLUSH, RANGE_BYTES = 1_000_000, 48_000_000
+FLUSH, RANGE_BYTES = 500_000, 24_000_000
 _BLOBS = "part int, ids binary, counts binary, names binary, at binary"
 _FOUND = "row long, at binary"
 
