@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,14 +27,33 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+_kept: list[tuple[SparkSession, str]] = []
+
+
 def keep(df: DataFrame) -> DataFrame:
-    """Write df as a table into the shared folder and read it back: cuts the lineage and outlives lost executors."""
+    """Write df as a table into the shared folder and read it back: cuts the lineage and outlives lost executors.
+
+    Results are lazy and may read the table at any time, so it stays until sweep() or the end of the driver's Python.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lectern-{uuid.uuid4().hex}"
+    _kept.append((spark, path))
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def sweep() -> None:
+    """Delete all kept tables of this process; what was made of them must have been written by then."""
+    while _kept:
+        spark, path = _kept.pop()
+        with contextlib.suppress(Exception):  # a session that has ended can't delete; nothing else depends on it
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+atexit.register(sweep)
+
+
 def small_batches(spark: SparkSession) -> None:
     """Keep Arrow batches of whole texts small. A setting of the user's own is left alone."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
