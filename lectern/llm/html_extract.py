@@ -4,12 +4,12 @@
    scripts, forms, navigation, footers, and what its name or role calls an advert, notice, sidebar, comment and so on - are
    left out with all they contain.
 2. Each container scores by the text of its blocks (in full for a block's parent, half for the one above; links don't
-   count) and votes for its path: the tags and first classes from the root, digits taken out, so that pages of one template
+   count; an article or main element counts all below it) and votes for its path: the tags and first classes from the root, digits taken out, so that pages of one template
    agree. A page's vote is shared among containers in proportion to the squares of their scores.
 3. Votes are summed by host and path, and over all hosts by path. The winner of a host has the most votes, its own plus
    PRIOR votes dealt out as all hosts voted, so that a host with few pages leans on the others. Hosts of any size meet in
    partial sums only.
-4. Each page's text is taken from the elements on its host's winning path; a page without one falls back on its own best
+4. Each page's text is taken from the elements on its host's winning path, after the title (h1) before it; a page without one falls back on its own best
    container, and if it has no container with text, on all its blocks.
 
 Character references are decoded, white space inside a block becomes one space, and blocks are joined by one line break.
@@ -39,14 +39,16 @@ _VOID = frozenset("area base br col embed hr img input link meta param source tr
 _RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 _BLOCKS = frozenset("html body address article aside blockquote center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr li main menu nav ol p pre section summary table tbody tfoot thead tr caption ul".split())
 _CONTAINERS = frozenset("body main article section div td blockquote center".split())
+_WHOLE = {"article": 1.3, "main": 1.1}
 _DROPPED = frozenset("head script style noscript template svg iframe object embed applet nav footer aside form button select option textarea input label fieldset dialog menu audio video canvas map title noembed noframes".split())
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar toolbar form status".split())
 #: Words in an element's class or id that tell what it is.
-_NEVER = frozenset("nav navbar navigation menu menubar submenu breadcrumb breadcrumbs pagination pager sidebar sidenav aside ad ads adv advert adverts advertisement advertising adsense banner promo promotion promoted sponsor sponsored sponsors cookie cookies consent gdpr notice notices notification alert popup modal overlay lightbox newsletter subscribe subscription signup signin login register share sharing social related recommended recommendations comment comments commentlist disqus reply replies respond discussion widget widgets toolbar masthead copyright skip search searchform footer footnav form paywall toast hidden sr".split())
-_PERHAPS = frozenset("header top bottom meta tools tags".split())
-_MAIN = frozenset("article content post entry main body story text page".split())
+_NEVER = frozenset("nav navbar navigation menu menubar submenu breadcrumb breadcrumbs pagination pager sidebar sidenav aside ad ads adv advert adverts advertisement advertising adsense banner promo promotion promoted sponsor sponsored sponsors cookie cookies consent gdpr notice notices notification alert popup modal overlay lightbox newsletter subscribe subscription signup signin login register share sharing social related recommended recommendations comment comments commentlist disqus reply replies respond discussion widget widgets toolbar masthead copyright skip search searchform footer footnav form paywall toast hidden sr topnav mainnav subnav sitenav pagenav siteheader pageheader sitefooter pagefooter responses".split())
+#: Beside these, "header" means the head of the main part.
+_OF_MAIN = frozenset("article content post entry story".split())
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+_PART = re.compile(r"[A-Za-z]+")
 _DIGITS = re.compile(r"\d+")
 
 
@@ -82,13 +84,14 @@ def _kind(tag: str, attributes: dict[str, str], main: bool) -> tuple[bool, bool]
         return not main, main
     if tag in ("html", "body"):
         return False, False
-    names = {x.lower() for k in ("class", "id") for x in _NAME.findall(attributes.get(k, ""))}
+    given = f"{attributes.get('class', '')} {attributes.get('id', '')}"
+    names = {x.lower() for x in [*_NAME.findall(given), *_PART.findall(given)]}
     if tag in ("article", "main"):
         return bool(names & {"comment", "comments", "reply", "ad", "ads", "advert", "promo", "related", "sidebar"}), False
     if names & _NEVER:
         return True, False
-    if names & _PERHAPS and "header" in names and not names & _MAIN:
-        return not main, main
+    if "header" in names:
+        return (False, True) if main or names & _OF_MAIN else (True, False)
     return False, False
 
 
@@ -198,7 +201,8 @@ def read(page: str | None) -> tuple[list[Element], list[Block]]:
 
 
 def scores(elements: list[Element], blocks: list[Block]) -> dict[int, float]:
-    """The score of each container with text: own blocks in full, those one container further down by half."""
+    """The score of each container with text: own blocks in full, those one container further down by half. An article
+    counts all its blocks in full and somewhat more, a main element a little more."""
     out: dict[int, float] = defaultdict(float)
     for b in blocks:
         worth = max(0, len(b.text) - b.links)
@@ -206,14 +210,15 @@ def scores(elements: list[Element], blocks: list[Block]) -> dict[int, float]:
         if at >= 0 and not elements[at].container:
             at = elements[at].up
         share = 1.0
-        while at >= 0 and share > 0.4:
-            if elements[at].container:
+        while at >= 0:
+            e = elements[at]
+            if e.tag in _WHOLE:
+                out[at] += _WHOLE[e.tag] * worth
+            elif e.container and share > 0.4:
                 out[at] += share * worth
+            if e.container:
                 share /= 2
-            at = elements[at].up
-    for i in out:
-        if elements[i].tag in ("article", "main"):
-            out[i] *= 1.5
+            at = e.up
     return out
 
 
@@ -229,29 +234,41 @@ def votes(page: str | None) -> list[tuple[str, float]]:
     return list(shared.items())
 
 
-def main_text(page: str | None, path: str | None) -> str:
-    """The text on the winning path."""
-    elements, blocks = read(page)
-    roots = {i for i, e in enumerate(elements) if e.path == path and not e.out}
+def _within(elements: list[Element], blocks: list[Block], roots: set[int]) -> list[str]:
+    """Texts below the roots, after the level-1 headings that stand before the first root in an element around it."""
     inside: dict[int, bool] = {-1: False}
     for i, e in enumerate(elements):
         inside[i] = i in roots or inside[e.up]
-    chosen = [b.text for b in blocks if inside[b.element]]
+    if not any(inside[b.element] for b in blocks):
+        return []
+    first = min(roots)
+    around, at = set(), elements[first].up
+    while at >= 0:
+        around.add(at)
+        at = elements[at].up
+
+    def title(b: Block) -> bool:
+        if not 0 <= b.element < first or elements[b.element].tag != "h1":
+            return False
+        at = elements[b.element].up
+        while at >= 0 and not elements[at].container:
+            at = elements[at].up
+        return at in around
+
+    return [b.text for b in blocks if inside[b.element] or title(b)]
+
+
+def main_text(page: str | None, path: str | None) -> str:
+    """The text on the winning path."""
+    elements, blocks = read(page)
+    chosen = _within(elements, blocks, roots) if (roots := {i for i, e in enumerate(elements) if e.path == path and not e.out}) else []
     if not chosen:
         got = scores(elements, blocks)
-        if got and max(got.values()) > 0:
-            return main_text_of(elements, blocks, min(got, key=lambda i: (-got[i], i)))
-        chosen = [b.text for b in blocks]
+        best = min(got, key=lambda i: (-got[i], i), default=-1)
+        chosen = _within(elements, blocks, {best}) if best >= 0 and got[best] > 0 else [b.text for b in blocks]
     return "\n".join(chosen)
 
 
-def main_text_of(elements: list[Element], blocks: list[Block], root: int) -> str:
-    inside: dict[int, bool] = {-1: False}
-    for i, e in enumerate(elements):
-        inside[i] = i == root or inside[e.up]
-    return "\n".join(b.text for b in blocks if inside[b.element])
-
-
 def host_of(url: str = "url"):
     """The host of a URL in lower case, without www. and port; "" if there is none."""
     return F.coalesce(F.regexp_replace(F.lower(F.regexp_extract(F.col(url), r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]*)", 1)), r"^www\.", ""), F.lit(""))

@@ -26,6 +26,8 @@ def pages(spark, rows):
         f'<main class="site"><div class="post-12"><h1>Title</h1>{ARTICLE}<div class="share-buttons">Share this</div></div><aside>Other stories that are long enough to count</aside></main>',
         f'<div id="content"><header><h2>Site</h2></header><div class="entry"><h1>Title</h1>{ARTICLE}<form><input><p>Your name and your opinion here</form></div><section class="comments"><p>I think, as a reader, that this is right</p></section></div>',
         f'<script>if (a < b) document.write("<p>no</p>")</script><div class="cookie-notice"><p>We use cookies, and more cookies, all day</p></div><article><header><h1>Title</h1><span>by someone</span></header>{ARTICLE}<template><p>hidden</p></template><!-- <p>comment</p> --><p hidden>gone</p></article>',
+        f'<div class="page-header"><h1>Site name</h1></div><div id="wrap"><h1>Title</h1><div class="text">{ARTICLE * 1}</div></div><div id="sideBar"><p>Things at the side, many of them</p></div>',
+        f'<article class="post"><div class="post-header"><h1>Title</h1><p>By someone, on some day</p></div><div class="content">{ARTICLE}</div><div class="post-footer"><p>Filed under things, and other things</p></div></article>',
         f'<div class="ad"><p>Buy this, and buy that, it is so cheap</p></div><article><h1>Title</h1>{ARTICLE}',
     ],
 )
