@@ -14,11 +14,16 @@ def manifest(outputs: DataFrame, path: str = "path", text: str = "markdown") ->
     return rows.select(F.col(path).alias("path"), title(text, stem(path)).alias("title"), top_group(path).alias("group"), headings(text).alias("headings"), count_tokens(text).alias("word_count"))
 
 
-def index_lines(entries: DataFrame) -> DataFrame:
-    """group, lines: each group's list of links, in path order. The groups' texts are the only thing gathered."""
+def _groups(entries: DataFrame) -> DataFrame:
+    """group, lines, n of each group: its links in path order and their number. A group's links are all that is gathered."""
     link = F.concat(F.lit("- ["), F.col("title"), F.lit("]("), F.col("path"), F.lit(")"))
     got = F.array_sort(F.collect_list(F.struct(path_parts("path").alias("p"), link.alias("l"))))
-    return entries.groupBy("group").agg(F.array_join(F.transform(got, lambda x: x["l"]), "\n").alias("lines"))
+    return entries.groupBy("group").agg(F.array_join(F.transform(got, lambda x: x["l"]), "\n").alias("lines"), F.count("*").alias("n"))
+
+
+def index_lines(entries: DataFrame) -> DataFrame:
+    """group, lines: each group's list of links, in path order."""
+    return _groups(entries).select("group", "lines")
 
 
 def index_text(entries: DataFrame, heading: str = "Knowledge Index") -> DataFrame:
@@ -26,8 +31,7 @@ def index_text(entries: DataFrame, heading: str = "Knowledge Index") -> DataFram
 
     Items already end in line feeds before they are joined by one, so headings stand apart by two.
     """
-    groups = index_lines(entries)
-    total = entries.agg(F.count("*").alias("n"))
-    body = groups.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("group", "lines"))), lambda x: F.concat(F.lit("\n## "), x["group"], F.lit("\n\n"), x["lines"])), "\n").alias("body"))
-    head = F.concat(F.lit(f"# {heading}\n\n**"), F.col("n").cast("string"), F.lit(" documents extracted**\n\n"), F.col("body"))
-    return total.withColumn("k", F.lit(1)).join(body.withColumn("k", F.lit(1)), "k").where("n > 0").select(head.alias("text"))
+    part = lambda x: F.concat(F.lit("\n## "), x["group"], F.lit("\n\n"), x["lines"])
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("group", "lines"))), part), "\n")
+    whole = _groups(entries).agg(F.sum("n").alias("n"), body.alias("body")).where("n > 0")
+    return whole.select(F.concat(F.lit(f"# {heading}\n\n**"), F.col("n").cast("string"), F.lit(" documents extracted**\n\n"), F.col("body")).alias("text"))

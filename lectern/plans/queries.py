@@ -55,11 +55,7 @@ _TREE_SQL = f"(SELECT page_id, rel_path, {_FORMAT_SQL} AS format FROM (SELECT pa
 @query(f"SELECT page_id, rel_path, format, rank() OVER (ORDER BY string_split(rel_path, '/')) AS place FROM {_TREE_SQL}")
 def discover_files(spark, sf_dir):
     """Files of known formats outside skipped directories, and their place in path order (a report over all files)."""
-    files = _tree(spark, sf_dir)
-    # The place is a count of earlier distinct paths: the paths are few, the files aren't.
-    paths = files.groupBy("rel_path").agg(F.count("*").alias("n")).withColumn("parts", T.path_parts("rel_path"))
-    place = F.coalesce(F.sum("n").over(Window.orderBy("parts").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + 1
-    return files.join(paths.select("rel_path", place.cast("long").alias("place")), "rel_path").select("page_id", "rel_path", "format", "place")
+    return progress.path_rank(_tree(spark, sf_dir)).select("page_id", "rel_path", "format", "place")
 
 
 @query(f"SELECT format, count(*) AS files FROM {_TREE_SQL} GROUP BY format")
