@@ -19,7 +19,8 @@ from lectern import schemas
 from lectern.functions.text import FORMULA_MIME, IMAGE_MIME, is_sentinel, media_type, strip, unwrap_reply
 from lectern.operators import chunks, index, lint, markers, model, progress, sections
 from lectern.sources.doctree import discover, with_content
-from lectern.sources.extract import asset_table, extract, formula_table, to_markdown
+from lectern.sources.extract import asset_table, extract, formula_table, page_table, to_markdown
+from lectern.sources.raster import Raster, blank_pages, formula_regions, render
 
 
 @dataclass
@@ -29,6 +30,7 @@ class Options:
     work: str
     provider: model.Provider
     compat: bool = False
+    raster: Raster | None = None
 
 
 @dataclass
@@ -199,12 +201,21 @@ def run(spark: SparkSession, o: Options) -> Report:
     if pending:
         x = _written(extract(with_content(todo, o.source), o.compat), f"{o.work}/extracted")
         report.failed = x.where("error IS NOT NULL").count()
-        assets = _written(asset_table(x), f"{o.work}/assets")
+        assets, formulas = asset_table(x), formula_table(x)
+        if o.raster is not None:
+            pages = page_table(x)
+            regions = formula_regions(formulas, pages)
+            wanted = blank_pages(pages).unionByName(regions.drop("formula_idx"))
+            drawn = _written(render(todo, o.source, wanted, o.raster), f"{o.work}/drawn")
+            assets = assets.unionByName(drawn)
+            have = regions.join(drawn.select("rel_path", "ref"), ["rel_path", "ref"], "left_semi").select("rel_path", "formula_idx", F.col("ref").alias("drawn"))
+            formulas = formulas.join(have, ["rel_path", "formula_idx"], "left").withColumn("image_ref", F.coalesce("image_ref", "drawn")).drop("drawn")
+        assets = _written(assets, f"{o.work}/assets")
         _write_bytes(assets.select("ref", "bytes"), o.work)
         docs = _written(to_markdown(x), f"{o.work}/docs_raw")
         _write_texts(progress.outputs(docs).where("wins").select("out_path", "markdown"), f"{o.work}/raw")
         try:
-            docs, r1 = _formulas(docs, formula_table(x), assets, o)
+            docs, r1 = _formulas(docs, formulas, assets, o)
             docs, r2 = _ocr(docs, assets, o)
             docs = sections.filter_content(docs, compat=o.compat)
             docs, r3 = _figures(_written(docs, f"{o.work}/docs_filtered"), assets, o)

@@ -102,6 +102,13 @@ def formula_table(x: DataFrame) -> DataFrame:
     return office.unionByName(found)
 
 
+def page_table(x: DataFrame) -> DataFrame:
+    """rel_path, page, text (stripped), width, height, is_scanned, ref (where a picture of the page lies) of PDF pages."""
+    pages = x.where("format = 'pdf'").select("rel_path", _scanned_flag().alias("is_scanned"), F.explode("pages").alias("p")).select("rel_path", "is_scanned", "p.*")
+    ref = _ref(F.col("rel_path"), F.concat(F.lit("page"), F.col("page").cast("string"), F.lit(".png")))
+    return pages.withColumn("text", F.regexp_replace("text", r"\A\s+|\s+\z", "")).withColumn("ref", ref)
+
+
 def _scanned_flag():
     blank = F.size(F.filter("pages", lambda p: F.trim(p["text"]) == ""))
     return (F.size("pages") > 0) & (blank >= A.SCANNED * F.size("pages"))
@@ -118,11 +125,10 @@ def to_markdown(x: DataFrame) -> DataFrame:
     pictures = x.where("format = 'image'").select("rel_path", F.concat(F.lit("![image]("), _ref(F.col("rel_path"), F.regexp_replace(F.col("assets")[0]["ref"], r"[()\[\]]", "_")), F.lit(")\n")).alias("markdown"))
     # PDF: page texts with markers for regions, or one reference for each page without text.
     pdf = x.where("format = 'pdf'").withColumn("is_scanned", _scanned_flag())
-    pages = pdf.select("rel_path", "is_scanned", F.explode("pages").alias("p")).select("rel_path", "is_scanned", "p.*")
-    pages = pages.withColumn("text", F.regexp_replace("text", r"\A\s+|\s+\z", ""))
+    pages = page_table(x)
     marked = M.insert_markers(pages.where("NOT is_scanned AND text <> ''").select("rel_path", "page", "text", "height"), M.regions(_explode(x.where(~_scanned_flag()), "spans")))
     body = pages.join(marked.withColumnRenamed("text", "marked"), ["rel_path", "page"], "left")
-    shot = lambda kind: F.concat(F.lit(f"\n![{kind}]("), _ref(F.col("rel_path"), F.concat(F.lit("page"), F.col("page").cast("string"), F.lit(".png"))), F.lit(")\n"))
+    shot = lambda kind: F.concat(F.lit(f"\n![{kind}]("), F.col("ref"), F.lit(")\n"))
     head = F.concat(F.lit("\n## Page "), F.col("page").cast("string"), F.lit("\n"))
     own = F.when(F.col("text") != "", F.coalesce("marked", "text")).otherwise(F.when(F.col("is_scanned"), shot("ocr")).otherwise(shot("image")))
     rows = body.select("rel_path", "page", F.lit(0).cast("long").alias("k"), F.concat_ws("\n", head, own).alias("text"))

@@ -3,6 +3,8 @@
 import json
 import os
 
+import pytest
+
 import office
 from lectern.cli import main
 from lectern.operators import model
@@ -113,6 +115,51 @@ def test_run_with_model(spark, tmp_path):
     assert down.aborted and down.exit_code == 1 and not os.path.exists(tmp_path / "o2" / "index.md")
 
 
+def test_run_with_raster(spark, tmp_path):
+    src, out, work = (str(tmp_path / x) for x in ("src", "out", "work"))
+    put(src, "p.pdf", office.pdf([["Line one", "Line two"], None]))
+    put(src, "scan.pdf", office.pdf([None, None]))
+
+    def raster(content, page, clip, dpi):
+        return None if page == 2 and clip is None and dpi == 200 else f"{page} {clip is not None} {dpi}".encode()
+
+    script = model.Scripted([("Transcribe", "read page"), ("picture as LaTeX", "E=mc^2"), ("figure", "BLANK")])
+    r = run(spark, Options(src, out, work, script, raster=raster))
+    read = lambda n: open(os.path.join(out, n), encoding="utf-8").read()
+    assert r.failed == 0 and "E=mc^2" in read("p.md") and "Figure: BLANK" in read("p.md")
+    assert "read page" in read("scan.md") and read("scan.md").count("![ocr](") == 1
+
+
+def test_http_provider():
+    import threading
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+
+    codes = [500, 200, 400, 401, 503, 503, 503, 503, 503]
+
+    class Handler(BaseHTTPRequestHandler):
+        def do_POST(self):
+            self.rfile.read(int(self.headers["Content-Length"]))
+            code = codes.pop(0)
+            self.send_response(code)
+            self.end_headers()
+            if code == 200:
+                self.wfile.write(json.dumps({"choices": [{"message": {"content": "hi"}}], "usage": {"prompt_tokens": 3, "completion_tokens": 1, "cost": 0.5}}).encode())
+
+        def log_message(self, *a):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    http = model.Http("k", url=f"http://127.0.0.1:{server.server_port}/", wait=0.01)
+    got = http.ask("q", b"img", "image/png")
+    assert (got.text, got.prompt_tokens, got.cost) == ("hi", 3, 0.5)
+    for error in (model.BadRequest, model.ProviderDown, model.ProviderDown):
+        with pytest.raises(error):
+            http.ask("q", None, None)
+    server.shutdown()
+    assert codes == []
+
+
 def test_cli(spark, tmp_path, capsys):
     src, out, work = (str(tmp_path / x) for x in ("src", "out", "work"))
     put(src, "t.xlsx", office.xlsx())
@@ -145,3 +192,14 @@ def test_stream(spark, tmp_path):
     process_new(spark, src, state, check, process)
     assert seen == [["a", "b"], ["b", "c"]]
     assert {(r.rel_path, r.mtime) for r in read_progress(spark, state).collect()} == {("a", 1.0), ("b", 2.0), ("c", 1.0)}
+
+
+def test_arrivals(spark, tmp_path):
+    from lectern.streaming.incremental import arrivals
+
+    rows = spark.createDataFrame([("2024-01-01 00:10:00",), ("2024-01-01 00:50:00",), ("2024-01-01 01:10:00",)], "s string").selectExpr("cast(s AS timestamp) AS at")
+    rows.write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("at timestamp").parquet(str(tmp_path / "in"))
+    q = arrivals(stream, "at").writeStream.outputMode("complete").format("memory").queryName("arrived").trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert sorted(r.documents for r in spark.table("arrived").collect()) == [1, 2]
