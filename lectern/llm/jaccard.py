@@ -14,7 +14,8 @@
 5. Links make components; copies of a set get the component of the set.
 
 Null text, empty text and text of white space: an empty set, linked with nothing. Texts under five words: the whole word
-sequence is the one shingle. Repeated rows stay repeated. Ties in size or frequency fall back on the shingle's name.
+sequence is the one shingle. Repeated rows stay repeated. A row without doc_id keeps its set's component, but where all
+rows of a set are without one, the set is not compared with others. Ties in size or frequency fall back on the shingle's name.
 Names are 64-bit hashes: two different shingles of one size class share one with probability 2**-64.
 """
 
