@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
 from lectern.llm.runtime import only, parts_for, small_batches
-from lectern.llm.words import U, as_bytes, grams, prefix
+from lectern.llm.words import U, as_bytes, grams, lean, prefix
 
 WINDOW, SHORTEST, ENOUGH, SHARE = 8, 5, 13, 60
 SLICE_WORDS = 1_000_000
@@ -180,6 +180,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     def run(held):
         def find(batches):
+            lean()
             vocabulary, idx = Vocabulary(), held.value
             for b in batches:
                 rows = [(doc, idx.ids[i], c, n, k) for doc, text in zip(b.column("doc_id").to_pylist(), as_bytes(b.column("text"))) for i, c, n, k in matches(idx, vocabulary.template(text))]
@@ -199,6 +200,7 @@ def clean_rows(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     def run(held):
         def clean(batches):
+            lean()
             vocabulary, idx = Vocabulary(), held.value
             for b in batches:
                 yield b.filter(pa.array([not matches(idx, vocabulary.template(t)) for t in as_bytes(b.column("text"))], pa.bool_()))

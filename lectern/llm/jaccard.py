@@ -28,13 +28,13 @@ from pyspark.sql import functions as F
 
 from lectern.llm.components import components
 from lectern.llm.runtime import keep, likely, only, parts_for, small_batches, width
-from lectern.llm.words import U, as_bytes, grams, hashes, mix, prefix, split_words
+from lectern.llm.words import U, as_bytes, grams, hashes, lean, mix, prefix, split_words
 
 SHINGLE = 5
 #: Overlap bound as 100 * intersection >= PER_CENT * union.
 PER_CENT = 75
 #: Shingles in one range of columns, shingles gathered before a map task sends blobs, documents on a side of a block.
-RANGE, FLUSH, BLOCK = 2_000_000, 1_000_000, 128
+RANGE, FLUSH, BLOCK = 2_000_000, 500_000, 128
 CHUNK = 4096
 
 
@@ -54,6 +54,7 @@ def fingerprint(names: np.ndarray) -> int:
 
 
 def _sets(batches):
+    lean()
     for b in batches:
         got = [shingles(t) for t in as_bytes(b.column("text"))]
         yield pa.RecordBatch.from_arrays(
@@ -88,6 +89,7 @@ def _columns(parts: int):
         return pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32())] + [pa.array([x[i] for x in out], pa.binary()) for i in range(1, 5)], ["part", "fps", "sizes", "counts", "names"])
 
     def run(batches):
+        lean()
         held, fps, seen, total = [], [], set(), 0
         for b in batches:
             for t in as_bytes(b.column("text")):
@@ -112,6 +114,7 @@ def _joined(table: pa.Table, name: str, kind) -> np.ndarray:
 
 def _shared(table: pa.Table) -> pa.Table:
     """Reduce side of step 2, for one range: per document its shingles that a document of a fitting size also has."""
+    lean()
     part = table.column("part")[0].as_py()
     fps, sizes = _joined(table, "fps", np.int64), _joined(table, "sizes", np.int32).astype(np.int64)
     counts, names = _joined(table, "counts", np.int32), _joined(table, "names", np.uint32)
@@ -189,6 +192,7 @@ def _spanning(n: int, pairs, labels: np.ndarray | None = None) -> list[tuple[int
 
 def _product(table: pa.Table) -> pa.Table:
     """Step 4 for one group of documents: overlap counts of all of them, and the links that span them."""
+    lean()
     fps = np.array(table.column("fp").to_pylist(), np.int64)
     fps, at = np.unique(fps, return_index=True)
     label = np.array(table.column("label").to_pylist(), np.int64)[at]
@@ -214,6 +218,7 @@ def _product(table: pa.Table) -> pa.Table:
 
 
 def _named_sets(batches):
+    lean()
     for b in batches:
         got = [shingles(t) for t in as_bytes(b.column("text"))]
         own = pa.array([len(x) > 0 and fingerprint(x) == fp for x, fp in zip(got, b.column("fp").to_pylist())], pa.bool_())  # other rows of the doc_id

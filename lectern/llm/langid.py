@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.llm.runtime import only, small_batches
-from lectern.llm.words import U, as_bytes
+from lectern.llm.words import U, as_bytes, lean
 
 ORDER = 4
 TRAIN_TEXTS, TRAIN_BYTES = 400, 65_536
@@ -186,6 +186,7 @@ def predict(docs: DataFrame, trees: Trees) -> DataFrame:
     held = spark.sparkContext.broadcast(trees)
 
     def run(batches):
+        lean()
         t = held.value
         for b in batches:
             plain = b.column("text").to_pylist()

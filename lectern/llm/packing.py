@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.llm.runtime import keep, only, small_batches
+from lectern.llm.words import lean
 
 CAPACITY, END = 1024, 2
 #: Pieces in a hash slice of a length, about.
@@ -79,6 +80,7 @@ def cuts(n: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
 
 def _pieces(spec: tuple, capacity: int):
     def run(batches):
+        lean()
         enc = encoder(*spec)
         for b in batches:
             out = []

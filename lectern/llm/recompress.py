@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm.runtime import keep, only, parts_for, small_batches
-from lectern.llm.words import R2, U, as_bytes, grams, hashes, mix, prefix, split_words
+from lectern.llm.words import R2, U, as_bytes, grams, hashes, lean, mix, prefix, split_words
 
 WINDOW = 35
 #: Longest run and longest symbols that take part in each round of pairs; they add up to REACH.
@@ -106,6 +106,7 @@ def _entries(parts: int, starts, short: bool):
         return _blobs(parts, rows, doc[at], name.astype(np.uint32) if short else name, at - (ends - n)[doc[at]], part)
 
     def run(batches):
+        lean()
         rows, texts, marks, total = [], [], [], 0
         for b in batches:
             found = b.column("found").to_pylist() if "found" in b.schema.names else [None] * b.num_rows
@@ -145,6 +146,7 @@ def _twice(kind):
     """Reduce side: entries whose name stands twice in the range, and those found before."""
 
     def run(table: pa.Table) -> pa.Table:
+        lean()
         row, name, at, out = [], [], [], {"row": [], "at": []}
         for x in table.select(["ids", "counts", "names", "at"]).to_batches():
             for ids, counts, names, spots in zip(*(c.to_pylist() for c in x.columns)):
@@ -199,6 +201,7 @@ def cut(text: bytes, gone: np.ndarray) -> bytes:
 
 
 def _judged(batches):
+    lean()
     for b in batches:
         total, removed, digest, left = [], [], [], []
         for text, blobs in zip(as_bytes(b.column("text")), b.column("found").to_pylist()):

@@ -2,11 +2,31 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 from xxhash import xxh3_64_intdigest
 
 U = np.uint64
+_lean = False
+
+
+def lean() -> None:
+    """In a worker, before large arrays come and go: have what is freed go back to the system at once.
+
+    Else the allocator raises its threshold for mapped blocks with the first large one that is freed, and Arrow's pool
+    keeps its pages, so a worker that is used again holds what its largest task needed.
+    """
+    global _lean
+    if not _lean:
+        _lean = True
+        with contextlib.suppress(OSError, AttributeError):  # another C library
+            ctypes.CDLL(None).mallopt(-3, 1 << 20)
+        pa.set_memory_pool(pa.system_memory_pool())
+
+
 #: Odd multipliers of the polynomial hashes and of the mixer (fixed values).
 R1, R2 = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
 MIX1, MIX2 = 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
