@@ -12,6 +12,11 @@ def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def let(value: Column, body) -> Column:
+    """body(value), with value worked out once however often body uses it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def strip(x) -> Column:
     """Without Unicode white space at either end."""
     return F.regexp_replace(_c(x), rf"\A{WS}+|{WS}+\z", "")
@@ -40,8 +45,8 @@ def headings(x, most: int | None = 20) -> Column:
 
 def lines(x) -> Column:
     """Lines by any line end; a line end at the very end starts no line."""
-    got = F.split(_c(x), LINE_END, -1)
-    return F.when(F.element_at(got, -1) == "", F.slice(got, F.lit(1), F.size(got) - 1)).otherwise(got)
+    cut = lambda got: F.when(F.element_at(got, -1) == "", F.slice(got, F.lit(1), F.size(got) - 1)).otherwise(got)
+    return let(F.split(_c(x), LINE_END, -1), cut)
 
 
 def title(x, otherwise, within: int = 20) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.functions.text import _c, lines
+from lectern.functions.text import _c, let, lines
 
 #: (rule, pattern, replacement) in the order in which they apply; a rule sees what the ones before it left.
 RULES = (
@@ -30,22 +30,31 @@ def fixed(x) -> Column:
 
 def changed_lines(before, after) -> Column:
     """Lines that differ place by place, and how many more the longer text has. Equal texts have none."""
-    a, b = lines(before), lines(after)
-    n = F.least(F.size(a), F.size(b))
-    same = F.zip_with(F.slice(a, F.lit(1), n), F.slice(b, F.lit(1), n), lambda x, y: (x != y).cast("long"))
-    return F.when(_c(before) == _c(after), F.lit(0).cast("long")).otherwise(F.aggregate(same, F.lit(0).cast("long"), lambda s, x: s + x) + F.abs(F.size(a) - F.size(b)).cast("long"))
+    zero = F.lit(0).cast("long")
+
+    def count(s: Column) -> Column:
+        n = F.least(F.size(s["a"]), F.size(s["b"]))
+        other = F.zip_with(F.slice(s["a"], F.lit(1), n), F.slice(s["b"], F.lit(1), n), lambda x, y: (x != y).cast("long"))
+        return F.aggregate(other, zero, lambda t, x: t + x) + F.abs(F.size(s["a"]) - F.size(s["b"])).cast("long")
+
+    both = let(F.struct(lines(before).alias("a"), lines(after).alias("b")), count)
+    return F.when(_c(before) == _c(after), zero).otherwise(both)
 
 
 def failures(x) -> Column:
     """What the rules still find in a text: an entry RULE:line for each line they would touch."""
     numbered = F.transform(F.split(_c(x), "\n", -1), lambda line, i: F.struct((i + 1).alias("no"), line.alias("t")))
-    found = lambda rule, test: F.transform(F.filter(numbered, lambda s: test(s["t"])), lambda s: F.concat(F.lit(f"{rule}:"), s["no"].cast("string")))
+    named = lambda rule, s: F.concat(F.lit(f"{rule}:"), s["no"].cast("string"))
+    empty = F.array().cast("array<string>")
+
+    def by_line(rows: Column) -> Column:
+        found = lambda rule, test: F.transform(F.filter(rows, lambda s: test(s["t"])), lambda s: named(rule, s))
+        return F.concat(found("MD009", lambda t: t.rlike(r"[ \t]+\z")), found("MD010", lambda t: t.contains("\t")), found("MD018", lambda t: t.rlike(r"\A#{1,6}[^ #]")))
+
     return F.concat(
-        found("MD009", lambda t: t.rlike(r"[ \t]+\z")),
-        found("MD010", lambda t: t.contains("\t")),
-        found("MD018", lambda t: t.rlike(r"\A#{1,6}[^ #]")),
-        F.when(_c(x).rlike(r"\n{3,}"), F.array(F.lit("MD012"))).otherwise(F.array().cast("array<string>")),
-        F.when(~_c(x).rlike(r"[^\n]\n\z"), F.array(F.lit("MD047"))).otherwise(F.array().cast("array<string>")),
+        let(numbered, by_line),
+        F.when(_c(x).rlike(r"\n{3,}"), F.array(F.lit("MD012"))).otherwise(empty),
+        F.when(~_c(x).rlike(r"[^\n]\n\z"), F.array(F.lit("MD047"))).otherwise(empty),
     )
 
 
