@@ -93,3 +93,22 @@ def test_keys_lose_nothing():
     w = Weights()
     for _, v in w.vectors:
         assert sum(x * x for t, x in v.items() if t not in w.keys) < LEAST * LEAST
+
+
+def test_full_texts(spark):
+    """Whole license files are files by their own cosine, wrapped or not, and speak for what lies below them."""
+    from lectern.llm.license_scan import full_texts
+
+    rows, want = [], {}
+    for k, (name, text) in enumerate(full_texts()):
+        head = "Copyright (c) 2031 Some Body and Others\n\n"
+        rows += [(10 * k, head + text, f"p{k}/LICENSE"), (10 * k + 1, "no license here", f"p{k}/src/x.py"), (10 * k + 2, head + "\n".join(" ".join(p.split()) for p in text.split("\n\n")), f"q{k}/LICENSE")]
+        want |= {10 * k: (name, "file"), 10 * k + 1: (name, "inherited"), 10 * k + 2: (name, "file")}
+    assert scan(spark, rows) == want
+
+
+def test_wrapped_header(spark):
+    code = "\n".join(f"value{i} = compute{i}(other{i})" for i in range(40))
+    gpl = "# This program is free software: you can\n# redistribute it and/or modify it under the\n# terms of the GNU General Public\n# License, either version 3 of the License\n"
+    got = scan(spark, [(1, gpl + code, "a/x.py"), (2, "# Released\n# under the MIT\n# License\n" + code, "b/x.py"), (3, code, "c/x.py")])
+    assert got == {1: ("GPL-3.0", "header"), 2: ("MIT", "header"), 3: (None, "none")}
