@@ -6,7 +6,10 @@ after a number <unit>, and a capitalised word that doesn't begin a sentence or l
 count. The template windows of the benchmark (8 words; a shorter item of 5 to 7 words as a whole) are looked up in every
 document. Windows that agree on where an item would begin form an alignment. It counts if it covers 13 words or 60 % of
 the item, at least half of the covered words are literal, and its slots can be filled one to one: the same value
-of the item always meets the same value of the document and the reverse. With equal values throughout the match is
+of the item always meets the same value of the document and the reverse. The last two don't hold for copies: an alignment
+of which no more than a tenth of the covered words differ, or with a run of equal words of LONG words or 60 % of the item, counts without them. Alignments of an item that
+follow one another with at most WINDOW words between them on either side, as around a word put in or left out, are also
+taken together. With equal values throughout the match is
 "exact", else "reparameterised". Of several alignments of an item in a document the one covering most counts, then the
 first.
 
@@ -30,6 +33,8 @@ from lectern.llm.runtime import only, parts_for, small_batches
 from lectern.llm.words import U, as_bytes, grams, lean, prefix
 
 WINDOW, SHORTEST, ENOUGH, SHARE = 8, 5, 13, 60
+#: Words of an equal run, and percent of the covered words that may differ, that make a copy.
+LONG, DIFFER = 20, 10
 SLICE_WORDS = 1_000_000
 #: Distinct words of which a worker remembers the kind before it starts anew.
 REMEMBERED = 200_000
@@ -147,19 +152,74 @@ def matches(idx: Index, template) -> list[tuple[int, int, int, str]]:
                 found.setdefault((int(items[k]), p - int(places[k])), []).append((p, size))
                 k += 1
     best: dict[int, tuple] = {}
+    runs: dict[int, list[tuple[int, int, int]]] = {}
     for (item, begin), at in sorted(found.items()):
-        theirs_kind, theirs = idx.items[item]
         spots = sorted({x for p, size in at for x in range(p, p + size)})
-        covered, n = len(spots), len(theirs)
-        slots = [(theirs[x - begin], words[x]) for x in spots if kind[x]]
-        if (covered >= ENOUGH or 100 * covered >= SHARE * n) and 2 * len(slots) <= covered:
-            core = lambda w: w.decode("utf-8", "replace").strip(_PUNCTUATION)
-            slots = [(core(a), core(b)) for a, b in slots]
-            if _one_to_one(slots) and covered > best.get(item, (0,))[0]:
-                best[item] = covered, n, "exact" if all(a == b for a, b in slots) else "reparameterised"
+        _judge(idx.items[item], item, [(x - begin, x) for x in spots], kind, words, best)
+        start = spots[0]
+        for x, y in zip(spots, [*spots[1:], -1]):
+            if y != x + 1:
+                runs.setdefault(item, []).append((start, start - begin, x + 1 - start))
+                start = y
+    for item, held in runs.items():
+        if len(held) > 1:
+            for pairs in _chains(sorted(held)):
+                _judge(idx.items[item], item, pairs, kind, words, best)
     return [(item, *x) for item, x in sorted(best.items())]
 
 
+def _core(w: bytes) -> str:
+    return w.decode("utf-8", "replace").strip(_PUNCTUATION)
+
+
+def _judge(entry, item: int, pairs: list[tuple[int, int]], kind, words: list[bytes], best: dict[int, tuple]) -> None:
+    """Note the alignment of places (of the item, of the document) if it counts and covers more than the best so far."""
+    theirs = entry[1]
+    covered, n = len(pairs), len(theirs)
+    if (covered < ENOUGH and 100 * covered < SHARE * n) or covered <= best.get(item, (0,))[0]:
+        return
+    slots = [(i, p, _core(theirs[i]), _core(words[p])) for i, p in pairs if kind[p] or entry[0][i]]
+    slots = [(i, p, a, b) for i, p, a, b in slots if a.lower() != b.lower() or kind[p]]
+    changed = {p for _, p, a, b in slots if a != b}
+    if changed and 100 * len(changed) > DIFFER * covered:
+        longest = run = 0
+        for k, (i, p) in enumerate(pairs):
+            run = 0 if p in changed else run + 1 if k and pairs[k - 1] == (i - 1, p - 1) else 1
+            longest = max(longest, run)
+        if longest < LONG and 100 * longest < SHARE * n and (2 * len(slots) > covered or not _one_to_one([(a, b) for *_, a, b in slots])):
+            return
+    best[item] = covered, n, "exact" if not changed else "reparameterised"
+
+
+def _chains(held: list[tuple[int, int, int]]):
+    """Pairs of places of runs (document, item, words) that follow one another, for each last run of a chain the longest one."""
+    total, back, last = [], [], 0
+    longest = max(n for *_, n in held)
+    for k, (p, i, n) in enumerate(held):
+        total.append(n)
+        back.append(-1)
+        while held[last][0] + longest + WINDOW < p:
+            last += 1
+        for j in range(last, k):
+            q, o, m = held[j]
+            cut = max(0, q + m - p, o + m - i)  # words of the later run that the earlier one has
+            if cut < n and p > q and i > o and p + cut - q - m <= WINDOW and i + cut - o - m <= WINDOW and total[j] + n - cut > total[k]:
+                total[k], back[k] = total[j] + n - cut, j
+    ended = set(range(len(held))) - set(back)
+    for k in sorted(ended, key=lambda k: -total[k]):
+        if back[k] < 0:
+            continue
+        chain = []
+        while k >= 0:
+            chain.append(held[k])
+            k = back[k]
+        pairs: list[tuple[int, int]] = []
+        for p, i, n in reversed(chain):
+            cut = max(0, pairs[-1][1] + 1 - p, pairs[-1][0] + 1 - i) if pairs else 0
+            pairs += [(i + x, p + x) for x in range(cut, n)]
+        yield pairs
+
+
 def _indexes(benchmark: DataFrame):
     """Broadcast indexes of the benchmark's slices, one at a time."""
     spark = benchmark.sparkSession

@@ -49,6 +49,18 @@ def test_reparameterised(spark):
     assert got[1, 9] == "exact" and got[2, 9] == "reparameterised" and (3, 9) not in got and (4, 9) not in got and got[5, 9] == "exact"
 
 
+def test_copies(spark):
+    """Copies count however many slots they have, with a value changed in one place, and around a word put in or left out."""
+    numbers = "Compute 12, 15, 18, 21, 24, 27 and find the 9th: 36, 39."
+    w = [f"plain{k}" for k in range(40)]
+    w[5] = w[20] = "17"
+    forty, changed = " ".join(w), " ".join([*w[:20], "18", *w[21:]])
+    twenty = [f"other{k}" for k in range(20)]
+    docs = [(1, f"see this. {numbers} so", "en", "s"), (2, f"x {changed} y", "en", "s"), (3, " ".join([*twenty[:10], "really", *twenty[10:]]), "en", "s"), (4, " ".join([*twenty[:9], *twenty[10:]]), "en", "s"), (5, " ".join(twenty[:10]), "en", "s")]
+    got = found(spark, docs, [(1, numbers), (2, forty), (3, " ".join(twenty))])
+    assert got == {(1, 1): "exact", (2, 2): "reparameterised", (3, 3): "exact", (4, 3): "exact"}
+
+
 def test_odd_texts(spark, odd):
     items = [(1, None), (2, ""), (3, "one two three four"), (4, "w50 w51 w52 w53 w54 w55 w56 w57"), (4, "w50 w51 w52 w53 w54 w55 w56 w57"), (5, "!!! ###")]
     got = decontam.contamination(make(spark, odd), bench(spark, items)).collect()
