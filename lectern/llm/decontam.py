@@ -2,7 +2,9 @@
 by hash, and slots must be filled consistently, so that re-parameterised questions are found as well as copies.
 
 A word is stripped of punctuation and lower-cased. A number (digits or a number word) is the slot <num>, a unit right
-after a number <unit>, and a capitalised word that doesn't begin a sentence or line <name> (an item's first word may be met as either). Words of punctuation alone don't
+after a number <unit>, and a capitalised word that doesn't begin a sentence or line <name> (an item's first word may be met as either). A second
+form of each text takes capitalised words that begin a sentence or line as <name> too; windows of either form are looked up
+among those of the same form. Words of punctuation alone don't
 count. The template windows of the benchmark (8 words; a shorter item of 5 to 7 words as a whole) are looked up in every
 document. Windows that agree on where an item would begin form an alignment. It counts if it covers 13 words or 60 % of
 the item, at least half of the covered words are literal, and its slots can be filled one to one: the same value
@@ -75,8 +77,8 @@ class Vocabulary(dict):
         self.name[i], self.flags[i] = xxh3_64_intdigest(low.encode()), flags
         return i
 
-    def template(self, text: bytes | None) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
-        """Names and slot kinds of the text's template, and the words they stand for."""
+    def template(self, text: bytes | None) -> tuple[np.ndarray, np.ndarray, list[bytes], np.ndarray]:
+        """Names and slot kinds of the text's template, the words they stand for, and the kinds of its second form."""
         if len(self) > REMEMBERED:
             self.clear()
         words, starts = [], []
@@ -87,16 +89,24 @@ class Vocabulary(dict):
                 words += got
         ids = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
         if not len(ids):
-            return np.empty(0, U), np.empty(0, np.int8), []
+            return np.empty(0, U), np.empty(0, np.int8), [], np.empty(0, np.int8)
         name, flags = self.name[ids], self.flags[ids]
         number = (flags & _IS_NUMBER) > 0
         first = np.append(False, (flags[:-1] & _ENDS) > 0)
         first[starts] = True
         kind = np.where(number, NUM, np.where(((flags & _IS_UNIT) > 0) & np.append(False, number[:-1]), UNIT, np.where(((flags & _IS_TITLE) > 0) & ~first, NAME, 0))).astype(np.int8)
+        second = np.where((kind == 0) & ((flags & _IS_TITLE) > 0), NAME, kind).astype(np.int8)
         if (flags & _EMPTY).any():
             stay = np.flatnonzero((flags & _EMPTY) == 0)
-            kind, name, words = kind[stay], name[stay], [words[i] for i in stay.tolist()]
-        return np.where(kind > 0, _SLOT[kind], name), kind, words
+            kind, second, name, words = kind[stay], second[stay], name[stay], [words[i] for i in stay.tolist()]
+        return np.where(kind > 0, _SLOT[kind], name), kind, words, second
+
+
+def _second(name: np.ndarray, kind: np.ndarray, second: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Windows of the second form that aren't windows of the first: their names and places."""
+    other = np.append(0, np.cumsum(kind != second))
+    at = np.flatnonzero(other[size:] > other[:-size])
+    return (grams(prefix(np.where(kind != second, _SLOT[NAME], name)), at, size) if len(at) else np.empty(0, U)), at
 
 
 @dataclass
@@ -104,14 +114,14 @@ class Index:
     """Template windows of a slice of the benchmark, sorted by name."""
 
     ids: list[int]
-    items: list[tuple[np.ndarray, list[bytes]]]  # kinds and words
+    items: list[tuple[np.ndarray, list[bytes], np.ndarray]]  # kinds, words and kinds of the second form
     windows: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]  # size -> names, items, places
 
 
 def index(rows: list[tuple[int, str | None]]) -> Index:
     vocabulary, ids, items, held = Vocabulary(), [], [], {}
     for item_id, text in rows:
-        name, kind, words = vocabulary.template(None if text is None else text.encode())
+        name, kind, words, second = vocabulary.template(None if text is None else text.encode())
         size = min(WINDOW, len(words))
         if size < SHORTEST:
             continue
@@ -120,9 +130,13 @@ def index(rows: list[tuple[int, str | None]]) -> Index:
         if words[0][:1].isalpha() and words[0].decode("utf-8", "replace")[0].isupper():  # within a sentence, it looks like a name
             other = np.append(_SLOT[NAME], name[1:size])
             names, at = np.append(names, grams(prefix(other), at[:1], size)), np.append(at, 0)
+        more, there = _second(name, kind, second, size)
+        names, at = np.append(names, more), np.append(at, there)
+        _, single = np.unique(np.column_stack([names, at.astype(U)]), axis=0, return_index=True)
+        names, at = names[single], at[single]
         held.setdefault(size, []).append((names, np.full(len(at), len(ids)), at))
         ids.append(item_id)
-        items.append((kind, words))
+        items.append((kind, words, second))
     windows = {}
     for size, parts in held.items():
         name, item, at = (np.concatenate(x) for x in zip(*parts))
@@ -138,24 +152,25 @@ def _one_to_one(pairs: list[tuple[bytes, bytes]]) -> bool:
 
 def matches(idx: Index, template) -> list[tuple[int, int, int, str]]:
     """(item, covered words, item words, kind) of each item that the template contains."""
-    name, kind, words = template
+    name, kind, words, second = template
     sums = prefix(name)
     found: dict[tuple[int, int], list[tuple[int, int]]] = {}
     for size, (names, items, places) in idx.windows.items():
         if len(name) < size:
             continue
-        mine = grams(sums, np.arange(len(name) - size + 1), size)
+        more, there = _second(name, kind, second, size)
+        mine, at = np.append(grams(sums, np.arange(len(name) - size + 1), size), more), np.append(np.arange(len(name) - size + 1), there)
         lo = np.searchsorted(names, mine)
-        for p in np.flatnonzero(names[np.minimum(lo, len(names) - 1)] == mine).tolist():
-            k = int(lo[p])
-            while k < len(names) and names[k] == mine[p]:
+        for x in np.flatnonzero(names[np.minimum(lo, len(names) - 1)] == mine).tolist():
+            k, p = int(lo[x]), int(at[x])
+            while k < len(names) and names[k] == mine[x]:
                 found.setdefault((int(items[k]), p - int(places[k])), []).append((p, size))
                 k += 1
     best: dict[int, tuple] = {}
     runs: dict[int, list[tuple[int, int, int]]] = {}
     for (item, begin), at in sorted(found.items()):
         spots = sorted({x for p, size in at for x in range(p, p + size)})
-        _judge(idx.items[item], item, [(x - begin, x) for x in spots], kind, words, best)
+        _judge(idx.items[item], item, [(x - begin, x) for x in spots], kind, second, words, best)
         start = spots[0]
         for x, y in zip(spots, [*spots[1:], -1]):
             if y != x + 1:
@@ -164,7 +179,7 @@ def matches(idx: Index, template) -> list[tuple[int, int, int, str]]:
     for item, held in runs.items():
         if len(held) > 1:
             for pairs in _chains(sorted(held)):
-                _judge(idx.items[item], item, pairs, kind, words, best)
+                _judge(idx.items[item], item, pairs, kind, second, words, best)
     return [(item, *x) for item, x in sorted(best.items())]
 
 
@@ -172,14 +187,15 @@ def _core(w: bytes) -> str:
     return w.decode("utf-8", "replace").strip(_PUNCTUATION)
 
 
-def _judge(entry, item: int, pairs: list[tuple[int, int]], kind, words: list[bytes], best: dict[int, tuple]) -> None:
+def _judge(entry, item: int, pairs: list[tuple[int, int]], kind, second, words: list[bytes], best: dict[int, tuple]) -> None:
     """Note the alignment of places (of the item, of the document) if it counts and covers more than the best so far."""
     theirs = entry[1]
     covered, n = len(pairs), len(theirs)
     if (covered < ENOUGH and 100 * covered < SHARE * n) or covered <= best.get(item, (0,))[0]:
         return
-    slots = [(i, p, _core(theirs[i]), _core(words[p])) for i, p in pairs if kind[p] or entry[0][i]]
-    slots = [(i, p, a, b) for i, p, a, b in slots if a.lower() != b.lower() or kind[p]]
+    slots = [(i, p, _core(theirs[i]), _core(words[p])) for i, p in pairs if second[p] or entry[2][i]]
+    # A word that only the second form takes as a name is a literal if both texts have it.
+    slots = [(i, p, a, b) for i, p, a, b in slots if kind[p] or a.lower() != b.lower()]
     changed = {p for _, p, a, b in slots if a != b}
     if changed and 100 * len(changed) > DIFFER * covered:
         longest = run = 0

@@ -61,6 +61,14 @@ def test_copies(spark):
     assert got == {(1, 1): "exact", (2, 2): "reparameterised", (3, 3): "exact", (4, 3): "exact"}
 
 
+def test_names_that_begin_sentences(spark):
+    item = "Tom has 5 red apples and 3 pears. Tom eats 2 of them. Tom buys 4 more. How many fruits does Tom have?"
+    wrapped = item.replace("does Tom", "does\nTom").replace("and 3", "and\n3")
+    docs = [(1, item.replace("Tom", "Anna"), "en", "s"), (2, f"Once more: {wrapped.replace('Tom', 'Anna').replace('5', '7')}", "en", "s"), (3, item.replace("Tom", "Anna", 2), "en", "s")]
+    got = found(spark, docs, [(1, item)])
+    assert got[1, 1] == got[2, 1] == "reparameterised"
+
+
 def test_odd_texts(spark, odd):
     items = [(1, None), (2, ""), (3, "one two three four"), (4, "w50 w51 w52 w53 w54 w55 w56 w57"), (4, "w50 w51 w52 w53 w54 w55 w56 w57"), (5, "!!! ###")]
     got = decontam.contamination(make(spark, odd), bench(spark, items)).collect()
