@@ -154,7 +154,7 @@ def matches(idx: Index, template) -> list[tuple[int, int, int, str]]:
     """(item, covered words, item words, kind) of each item that the template contains."""
     name, kind, words, second = template
     sums = prefix(name)
-    found: dict[tuple[int, int], list[tuple[int, int]]] = {}
+    found: dict[tuple[int, int], list[tuple[int, int, bool]]] = {}
     for size, (names, items, places) in idx.windows.items():
         if len(name) < size:
             continue
@@ -164,12 +164,14 @@ def matches(idx: Index, template) -> list[tuple[int, int, int, str]]:
         for x in np.flatnonzero(names[np.minimum(lo, len(names) - 1)] == mine).tolist():
             k, p = int(lo[x]), int(at[x])
             while k < len(names) and names[k] == mine[x]:
-                found.setdefault((int(items[k]), p - int(places[k])), []).append((p, size))
+                found.setdefault((int(items[k]), p - int(places[k])), []).append((p, size, x > len(name) - size))
                 k += 1
     best: dict[int, tuple] = {}
     runs: dict[int, list[tuple[int, int, int]]] = {}
     for (item, begin), at in sorted(found.items()):
-        spots = sorted({x for p, size in at for x in range(p, p + size)})
+        spots = sorted({x for p, size, _ in at for x in range(p, p + size)})
+        if any(later for *_, later in at) and (first := sorted({x for p, size, later in at if not later for x in range(p, p + size)})):
+            _judge(idx.items[item], item, [(x - begin, x) for x in first], kind, second, words, best)  # what the second form adds takes nothing away
         _judge(idx.items[item], item, [(x - begin, x) for x in spots], kind, second, words, best)
         start = spots[0]
         for x, y in zip(spots, [*spots[1:], -1]):
