@@ -3,7 +3,7 @@
 1. A character model (counts of 4-grams of lower-cased words) is gathered from all texts.
 2. A token that looks disguised - characters that stand for letters among letters, a letter three or more times in a row,
    single characters set apart by spaces, bits of up to three by separators - becomes a lattice: each character may be itself, a letter that
-   it is used for, or dropped (separators, repeats). Viterbi decoding finds the cheapest path under the character model
+   it is used for, or dropped (separators, repeats, letter-like signs at either end). Viterbi decoding finds the cheapest path under the character model
    plus the channel's costs. Other tokens are taken as they are.
 3. The lexicon is learnt from labelled texts, restored alike: words that SUPPORT or more toxic texts use, each
    text standing for the first by name of the word's neighbourhoods in it (so copies of one text count once), and beginnings of such words (from STEM letters on), if other texts
@@ -13,8 +13,8 @@
 
 Labels come from a bounded sample, the TRAIN_ROWS labelled rows whose doc_id has the smallest hash. Every text is scored
 whole. Null and empty texts have no evidence and get the curve's lowest value. Without labels of both kinds no word is
-learnt and every score is the share of label 1 (0 without labels). Tokens of over LONGEST characters are taken as they are.
-Repeated rows give repeated results.
+learnt and every score is the share of label 1 (0 without labels). A token of over LONGEST characters stays
+as it is if no 4-gram of what it decodes to has been seen. Repeated rows give repeated results.
 """
 
 from __future__ import annotations
@@ -35,6 +35,8 @@ TRAIN_ROWS, SUPPORT, ODDS, STEM = 20_000, 4, 8.0, 4
 #: Log odds of a strong word; evidence beyond which more doesn't count.
 STRONG, MANY, CLEAR = 5.0, 3.0, 12.0
 GRAM, LONGEST, REMEMBERED = 4, 40, 200_000
+#: Characters after which the decoder puts aside what its paths spell.
+PIECE = 64
 #: Letters that a character is used for (fixed values of the channel).
 STANDS = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "2": "z", "6": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l"}
 SEPARATORS = ".-_*~^'`·/\\"
@@ -43,6 +45,8 @@ DISGUISED, DROPPED, REPEAT, KEPT = 1.0, 0.5, 0.5, 6.0
 _EDGE = " \t\"'.,;:!?*#%&|$()[]{}<>«»“”‘’…-_~^/\\"
 _SIGNS = "".join(map(re.escape, STANDS))
 _ODD = re.compile(rf"[^\W\d_][{_SIGNS}]|[{_SIGNS}][^\W\d_]|([^\W\d_])\1\1|^\w{{1,3}}(?:[{re.escape(SEPARATORS)}]+\w{{1,3}}){{2,}}$")
+#: The same for tokens of any length: an underline is a separator only, or the time would grow exponentially.
+_LONG_ODD = re.compile(_ODD.pattern.replace(r"]+\w{1,3}){2,}$", r"]++[^\W_]{1,3}){2,}$"))
 _APART = re.compile(r"(?<!\S)\S(?:[ \t]+\S){3,}(?!\S)")
 
 
@@ -68,6 +72,8 @@ def word_grams(word: str) -> list[str]:
 def choices(token: str) -> list[list[tuple[str, float]]]:
     """The lattice of a token: for each character what it may stand for, and the channel's charge."""
     out = []
+    core = token.strip(_EDGE)
+    start = token.index(core)
     for i, c in enumerate(token):
         if c.isalpha():
             again = i and token[i - 1] == c
@@ -75,22 +81,35 @@ def choices(token: str) -> list[list[tuple[str, float]]]:
         else:
             way = [(x, DISGUISED) for x in STANDS.get(c, "")] + [(c, KEPT)]
             out.append(way + ([("", DROPPED)] if c in SEPARATORS or c.isspace() else []) + ([("", REPEAT)] if i and token[i - 1] == c else []))
+            if core and not start <= i < start + len(core) and c not in SEPARATORS:
+                out[-1].append(("", DROPPED))
     return out
 
 
 def viterbi(token: str, model: CharModel) -> str:
     """The cheapest path through the token's lattice."""
     paths = {"^" * (GRAM - 1): (0.0, "")}
-    for options in choices(token):
+    done: dict[str, tuple] = dict.fromkeys(paths, ())  # what was settled of each path, as linked pieces
+    for k, options in enumerate(choices(token), 1):
         best: dict[str, tuple[float, str]] = {}
+        settled: dict[str, tuple] = {}
         for before, (cost, text) in paths.items():
             for c, charge in options:
                 after = (before + c)[-(GRAM - 1) :]
                 total = cost + charge + (model.bits(before, c) if c else 0.0)
                 if after not in best or (total, text + c) < best[after]:
                     best[after] = total, text + c
-        paths = best
-    return min((cost + model.bits(before, "$"), text) for before, (cost, text) in paths.items())[1]
+                    settled[after] = done[before]
+        paths, done = best, settled
+        if k % PIECE == 0:  # texts stay short, so that the time grows with the token's length alone
+            done = {x: (done[x], text) for x, (_, text) in paths.items()}
+            paths = {x: (cost, "") for x, (cost, _) in paths.items()}
+    _, text, last = min((cost + model.bits(before, "$"), text, before) for before, (cost, text) in paths.items())
+    pieces, link = [text], done[last]
+    while link:
+        link, text = link
+        pieces.append(text)
+    return "".join(reversed(pieces))
 
 
 @dataclass
@@ -104,9 +123,14 @@ class Restorer:
         got = self.held.get(token)
         if got is None:
             core = token.strip(_EDGE).lower()
-            full = token.strip(" \t\"',;:?#%&()[]{}<>").lower()
-            if core and len(full) <= LONGEST and _ODD.search(core):
-                core = viterbi(core, self.model)
+            if core:
+                low = token.lower()
+                at = low.index(core)
+                full = "".join(c for c in low[:at] if c in STANDS) + core + "".join(c for c in low[at + len(core) :] if c in STANDS)
+                if (_ODD if len(full) <= LONGEST else _LONG_ODD).search(full):
+                    got = viterbi(full, self.model)
+                    if len(full) <= LONGEST or any(g in self.model.grams for g in word_grams(got)):
+                        core = got
             if len(self.held) > REMEMBERED:
                 self.held.clear()
             got = self.held[token] = core

@@ -104,6 +104,16 @@ def test_viterbi():
     assert r.restore("an i d i o t here") == "an idiot here" and r.restore(None) == ""
 
 
+def test_edges_and_long_tokens():
+    """Letter-like signs at either end may be letters or punctuation, and tokens of any length are decoded."""
+    words = ("stupid", "idiot", "cunt", "class", "plain", "hello")
+    r = toxicity.Restorer(toxicity.CharModel({g: 50 for w in words for g in toxicity.word_grams(w)}))
+    assert [r.word(x) for x in ("$tupid", "!diot", '"(unt"', "cla$$", "hello!", "(plain)", "$TUPID!!!", "idiot!", "$$$")] == ["stupid", "idiot", "cunt", "class", "hello", "plain", "stupid", "idiot", ""]
+    assert r.word("id" + "i" * 500 + "ot") == "idiot" and r.word("s" + "-_" * 200 + "tup1d") == "stupid"
+    many = "-".join("idiot" * 300)
+    assert r.word(many) == "idiot" * 300
+
+
 def test_toxicity_learns(spark):
     r = random.Random(7)
     plain = [f"word{i}" for i in range(200)]
