@@ -1,66 +1,74 @@
 """HTML main text by consensus host paths.
 
-1. Each page becomes a flat list of blocks (text, link characters, open elements). Elements that hold no main text -
-   scripts, forms, navigation, footers, and what its name or role calls an advert, notice, sidebar, comment and so on - are
-   left out with all they contain.
-2. Each container scores by the text of its blocks (in full for a block's parent, half for the one above; links don't
-   count; an article or main element counts all below it) and votes for its path: the tags and first classes from the root, digits taken out, so that pages of one template
-   agree. A page's vote is shared among containers in proportion to the squares of their scores.
-3. Votes are summed by host and path, and over all hosts by path. The winner of a host has the most votes, its own plus
-   PRIOR votes dealt out as all hosts voted, so that a host with few pages leans on the others. Hosts of any size meet in
-   partial sums only.
-4. Each page's text is taken from the elements on its host's winning path, after the title (h1) before it; a page without one falls back on its own best
-   container, and if it has no container with text, on all its blocks.
+1. Each page becomes a flat list of elements and of blocks (text, link characters, element). Scripts, styles, form controls
+   and what is hidden never count. Other elements that are menus, headers, footers, sidebars, notices, adverts, forms or
+   comments by tag, role or name are left out with all they contain, unless they hold most of the page's own text beside an
+   article, a main element or a level-1 heading: then they are wrappers. A class or id names an element if it is a listed
+   word, ends with one, or begins with one and goes on with helper words (``comment-list``); ``has-sidebar``,
+   ``no-comments`` or ``cookies-in-baking`` name nothing. A section within the content whose id alone is a topic word
+   stays if it begins with a heading and is prose.
+2. Each page scores its containers: an article or main element with most text or the level-1 heading, else from the root
+   down the container with most text, as long as no prose is left beside it. The page votes for its path: the tags and first
+   classes from the root, digits taken out, so that pages of one template agree. Paths travel as 64-bit names.
+3. Votes are counted by host and path, and how many pages have the path. A path's trust on a host is the share of votes
+   among the pages that have it, shrunk by PRIOR pages to its share over all hosts. Hosts of any size meet in partial sums.
+4. Each page's text is taken from its elements on the path that wins: the one of its paths with the highest trust times a
+   small power (EVIDENCE) of the share of the page's text below it, after the title (h1) before it. A page without container is taken whole.
 
 Character references are decoded, white space inside a block becomes one space, and blocks are joined by one line break.
 Null and empty pages give an empty text. Pages without a host share the host "". Broken markup is read as far as it goes:
-an end tag closes the nearest open element of its name, a block start closes an open paragraph. Repeated rows give
-repeated results.
+an end tag closes the nearest open element of its name, a block start closes an open paragraph. Time and memory grow with
+the length of a page, however deep its elements lie. Repeated rows give repeated results.
 """
 
 from __future__ import annotations
 
 import html
 import re
-from collections import defaultdict
-from dataclasses import dataclass
+from array import array
+from dataclasses import dataclass, field
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh3_64_intdigest
 
 from lectern.llm.runtime import keep, only, small_batches
 
-#: Votes that all hosts together add to each host's own.
-PRIOR = 2.0
-_TAG = re.compile(r"""<(?:!--.*?(?:-->|\Z)|!\[CDATA\[.*?(?:\]\]>|\Z)|[!?][^>]*(?:>|\Z)|(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)(?:>|\Z))""", re.S)
-_ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
+#: Pages that all hosts together add to each host's own, and the power of a page's own evidence.
+PRIOR, EVIDENCE = 2.0, 0.25
+#: Share of the page's text that makes a wrapper of a named element, and the same without article, main or heading in it.
+MOST, ALL, ENOUGH = 0.5, 0.98, 250
+#: Unlinked characters, and their share, that make a block prose; prose beside a container that keeps it from standing alone.
+PROSE, UNLINKED, BESIDE = 40, 0.7, 0.1
+_TAG = re.compile(r"""<(?:!--.*?(?:-->|\Z)|!\[CDATA\[.*?(?:\]\]>|\Z)|[!?][^>]*(?:>|\Z)|(/?)([a-zA-Z][^\s/>]*)((?:[^>=]|=\s*+(?:"[^"]*"|'[^']*')?)*+)(?:>|\Z))""", re.S)
+_ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*+=\s*+("[^"]*"|'[^']*'|[^\s>]+))?""")
+_TELLS = re.compile(r"class|id|role|hidden|style", re.I)
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 _BLOCKS = frozenset("html body address article aside blockquote center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr li main menu nav ol p pre section summary table tbody tfoot thead tr caption ul".split())
+_CELLS = frozenset(("td", "th"))
 _CONTAINERS = frozenset("body main article section div td blockquote center".split())
-_WHOLE = {"article": 1.3, "main": 1.1}
-_DROPPED = frozenset("head script style noscript template svg iframe object embed applet nav footer aside form button select option textarea input label fieldset dialog menu audio video canvas map title noembed noframes".split())
+_NEVER_TEXT = frozenset("head script style noscript template svg iframe object embed applet button select option textarea input audio video canvas map title noembed noframes".split())
+_PAGE_PARTS = frozenset("nav footer aside form label fieldset dialog menu".split())
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar toolbar form status".split())
+_CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr",)}
 #: Words in an element's class or id that tell what it is.
-_NEVER = frozenset("nav navbar navigation menu menubar submenu breadcrumb breadcrumbs pagination pager sidebar sidenav aside ad ads adv advert adverts advertisement advertising adsense banner promo promotion promoted sponsor sponsored sponsors cookie cookies consent gdpr notice notices notification alert popup modal overlay lightbox newsletter subscribe subscription signup signin login register share sharing social related recommended recommendations comment comments commentlist disqus reply replies respond discussion widget widgets toolbar masthead copyright skip search searchform footer footnav form paywall toast hidden sr topnav mainnav subnav sitenav pagenav siteheader pageheader sitefooter pagefooter responses".split())
-#: Beside these, "header" means the head of the main part.
+_LISTED = frozenset("nav navbar navigation menu menubar submenu breadcrumb breadcrumbs pagination pager sidebar sidenav aside ad ads adv advert adverts advertisement advertising adsense banner promo promotion promoted sponsor sponsored sponsors cookie cookies consent gdpr notice notices notification alert popup modal overlay lightbox newsletter subscribe subscription signup signin login register share sharing social related recommended recommendations widget widgets toolbar masthead copyright skip search searchform footer footnav form paywall toast hidden topnav mainnav subnav sitenav pagenav siteheader pageheader sitefooter pagefooter header".split())
+_COMMENTS = frozenset("comment comments commentlist disqus reply replies respond responses discussion".split())
+#: What may follow a listed word in a name, and what makes a name speak of something else.
+_HELPERS = frozenset("area author bar block body bottom box button buttons card col column container content count cta desktop dialog fixed form global group head header heading icons info inner inside item items left link links list main meta mobile module msg message outer overlay panel posts primary region right row secondary section signup site slot sm small stories text thread title top unit widget widgets wrap wrapper zone notice notices banner popup modal menu nav footer list comment comments".split())
+_MODIFIERS = frozenset("has no with without non not in on of for and the a about to hide show is".split())
+#: Listed words that are also topics, as an id of a section.
+_TOPICS = frozenset("cookie cookies consent gdpr notice notices notification alert popup search register menu ads advertising advertisement adverts banner promotion sponsors copyright sharing social subscription discussion navigation overlay widget widgets form footer header toolbar pagination login newsletter skip".split())
+#: Words of an element that is the main part.
 _OF_MAIN = frozenset("article content post entry story".split())
-_NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
-_PART = re.compile(r"[A-Za-z]+")
+_CAMEL = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 _DIGITS = re.compile(r"\d+")
-
-
-@dataclass(slots=True)
-class Element:
-    tag: str
-    path: str
-    up: int  # index of the element around it, -1 at the root
-    container: bool
-    main: bool  # inside an article or main
-    out: bool
-    head: bool = False  # a header inside the main part: of it only headings count
+_SIZE = re.compile(r"\d+(?:x\d+)?")
+NAMED, STRICT, HEAD, HEADING, LINK, IN_MAIN, IN_CONTENT, HARD, TOPIC = (1 << k for k in range(9))
+_INHERITED = HEAD | HEADING | LINK | IN_MAIN | IN_CONTENT | HARD
 
 
 @dataclass(slots=True)
@@ -70,64 +78,117 @@ class Block:
     element: int
 
 
+@dataclass(slots=True)
+class Page:
+    """Elements in order of their start tags, as columns, and the blocks of text that are not left out."""
+
+    tags: list[str] = field(default_factory=list)
+    up: array = field(default_factory=lambda: array("q"))
+    path: array = field(default_factory=lambda: array("q"))
+    flags: array = field(default_factory=lambda: array("H"))
+    out: bytearray = field(default_factory=bytearray)
+    blocks: list[Block] = field(default_factory=list)
+
+
 def _attributes(source: str) -> dict[str, str]:
-    return {k.lower(): v.strip("\"'") for k, v in _ATTRIBUTE.findall(source)}
-
-
-def _kind(tag: str, attributes: dict[str, str], main: bool) -> tuple[bool, bool]:
-    """Whether an element is left out, and whether it is a header of the main part."""
-    if tag in _DROPPED or attributes.get("role", "").lower() in _ROLES or "hidden" in attributes or attributes.get("aria-hidden", "").lower() == "true":
-        return True, False
-    if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", attributes.get("style", ""), re.I):
-        return True, False
-    if tag == "header":
-        return not main, main
-    if tag in ("html", "body"):
-        return False, False
-    given = f"{attributes.get('class', '')} {attributes.get('id', '')}"
-    names = {x.lower() for x in [*_NAME.findall(given), *_PART.findall(given)]}
-    if tag in ("article", "main"):
-        return bool(names & {"comment", "comments", "reply", "ad", "ads", "advert", "promo", "related", "sidebar"}), False
-    if names & _NEVER:
-        return True, False
-    if "header" in names:
-        return (False, True) if main or names & _OF_MAIN else (True, False)
-    return False, False
-
-
-def read(page: str | None) -> tuple[list[Element], list[Block]]:
-    """Elements in order of their start tags, and the blocks of text that are not left out."""
+    out: dict[str, str] = {}
+    for k, v in _ATTRIBUTE.findall(source):
+        out.setdefault(k.lower(), v[1:-1] if v[:1] in "\"'" and v[:1] == v[-1:] and len(v) > 1 else v)
+    return out
+
+
+def named(token: str) -> str | None:
+    """The listed word that a class or id names its element by, or None."""
+    parts = [x.lower() for x in _CAMEL.findall(_SIZE.sub("-", token))]
+    if not parts or _MODIFIERS.intersection(parts):
+        return None
+    for word in ("".join(parts), parts[-1], parts[0] if _HELPERS.issuperset(parts[1:]) else ""):
+        if word in _LISTED or word in _COMMENTS:
+            return word
+    return None
+
+
+_names: dict[tuple[str, str, str], tuple[int, str]] = {}
+
+
+def _kind(tag: str, classes: str, ident: str) -> tuple[int, str]:
+    """Flags that the names of an element give it, and its step in a path."""
+    got = _names.get((tag, classes, ident))
+    if got is None:
+        flags = 0
+        own = classes.split()
+        by_class, by_id = [w for x in own if (w := named(x))], [w for x in ident.split() if (w := named(x))] if tag not in _HEADINGS else []
+        words = {p.lower() for x in (*own, ident) for p in _CAMEL.findall(x)}
+        if tag not in ("html", "body"):
+            if tag in ("article", "main"):  # their class often says what the page is about
+                by_class, by_id = [w for w in by_class if w in _COMMENTS or w in ("ad", "ads", "advert", "promo", "related", "sidebar")], []
+            if by_class or by_id:
+                flags |= NAMED | (STRICT if _COMMENTS.intersection(by_class + by_id) - {"discussion"} else 0)
+                if not by_class and _TOPICS.issuperset(by_id):
+                    flags |= TOPIC
+                if "header" in by_class + by_id and set(by_class + by_id) == {"header"} and words & _OF_MAIN:
+                    flags = flags & ~(NAMED | TOPIC) | HEAD
+        if not flags & NAMED and words & _OF_MAIN:
+            flags |= IN_CONTENT
+        first = _DIGITS.sub("", own[0]) if own else ""
+        if len(_names) > 50_000:
+            _names.clear()
+        got = _names[tag, classes, ident] = flags, f"{tag}.{first}" if first else tag
+    return got
+
+
+def _marks(tag: str, source: str, above: int) -> tuple[int, str]:
+    """Flags of an element in an element with the flags above, and its step."""
+    attributes = _attributes(source) if _TELLS.search(source) else {}
+    flags, step = _kind(tag, attributes.get("class", ""), attributes.get("id", ""))
+    flags |= above & _INHERITED
+    if tag in _NEVER_TEXT or "hidden" in attributes or attributes.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", attributes.get("style", ""), re.I):
+        flags |= HARD
+    if tag in _PAGE_PARTS or attributes.get("role", "").lower() in _ROLES:
+        flags = (flags | NAMED | STRICT) & ~TOPIC
+    if tag == "header" or flags & NAMED and above & IN_MAIN and flags & TOPIC == 0 and _only_header(attributes):
+        flags = flags & ~(NAMED | STRICT) | HEAD if above & IN_MAIN else flags | NAMED | STRICT
+    if tag in _HEADINGS:
+        flags |= HEADING
+    elif tag == "a":
+        flags |= LINK
+    elif tag in ("article", "main"):
+        flags |= IN_MAIN | IN_CONTENT
+    return flags, step
+
+
+def _only_header(attributes: dict[str, str]) -> bool:
+    """Whether an element's names say header and nothing else that is listed."""
+    return {w for x in f"{attributes.get('class', '')} {attributes.get('id', '')}".split() if (w := named(x))} == {"header"}
+
+
+def read(page: str | None) -> Page:
+    """Elements and blocks of a page."""
     page = page or ""
-    elements: list[Element] = []
-    blocks: list[Block] = []
+    p = Page()
+    tags, up, path, flags = p.tags, p.up, p.path, p.flags
+    block, cell, depth = array("q"), array("q"), array("q")  # nearest block or cell, nearest part of a table, place in the stack
     stack: list[int] = []
-    parts: list[str] = []
-    links = 0
-    owner = -1
-    in_link = 0
+    open_at: dict[str, list[int]] = {}
+    pieces: list[tuple[str, int]] = []
+    held: list[tuple[int, list[tuple[str, int]]]] = []
 
     def flush() -> None:
-        nonlocal parts, links
-        if parts:
-            text = " ".join(html.unescape("".join(parts)).split())
-            if text:
-                blocks.append(Block(text, links, owner))
-            parts = []
-        links = 0
-
-    def settle() -> None:
-        nonlocal owner, in_link
-        owner = next((i for i in reversed(stack) if elements[i].tag in _BLOCKS or elements[i].tag in ("td", "th")), -1)
-        in_link = sum(elements[i].tag == "a" for i in stack)
+        nonlocal pieces
+        if pieces:
+            held.append((block[stack[-1]] if stack else -1, pieces))
+            pieces = []
+
+    def close(k: int) -> None:
+        while len(stack) > k:
+            open_at[tags[stack.pop()]].pop()
 
     def add(text: str) -> None:
-        nonlocal links
-        if text and not (stack and elements[stack[-1]].out):
-            if stack and any(elements[i].head for i in stack) and not any(elements[i].tag in _HEADINGS for i in stack):
-                return
-            parts.append(text)
-            if in_link:
-                links += len(text)
+        if text:
+            top = stack[-1] if stack else -1
+            f = flags[top] if stack else 0
+            if not f & HARD and (not f & HEAD or f & HEADING):
+                pieces.append((text, top))
 
     at, end = 0, len(page)
     while at < end:
@@ -135,7 +196,8 @@ def read(page: str | None) -> tuple[list[Element], list[Block]]:
         if m is None:
             add(page[at:])
             break
-        add(page[at : m.start()])
+        if m.start() > at:
+            add(page[at : m.start()])
         at = m.end()
         tag = m.group(2)
         if tag is None:
@@ -146,126 +208,220 @@ def read(page: str | None) -> tuple[list[Element], list[Block]]:
         if m.group(1):
             if tag == "br":
                 add(" ")
-            hit = next((k for k in range(len(stack) - 1, -1, -1) if elements[stack[k]].tag == tag), None)
-            if hit is not None:
-                if any(elements[i].tag in _BLOCKS for i in stack[hit:]):
+            elif open_at.get(tag):
+                k = open_at[tag][-1]
+                if stack and (b := block[stack[-1]]) >= 0 and depth[b] >= k and (tag not in _CELLS or tags[b] not in _CELLS):
                     flush()
-                elif tag in ("td", "th"):
+                elif tag in _CELLS:
                     add(" ")
-                del stack[hit:]
-                settle()
+                close(k)
             elif tag == "p":
                 flush()
             continue
         if tag == "br":
             add(" ")
             continue
+        top = stack[-1] if stack else -1
         if tag in _BLOCKS:
             flush()
-            # A block ends an open paragraph, with the inline elements in it; an item, cell or row ends the one before.
-            closes = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr",)}.get(tag, ())
-            for k in range(len(stack) - 1, -1, -1):
-                open_tag = elements[stack[k]].tag
-                if open_tag == "p" or open_tag in closes:
-                    del stack[k:]
-                    break
-                if open_tag in _BLOCKS or open_tag in ("td", "th"):
-                    break
-            settle()
-        elif tag in ("td", "th"):
-            for k in range(len(stack) - 1, -1, -1):
-                if elements[stack[k]].tag in ("td", "th"):
-                    del stack[k:]
-                    settle()
-                    break
-                if elements[stack[k]].tag in ("tr", "table"):
-                    break
+            # A block ends an open paragraph, with the inline elements in it; an item or row ends the one before.
+            if top >= 0 and (b := block[top]) >= 0 and (tags[b] == "p" or tags[b] in _CLOSES.get(tag, ())):
+                close(depth[b])
+        elif tag in _CELLS:
+            if top >= 0 and (c := cell[top]) >= 0 and tags[c] in _CELLS:
+                close(depth[c])
             add(" ")
         if tag in _VOID:
             continue
         if tag in _RAW:
-            close = re.compile(rf"</{tag}\b", re.I).search(page, at)
-            at = close.start() if close else end
-        attributes = _attributes(m.group(3)) if m.group(3).strip(" /") else {}
-        up = stack[-1] if stack else -1
-        main = tag in ("article", "main") or up >= 0 and elements[up].main
-        out, head = _kind(tag, attributes, up >= 0 and elements[up].main)
-        first = _DIGITS.sub("", (attributes.get("class") or "").split()[0]) if (attributes.get("class") or "").split() else ""
-        step = f"{tag}.{first}" if first else tag
-        elements.append(Element(tag, f"{elements[up].path}>{step}" if up >= 0 else step, up, tag in _CONTAINERS, main, out or up >= 0 and elements[up].out, head))
-        stack.append(len(elements) - 1)
-        if tag in _BLOCKS or tag in ("td", "th", "a"):
-            settle()
+            shut = re.compile(rf"</{re.escape(tag)}\b", re.I).search(page, at)
+            at = shut.start() if shut else end
+        above = stack[-1] if stack else -1
+        got, step = _marks(tag, m.group(3), flags[above] if above >= 0 else 0)
+        name = xxh3_64_intdigest(f"{path[above] if above >= 0 else 0}>{step}".encode())
+        i = len(tags)
+        tags.append(tag)
+        up.append(above)
+        path.append(name - (1 << 64) if name >> 63 else name)
+        flags.append(got)
+        block.append(i if tag in _BLOCKS or tag in _CELLS else block[above] if above >= 0 else -1)
+        cell.append(i if tag in _CELLS or tag in ("tr", "table") else cell[above] if above >= 0 else -1)
+        depth.append(len(stack))
+        open_at.setdefault(tag, []).append(len(stack))
+        stack.append(i)
     flush()
-    return elements, blocks
+    _decide(p, held)
+    return p
+
+
+def _decide(p: Page, held: list[tuple[int, list[tuple[str, int]]]]) -> None:
+    """Which elements are left out, and the blocks of what stays."""
+    tags, up, flags = p.tags, p.up, p.flags
+    n = len(tags)
+    p.out = bytearray(n)
+    if any(f & NAMED for f in flags):
+        worth, links, holds, first = array("q", bytes(8 * n)), array("q", bytes(8 * n)), bytearray(n), bytearray(n)
+        total = 0
+        for element, pieces in held:
+            for text, at in pieces:
+                if size := len(text.strip()):
+                    linked = at >= 0 and flags[at] & LINK
+                    total += 0 if linked else size
+                    if at >= 0:
+                        (links if linked else worth)[at] += size
+        for i in range(n - 1, -1, -1):
+            if tags[i] == "h1" or tags[i] in ("article", "main") and not flags[i] & NAMED:
+                holds[i] = 1
+            if (a := up[i]) >= 0:
+                worth[a] += worth[i]
+                links[a] += links[i]
+                holds[a] |= holds[i]
+        for element, pieces in held:  # the first block below each element: whether it is a heading
+            at = element
+            while at >= 0 and not first[at]:
+                first[at] = 2 if flags[element] & HEADING else 1
+                at = up[at]
+        for i in range(n):
+            a = up[i]
+            if a >= 0 and p.out[a]:
+                p.out[i] = 1
+            elif flags[i] & NAMED and not (
+                worth[i] >= MOST * total and holds[i] and total
+                or worth[i] >= max(ALL * total, ENOUGH) and not flags[i] & STRICT
+                or flags[i] & TOPIC and a >= 0 and flags[a] & IN_CONTENT and first[i] == 2 and worth[i] >= 3 * PROSE and worth[i] >= UNLINKED * (worth[i] + links[i])
+            ):
+                p.out[i] = 1
+    for element, pieces in held:
+        text = " ".join(html.unescape("".join(t for t, at in pieces if at < 0 or not p.out[at])).split())
+        if text:
+            p.blocks.append(Block(text, min(len(text), sum(len(t) for t, at in pieces if at >= 0 and not p.out[at] and flags[at] & LINK)), element))
 
 
-def scores(elements: list[Element], blocks: list[Block]) -> dict[int, float]:
-    """The score of each container with text: own blocks in full, those one container further down by half. An article
-    counts all its blocks in full and somewhat more, a main element a little more."""
-    out: dict[int, float] = defaultdict(float)
-    for b in blocks:
+@dataclass(slots=True)
+class Weights:
+    """Unlinked characters and those of prose below each element, and of short text right in a container."""
+
+    all: int
+    text: array
+    prose: array
+    direct: array
+    around: array  # the nearest container around each element
+
+
+def weigh(p: Page) -> Weights:
+    n = len(p.tags)
+    text, prose, direct, around = (array("q", bytes(8 * n)) for _ in range(4))
+    for i in range(n):
+        a = p.up[i]
+        around[i] = -1 if a < 0 else a if p.tags[a] in _CONTAINERS else around[a]
+    total = 0
+    for b in p.blocks:
         worth = max(0, len(b.text) - b.links)
-        at = b.element
-        if at >= 0 and not elements[at].container:
-            at = elements[at].up
-        share = 1.0
-        while at >= 0:
-            e = elements[at]
-            if e.tag in _WHOLE:
-                out[at] += _WHOLE[e.tag] * worth
-            elif e.container and share > 0.4:
-                out[at] += share * worth
-            if e.container:
-                share /= 2
-            at = e.up
+        total += worth
+        if b.element < 0:
+            continue
+        text[b.element] += worth
+        real = worth >= UNLINKED * len(b.text)
+        if real and worth >= PROSE:
+            prose[b.element] += worth
+        if real and worth and p.tags[b.element] == "p" and (a := around[b.element]) >= 0:
+            direct[a] += worth
+    for i in range(n - 1, -1, -1):
+        if (a := p.up[i]) >= 0:
+            text[a] += text[i]
+            prose[a] += prose[i]
+    return Weights(total, text, prose, direct, around)
+
+
+def by_path(p: Page, w: Weights) -> dict[int, int]:
+    """Unlinked characters below the containers on each path."""
+    out: dict[int, int] = {}
+    for i, tag in enumerate(p.tags):
+        if tag in _CONTAINERS and not p.out[i] and w.text[i]:
+            out[p.path[i]] = out.get(p.path[i], 0) + w.text[i]
     return out
 
 
-def votes(page: str | None) -> list[tuple[str, float]]:
-    """A page's vote, dealt out to paths."""
-    elements, blocks = read(page)
-    got = scores(elements, blocks)
-    total = sum(x * x for x in got.values())
-    shared: dict[str, float] = defaultdict(float)
-    for i, x in got.items():
-        if total:
-            shared[elements[i].path] += x * x / total
-    return list(shared.items())
+def best_path(p: Page, w: Weights, paths: dict[int, int]) -> int | None:
+    """The path of the container that the page takes for its main part; None if that is the whole page."""
+    titled = set()
+    for i, tag in enumerate(p.tags):
+        if tag == "h1" and not p.out[i]:
+            at = p.up[i]
+            while at >= 0 and at not in titled:
+                titled.add(at)
+                at = p.up[at]
+    start = -1
+    for tag in ("article", "main"):
+        own = [i for i, t in enumerate(p.tags) if t == tag and not p.out[i] and w.text[i]]
+        if own:
+            best = max(own, key=lambda i: (paths[p.path[i]], -i))
+            if paths[p.path[best]] >= 0.4 * w.all or any(i in titled for i in own if p.path[i] == p.path[best]):
+                if tag == "article":
+                    return p.path[best]
+                start = best
+                break
+    inner: dict[int, int] = {}
+    for i, tag in enumerate(p.tags):
+        if tag in _CONTAINERS and not p.out[i] and w.text[i]:
+            a = w.around[i]
+            if a not in inner or w.text[i] > w.text[inner[a]]:
+                inner[a] = i
+    at = start
+    while at in inner:
+        c = inner[at]
+        here, prose = (w.text[at], w.prose[at]) if at >= 0 else (w.all, sum(w.prose[i] for i, a in enumerate(p.up) if a < 0))
+        if 2 * w.text[c] < here or prose - w.prose[c] > BESIDE * w.text[c] or at >= 0 and p.tags[at] != "body" and w.direct[at]:
+            break
+        at = c
+    return p.path[at] if at >= 0 else None
 
 
-def _within(elements: list[Element], blocks: list[Block], roots: set[int]) -> list[str]:
+def votes(page: str | None) -> list[tuple[int, float, bool]]:
+    """A page's paths with text: the path, its share of the page's text, and whether the page votes for it."""
+    p = read(page)
+    w = weigh(p)
+    paths = by_path(p, w)
+    best = best_path(p, w, paths)
+    return [(x, n / w.all, x == best) for x, n in paths.items()]
+
+
+def _within(p: Page, roots: set[int]) -> list[str]:
     """Texts below the roots, after the level-1 headings that stand before the first root in an element around it."""
-    inside: dict[int, bool] = {-1: False}
-    for i, e in enumerate(elements):
-        inside[i] = i in roots or inside[e.up]
-    if not any(inside[b.element] for b in blocks):
+    inside = bytearray(len(p.tags))
+    for i in range(len(inside)):
+        inside[i] = i in roots or p.up[i] >= 0 and inside[p.up[i]]
+    if not any(b.element >= 0 and inside[b.element] for b in p.blocks):
         return []
     first = min(roots)
-    around, at = set(), elements[first].up
+    around, at = {-1}, p.up[first]
     while at >= 0:
         around.add(at)
-        at = elements[at].up
+        at = p.up[at]
 
     def title(b: Block) -> bool:
-        if not 0 <= b.element < first or elements[b.element].tag != "h1":
+        if not 0 <= b.element < first or p.tags[b.element] != "h1":
             return False
-        at = elements[b.element].up
-        while at >= 0 and not elements[at].container:
-            at = elements[at].up
+        at = p.up[b.element]
+        while at >= 0 and p.tags[at] not in _CONTAINERS:
+            at = p.up[at]
         return at in around
 
-    return [b.text for b in blocks if inside[b.element] or title(b)]
+    return [b.text for b in p.blocks if b.element >= 0 and inside[b.element] or title(b)]
+
+
+def main_text(page: str | None, path: int | None) -> str:
+    """The text on the winning path; without one, on the page's own best."""
+    p = read(page)
 
+    def on(path: int | None) -> list[str]:
+        roots = {i for i, x in enumerate(p.path) if x == path and not p.out[i] and p.tags[i] in _CONTAINERS} if path is not None else set()
+        return _within(p, roots) if roots else []
 
-def main_text(page: str | None, path: str | None) -> str:
-    """The text on the winning path."""
-    elements, blocks = read(page)
-    chosen = _within(elements, blocks, roots) if (roots := {i for i, e in enumerate(elements) if e.path == path and not e.out}) else []
+    chosen = on(path)
     if not chosen:
-        got = scores(elements, blocks)
-        best = min(got, key=lambda i: (-got[i], i), default=-1)
-        chosen = _within(elements, blocks, {best}) if best >= 0 and got[best] > 0 else [b.text for b in blocks]
+        w = weigh(p)
+        chosen = on(best_path(p, w, by_path(p, w))) or [b.text for b in p.blocks]
     return "\n".join(chosen)
 
 
@@ -276,20 +432,24 @@ def host_of(url: str = "url"):
 
 def _vote(batches):
     for b in batches:
-        rows: dict[tuple[str, str], float] = defaultdict(float)
-        for host, page in zip(b.column("host").to_pylist(), b.column("html").to_pylist()):
-            for path, share in votes(page):
-                rows[host, path] += share
-        yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in rows], pa.string()), pa.array([p for _, p in rows], pa.string()), pa.array(list(rows.values()), pa.float64())], ["host", "path", "share"])
+        rows = [(host, name, *x) for host, name, page in zip(b.column("host").to_pylist(), b.column("page").to_pylist(), b.column("html").to_pylist()) for x in votes(page)]
+        cols = list(zip(*rows)) or [[]] * 5
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int64(), pa.int64(), pa.float64(), pa.bool_()))], ["host", "page", "path", "share", "voted"])
 
 
 def winning_paths(pages: DataFrame) -> DataFrame:
-    """host, path: the winner of each host. pages: host, html."""
-    cast = keep(pages.mapInArrow(_vote, "host string, path string, share double").groupBy("host", "path").agg(F.sum("share").alias("share")))
-    total = keep(cast.groupBy("path").agg(F.sum("share").alias("all")))
-    everything = total.agg(F.coalesce(F.sum("all"), F.lit(0.0))).head()[0]
-    ranked = cast.join(total, "path").withColumn("votes", F.col("share") + F.lit(PRIOR) * F.col("all") / F.lit(everything or 1.0))
-    return keep(ranked.groupBy("host").agg(F.max(F.struct("votes", "path")).alias("top")).select("host", F.col("top.path").alias("path")))
+    """host, page, path: of each page that has containers with text the path that wins. pages: host, page (a name of html), html."""
+    cast = keep(pages.mapInArrow(_vote, "host string, page long, path long, share double, voted boolean"))
+    count = [F.sum(F.col("voted").cast("double")).alias("v"), F.count("*").cast("double").alias("n")]
+    own = keep(cast.groupBy("host", "path").agg(*count))
+    everywhere = keep(own.groupBy("path").agg(F.sum("v").alias("av"), F.sum("n").alias("an")))
+    v, n = everywhere.agg(F.sum("av"), F.sum("an")).head()
+    base = v / n if n else 0.0
+    prior = (F.col("av") + F.lit(PRIOR * base)) / (F.col("an") + F.lit(PRIOR))
+    trust = keep(own.join(everywhere, "path").select("host", "path", ((F.col("v") + F.lit(PRIOR) * prior) / (F.col("n") + F.lit(PRIOR))).alias("trust")))
+    # One row for each page and path, with either side written: AQE broadcasts a small trust table and splits hot hosts of a large one.
+    worth = cast.join(trust, ["host", "path"]).withColumn("worth", F.col("trust") * F.pow("share", F.lit(EVIDENCE)))
+    return keep(worth.groupBy("host", "page").agg(F.max(F.struct("worth", "path")).alias("top")).select("host", "page", F.col("top.path").alias("path")))
 
 
 def _extract(batches):
@@ -301,6 +461,6 @@ def _extract(batches):
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of every row of pages (page_id, url, html)."""
     small_batches(pages.sparkSession)
-    pages = only(pages, "page_id", "url", "html").withColumn("host", host_of())
-    won = winning_paths(pages.select("host", "html"))
-    return pages.join(won, "host", "left").select("page_id", "url", "html", "path").mapInArrow(_extract, "page_id long, url string, text string, n_chars long")
+    pages = only(pages, "page_id", "url", "html").withColumn("host", host_of()).withColumn("page", F.xxhash64("html"))
+    won = winning_paths(pages.select("host", "page", "html"))
+    return pages.join(won, ["host", "page"], "left").select("page_id", "url", "html", "path").mapInArrow(_extract, "page_id long, url string, text string, n_chars long")

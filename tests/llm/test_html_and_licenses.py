@@ -1,6 +1,7 @@
 """Main text of pages, host votes, and license scans with inheritance."""
 
 import html
+import random
 
 import pytest
 
@@ -65,6 +66,94 @@ def test_driver_pages(spark):
         assert got[r.page_id] == "\n".join(b for b in blocks if b)
 
 
+def template(r):
+    """A random page template: a function of a random source to (html, blocks of the article)."""
+    outer = r.choice(["content has-sidebar", "post has-comments", "layout no-sidebar", "page-with-comments", "container sidebar-right", "main-col no-ads", "wrap", "story", "l-content", "site cookie-notice-off", ""])
+    shape = r.choice(["article", "main", "div", "sections", "split", "form", "nested", "blockwise"])
+    junk = [
+        '<div class="{}"><p>{}</p></div>'.format(c, "{}")
+        for c in r.sample(["ad", "cookie-notice", "sidebar", "sideBar-left", "newsletter-signup", "related-posts", "site-footer", "comment-list", "share-buttons", "ads-top", "page-header", "promo-box", "breadcrumbs", "left-sidebar", "main-nav", "widget-area"], 4)
+    ] + r.sample(["<aside><p>{}</p></aside>", "<footer><p>{}</p></footer>", "<form><label>{}</label><input></form>", "<nav><a href=x>{}</a></nav>", '<section id="comments"><h2>Comments</h2><p>{}</p></section>', "<div role=banner>{}</div>", "<div hidden>{}</div>", "<script>{}</script>"], 3)
+    inside = r.sample(junk, r.randint(0, 2))
+    topic = r.choice(["cookies-in-baking", "notices-of-death", "menu-planning", "cookies", "advertising-history", "the-search", "footer-of-mountains"])
+
+    def make(q):
+        words = lambda a, b: " ".join("".join(q.choice("abcdefghij") for _ in range(q.randint(2, 8))) for _ in range(q.randint(a, b))).capitalize() + "."
+        blocks = [words(3, 7)] + [words(12, 60) for _ in range(q.randint(3, 9))]
+        fill = lambda xs: "".join(x.format(words(4, 12)) for x in xs)
+        ps = [f"<p>{b}</p>" for b in blocks[1:]]
+        title = f"<h1>{blocks[0]}</h1>"
+        k = len(ps) // 2
+        if shape == "article":
+            body = f"<article>{title}{''.join(ps[:k])}{fill(inside)}{''.join(ps[k:])}</article>"
+        elif shape == "main":
+            body = f"<main>{title}{''.join(ps)}{fill(inside)}</main>"
+        elif shape == "div":
+            body = f"<div class='entry'>{title}{''.join(ps)}</div>{fill(inside)}"
+        elif shape == "sections":
+            heads = [words(2, 4), words(2, 4)]
+            body = f"<article>{title}<section id='{topic}'><h2>{heads[0]}</h2>{''.join(ps[:k])}</section><section><h2>{heads[1]}</h2>{''.join(ps[k:])}</section></article>"
+            blocks = [blocks[0], heads[0], *blocks[1 : k + 1], heads[1], *blocks[k + 1 :]]
+        elif shape == "split":
+            body = f"{title}<div class='intro'>{''.join(ps[:k])}</div><div class='body'>{''.join(ps[k:])}</div>{fill(inside)}"
+        elif shape == "form":
+            body = f"<form action=x><input type=hidden><div class='text'>{title}{''.join(ps)}</div></form>"
+        elif shape == "nested":
+            body = f"<div class='a'><div class='b'>{title}<div class='c d'>{''.join(ps)}</div></div></div>{fill(inside)}"
+        else:
+            body = title + "".join(f"<div class='para'>{b}</div>" for b in blocks[1:])
+        at = q.randint(0, len(junk))
+        page = f"<html><body class='no-js has-sidebar'>{fill(junk[:at])}<div class='{outer}'>{body}</div>{fill(junk[at:])}</body></html>"
+        return page, blocks
+
+    return make
+
+
+def test_generated_templates(spark):
+    """Blocks of 300 templates' pages: nearly all of the articles, and hardly anything else."""
+    r = random.Random(11)
+    rows, want = [], {}
+    for h in range(300):
+        make = template(r)
+        for k in range(3):
+            page, blocks = make(r)
+            rows.append((10 * h + k, f"https://h{h}.example/{k}", page))
+            want[10 * h + k] = blocks
+    got = {x.page_id: x.text.split("\n") for x in H.extract(pages(spark, rows)).collect()}
+    hit = sum(len(set(got[i]) & set(want[i])) for i in want)
+    assert hit >= 0.98 * sum(map(len, want.values())) and hit >= 0.98 * sum(map(len, got.values()))
+    assert sum(got[i] == want[i] for i in want) >= 0.95 * len(want)
+
+
+def test_names():
+    kept = ["has-sidebar", "no-comments", "cookies-in-baking", "content-sidebar-wrap", "menu-planning", "sidebar-layout", "adventure", "shareholder", "related-work", "with_ads", "isHidden"]
+    gone = ["sidebar", "sideBar", "side-bar", "left-sidebar", "comment-list", "ad-300x250", "cookie_notice", "siteFooter", "nav", "post-comments", "newsletter-signup"]
+    assert [x for x in kept if H.named(x)] == [] and [x for x in gone if not H.named(x)] == []
+
+
+def test_second_template_of_a_host(spark):
+    """Pages of a rarer template aren't cut down to a small element on the path of the common one."""
+    common = [(i, f"https://a.example/{i}", f'<body><div class="story"><p>{f"common text {i} " * 30}</p></div></body>') for i in range(20)]
+    rare = [(100 + i, f"https://a.example/r{i}", f'<body><div class="story"><p>tagline</p></div><div class="text"><p>{f"rare text {i} " * 60}</p></div></body>') for i in range(4)]
+    got = {x.page_id: x.text for x in H.extract(pages(spark, [*common, *rare])).collect()}
+    assert all(got[i].startswith(f"common text {i}") for i in range(20)) and all(got[100 + i].startswith(f"rare text {i}") for i in range(4))
+
+
+@pytest.mark.parametrize("markup", ["<div>" * 300_000, "<b>" * 200_000 + "<li></li>" * 50_000, '<a x="' * 100_000, "<table><tr><td>" * 80_000, "</div>" * 100_000, "<div class='ad'>x" * 50_000, "<p><b>" * 100_000])
+def test_deep_markup(markup):
+    """Time and memory grow with the length alone."""
+    import time
+    import tracemalloc
+
+    began = time.time()
+    H.main_text(markup, None)
+    assert time.time() - began < 20
+    tracemalloc.start()
+    H.read(markup)
+    assert tracemalloc.get_traced_memory()[1] < 400 * len(markup) ** 1 and tracemalloc.get_traced_memory()[1] < 300e6
+    tracemalloc.stop()
+
+
 def scan(spark, rows):
     df = spark.createDataFrame([(*r, "x", 1.0, "y") for r in rows], "doc_id long, text string, path string, license string, similarity double, directory string")
     return {r.doc_id: (r.license, r.origin) for r in scan_licenses(df, "path").collect()}
