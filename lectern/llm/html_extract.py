@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from lectern.llm.runtime import keep, only, small_batches
+from lectern.llm.runtime import keep, only, small_batches, with_few
 
 #: Pages that all hosts together add to each host's own, and the power of a page's own evidence.
 PRIOR, EVIDENCE = 2.0, 0.25
@@ -437,8 +437,8 @@ def _vote(batches):
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int64(), pa.int64(), pa.float64(), pa.bool_()))], ["host", "page", "path", "share", "voted"])
 
 
-def winning_paths(pages: DataFrame) -> DataFrame:
-    """host, page, path: of each page that has containers with text the path that wins. pages: host, page (a name of html), html."""
+def overruled(pages: DataFrame) -> DataFrame:
+    """page, path: the pages for which another path than their own best wins. pages: host, page (a name of host and html), html."""
     cast = keep(pages.mapInArrow(_vote, "host string, page long, path long, share double, voted boolean"))
     count = [F.sum(F.col("voted").cast("double")).alias("v"), F.count("*").cast("double").alias("n")]
     own = keep(cast.groupBy("host", "path").agg(*count))
@@ -449,7 +449,8 @@ def winning_paths(pages: DataFrame) -> DataFrame:
     trust = keep(own.join(everywhere, "path").select("host", "path", ((F.col("v") + F.lit(PRIOR) * prior) / (F.col("n") + F.lit(PRIOR))).alias("trust")))
     # One row for each page and path, with either side written: AQE broadcasts a small trust table and splits hot hosts of a large one.
     worth = cast.join(trust, ["host", "path"]).withColumn("worth", F.col("trust") * F.pow("share", F.lit(EVIDENCE)))
-    return keep(worth.groupBy("host", "page").agg(F.max(F.struct("worth", "path")).alias("top")).select("host", "page", F.col("top.path").alias("path")))
+    top = worth.groupBy("page").agg(F.max(F.struct("worth", "path", "voted")).alias("top"))
+    return keep(top.where("NOT top.voted").select("page", F.col("top.path").alias("path")))
 
 
 def _extract(batches):
@@ -461,6 +462,6 @@ def _extract(batches):
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of every row of pages (page_id, url, html)."""
     small_batches(pages.sparkSession)
-    pages = only(pages, "page_id", "url", "html").withColumn("host", host_of()).withColumn("page", F.xxhash64("html"))
-    won = winning_paths(pages.select("host", "page", "html"))
-    return pages.join(won, ["host", "page"], "left").select("page_id", "url", "html", "path").mapInArrow(_extract, "page_id long, url string, text string, n_chars long")
+    pages = only(pages, "page_id", "url", "html").withColumn("host", host_of()).withColumn("page", F.xxhash64("host", "html"))
+    # Most pages follow their own vote; only the others' paths are looked up, so pages hardly ever travel.
+    return with_few(pages, "page", overruled(pages.select("host", "page", "html"))).select("page_id", "url", "html", "path").mapInArrow(_extract, "page_id long, url string, text string, n_chars long")

@@ -16,12 +16,14 @@ ARROW_ROWS = 1000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, else one for local use."""
+    """The folder that driver and executors share: spark.checkpoint.dir, else, with a local master only, one of this machine."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
         held = spark.sparkContext.getCheckpointDir()
         if held:
             return held
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(LOCAL_FALLBACK)
         named = LOCAL_FALLBACK
     return named.rstrip("/")
@@ -75,17 +77,20 @@ def only(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[F.col(f"`{x}`") for x in names])
 
 
-#: Bits of the filter below: 8 MB, whatever the number of keys.
-FILTER_BITS = 1 << 26
+#: Bits of the filter below: 16 a key up to 256 MB in all, whatever the number of keys.
+LEAST_BITS, MOST_BITS = 1 << 22, 1 << 31
+#: Rows of a (key, short value) table that is broadcast; a larger one is joined otherwise.
+BROADCAST_ROWS = 500_000
 
 
 def _marked(df: DataFrame, key: str, keys: DataFrame) -> DataFrame:
     """df with _hit: false only if the key is not among keys.
 
-    A one-hash Bloom filter in 32768-bit bitmaps, at most FILTER_BITS / 32768 of them, so its broadcast has a fixed bound.
-    It only saves shuffled rows ahead of a join on the key; with any number of keys the join's result is the same.
+    A one-hash Bloom filter in 32768-bit bitmaps that grows with the number of keys up to MOST_BITS, so its broadcast has a
+    fixed bound. It only saves shuffled rows ahead of a join on the key; with any number of keys the join's result is the same.
     """
-    spot = F.pmod(F.xxhash64(F.col(f"`{key}`")), F.lit(FILTER_BITS))
+    bits = min(MOST_BITS, max(LEAST_BITS, 1 << (16 * keys.count()).bit_length()))
+    spot = F.pmod(F.xxhash64(F.col(f"`{key}`")), F.lit(bits))
     marks = keys.select(spot.alias("_spot")).groupBy(F.bitmap_bucket_number("_spot").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("_spot")).alias("_bits"))
     held = df.withColumn("_spot", spot).withColumn("_bucket", F.bitmap_bucket_number("_spot"))
     held = held.join(F.broadcast(marks), "_bucket", "left").withColumn("_at", F.bitmap_bit_position("_spot").cast("int"))
@@ -102,3 +107,13 @@ def without(df: DataFrame, key: str, keys: DataFrame) -> DataFrame:
     """The rows of df whose key is not among keys; only those that may be are shuffled."""
     marked = _marked(df, key, keys)
     return marked.where("NOT _hit").drop("_hit").unionByName(marked.where("_hit").drop("_hit").join(keys, key, "left_anti"))
+
+
+def with_few(df: DataFrame, key: str, table: DataFrame) -> DataFrame:
+    """df left joined with a kept table of (key, short values) that few of its rows are in: a table of BROADCAST_ROWS or
+    less is broadcast, else only rows whose key may be in it are shuffled."""
+    if table.count() <= BROADCAST_ROWS:
+        return df.join(F.broadcast(table), key, "left")
+    marked = _marked(df, key, table.select(key))
+    plain = marked.where("NOT _hit").drop("_hit")
+    return plain.unionByName(marked.where("_hit").drop("_hit").join(table, key, "left"), allowMissingColumns=True)

@@ -14,7 +14,8 @@ def test_likely_and_without(spark, monkeypatch):
     rows = [(i, f"t{i}") for i in range(2000)] + [(None, "null"), (5, "again")]
     df = spark.createDataFrame(rows, "id long, bits string")
     for bits in (1 << 26, 1 << 16):
-        monkeypatch.setattr(runtime, "FILTER_BITS", bits)
+        monkeypatch.setattr(runtime, "LEAST_BITS", min(bits, runtime.LEAST_BITS))
+        monkeypatch.setattr(runtime, "MOST_BITS", bits)
         for keys in ([], [5], list(range(0, 4000, 7)), [None, 3]):
             k = spark.createDataFrame([(x,) for x in keys], "id long")
             kept = {(r.id, r.bits) for r in runtime.likely(df, "id", k).collect()}
@@ -24,6 +25,31 @@ def test_likely_and_without(spark, monkeypatch):
             assert rest.columns == df.columns and sorted(map(str, rest.collect())) == sorted(map(str, df.join(k, "id", "left_anti").select("id", "bits").collect()))
 
 
+def test_with_few(spark, monkeypatch):
+    df = spark.createDataFrame([(i, "x") for i in range(300)] + [(None, "y"), (7, "z")], "id long, t string")
+    table = runtime.keep(spark.createDataFrame([(7, "seven"), (500, "none"), (9, "nine")], "id long, said string"))
+    want = sorted(map(str, df.join(table, "id", "left").select("id", "t", "said").collect()))
+    for rows in (runtime.BROADCAST_ROWS, 1):
+        monkeypatch.setattr(runtime, "BROADCAST_ROWS", rows)
+        assert sorted(map(str, runtime.with_few(df, "id", table).select("id", "t", "said").collect())) == want
+
+
+def test_shared_folder_off_local_masters(monkeypatch):
+    """Without a shared folder a cluster is refused; a local master has a folder of its own."""
+    import pytest
+
+    class Context:
+        master = "spark://somewhere:7077"
+        getCheckpointDir = staticmethod(lambda: None)
+
+    class Session:
+        sparkContext = Context
+        conf = {}
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        runtime.shared_dir(Session)
+
+
 def test_keep_and_sweep(spark):
     df = runtime.keep(spark.range(5).selectExpr("id", "cast(null AS string) AS s"))
     path = df.inputFiles()[0].removeprefix("file://").rpartition("/")[0]
