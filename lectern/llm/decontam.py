@@ -3,7 +3,8 @@ by hash, and slots must be filled consistently, so that re-parameterised questio
 
 A word is stripped of punctuation and lower-cased. A number (digits or a number word) is the slot <num>, a unit right
 after a number <unit>, and a capitalised word that doesn't begin a sentence or line <name> (an item's first word may be met as either). A second
-form of each text takes capitalised words that begin a sentence or line as <name> too; windows of either form are looked up
+form of each text takes capitalised words that begin a sentence or line as <name> too, and a third has no slots at all, so
+that copies are found whatever their slots and capitals; windows of a form are looked up
 among those of the same form. Words of punctuation alone don't
 count. The template windows of the benchmark (8 words; a shorter item of 5 to 7 words as a whole) are looked up in every
 document. Windows that agree on where an item would begin form an alignment. It counts if it covers 13 words or 60 % of
@@ -15,9 +16,12 @@ taken together. With equal values throughout the match is
 "exact", else "reparameterised". Of several alignments of an item in a document the one covering most counts, then the
 first.
 
+An item under five words is no window: it matches, but for case and punctuation at either end, as a whole line, and one of a
+single word only as a whole text.
+
 The benchmark goes to the executors in slices of at most SLICE_WORDS words, a slice for a pass over the documents, so a
-broadcast has a fixed bound; documents are never shuffled. Null and empty texts match nothing, items under five words
-are never matched, and repeated rows of documents or items give repeated matches.
+broadcast has a fixed bound; documents are never shuffled. Null and empty texts match nothing, items without a word are
+never matched, and repeated rows of documents or items give repeated matches.
 """
 
 from __future__ import annotations
@@ -77,8 +81,8 @@ class Vocabulary(dict):
         self.name[i], self.flags[i] = xxh3_64_intdigest(low.encode()), flags
         return i
 
-    def template(self, text: bytes | None) -> tuple[np.ndarray, np.ndarray, list[bytes], np.ndarray]:
-        """Names and slot kinds of the text's template, the words they stand for, and the kinds of its second form."""
+    def template(self, text: bytes | None) -> Template:
+        """The forms of a text and the words they stand for."""
         if len(self) > REMEMBERED:
             self.clear()
         words, starts = [], []
@@ -89,7 +93,7 @@ class Vocabulary(dict):
                 words += got
         ids = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
         if not len(ids):
-            return np.empty(0, U), np.empty(0, np.int8), [], np.empty(0, np.int8)
+            return Template(np.empty(0, U), np.empty(0, U), np.empty(0, np.int8), np.empty(0, np.int8), [])
         name, flags = self.name[ids], self.flags[ids]
         number = (flags & _IS_NUMBER) > 0
         first = np.append(False, (flags[:-1] & _ENDS) > 0)
@@ -99,50 +103,99 @@ class Vocabulary(dict):
         if (flags & _EMPTY).any():
             stay = np.flatnonzero((flags & _EMPTY) == 0)
             kind, second, name, words = kind[stay], second[stay], name[stay], [words[i] for i in stay.tolist()]
-        return np.where(kind > 0, _SLOT[kind], name), kind, words, second
+        return Template(np.where(kind > 0, _SLOT[kind], name), name, kind, second, words)
+
+
+def _where(differ: np.ndarray, size: int) -> np.ndarray:
+    """Places of windows that hold a marked word."""
+    other = np.append(0, np.cumsum(differ))
+    return np.flatnonzero(other[size:] > other[:-size])
+
 
+@dataclass(slots=True)
+class Template:
+    """Names of a text's words with slots and without, kinds of the first and second form, and the words."""
 
-def _second(name: np.ndarray, kind: np.ndarray, second: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Windows of the second form that aren't windows of the first: their names and places."""
-    other = np.append(0, np.cumsum(kind != second))
-    at = np.flatnonzero(other[size:] > other[:-size])
-    return (grams(prefix(np.where(kind != second, _SLOT[NAME], name)), at, size) if len(at) else np.empty(0, U)), at
+    name: np.ndarray
+    plain: np.ndarray
+    kind: np.ndarray
+    second: np.ndarray
+    words: list[bytes]
+
+    def windows(self, size: int) -> tuple[np.ndarray, np.ndarray, int, int]:
+        """Names and places of all windows of the first form, then of those of the second and third that differ from it;
+        where the second and the third begin."""
+        n = len(self.name) - size + 1
+        first = np.arange(n)
+        two, three = _where(self.kind != self.second, size), _where(self.kind > 0, size)
+        names = [grams(prefix(self.name), first, size)]
+        names.append(grams(prefix(np.where(self.kind != self.second, _SLOT[NAME], self.name)), two, size) if len(two) else np.empty(0, U))
+        names.append(grams(prefix(self.plain), three, size) if len(three) else np.empty(0, U))
+        return np.concatenate(names), np.concatenate([first, two, three]), n, n + len(two)
 
 
 @dataclass
 class Index:
-    """Template windows of a slice of the benchmark, sorted by name."""
+    """Template windows of a slice of the benchmark, sorted by name, and its items of a few words."""
 
     ids: list[int]
-    items: list[tuple[np.ndarray, list[bytes], np.ndarray]]  # kinds, words and kinds of the second form
-    windows: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]  # size -> names, items, places
+    items: list[Template]
+    windows: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]  # size -> names, items, places, marks
+    short: dict[bytes, list[int]]  # line -> items
+    longest: int  # bytes of the longest such line
+
+
+def _line(text: bytes) -> tuple[bytes, int]:
+    """A line as short items are compared, and its number of words."""
+    words = text.decode("utf-8", "replace").lower().split()
+    return " ".join(words).strip(_PUNCTUATION + " ").encode(), sum(1 for w in words if w.strip(_PUNCTUATION))
+
+
+def _marks(names: np.ndarray) -> np.ndarray:
+    """A table by the first bits of names that tells which may be among them: a quick look ahead of the search."""
+    bits = min(24, max(12, (16 * len(names)).bit_length()))
+    out = np.zeros(1 << bits, bool)
+    out[names >> U(64 - bits)] = True
+    return out
 
 
 def index(rows: list[tuple[int, str | None]]) -> Index:
-    vocabulary, ids, items, held = Vocabulary(), [], [], {}
+    vocabulary, ids, items, held, short = Vocabulary(), [], [], {}, {}
     for item_id, text in rows:
-        name, kind, words, second = vocabulary.template(None if text is None else text.encode())
-        size = min(WINDOW, len(words))
-        if size < SHORTEST:
+        t = vocabulary.template(None if text is None else text.encode())
+        size = min(WINDOW, len(t.words))
+        if not size:
             continue
-        at = np.arange(len(words) - size + 1)
-        names = grams(prefix(name), at, size)
-        if words[0][:1].isalpha() and words[0].decode("utf-8", "replace")[0].isupper():  # within a sentence, it looks like a name
-            other = np.append(_SLOT[NAME], name[1:size])
-            names, at = np.append(names, grams(prefix(other), at[:1], size)), np.append(at, 0)
-        more, there = _second(name, kind, second, size)
-        names, at = np.append(names, more), np.append(at, there)
-        _, single = np.unique(np.column_stack([names, at.astype(U)]), axis=0, return_index=True)
-        names, at = names[single], at[single]
-        held.setdefault(size, []).append((names, np.full(len(at), len(ids)), at))
+        if size < SHORTEST:
+            short.setdefault(_line(text.encode())[0], []).append(len(ids))
+        else:
+            names, at, *_ = t.windows(size)
+            if t.words[0][:1].isalpha() and t.words[0].decode("utf-8", "replace")[0].isupper():  # within a sentence, it looks like a name
+                other = np.append(_SLOT[NAME], t.name[1:size])
+                names, at = np.append(names, grams(prefix(other), at[:1], size)), np.append(at, 0)
+            _, single = np.unique(np.column_stack([names, at.astype(U)]), axis=0, return_index=True)
+            names, at = names[single], at[single]
+            held.setdefault(size, []).append((names, np.full(len(at), len(ids)), at))
         ids.append(item_id)
-        items.append((kind, words, second))
+        items.append(t)
     windows = {}
     for size, parts in held.items():
         name, item, at = (np.concatenate(x) for x in zip(*parts))
         order = np.argsort(name, kind="stable")
-        windows[size] = name[order], item[order], at[order]
-    return Index(ids, items, windows)
+        windows[size] = name[order], item[order], at[order], _marks(name)
+    return Index(ids, items, windows, short, max(map(len, short), default=0))
+
+
+def _short(idx: Index, text: bytes, words: int) -> dict[int, tuple]:
+    """Short items that the text has as whole lines, or is."""
+    best: dict[int, tuple] = {}
+    for line in text.split(b"\n"):
+        if line and len(line) <= 2 * idx.longest + 64:
+            key, n = _line(line)
+            for item in idx.short.get(key, ()):
+                if n > 1 or words == 1:
+                    best[item] = n, n, "exact"
+    return best
 
 
 def _one_to_one(pairs: list[tuple[bytes, bytes]]) -> bool:
@@ -150,23 +203,23 @@ def _one_to_one(pairs: list[tuple[bytes, bytes]]) -> bool:
     return all(there.setdefault(a, b) == b and back.setdefault(b, a) == a for a, b in pairs)
 
 
-def matches(idx: Index, template) -> list[tuple[int, int, int, str]]:
-    """(item, covered words, item words, kind) of each item that the template contains."""
-    name, kind, words, second = template
-    sums = prefix(name)
+def matches(idx: Index, t: Template, text: bytes | None = None) -> list[tuple[int, int, int, str]]:
+    """(item, covered words, item words, kind) of each item that the template, or a line of its text, contains."""
+    kind, words, second = t.kind, t.words, t.second
     found: dict[tuple[int, int], list[tuple[int, int, bool]]] = {}
-    for size, (names, items, places) in idx.windows.items():
-        if len(name) < size:
+    for size, (names, items, places, marks) in idx.windows.items():
+        if len(words) < size:
             continue
-        more, there = _second(name, kind, second, size)
-        mine, at = np.append(grams(sums, np.arange(len(name) - size + 1), size), more), np.append(np.arange(len(name) - size + 1), there)
-        lo = np.searchsorted(names, mine)
-        for x in np.flatnonzero(names[np.minimum(lo, len(names) - 1)] == mine).tolist():
-            k, p = int(lo[x]), int(at[x])
+        mine, at, two, three = t.windows(size)
+        maybe = np.flatnonzero(marks[mine >> U(64 - (len(marks).bit_length() - 1))])
+        lo = np.searchsorted(names, mine[maybe])
+        hit = names[np.minimum(lo, len(names) - 1)] == mine[maybe]
+        for x, k in zip(maybe[hit].tolist(), lo[hit].tolist()):
+            p = int(at[x])
             while k < len(names) and names[k] == mine[x]:
-                found.setdefault((int(items[k]), p - int(places[k])), []).append((p, size, x > len(name) - size))
+                found.setdefault((int(items[k]), p - int(places[k])), []).append((p, size, two <= x < three))
                 k += 1
-    best: dict[int, tuple] = {}
+    best = _short(idx, text, len(words)) if idx.short and text else {}
     runs: dict[int, list[tuple[int, int, int]]] = {}
     for (item, begin), at in sorted(found.items()):
         spots = sorted({x for p, size, _ in at for x in range(p, p + size)})
@@ -186,18 +239,18 @@ def matches(idx: Index, template) -> list[tuple[int, int, int, str]]:
 
 
 def _core(w: bytes) -> str:
-    return w.decode("utf-8", "replace").strip(_PUNCTUATION)
+    return w.decode("utf-8", "replace").strip(_PUNCTUATION).lower()
 
 
 def _judge(entry, item: int, pairs: list[tuple[int, int]], kind, second, words: list[bytes], best: dict[int, tuple]) -> None:
     """Note the alignment of places (of the item, of the document) if it counts and covers more than the best so far."""
-    theirs = entry[1]
+    theirs = entry.words
     covered, n = len(pairs), len(theirs)
     if (covered < ENOUGH and 100 * covered < SHARE * n) or covered <= best.get(item, (0,))[0]:
         return
-    slots = [(i, p, _core(theirs[i]), _core(words[p])) for i, p in pairs if second[p] or entry[2][i]]
+    slots = [(i, p, _core(theirs[i]), _core(words[p])) for i, p in pairs if second[p] or entry.second[i]]
     # A word that only the second form takes as a name is a literal if both texts have it.
-    slots = [(i, p, a, b) for i, p, a, b in slots if kind[p] or a.lower() != b.lower()]
+    slots = [(i, p, a, b) for i, p, a, b in slots if kind[p] or a != b]
     changed = {p for _, p, a, b in slots if a != b}
     if changed and 100 * len(changed) > DIFFER * covered:
         longest = run = 0
@@ -261,7 +314,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             lean()
             vocabulary, idx = Vocabulary(), held.value
             for b in batches:
-                rows = [(doc, idx.ids[i], c, n, k) for doc, text in zip(b.column("doc_id").to_pylist(), as_bytes(b.column("text"))) for i, c, n, k in matches(idx, vocabulary.template(text))]
+                rows = [(doc, idx.ids[i], c, n, k) for doc, text in zip(b.column("doc_id").to_pylist(), as_bytes(b.column("text"))) for i, c, n, k in matches(idx, vocabulary.template(text), text)]
                 cols = list(zip(*rows)) or [[]] * 5
                 yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:4]), pa.array(cols[4], pa.string())], ["doc_id", "item_id", "matched_words", "item_words", "kind"])
 
@@ -281,7 +334,7 @@ def clean_rows(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             lean()
             vocabulary, idx = Vocabulary(), held.value
             for b in batches:
-                yield b.filter(pa.array([not matches(idx, vocabulary.template(t)) for t in as_bytes(b.column("text"))], pa.bool_()))
+                yield b.filter(pa.array([not matches(idx, vocabulary.template(t), t) for t in as_bytes(b.column("text"))], pa.bool_()))
 
         return clean
 

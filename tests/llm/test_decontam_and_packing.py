@@ -69,6 +69,76 @@ def test_names_that_begin_sentences(spark):
     assert got[1, 1] == got[2, 1] == "reparameterised"
 
 
+def plain_matches(item, doc):
+    """Whether some alignment of the item with the document counts: every offset is tried, every window compared word by word."""
+    v = decontam.Vocabulary()
+    a, b = v.template(item.encode()), v.template(doc.encode())
+    low = lambda t: [decontam._core(w) for w in t.words]
+    x, y = low(a), low(b)
+    n, size = len(x), min(decontam.WINDOW, len(x))
+    forms = [([(k, w if not k else None) for k, w in zip(ks, x)], [(k, w if not k else None) for k, w in zip(ls, y)]) for ks, ls in ((a.kind, b.kind), (a.second, b.second), (0 * a.kind, 0 * b.kind))]
+    start = [(decontam.NAME, None), *forms[0][0][1:size]] if item[:1].isupper() else None
+    for begin in range(-n, len(y)):
+        for use in ((0, 2), (0, 1, 2)):
+            got = set()
+            for i in range(max(0, -begin), min(n, len(y) - begin) - size + 1):
+                if any(forms[f][0][i : i + size] == forms[f][1][begin + i : begin + i + size] for f in use) or i == 0 and start == forms[0][1][begin : begin + size]:
+                    got |= set(range(i, i + size))
+            if not got or len(got) < 13 and 100 * len(got) < 60 * n:
+                continue
+            slots = [(i, x[i], y[begin + i]) for i in sorted(got) if (a.second[i] or b.second[begin + i]) and (b.kind[begin + i] or x[i] != y[begin + i])]
+            changed = {i for i, p, q in slots if p != q}
+            run = longest = 0
+            for i in range(n):
+                run = run + 1 if i in got and i not in changed else 0
+                longest = max(longest, run)
+            one = len({(p, q) for _, p, q in slots}) == len({p for _, p, _ in slots}) == len({q for _, _, q in slots})
+            if 10 * len(changed) <= len(got) or longest >= 20 or 100 * longest >= 60 * n or 2 * len(slots) <= len(got) and one:
+                return True
+    return False
+
+
+def test_slots_against_all_alignments(spark):
+    """Hundreds of items: copies in any case, with other values in all slots, with clashing values, and clean texts."""
+    r = random.Random(21)
+    names, units = ["Alice", "Bob", "Carol", "Dan", "Erin", "Frank", "Grace", "Heidi", "Ivan", "Judy"], ["km", "kg", "hours", "dollars"]
+    words = [f"{a}{b}" for a in ("ba", "ke", "lo", "mi", "nu", "pe", "ra") for b in ("ter", "gon", "lish", "mer", "dow", "vant")]
+    items, docs, want = [], [], {}
+    for i in range(300):
+        cast, values, parts = r.sample(names, 3), r.sample(range(10, 999), 4), []
+        for _ in range(r.randint(3, 6)):
+            parts.append(" ".join([r.choice(words), r.choice(cast), *(r.choice(words) for _ in range(r.randint(2, 4))), str(r.choice(values)), r.choice(units), r.choice(words)]))
+        items.append((i, " and ".join(parts) + "?"))
+        item = items[-1][1]
+        other = dict(zip([*cast, *map(str, values)], [*r.sample([x for x in names if x not in cast], 3), *map(str, r.sample(range(1000, 9999), 4))]))
+        changed = " ".join(other.get(w, w) for w in item.split())
+        mixed = " ".join(r.choice(names) if w in names else str(r.randint(1, 9)) if w.isdigit() else w for w in item.split())
+        around = lambda t: " ".join(r.choice(words) for _ in range(r.randint(0, 9))) + f" {t} " + " ".join(r.choice(words) for _ in range(5))
+        for k, (t, sure) in enumerate([(item, True), (item.upper(), True), (item.lower(), True), (changed, True), (mixed, None), (" ".join(r.choice(words) for _ in range(60)), False), (" ".join(r.sample(item.split(), len(item.split()))), None)]):
+            docs.append((10 * i + k, around(t), "en", "s"))
+            want[10 * i + k] = i, sure
+    got = {d: set() for d, *_ in docs}
+    for d, i in found(spark, docs, items):
+        got[d].add(i)
+    sure = [d for d, (i, x) in want.items() if x]
+    assert sum(want[d][0] in got[d] for d in sure) >= 0.99 * len(sure)
+    assert not any(got[d] for d, (i, x) in want.items() if x is False)
+    for d, text, *_ in docs[:1400]:
+        i = want[d][0]
+        assert (i in got[d]) == plain_matches(items[i][1], text), (items[i][1], text)
+
+
+def test_copies_of_any_kind(spark):
+    """Copies in another case, of arithmetic, of names and numbers alone, and items under five words."""
+    arithmetic = "What is 12 + 7 * 3 - 4 / 2 = 31 and 5 * 5 = 25 ?"
+    cast = "Alice Bob 12 Carol Dan 13 Erin Frank 14 Grace Heidi 15"
+    names = "Name the year in which Marie Curie met Albert Einstein in Brussels at Solvay"
+    items = [(1, arithmetic), (2, cast), (3, names), (4, "Who wrote Faust?"), (5, "Yes."), (6, "2 + 2 = 4")]
+    texts = [arithmetic, cast, names.lower(), names.upper(), names.title(), "some\n  who wrote faust \nmore", "but who wrote Faust?", "yes", "yes\nno", "a\n2 + 2 = 4\nb", "a\n2 - 2 = 4", "Alice Bob 12 Erin Frank 13 Grace Ivan 7 Judy Dan 99"]
+    got = found(spark, [(i, f"so {t}" if 0 <= i < 5 else t, "en", "s") for i, t in enumerate(texts)], items)
+    assert set(got) == {(0, 1), (1, 2), (2, 3), (3, 3), (4, 3), (5, 4), (7, 5), (9, 6)} and set(got.values()) == {"exact"}
+
+
 def test_odd_texts(spark, odd):
     items = [(1, None), (2, ""), (3, "one two three four"), (4, "w50 w51 w52 w53 w54 w55 w56 w57"), (4, "w50 w51 w52 w53 w54 w55 w56 w57"), (5, "!!! ###")]
     got = decontam.contamination(make(spark, odd), bench(spark, items)).collect()
