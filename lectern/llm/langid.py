@@ -6,8 +6,9 @@ u different next bytes, a byte met c times there costs -log2(c / (n + u)) bits;
 met charges nothing and passes on; below the empty context every byte costs 8 bits. The language with the shortest code
 for the whole text wins; of equal ones the first by name.
 
-The trees are fitted on a bounded sample: for each language the TRAIN_TEXTS texts (of TRAIN_BYTES bytes at most) whose
-doc_id has the smallest hash. They are frozen then, and every byte of every text is scored.
+The trees are fitted on a bounded sample: for each language the TRAIN_TEXTS texts (fewer beyond ALL_TEXTS in all languages,
+LEAST_TEXTS at least) whose doc_id has the smallest hash, each whole or, if longer, in a stretch of TRAIN_CHARS characters from
+a hashed place. They are frozen then, and every byte of every text is scored.
 
 Null text, text without a letter, or no language to learn: "und" with score 0. The score is the share of the winner if the
 languages' code lengths are taken as log likelihoods over at most SCORE_BYTES bytes. Repeated rows give repeated results.
@@ -27,7 +28,7 @@ from lectern.llm.runtime import only, small_batches
 from lectern.llm.words import U, as_bytes, lean
 
 ORDER = 4
-TRAIN_TEXTS, TRAIN_BYTES = 400, 65_536
+TRAIN_TEXTS, LEAST_TEXTS, ALL_TEXTS, TRAIN_CHARS = 400, 25, 8_000, 32_768
 #: Bytes that count fully for the score, and bytes scored at once.
 SCORE_BYTES, AT_ONCE = 64, 4_000_000
 UNKNOWN = "und"
@@ -167,16 +168,19 @@ def has_letter(text: str | None) -> bool:
 
 
 def training_sample(docs: DataFrame, key: str = "doc_id", lang: str = "lang") -> DataFrame:
-    """lang, text of at most TRAIN_TEXTS rows for each language."""
-    rows = docs.where(F.col(lang).isNotNull() & (F.octet_length("text") <= TRAIN_BYTES) & (F.length("text") > 0))
+    """lang, text (or a stretch of it) of at most TRAIN_TEXTS rows for each language, whatever their length."""
+    rows = docs.where(F.col(lang).isNotNull() & (F.length("text") > 0))
     count = {x: n for x, n in rows.groupBy(lang).agg(F.count("*").alias("n")).collect()}  # a row for each language
-    share = F.create_map(*[F.lit(v) for x, n in count.items() for v in (x, min(1.0, 1.5 * TRAIN_TEXTS / n))]) if count else None
+    each = max(LEAST_TEXTS, min(TRAIN_TEXTS, ALL_TEXTS // max(1, len(count))))
+    share = F.create_map(*[F.lit(v) for x, n in count.items() for v in (x, min(1.0, (1.5 * each + 60) / n))]) if count else None
     if share is None:
         return rows.select(F.col(lang).alias("lang"), "text")
     spot = F.xxhash64(F.col(key).cast("string"), "text")
     rows = rows.where(F.pmod(spot, F.lit(1 << 30)) < share[F.col(lang)] * (1 << 30))
-    order = Window.partitionBy("lang").orderBy("spot")  # over 600 rows a language or so
-    return rows.select(F.col(lang).alias("lang"), "text", spot.alias("spot")).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= TRAIN_TEXTS).select("lang", "text")
+    more = F.greatest(F.lit(0), F.length("text") - TRAIN_CHARS)
+    stretch = F.substring("text", F.pmod(F.xxhash64("text"), more.cast("long") + 1).cast("int") + 1, F.lit(TRAIN_CHARS))
+    order = Window.partitionBy("lang").orderBy("spot")  # over 700 rows a language or so
+    return rows.select(F.col(lang).alias("lang"), stretch.alias("text"), spot.alias("spot")).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= each).select("lang", "text")
 
 
 def predict(docs: DataFrame, trees: Trees) -> DataFrame:

@@ -86,9 +86,11 @@ def quality_verdicts(docs: DataFrame, host: str = "source") -> DataFrame:
 
 
 def kept_rows(docs: DataFrame, host: str = "source") -> DataFrame:
-    """The rows of docs that are kept, with all their columns. Texts are judged again rather than shuffled."""
-    rates = keep(host_rates(document_rules(docs, host)).select("host", F.col("rate").alias("host_rate")))
+    """The rows of docs that are kept, with all their columns. Rules are worked out once: the rows that pass the base are
+    written with their rules, those that fail it only count for their host."""
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col(f"`{host}`").cast("string").alias("host"), "text")
-    # A filter doesn't move below a column that isn't deterministic: there it would work out the rules once for each use.
-    rows = _ruled(rows, ["doc", "host"]).withColumn("at", F.spark_partition_id())
-    return rows.join(rates, "host", "left").where(f"at >= 0 AND {_VERDICT}").select("doc.*")
+    # A filter or a projection doesn't move below a column that isn't deterministic: there it would work out the rules once for each use.
+    rows = _ruled(rows, ["doc", "host"]).withColumn("at", F.spark_partition_id()).where("at >= 0")
+    rows = keep(rows.select(F.when(~F.col("base_failed"), F.col("doc")).alias("doc"), "host", "base_failed", "weak"))
+    rates = keep(host_rates(rows.select("host", "weak")).select("host", F.col("rate").alias("host_rate")))
+    return rows.where("NOT base_failed").join(rates, "host", "left").where(_VERDICT).select("doc.*")

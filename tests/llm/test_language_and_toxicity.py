@@ -74,6 +74,19 @@ def test_language_held_out(spark):
     assert all(0 <= r.score <= 1 for r in got)
 
 
+def test_language_of_long_texts_only(spark):
+    """A language that stands in long texts alone is learnt from stretches of them."""
+    r = random.Random(5)
+    text = lambda letters, n: " ".join("".join(r.choice(letters) for _ in range(r.randint(2, 8))) for _ in range(n))
+    rows = [(i, text("abcdef", 40), "xx", "s") for i in range(30)] + [(100 + i, text("uvwxyz", 30_000), "yy", "s") for i in range(6)]
+    rows += [(200, text("uvwxyz", 12), None, "s"), (201, text("abcdef", 12), None, "s")]
+    docs = make(spark, rows)
+    sample = langid.training_sample(docs).collect()
+    assert {x.lang for x in sample} == {"xx", "yy"} and max(len(x.text) for x in sample) == langid.TRAIN_CHARS
+    got = {x.doc_id: x.lang_pred for x in langid.predict(docs, langid.fit((x.lang, x.text.encode()) for x in sample)).collect()}
+    assert got[200] == "yy" and got[201] == "xx"
+
+
 def test_language_of_odd_texts(spark, odd):
     docs = make(spark, odd)
     trees = langid.fit((lang, text.encode()) for lang, text in langid.training_sample(docs).collect())
