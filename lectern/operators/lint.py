@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions.text import _c, let, lines
 
-#: (rule, pattern, replacement) in the order in which they apply; a rule sees what the ones before it left.
+#: Fixed values: (rule, pattern, replacement) in the order in which they apply; a rule sees what the ones before it left.
 RULES = (
     ("MD009", r"(?md)[ \t]+$", ""),
     ("MD010", r"\t", "    "),
@@ -16,7 +16,12 @@ RULES = (
     ("MD022", r"([^\n])\n(#{1,6} )", "$1\n\n$2"),
     ("MD022", r"(?md)^(#{1,6} .+)\n([^\n#])", "$1\n\n$2"),
 )
-#: Texts above this many bytes are linted without a second scan.
+#: What a second scan says of each rule.
+SAYS = {
+    "MD009": "Trailing spaces", "MD010": "Hard tabs", "MD012": "Multiple consecutive blank lines", "MD018": "No space after hash of heading", "MD019": "Multiple spaces after hash of heading",
+    "MD022": "Headings should be surrounded by blank lines", "MD023": "Headings must start at the beginning of the line", "MD047": "Files should end with a single newline character",
+}
+#: Texts above this many bytes are marked as linted fast; they are linted and scanned like any other.
 FAST_ABOVE = 512 * 1024
 
 
@@ -42,34 +47,49 @@ def changed_lines(before, after) -> Column:
 
 
 def failures(x) -> Column:
-    """What the rules still find in a text: an entry RULE:line for each line they would touch."""
-    numbered = F.transform(F.split(_c(x), "\n", -1), lambda line, i: F.struct((i + 1).alias("no"), line.alias("t")))
-    named = lambda rule, s: F.concat(F.lit(f"{rule}:"), s["no"].cast("string"))
-    empty = F.array().cast("array<string>")
+    """What the rules find in a text: an entry "RULE:line:column words" for each place, by line and then by rule."""
+    text = _c(x)
+    place = F.struct
+    empty = F.array().cast("array<struct<no:int,rule:string,col:int>>")
 
-    def by_line(rows: Column) -> Column:
-        found = lambda rule, test: F.transform(F.filter(rows, lambda s: test(s["t"])), lambda s: named(rule, s))
-        return F.concat(found("MD009", lambda t: t.rlike(r"[ \t]+\z")), found("MD010", lambda t: t.contains("\t")), found("MD018", lambda t: t.rlike(r"\A#{1,6}[^ #]")))
+    def around(rows: Column) -> Column:
+        return F.transform(rows, lambda t, i: place((i + 1).cast("int").alias("no"), t.alias("t"), F.get(rows, i - 1).alias("up"), F.get(rows, i + 1).alias("down")))
 
-    return F.concat(
-        let(numbered, by_line),
-        F.when(_c(x).rlike(r"\n{3,}"), F.array(F.lit("MD012"))).otherwise(empty),
-        F.when(~_c(x).rlike(r"[^\n]\n\z"), F.array(F.lit("MD047"))).otherwise(empty),
-    )
+    def by_line(rows: Column) -> Column:
+        def found(rule: str, test, col=None) -> Column:
+            return F.transform(F.filter(rows, test), lambda s: place(s["no"].alias("no"), F.lit(rule).alias("rule"), (F.lit(1) if col is None else col(s["t"])).cast("int").alias("col")))
+
+        filled = lambda t: F.coalesce(t != "", F.lit(False))
+        return F.flatten(
+            F.array(
+                found("MD009", lambda s: s["t"].rlike(r"[ \t]+\z"), lambda t: F.length(F.regexp_replace(t, r"[ \t]+\z", "")) + 1),
+                found("MD010", lambda s: s["t"].contains("\t"), lambda t: F.instr(t, "\t")),
+                found("MD012", lambda s: (s["t"] == "") & F.coalesce(s["up"] == "", F.lit(False)) & s["down"].isNotNull()),
+                found("MD018", lambda s: s["t"].rlike(r"\A#{1,6}[^ #]")),
+                found("MD019", lambda s: s["t"].rlike(r"\A#{1,6}  ")),
+                found("MD022", lambda s: s["t"].rlike(r"\A#{1,6} ") & (filled(s["up"]) | filled(s["down"]))),
+                found("MD023", lambda s: s["t"].rlike(r"\A {1,3}#{1,6} ")),
+                F.when(text.rlike(r"[^\n]\n\z"), empty).otherwise(F.array(place(F.size(rows).alias("no"), F.lit("MD047").alias("rule"), F.lit(1).alias("col")))),
+            )
+        )
+
+    says = F.create_map(*[F.lit(v) for kv in SAYS.items() for v in kv])
+    named = lambda s: F.concat(s["rule"], F.lit(":"), s["no"].cast("string"), F.lit(":"), s["col"].cast("string"), F.lit(" "), F.element_at(says, s["rule"]))
+    return F.transform(F.array_sort(let(let(F.split(text, "\n", -1), around), by_line)), named)
 
 
 def lint(docs: DataFrame, text: str = "markdown") -> DataFrame:
-    """docs with its text fixed and fixed_count, remaining_failures, fast_mode.
+    """docs with its text fixed and found (failures before), fixed_count (changed lines), remaining_failures, fast_mode.
 
-    Above FAST_ABOVE bytes remaining failures aren't looked for. A null text stays null, with nothing fixed.
+    fast_mode marks texts above FAST_ABOVE bytes. A null text stays null, with nothing found or fixed.
     """
-    fast = F.octet_length(F.col(text)) > FAST_ABOVE
-    out = docs.withColumn("_fixed", fixed(text))
     none = F.array().cast("array<string>")
+    out = docs.withColumn("_fixed", fixed(text))
     return (
-        out.withColumn("fixed_count", F.coalesce(changed_lines(text, "_fixed"), F.lit(0).cast("long")))
-        .withColumn("fast_mode", F.coalesce(fast, F.lit(False)))
-        .withColumn("remaining_failures", F.when(F.col("fast_mode") | F.col("_fixed").isNull(), none).otherwise(failures("_fixed")))
+        out.withColumn("found", F.coalesce(F.when(F.col(text).isNotNull(), F.size(failures(text)).cast("long")), F.lit(0).cast("long")))
+        .withColumn("fixed_count", F.coalesce(changed_lines(text, "_fixed"), F.lit(0).cast("long")))
+        .withColumn("fast_mode", F.coalesce(F.octet_length(F.col(text)) > FAST_ABOVE, F.lit(False)))
+        .withColumn("remaining_failures", F.when(F.col("_fixed").isNull(), none).otherwise(failures("_fixed")))
         .withColumn(text, F.col("_fixed"))
         .drop("_fixed")
     )

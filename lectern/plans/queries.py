@@ -302,17 +302,30 @@ def lint_fixed_count(spark, sf_dir):
     return lint.lint(docs).select("doc_id", "fixed_count")
 
 
-@query(f"SELECT count(*) AS files, sum(fixed_count)::bigint AS fixed, 0::bigint AS remaining, count(*) FILTER (fixed_count > 0) AS files_with_fixes FROM ({_CHANGED_SQL})")
+#: Failures of each rule over the lines l of a text t.
+_FOUND_SQL = {
+    "md009": r"len(list_filter(l, lambda x: regexp_matches(x, '[ \t]+$')))",
+    "md010": "len(list_filter(l, lambda x: contains(x, chr(9))))",
+    "md012": "len(list_filter(range(2, len(l)), lambda i: l[i] = '' AND l[i - 1] = ''))",
+    "md018": "len(list_filter(l, lambda x: regexp_matches(x, '^#{1,6}[^ #]')))",
+    "md019": "len(list_filter(l, lambda x: regexp_matches(x, '^#{1,6}  ')))",
+    "md022": "len(list_filter(range(1, len(l) + 1), lambda i: regexp_matches(l[i], '^#{1,6} ') AND ((i > 1 AND l[i - 1] <> '') OR (i < len(l) AND l[i + 1] <> ''))))",
+    "md023": "len(list_filter(l, lambda x: regexp_matches(x, '^ {1,3}#{1,6} ')))",
+    "md047": "(CASE WHEN l[-1] = '' AND len(l) > 1 AND l[-2] <> '' THEN 0 ELSE 1 END)",
+}
+
+
+@query(f"""SELECT count(*) AS files, sum(fixed_count)::bigint AS fixed, sum({" + ".join(_FOUND_SQL.values())})::bigint AS remaining, count(*) FILTER (fixed_count > 0) AS files_with_fixes
+FROM (SELECT doc_id, string_split({_FIXED_SQL.format(_DIRTY)}, chr(10)) AS l FROM documents) JOIN ({_CHANGED_SQL}) USING (doc_id)""")
 def lint_totals(spark, sf_dir):
     return lint.lint_totals(lint.lint(table(spark, sf_dir, "documents").select("doc_id", F.expr(_DIRTY).alias("markdown"))))
 
 
-@query(r"""SELECT doc_id, len(list_filter(l, lambda t: regexp_matches(t, '[ \t]+$'))) AS md009, len(list_filter(l, lambda t: contains(t, chr(9)))) AS md010, len(list_filter(l, lambda t: regexp_matches(t, '^#{1,6}[^ #]'))) AS md018
-FROM (SELECT doc_id, string_split(replace(text, '. ', concat('.', chr(9), ' ', chr(10), chr(10), chr(10), '#')), chr(10)) AS l FROM documents)""")
+@query(f"SELECT doc_id, {', '.join(f'{x} AS {rule}' for rule, x in _FOUND_SQL.items())} FROM (SELECT doc_id, string_split({_DIRTY}, chr(10)) AS l FROM documents)")
 def lint_failures(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", lint.failures(F.expr(_DIRTY)).alias("f"))
     n = lambda rule: F.size(F.filter("f", lambda x: x.startswith(rule + ":"))).cast("long").alias(rule.lower())
-    return docs.select("doc_id", n("MD009"), n("MD010"), n("MD018"))
+    return docs.select("doc_id", *[n(rule.upper()) for rule in _FOUND_SQL])
 
 
 # Tables and assembly --------------------------------------------------------------------------------------------------
