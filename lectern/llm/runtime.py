@@ -109,11 +109,15 @@ def without(df: DataFrame, key: str, keys: DataFrame) -> DataFrame:
     return marked.where("NOT _hit").drop("_hit").unionByName(marked.where("_hit").drop("_hit").join(keys, key, "left_anti"))
 
 
-def with_few(df: DataFrame, key: str, table: DataFrame) -> DataFrame:
-    """df left joined with a kept table of (key, short values) that few of its rows are in: a table of BROADCAST_ROWS or
-    less is broadcast, else only rows whose key may be in it are shuffled."""
-    if table.count() <= BROADCAST_ROWS:
-        return df.join(F.broadcast(table), key, "left")
+def left_rare(df: DataFrame, key: str, table: DataFrame) -> DataFrame:
+    """df left joined with a kept table on the key: only rows whose key may be in the table are shuffled."""
     marked = _marked(df, key, table.select(key))
     plain = marked.where("NOT _hit").drop("_hit")
     return plain.unionByName(marked.where("_hit").drop("_hit").join(table, key, "left"), allowMissingColumns=True)
+
+
+def with_few(df: DataFrame, key: str, table: DataFrame) -> DataFrame:
+    """The same for a table of (key, short values): one of BROADCAST_ROWS or less is broadcast."""
+    if table.count() <= BROADCAST_ROWS:
+        return df.join(F.broadcast(table), key, "left")
+    return left_rare(df, key, table)

@@ -112,17 +112,51 @@ def test_repeats_of_odd_texts(spark, odd):
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(0, 3), min_size=35, max_size=60), st.lists(st.integers(0, 3), max_size=30), st.lists(st.integers(0, 3), max_size=30))
 def test_symbol_starts_agree(window, before, after):
-    """Whatever stands around a 35-word window, a symbol starts at one common place in its first 18 words."""
+    """Whatever stands around a 35-word window, one symbol of one name starts at one common place in its first 18 words."""
     window = window[:35]
     word = lambda xs: hashes([str(x).encode() for x in xs])
     inside = []
     for a, b in (([], []), (before, after), (after, before)):
-        names = word(a + window + b)
-        at = recompress.symbol_starts(names, np.zeros(len(names), int)) - len(a)
-        inside.append({int(x) for x in at if 0 <= x <= recompress.REACH})
+        words = word(a + window + b)
+        at, names = recompress.symbols(words, np.zeros(len(words), int))
+        inside.append({(int(x) - len(a), int(n)) for x, n in zip(at, names) if 0 <= x - len(a) <= recompress.REACH})
     assert set.intersection(*inside)
 
 
+@pytest.mark.parametrize("fan", [3, 2048])
+def test_ranges_in_two_steps(spark, monkeypatch, fan):
+    """Many ranges, dealt at once or in two steps, with one window in every document and a memory of few sent names."""
+    monkeypatch.setattr(recompress, "FAN", fan)
+    monkeypatch.setattr(recompress, "FLUSH", 300)
+    monkeypatch.setattr(recompress, "RANGE_BYTES", 500)
+    monkeypatch.setattr(recompress, "SENT", 20)
+    r = random.Random(3)
+    everywhere = " ".join(f"e{i}" for i in range(40))
+    rows = [(d, " ".join(f"t{r.randrange(10**6)}" for _ in range(r.randint(0, 50))) + f" {everywhere if d % 3 else ''} " + " ".join(f"t{r.randrange(10**6)}" for _ in range(9)), "en", "s") for d in range(150)]
+    got = recompress.remove_repeats(make(spark, rows)).select("doc.doc_id", "n_words", "n_removed", "kept_sha256").collect()
+    assert sorted(map(tuple, got)) == sorted(brute.repeats([(d, t) for d, t, *_ in rows]))
+
+
+def test_map_time_is_flat():
+    """What a task does for gathered words doesn't grow with the number of ranges."""
+    import time
+
+    import pyarrow as pa
+
+    r = random.Random(1)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(400), pa.int64()), pa.array([" ".join(f"w{r.randrange(10**5)}" for _ in range(500)) for _ in range(400)])], ["row", "text"])
+    spent = {}
+    for parts in (1_000, 1_000_000):
+        best = 1e9
+        for _ in range(3):
+            began = time.perf_counter()
+            blobs = sum(b.num_rows for b in recompress._entries(parts, recompress._anchors, True)([batch]))
+            best = min(best, time.perf_counter() - began)
+        spent[parts] = best
+        assert blobs <= 2 * recompress.FAN
+    assert spent[1_000_000] < 2 * spent[1_000] + 0.05
+
+
 def test_cut():
     gone = np.array([False, True, True, False, True])
     assert recompress.cut(b" a  b c\n\nd e ", gone) == b" a\nd" and recompress.cut(b"a b c d e", ~gone) == b"b c\ne"
