@@ -298,7 +298,7 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
     small_batches(spark)
     docs = only(docs, "doc_id", "text").withColumn("row", F.xxhash64("doc_id", "text"))
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).head()[0]
-    parts = parts_for(size, RANGE_BYTES, 16)
+    parts = parts_for(size, RANGE_BYTES, 64)
     rows = docs.select("row", "text")
     revealed = keep(_by_range(rows, parts, _anchors, True).groupBy("part").applyInArrow(_twice(np.uint32), _FOUND))
     gather = lambda found: found.groupBy("row").agg(F.collect_list("at").alias("found"))  # noqa: E731  at most a blob for each range and map batch
