@@ -2,15 +2,17 @@
 
 1. Each text becomes its set of distinct five-word shingles (64-bit names) and a fingerprint of that set. Texts with one
    set are one row of the matrix from here on.
-2. The matrix is dealt out by columns (hash ranges of shingles). A range tells, for each document, which of its shingles
-   occur in another document of a fitting size, and in how many. A document with fewer than 3/4 of its shingles so shared
-   has no partner: its overlap with anything stays below the bound that its size sets.
+2. The matrix is dealt out by columns (hash ranges of shingles, in two steps if they are many). A range tells, for each
+   document, which of its shingles occur in another document of a fitting size, and in how many, and deals that back by
+   document. A document with fewer than 3/4 of its shingles so shared has no partner: its overlap with anything stays below
+   the bound that its size sets. Shingles that a bounded hashed sample of the texts shows to be very frequent don't meet in
+   their range: they count as shared, and as the most frequent ones, which loses no pair and keeps ranges small.
 3. Of the documents left, the rarest n - ceil(3n/4) + 1 shingles must meet a partner's. Shingles that meet span candidate
    components; nothing is emitted per pair.
 4. In each candidate component the product of incidence blocks (128 documents a side) accumulates overlap counts; pairs
    below 100 * overlap >= 75 * union are dropped, and of the others only a spanning forest leaves the task. In large
    components the blocks on the diagonal come first, each with the same few pivots; then only pairs of blocks whose
-   documents aren't already linked to one another.
+   documents aren't already linked to one another and, where that makes fewer, that have one of those rarest shingles in common.
 5. Links make components; copies of a set get the component of the set.
 
 Null text, empty text and text of white space: an empty set, linked with nothing. Texts under five words: the whole word
@@ -27,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm.components import components
+from lectern.llm.dealing import by_range, deal, groups, joined, schema
 from lectern.llm.runtime import keep, likely, only, parts_for, small_batches, width
 from lectern.llm.words import U, as_bytes, grams, hashes, lean, mix, prefix, split_words
 
@@ -34,7 +37,15 @@ SHINGLE = 5
 #: Overlap bound as 100 * intersection >= PER_CENT * union.
 PER_CENT = 75
 #: Shingles in one range of columns, shingles gathered before a map task sends blobs, documents on a side of a block.
-RANGE, FLUSH, BLOCK = 2_000_000, 500_000, 128
+RANGE, FLUSH, BLOCK = 1_000_000, 500_000, 128
+#: Sets that a map task remembers to have sent.
+SEEN = 500_000
+#: Shingles in the sample for frequent ones: one in SHARE, within these bounds; sets of it that make a shingle frequent.
+SHARE, LEAST_SAMPLE, MOST_SAMPLE, FREQUENT = 32, 2_000_000, 64_000_000, 32
+#: What stands for the number of sets with a frequent shingle.
+MANY = 0xFFFFFFFF
+_IDS = {"fps": np.int64, "sizes": np.int32}
+_NAMES, _FOUND = {"names": U}, {"names": U, "dfs": np.uint32}
 CHUNK = 4096
 
 
@@ -68,103 +79,132 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
     return only(docs, "doc_id", "text").mapInArrow(_sets, "doc_id long, n_shingles long, fp long")
 
 
-def _columns(parts: int):
-    """Map side of step 2: blobs of (document, its shingles in a range); copies within what is gathered count once."""
+def frequent_shingles(docs: DataFrame, total: int) -> np.ndarray:
+    """Names of shingles that FREQUENT or more sets of a hashed sample have, sorted; there are at most MOST_SAMPLE / FREQUENT."""
+    size = min(MOST_SAMPLE, max(LEAST_SAMPLE, total // SHARE))
 
-    def blobs(held: list[np.ndarray], fps: list[int]):
+    def sets(batches):
+        lean()
+        for b in batches:
+            got = {fingerprint(x): x for x in map(shingles, as_bytes(b.column("text"))) if len(x)}
+            yield pa.RecordBatch.from_arrays([pa.array(list(got), pa.int64()), pa.array([x.tobytes() for x in got.values()], pa.binary())], ["fp", "names"])
+
+    def count(batches):
+        lean()
+        held, total = [], 0
+
+        def send():
+            names, n = np.unique(np.concatenate(held), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(names.astype(np.int64)), pa.array(n)], ["name", "n"])
+
+        for b in batches:
+            for x in b.column("names").to_pylist():
+                held.append(np.frombuffer(x, U))
+                total += len(held[-1])
+                if total >= FLUSH:
+                    yield send()
+                    held, total = [], 0
+        if held:
+            yield send()
+
+    if total <= LEAST_SAMPLE:  # any range holds all of a shingle's entries with ease
+        return np.empty(0, U)
+    picked = docs.where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < int(min(1.0, size / total) * (1 << 30)))
+    once = picked.mapInArrow(sets, "fp long, names binary").groupBy("fp").agg(F.first("names").alias("names"))
+    names = once.select("names").mapInArrow(count, "name long, n long").groupBy("name").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT)
+    return np.sort(np.array([x for (x,) in names.select("name").collect()], np.int64).astype(U))  # bounded by the sample
+
+
+def _columns(parts: int, frequent):
+    """Map side of step 2: blobs of (set, its shingles in a range); copies that the task has sent count once. Frequent
+    shingles go to ranges of their sets, numbered from ``parts`` on."""
+    fan, seen_most, flush = groups(2 * parts), SEEN, FLUSH
+
+    def blobs(held: list[np.ndarray], fps: list[int], hot: np.ndarray):
         n = np.array([len(x) for x in held])
-        names = np.concatenate(held)
-        doc = np.repeat(np.arange(len(held)), n)
-        part = ((names >> U(32)) % U(parts)).astype(np.int64)
-        order = np.argsort(part, kind="stable")  # stays grouped by document within a range
-        names, doc, part = names[order], doc[order], part[order]
-        ends = np.searchsorted(part, np.arange(parts + 1))
-        fp = np.array(fps, np.int64)
-        out = []
-        for p in range(parts):
-            lo, hi = ends[p], ends[p + 1]
-            if lo < hi:
-                local, count = np.unique(doc[lo:hi], return_counts=True)
-                out.append((p, fp[local].tobytes(), n[local].astype(np.int32).tobytes(), count.astype(np.int32).tobytes(), names[lo:hi].astype(np.uint32).tobytes()))
-        return pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32())] + [pa.array([x[i] for x in out], pa.binary()) for i in range(1, 5)], ["part", "fps", "sizes", "counts", "names"])
+        names, owner, ids = np.concatenate(held), np.repeat(np.arange(len(held)), n), np.array(fps, np.int64)
+        fine = ((names >> U(32)) % U(parts)).astype(np.int64)
+        if len(hot):
+            known = hot[np.minimum(np.searchsorted(hot, names), len(hot) - 1)] == names
+            fine[known] = parts + ids[owner[known]] % parts
+        return deal(2 * parts, fan, fine, owner, {"fps": ids, "sizes": n.astype(np.int32)}, {"names": names})
 
     def run(batches):
         lean()
+        hot = frequent.value
         held, fps, seen, total = [], [], set(), 0
         for b in batches:
             for t in as_bytes(b.column("text")):
                 names = shingles(t)
                 if len(names) and (fp := fingerprint(names)) not in seen:
+                    if len(seen) >= seen_most:
+                        seen.clear()
                     seen.add(fp)
                     held.append(names)
                     fps.append(fp)
                     total += len(names)
-                    if total >= FLUSH:
-                        yield blobs(held, fps)
-                        held, fps, seen, total = [], [], set(), 0
+                    if total >= flush:
+                        yield blobs(held, fps, hot)
+                        held, fps, total = [], [], 0
         if held:
-            yield blobs(held, fps)
+            yield blobs(held, fps, hot)
 
     return run
 
 
-def _joined(table: pa.Table, name: str, kind) -> np.ndarray:
-    return np.frombuffer(b"".join(table.column(name).to_pylist()), kind)
-
-
-def _shared(table: pa.Table) -> pa.Table:
-    """Reduce side of step 2, for one range: per document its shingles that a document of a fitting size also has."""
-    lean()
-    part = table.column("part")[0].as_py()
-    fps, sizes = _joined(table, "fps", np.int64), _joined(table, "sizes", np.int32).astype(np.int64)
-    counts, names = _joined(table, "counts", np.int32), _joined(table, "names", np.uint32)
-    order = np.lexsort((fps, sizes))
-    new = np.ones(len(order), bool)
-    new[1:] = fps[order][1:] != fps[order][:-1]
-    rank = np.empty(len(order), np.int64)
-    rank[order] = np.cumsum(new) - 1
-    fps, sizes = fps[order][new], sizes[order][new]
-    pairs = np.unique((names.astype(U) << U(32)) | np.repeat(rank, counts).astype(U))
-    name, doc = pairs >> U(32), (pairs & U(0xFFFFFFFF)).astype(np.int64)
-    if len(pairs) < 2:
-        return _schema_shared.empty_table()
-    same = name[1:] == name[:-1]
-    near = same & (100 * sizes[doc[:-1]] >= PER_CENT * sizes[doc[1:]])  # sorted by size: the nearest sizes are neighbours
-    hit = np.zeros(len(pairs), bool)
-    hit[1:] |= near
-    hit[:-1] |= near
-    group = np.concatenate([[0], np.cumsum(~same)])
-    df = np.bincount(group)[group][hit].astype(np.uint32)
-    name, doc = (name[hit] | U(part) << U(32)).astype(U), doc[hit]
-    order = np.argsort(doc, kind="stable")
-    name, df, doc = name[order], df[order], doc[order]
-    who, start = np.unique(doc, return_index=True)
-    ends = np.append(start[1:], len(doc))
-    return pa.table(
-        [
-            pa.array(fps[who]), pa.array(sizes[who]), pa.array(ends - start),
-            pa.array([name[i:j].tobytes() for i, j in zip(start, ends)], pa.binary()),
-            pa.array([df[i:j].tobytes() for i, j in zip(start, ends)], pa.binary()),
-        ],
-        schema=_schema_shared,
-    )
+def _shared(parts: int):
+    """Reduce side of step 2, for one range: its shingles that another set of a fitting size also has, dealt to ranges of sets."""
+    fan = groups(parts)
 
+    def run(table: pa.Table) -> pa.Table:
+        lean()
+        fps, sizes, counts, names = joined(table, "fps", np.int64), joined(table, "sizes", np.int32), joined(table, "counts", np.int32), joined(table, "names", U)
+        if table.column("part")[0].as_py() >= parts:  # frequent shingles
+            owner, df = np.repeat(np.arange(len(fps)), counts), np.full(len(names), MANY, np.uint32)
+        else:
+            order = np.lexsort((fps, sizes))
+            order = order[np.append(True, fps[order][1:] != fps[order][:-1])]  # copies from other tasks go
+            begins = (np.cumsum(counts) - counts)[order]
+            fps, sizes, counts = fps[order], sizes[order], counts[order]
+            ends = np.cumsum(counts)
+            names = names[np.repeat(begins - (ends - counts), counts) + np.arange(ends[-1])]
+            owner = np.repeat(np.arange(len(fps)), counts)
+            order = np.argsort(names, kind="stable")  # stays by size within a name: the nearest sizes are neighbours
+            names, owner = names[order], owner[order]
+            same = names[1:] == names[:-1]
+            near = same & (100 * sizes[owner[:-1]].astype(np.int64) >= PER_CENT * sizes[owner[1:]].astype(np.int64))
+            hit = np.append(False, near) | np.append(near, False)
+            group = np.append(0, np.cumsum(~same))
+            df = np.minimum(np.bincount(group), MANY - 1)[group][hit].astype(np.uint32)
+            names, owner = names[hit], owner[hit]
+        return pa.Table.from_batches([deal(parts, fan, fps[owner] % parts, owner, {"fps": fps, "sizes": sizes}, {"names": names, "dfs": df})])
 
-_schema_shared = pa.schema([("fp", pa.int64()), ("n", pa.int64()), ("shared", pa.int64()), ("names", pa.binary()), ("dfs", pa.binary())])
+    return run
 
 
-def _prefixes(batches):
-    """Step 3: of each document the shared shingles among its rarest n - ceil(3n/4) + 1."""
-    for b in batches:
-        fps, outs, ns = b.column("fp").to_pylist(), [], []
-        for n, ranges in zip(b.column("n").to_pylist(), b.column("ranges").to_pylist()):
-            names = np.frombuffer(b"".join(x["names"] for x in ranges), U)
-            df = np.frombuffer(b"".join(x["dfs"] for x in ranges), np.uint32)
-            first = n - -(-PER_CENT * n // 100) + 1 - (n - len(names))
-            outs.append(names[np.lexsort((names, df))[: max(0, first)]].astype(np.int64))
-            ns.append(n)
-        count = [len(x) for x in outs]
-        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(fps, np.int64), count)), pa.array(np.concatenate([np.empty(0, np.int64), *outs]))], ["fp", "name"])
+def _prefixes(table: pa.Table) -> pa.Table:
+    """Step 3, for one range of sets: of each that may have a partner, the shared shingles among its rarest n - ceil(3n/4) + 1."""
+    lean()
+    fps, sizes, counts, names, df = joined(table, "fps", np.int64), joined(table, "sizes", np.int32).astype(np.int64), joined(table, "counts", np.int32), joined(table, "names", U), joined(table, "dfs", np.uint32)
+    fps, at, which = np.unique(fps, return_index=True, return_inverse=True)
+    n = sizes[at]
+    owner = np.repeat(which, counts)
+    hot = np.flatnonzero(df == MANY)  # copies of a set in several tasks sent these more than once
+    if len(hot):
+        order = hot[np.lexsort((names[hot], owner[hot]))]
+        again = np.append(False, (names[order][1:] == names[order][:-1]) & (owner[order][1:] == owner[order][:-1]))
+        stay = np.ones(len(names), bool)
+        stay[order[again]] = False
+        names, df, owner = names[stay], df[stay], owner[stay]
+    have = np.bincount(owner, minlength=len(n))
+    alive = (100 * have >= PER_CENT * n)[owner]
+    names, df, owner = names[alive], df[alive], owner[alive]
+    order = np.lexsort((names, df, owner))
+    names, owner = names[order], owner[order]
+    begins = np.searchsorted(owner, np.arange(len(n)))
+    first = n - -(-PER_CENT * n // 100) + 1 - (n - have)
+    take = np.arange(len(owner)) - begins[owner] < first[owner]
+    return pa.table([pa.array(fps[owner[take]]), pa.array(names[take].astype(np.int64))], names=["fp", "name"])
 
 
 def _spanning(n: int, pairs, labels: np.ndarray | None = None) -> list[tuple[int, int]]:
@@ -225,8 +265,8 @@ def _named_sets(batches):
         yield pa.RecordBatch.from_arrays([b.column("fp"), b.column("cand"), pa.array([x.tobytes() for x in got], pa.binary())], ["fp", "cand", "names"]).filter(own)
 
 
-def _products(members: DataFrame) -> DataFrame:
-    """Links between the sets of each candidate component; members: fp, cand, names."""
+def _products(members: DataFrame, met: DataFrame) -> DataFrame:
+    """Links between the sets of each candidate component; members: fp, cand, names; met: fp, name of their rarest shingles."""
     size = keep(members.groupBy("cand").agg(F.count("*").alias("m")).where(F.col("m") > BLOCK))  # at most a row for each BLOCK
     members = members.join(size, "cand", "left").withColumn("m", F.coalesce("m", F.lit(1))).withColumn("label", F.col("fp"))
     spread = F.pmod(F.xxhash64("fp"), F.ceil(F.col("m") / BLOCK))
@@ -255,11 +295,22 @@ def _products(members: DataFrame) -> DataFrame:
             F.when(big, F.pmod(F.xxhash64("fp"), F.ceil(F.col("held") / BLOCK))).otherwise(F.pmod(F.xxhash64("label"), F.ceil(F.col("small") / BLOCK))).alias("no"),
         )
     )
-    blocks = large.select("cand", F.coalesce(F.col("of").cast("string"), F.lit("")).alias("of"), "no").distinct()
-    x, y = blocks.alias("x"), blocks.alias("y")
-    order = (F.col("x.of") < F.col("y.of")) | ((F.col("x.of") == F.col("y.of")) & (F.col("x.no") <= F.col("y.no")))
-    todo = x.join(y, F.col("x.cand") == F.col("y.cand")).where(order & ((F.col("x.of") != F.col("y.of")) | (F.col("x.of") == "")))
-    todo = todo.select(F.col("x.cand").alias("cand"), F.col("x.of").alias("o1"), F.col("x.no").alias("n1"), F.col("y.of").alias("o2"), F.col("y.no").alias("n2"))
+    blocks = large.select("cand", "fp", F.coalesce(F.col("of").cast("string"), F.lit("")).alias("of"), "no")
+    held = keep(met.join(blocks, "fp").groupBy("cand", "name", "of", "no").agg(F.lit(1).alias("one")).drop("one"))
+    blocks = keep(blocks.select("cand", "of", "no").distinct())
+    # Pairs of blocks with a shingle in common, if they are fewer than all pairs.
+    dense = blocks.groupBy("cand").agg((F.count("*") * F.count("*")).alias("every"))
+    sparse = held.groupBy("cand", "name").agg(F.count("*").alias("b")).groupBy("cand").agg(F.sum(F.col("b") * F.col("b")).alias("some"))
+    few = keep(dense.join(sparse, "cand", "left").select("cand", F.coalesce(F.col("some") < F.col("every"), F.lit(True)).alias("few")))
+    one = lambda x: F.struct(F.col(f"{x}.of").alias("of"), F.col(f"{x}.no").alias("no"))
+    pair = [F.col("x.cand").alias("cand"), one("x").alias("p"), one("y").alias("q")]
+    every = blocks.join(few.where("NOT few"), "cand")
+    shared = held.join(few.where("few"), "cand")
+    todo = every.alias("x").join(every.alias("y"), F.col("x.cand") == F.col("y.cand")).select(*pair)
+    todo = todo.unionByName(shared.alias("x").join(shared.alias("y"), (F.col("x.cand") == F.col("y.cand")) & (F.col("x.name") == F.col("y.name"))).select(*pair))
+    order = (F.col("p.of") < F.col("q.of")) | ((F.col("p.of") == F.col("q.of")) & (F.col("p.no") <= F.col("q.no")))
+    todo = todo.where(order & ((F.col("p.of") != F.col("q.of")) | (F.col("p.of") == ""))).distinct()
+    todo = todo.select("cand", F.col("p.of").alias("o1"), F.col("p.no").alias("n1"), F.col("q.of").alias("o2"), F.col("q.no").alias("n2"))
     todo = todo.select("cand", F.xxhash64("cand", "o1", "n1", "o2", "n2").alias("pair"), F.explode(F.array_distinct(F.array(F.struct(F.col("o1").alias("of"), F.col("n1").alias("no")), F.struct(F.col("o2").alias("of"), F.col("n2").alias("no"))))).alias("s"))
     todo = todo.select("cand", "pair", F.col("s.of").alias("of"), F.col("s.no").alias("no"))
     rows = large.withColumn("of", F.coalesce(F.col("of").cast("string"), F.lit(""))).join(todo, ["cand", "of", "no"])
@@ -276,11 +327,10 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     reps = keep(sets.where("fp is not null").groupBy("fp").agg(F.min("doc_id").alias("first"), F.max("n_shingles").alias("n")))
     total = reps.agg(F.coalesce(F.sum("n"), F.lit(0))).head()[0]
     parts = parts_for(total, RANGE)
-    blobs = docs.mapInArrow(_columns(parts), "part int, fps binary, sizes binary, counts binary, names binary")
-    shared = keep(blobs.groupBy("part").applyInArrow(_shared, "fp long, n long, shared long, names binary, dfs binary"))
-    alive = shared.groupBy("fp").agg(F.sum("shared").alias("all")).join(reps.select("fp", "n"), "fp").where(100 * F.col("all") >= PER_CENT * F.col("n")).select("fp")
-    gathered = shared.join(alive, "fp").groupBy("fp", "n").agg(F.collect_list(F.struct("names", "dfs")).alias("ranges"))  # one row a range at most
-    met = keep(gathered.mapInArrow(_prefixes, "fp long, name long"))
+    frequent = spark.sparkContext.broadcast(frequent_shingles(docs, total))
+    blobs = by_range(docs.mapInArrow(_columns(parts, frequent), schema(_IDS, _NAMES)), 2 * parts, _IDS, _NAMES)
+    found = by_range(blobs.groupBy("part").applyInArrow(_shared(parts), schema(_IDS, _FOUND)), parts, _IDS, _FOUND)
+    met = keep(found.groupBy("part").applyInArrow(_prefixes, "fp long, name long"))
     head = keep(met.groupBy("name").agg(F.min("fp").alias("head"), F.count("*").alias("n")).where("n > 1"))
     star = met.join(head, "name").select("fp", "head").where("fp <> head").distinct()
     cand = components(star, "fp", "head").select(F.col("node").alias("fp"), F.col("comp").alias("cand"))
@@ -288,7 +338,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     chosen = keep(cand.join(reps.select("fp", F.col("first").alias("doc_id")), "fp"))
     members = keep(likely(docs, "doc_id", chosen).join(chosen, "doc_id").select("fp", "cand", "text").repartition(width(spark), "fp").mapInArrow(_named_sets, "fp long, cand long, names binary"))
     first = reps.select("fp", "first")
-    linked = keep(components(_products(members)).select(F.col("node").alias("fp"), "comp").join(first, "fp"))
+    linked = keep(components(_products(members, met)).select(F.col("node").alias("fp"), "comp").join(first, "fp"))
     smallest = keep(linked.groupBy("comp").agg(F.min("first").alias("component_id")))
     linked = linked.join(smallest, "comp").select("fp", "component_id")
     named = keep(first.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id")))

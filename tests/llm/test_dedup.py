@@ -49,6 +49,54 @@ def test_near_copies(spark, monkeypatch):
     assert components_of(spark, docs) == brute.jaccard([(d, t) for d, t, *_ in docs])
 
 
+@pytest.mark.parametrize("fan", [4, 2048])
+def test_shingle_in_every_document(spark, monkeypatch, fan):
+    """One passage in all documents, ranges dealt at once or in two steps, with its shingles known as frequent."""
+    from lectern.llm import dealing
+
+    for name, value in (("RANGE", 500), ("FLUSH", 700), ("LEAST_SAMPLE", 1000), ("SHARE", 2), ("FREQUENT", 20), ("SEEN", 10), ("BLOCK", 16)):
+        monkeypatch.setattr(jaccard, name, value)
+    monkeypatch.setattr(dealing, "FAN", fan)
+    r = random.Random(8)
+    common = [f"c{i}" for i in range(60)]
+    rows = []
+    for g in range(60):
+        base = common + [f"v{r.randrange(10**6)}" for _ in range(r.randint(0, 60))]
+        rows += [edits(r, base, r.randint(0, 5)) for _ in range(r.randint(1, 4))]
+    rows += [rows[3]] * 15 + [" ".join(common)] * 5
+    r.shuffle(rows)
+    docs = [(i, t, "en", "s") for i, t in enumerate(rows)]
+    assert len(jaccard.frequent_shingles(make(spark, docs).select("doc_id", "text"), 10_000)) >= 20
+    assert components_of(spark, docs) == brute.jaccard([(d, t) for d, t, *_ in docs])
+
+
+def test_chained_groups(spark, monkeypatch):
+    """A large candidate component whose documents hang together in a chain: only pairs of blocks with a shingle in common meet."""
+    monkeypatch.setattr(jaccard, "BLOCK", 8)
+    words = [f"w{i}" for i in range(3000)]
+    rows = [" ".join(words[10 * i : 10 * i + r]) for i in range(200) for r in (100, 96)]
+    docs = [(i, t, "en", "s") for i, t in enumerate(rows)]
+    assert components_of(spark, docs) == brute.jaccard([(d, t) for d, t, *_ in docs])
+
+
+def test_long_sets_keep_their_shingles():
+    """Names keep their 64 bits on the way."""
+    r = np.random.default_rng(4)
+    names = np.unique(r.integers(0, 2**63, 600_000).astype(np.uint64))
+
+    class Held:
+        value = np.empty(0, np.uint64)
+
+    import pyarrow as pa
+
+    from lectern.llm.dealing import joined
+
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(jaccard, "shingles", lambda t: names)
+        got = [joined(pa.Table.from_batches([b]), "names", np.uint64) for b in jaccard._columns(64, Held)([pa.RecordBatch.from_arrays([pa.array(["x"])], ["text"])])]
+    assert np.array_equal(np.sort(np.concatenate(got)), names)
+
+
 def test_odd_texts(spark, odd):
     got = jaccard.jaccard_components(make(spark, odd)).collect()
     assert len(got) == len(odd)
