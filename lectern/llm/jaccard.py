@@ -6,7 +6,8 @@
    document, which of its shingles occur in another document of a fitting size, and in how many, and deals that back by
    document. A document with fewer than 3/4 of its shingles so shared has no partner: its overlap with anything stays below
    the bound that its size sets. Shingles that a bounded hashed sample of the texts shows to be very frequent don't meet in
-   their range: they count as shared, and as the most frequent ones, which loses no pair and keeps ranges small.
+   their range: they count as shared, and as the most frequent ones, which loses no pair and keeps ranges small. On this way a
+   shingle goes by its range and 32 bits; two that fall together are both kept and only look shared, and step 4 tells them apart.
 3. Of the documents left, the rarest n - ceil(3n/4) + 1 shingles must meet a partner's. Shingles that meet span candidate
    components; nothing is emitted per pair.
 4. In each candidate component the product of incidence blocks (128 documents a side) accumulates overlap counts; pairs
@@ -37,7 +38,7 @@ SHINGLE = 5
 #: Overlap bound as 100 * intersection >= PER_CENT * union.
 PER_CENT = 75
 #: Shingles in one range of columns, shingles gathered before a map task sends blobs, documents on a side of a block.
-RANGE, FLUSH, BLOCK = 1_000_000, 500_000, 128
+RANGE, FLUSH, BLOCK = 2_000_000, 500_000, 128
 #: Sets that a map task remembers to have sent.
 SEEN = 500_000
 #: Shingles in the sample for frequent ones: one in SHARE, within these bounds; sets of it that make a shingle frequent.
@@ -45,7 +46,7 @@ SHARE, LEAST_SAMPLE, MOST_SAMPLE, FREQUENT = 32, 2_000_000, 64_000_000, 32
 #: What stands for the number of sets with a frequent shingle.
 MANY = 0xFFFFFFFF
 _IDS = {"fps": np.int64, "sizes": np.int32}
-_NAMES, _FOUND = {"names": U}, {"names": U, "dfs": np.uint32}
+_NAMES, _FOUND = {"names": np.uint32}, {"names": U, "dfs": np.uint32}
 CHUNK = 4096
 
 
@@ -124,10 +125,12 @@ def _columns(parts: int, frequent):
         n = np.array([len(x) for x in held])
         names, owner, ids = np.concatenate(held), np.repeat(np.arange(len(held)), n), np.array(fps, np.int64)
         fine = ((names >> U(32)) % U(parts)).astype(np.int64)
+        short = names.astype(np.uint32)
         if len(hot):
-            known = hot[np.minimum(np.searchsorted(hot, names), len(hot) - 1)] == names
-            fine[known] = parts + ids[owner[known]] % parts
-        return deal(2 * parts, fan, fine, owner, {"fps": ids, "sizes": n.astype(np.int32)}, {"names": names})
+            place = np.minimum(np.searchsorted(hot, names), len(hot) - 1)
+            known = hot[place] == names
+            fine[known], short[known] = parts + ids[owner[known]] % parts, place[known]
+        return deal(2 * parts, fan, fine, owner, {"fps": ids, "sizes": n.astype(np.int32)}, {"names": short})
 
     def run(batches):
         lean()
@@ -158,8 +161,10 @@ def _shared(parts: int):
 
     def run(table: pa.Table) -> pa.Table:
         lean()
-        fps, sizes, counts, names = joined(table, "fps", np.int64), joined(table, "sizes", np.int32), joined(table, "counts", np.int32), joined(table, "names", U)
-        if table.column("part")[0].as_py() >= parts:  # frequent shingles
+        fps, sizes, counts, names = joined(table, "fps", np.int64), joined(table, "sizes", np.int32), joined(table, "counts", np.int32), joined(table, "names", np.uint32)
+        part = table.column("part")[0].as_py()
+        if part >= parts:  # frequent shingles, by their place among them
+            part = (1 << 31) - 1
             owner, df = np.repeat(np.arange(len(fps)), counts), np.full(len(names), MANY, np.uint32)
         else:
             order = np.lexsort((fps, sizes))
@@ -177,6 +182,7 @@ def _shared(parts: int):
             group = np.append(0, np.cumsum(~same))
             df = np.minimum(np.bincount(group), MANY - 1)[group][hit].astype(np.uint32)
             names, owner = names[hit], owner[hit]
+        names = names.astype(U) | U(part << 32)
         return pa.Table.from_batches([deal(parts, fan, fps[owner] % parts, owner, {"fps": fps, "sizes": sizes}, {"names": names, "dfs": df})])
 
     return run

@@ -79,22 +79,27 @@ def test_chained_groups(spark, monkeypatch):
     assert components_of(spark, docs) == brute.jaccard([(d, t) for d, t, *_ in docs])
 
 
-def test_long_sets_keep_their_shingles():
-    """Names keep their 64 bits on the way."""
-    r = np.random.default_rng(4)
-    names = np.unique(r.integers(0, 2**63, 600_000).astype(np.uint64))
+def test_shingles_that_fall_together(spark, monkeypatch):
+    """Shingles whose names agree on the way to their range are both kept: no link is lost at the very bound."""
+    r = random.Random(2)
+    rows = []
+    for g in range(25):
+        base = [f"v{r.randrange(10**6)}" for _ in range(84)]  # 80 shingles; 75 % of the union at the least
+        rows += [" ".join(base), " ".join([*base[: 84 - 10], *(f"x{r.randrange(10**6)}" for _ in range(10))])]
+        rows += [" ".join([*base, *(f"y{r.randrange(10**6)}" for _ in range(26))])]
+    docs = [(i, t, "en", "s") for i, t in enumerate(rows)]
+    want = brute.jaccard([(d, t) for d, t, *_ in docs])
 
-    class Held:
-        value = np.empty(0, np.uint64)
+    def coarse(table):  # 32 bits are cut to 5: in each range, many shingles of a set fall together
+        got = table.column("names").to_pylist()
+        names = [(np.frombuffer(x, np.uint32) & np.uint32(31)).tobytes() for x in got]
+        return table.set_column(table.schema.get_field_index("names"), "names", pa.array(names, pa.binary()))
 
     import pyarrow as pa
 
-    from lectern.llm.dealing import joined
-
-    with pytest.MonkeyPatch.context() as m:
-        m.setattr(jaccard, "shingles", lambda t: names)
-        got = [joined(pa.Table.from_batches([b]), "names", np.uint64) for b in jaccard._columns(64, Held)([pa.RecordBatch.from_arrays([pa.array(["x"])], ["text"])])]
-    assert np.array_equal(np.sort(np.concatenate(got)), names)
+    plain = jaccard._shared
+    monkeypatch.setattr(jaccard, "_shared", lambda parts: (lambda run: lambda table: run(coarse(table)))(plain(parts)))
+    assert components_of(spark, docs) == want
 
 
 def test_odd_texts(spark, odd):
