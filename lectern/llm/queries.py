@@ -80,11 +80,12 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import functions as F
 
-    from lectern.llm.toxicity import char_counts, learn, sample, score
+    from lectern.llm.toxicity import gather, learn, restored, sample, score
 
     docs = _table(spark, sf_dir, "documents")
     rows = sample(docs, _table(spark, sf_dir, "labels").where(~_held_out()))
-    out = score(docs, learn(rows, char_counts(docs)))
+    words = restored(gather(docs))
+    out = score(docs, learn(rows, words), words)
     return out.select("doc_id", _held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 

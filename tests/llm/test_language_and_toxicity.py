@@ -141,26 +141,118 @@ def test_toxicity_learns(spark):
         if i < 400:
             labels.append((i, 1, int(i % 4 == 0)))
     docs = make(spark, rows)
-    scorer = toxicity.learn(toxicity.sample(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int")), toxicity.char_counts(docs))
+    words = toxicity.restored(toxicity.gather(docs))
+    scorer = toxicity.learn(toxicity.sample(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int")), words)
     assert {"idiot", "trash"} <= set(scorer.weights) and not any(w.startswith("word") for w in scorer.weights)
-    got = {x.doc_id: x.score for x in toxicity.score(docs, scorer).collect()}
+    got = {x.doc_id: x.score for x in toxicity.score(docs, scorer, words).collect()}
     wrong = [(i, got[i], rows[i][1]) for i in range(600) if (got[i] >= 0.5) != (i % 4 == 0)]
     assert not wrong
 
 
+def test_whole_counts_and_decoding(spark, monkeypatch):
+    """The table of counts is that of all words, and decoding in groups that ask for their counts equals decoding with all."""
+    from collections import Counter
+
+    monkeypatch.setattr(toxicity, "TOGETHER", 20)
+    r = random.Random(2)
+    letters = "abcdeéßжщ汉"
+    texts = [" ".join("".join(r.choice(letters) for _ in range(r.randint(1, 9))).title() + r.choice(["", ".", "!", "3", "@x", "iii"]) for _ in range(30)) for _ in range(40)]
+    texts += ["i d i o t s", "an 1d10t!", "x" * 60 + "9" * 300 + "y", "w.o.r.d and w0rd", None, ""]
+    docs = make(spark, [(i, t, "en", "s") for i, t in enumerate(texts)])
+    want = Counter()
+    for t in texts:
+        for w in (t or "").split():
+            core = w.strip(toxicity._EDGE).lower()
+            if core.isalpha():
+                want.update(toxicity.word_grams(core))
+    g = toxicity.gather(docs)
+    assert dict(g.counts.collect()) == want
+    model = toxicity.CharModel(dict(want))
+    got = {x.token: x.word for x in toxicity.restored(g).collect()}
+    odd = {f for t in texts if t for f in [*toxicity.set_apart(t), *(toxicity.plain_or_odd(w)[1] for w in t.split())]} - {None}
+    assert set(got) == odd and len(odd) > 100
+    assert all(got[x] == toxicity.decode(x, model) for x in odd)
+
+
+def test_long_disguises(spark):
+    """Disguises of more characters than any bound are found: in one token, and set apart by spaces."""
+    plain = [f"word{i}" for i in range(50)]
+    r = random.Random(1)
+    rows = [(i, " ".join(r.choice(plain) for _ in range(15)) + (r.choice([" idiot here", " you idiot", " an idiot so", " idiot idiot"]) + f" z{i}" if i % 3 == 0 else ""), "en", "s") for i in range(300)]
+    long = ["i" * 41 + "d1ot", "i-" * 30 + "d-i-o-t", " ".join("i" * 30 + "diot"), "1" * 45 + "diot"]
+    rows += [(1000 + k, f"word1 word2 {x} word3", "en", "s") for k, x in enumerate(long)]
+    docs = make(spark, rows)
+    words = toxicity.restored(toxicity.gather(docs))
+    labels = spark.createDataFrame([(i, 1, int(i % 3 == 0)) for i in range(300)], "doc_id long, quality int, toxic int")
+    got = {x.doc_id: x.score for x in toxicity.score(docs, toxicity.learn(toxicity.sample(docs, labels), words), words).collect()}
+    assert all(got[1000 + k] >= 0.5 for k in range(len(long))), [got[1000 + k] for k in range(len(long))]
+
+
+def brute_scores(docs, rows):
+    """Scores of texts by going through the steps one text at a time, with one model of everything."""
+    import math
+    from collections import Counter
+
+    counts = Counter()
+    for t in docs:
+        for w in (t or "").split():
+            core = w.strip(toxicity._EDGE).lower()
+            if core.isalpha():
+                counts.update(toxicity.word_grams(core))
+    r = toxicity.Restorer(toxicity.CharModel(dict(counts)))
+    near, n, bad = {}, len(rows), sum(y for _, y in rows)
+    for t, y in rows:
+        if y:
+            w = [x for x in map(r.word, t.split()) if x] + r.apart(t)
+            first = {}
+            for a, x, b in zip(["", *w], w, [*w[1:], ""]):
+                if x.isalpha():
+                    first[x] = min(first.get(x, f"{a} {b}"), f"{a} {b}")
+            for x, c in first.items():
+                near.setdefault(x, set()).add(c)
+    wanted = {f for x, c in near.items() if len(c) >= toxicity.SUPPORT for f in toxicity.features(x)}
+    weights = {}
+    has = [({f for x in {*map(r.word, t.split())} for f in toxicity.features(x)} | {f for x in r.apart(t) for i in range(len(x)) for j in range(i + toxicity.STEM, len(x) + 1) if x[i:j] in wanted for f in toxicity.features(x[i:j])}, y) for t, y in rows]
+    for f in wanted:
+        a, b = sum(y for s, y in has if f in s), sum(1 - y for s, y in has if f in s)
+        odds = (a + 0.5) / (bad + 1) / ((b + 0.5) / (n - bad + 1))
+        if a > b and math.log(odds) - math.sqrt(1 / (a + 0.5) + 1 / (b + 0.5)) > math.log(toxicity.ODDS):
+            weights[f] = min(6.0, math.log(odds))
+    return weights
+
+
+def test_lexicon_against_brute_force(spark):
+    r = random.Random(9)
+    plain, bad = [f"pl{chr(97 + i // 26)}{chr(97 + i % 26)}n" for i in range(80)], ["idiot", "trash", "loser"]
+    disguise = lambda w: r.choice([w, w, w.replace("i", "1").replace("a", "@"), w[0] + w[1] * 4 + w[2:], "-".join(w), " ".join(w), w + "s"])
+    rows = []
+    for i in range(240):
+        w = [r.choice(plain) for _ in range(12)]
+        if i % 3 == 0:
+            w[r.randrange(12)] = disguise(r.choice(bad))
+        rows.append((i, " ".join(w), "en", "s"))
+    docs = make(spark, rows)
+    labels = spark.createDataFrame([(i, 1, int(i % 3 == 0)) for i in range(200)], "doc_id long, quality int, toxic int")
+    scorer = toxicity.learn(toxicity.sample(docs, labels), toxicity.restored(toxicity.gather(docs)))
+    want = brute_scores([t for _, t, *_ in rows], [(t, int(i % 3 == 0)) for i, t, *_ in rows[:200]])
+    assert set(scorer.weights) == set(want) and all(abs(scorer.weights[f] - want[f]) < 1e-9 for f in want) and {"idiot", "trash", "loser"} <= set(want)
+
+
 def test_toxicity_held_out(spark):
     labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
     got = QUERIES["op8_toxicity"](spark, "/root/testdata/sf0.1").join(labels, "doc_id").where("held_out").collect()
     assert len(got) > 500
     toxic, clean = [r for r in got if r.toxic], [r for r in got if not r.toxic]
-    assert sum(r.predicted for r in toxic) >= 0.88 * len(toxic)  # some labels have no toxic word in their text
+    assert sum(r.predicted for r in toxic) >= 0.9 * len(toxic)  # some labels have no toxic word in their text
     assert sum(r.predicted for r in clean) <= 0.01 * len(clean)
 
 
 def test_toxicity_of_odd_texts(spark, odd):
     docs = make(spark, odd)
+    words = toxicity.restored(toxicity.gather(docs))
     for labels in ([], [(1, 1, 1)], [(1, 1, 0), (3, 1, None), (None, 1, 1)], [(1, 1, 1), (7, 0, 0)]):
         table = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
-        got = toxicity.score(docs, toxicity.learn(toxicity.sample(docs, table), toxicity.char_counts(docs))).collect()
+        got = toxicity.score(docs, toxicity.learn(toxicity.sample(docs, table), words), words).collect()
         assert len(got) == len(odd) and all(0 <= r.score <= 1 for r in got)
-    assert toxicity.char_counts(make(spark, [])) == {}
+    none = toxicity.gather(make(spark, []))
+    assert none.counts.count() == 0 and toxicity.restored(none).count() == 0
