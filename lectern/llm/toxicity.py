@@ -52,6 +52,7 @@ _SIGNS = "".join(map(re.escape, STANDS))
 _ODD = re.compile(rf"[^\W\d_][{_SIGNS}]|[{_SIGNS}][^\W\d_]|([^\W\d_])\1\1|^\w{{1,3}}(?:[{re.escape(SEPARATORS)}]+\w{{1,3}}){{2,}}$")
 #: The same for tokens of any length: an underline is a separator only, or the time would grow exponentially.
 _LONG_ODD = re.compile(_ODD.pattern.replace(r"]+\w{1,3}){2,}$", r"]++[^\W_]{1,3}){2,}$"))
+_THRICE = re.compile(r"([^\W\d_])\1\1")
 _APART = re.compile(r"(?<!\S)\S(?:[ \t]+\S){3,}(?!\S)")
 
 
@@ -146,9 +147,13 @@ def plain_or_odd(token: str) -> tuple[str, str | None]:
     core = token.strip(_EDGE).lower()
     if not core:
         return core, None
+    if token.isalpha():  # only a repeated letter can make such a word look disguised
+        return core, core if _THRICE.search(core) else None
     low = token.lower()
     at = low.index(core)
     full = "".join(c for c in low[:at] if c in STANDS) + core + "".join(c for c in low[at + len(core) :] if c in STANDS)
+    if full.isalpha():
+        return core, full if _THRICE.search(full) else None
     return core, full if (_ODD if len(full) <= LONGEST else _LONG_ODD).search(full) else None
 
 
@@ -211,7 +216,7 @@ class Scorer:
     weights: dict[str, float]
     curve: tuple[float, float, float]
     known: dict[str, float] = field(default_factory=dict)
-    nothing: set[str] = field(default_factory=set)
+    heads: frozenset[str] | None = None
 
     def weight(self, word: str) -> float:
         got = self.known.get(word)
@@ -232,16 +237,15 @@ class Scorer:
 
     def plain(self, text: str | None) -> set[str]:
         """Words that weigh among the tokens that aren't disguised."""
-        out = set()
-        if text and self.weights:
-            for token in set(text.split()) - self.nothing:
-                core, full = plain_or_odd(token)
-                if full is None and self.weight(core):
-                    out.add(core)
-                else:
-                    self.nothing.add(token)
-            if len(self.nothing) > 2 * REMEMBERED:
-                self.nothing.clear()
+        if not text or not self.weights:
+            return set()
+        if self.heads is None:  # what weighs begins as some word or beginning of the lexicon
+            self.heads = frozenset(f.rstrip("*")[:STEM] for f in self.weights)
+        heads, out = self.heads, set()
+        for token in set(text.split()):
+            core = token.strip(_EDGE).lower()
+            if core[:STEM] in heads and plain_or_odd(token)[1] is None and self.weight(core):
+                out.add(core)
         return out
 
     def score(self, evidence: tuple[float, float]) -> float:
@@ -299,24 +303,32 @@ def gather(docs: DataFrame) -> Gathered:
     def run(batches):
         lean()
         words: Counter[str] = Counter()
-        held: dict[str, str | None] = {}
+        plain, before, full, keys = set(), set(), {}, set()  # tokens met, those met earlier, disguised ones, and these as a set
         for b in batches:
+            names, texts = b.column("row").to_pylist(), b.column("text").to_pylist()
+            tokens = [t.split() if t else [] for t in texts]
+            fresh: set[str] = set()
+            for x in tokens:
+                words.update(x)
+                fresh.update(x)
+            if len(full) > REMEMBERED:
+                full.clear()
+                keys.clear()
+            for token in fresh.difference(plain, before, keys):
+                odd_form = plain_or_odd(token)[1]
+                if odd_form is None:
+                    plain.add(token)
+                else:
+                    full[token] = odd_form
+                    keys.add(token)
             rows, odd = [], []
-            for row, t in zip(b.column("row").to_pylist(), b.column("text").to_pylist()):
-                if not t:
-                    continue
-                tokens = t.split()
-                words.update(tokens)
-                full = set(set_apart(t))
-                for token in set(tokens):
-                    if token not in held:
-                        if len(held) > REMEMBERED:
-                            held.clear()
-                        held[token] = plain_or_odd(token)[1]
-                    if held[token] is not None:
-                        full.add(held[token])
-                rows += [row] * len(full)
-                odd += sorted(full)
+            for row, t, x in zip(names, texts, tokens):
+                if t:
+                    forms = {full[token] for token in keys.intersection(x)}.union(set_apart(t))
+                    rows += [row] * len(forms)
+                    odd += sorted(forms)
+            if len(plain) > REMEMBERED:
+                plain, before = set(), plain
             none = [None] * len(odd)
             yield pa.RecordBatch.from_arrays([pa.array(none, pa.string()), pa.array(none, pa.int64()), pa.array(rows, pa.int64()), pa.array(odd, pa.string())], ["gram", "n", "row", "token"])
             if len(words) > COUNTED:
