@@ -1,8 +1,9 @@
 """Quality classifier by hierarchical empirical Bayes: document evidence, host and path posteriors, global prior.
 
-1. Each text gives a few features (shares of symbols, capitals, digits, repeated words and lines, and so on) in one pass.
+1. Each text gives a few features (shares of symbols, capitals, digits, repeated words and lines, and so on) and the shares of
+   its lower-cased words by hash bucket (BUCKETS of them), in one pass.
 2. A logistic curve, fitted to a bounded labelled sample (the TRAIN_ROWS labelled rows whose doc_id has the smallest
-   hash), makes them the document's evidence: the probability that its quality is good.
+   hash; at most TRAIN_ROWS * BUCKETS counts), makes them the document's evidence: the probability that its quality is good.
 3. Grouped sums give each host's mean evidence, shrunk towards the global mean, and each path's (a section of a host),
    shrunk towards its host's. A level's strength - how many documents its parent counts for - is fitted by moments to how
    far the groups' means scatter beyond what their sizes explain.
@@ -21,7 +22,9 @@ from pyspark.sql import functions as F
 
 from lectern.llm.runtime import keep
 
-TRAIN_ROWS, PULL, KEEP = 20_000, 0.5, 0.5
+TRAIN_ROWS, BUCKETS, PULL, KEEP = 20_000, 512, 0.5, 0.5
+#: What a bucket's share counts for beside the other features, and the ridges of both.
+SPREAD, RIDGE, WORD_RIDGE = 20.0, 0.1, 1.0
 WEAKEST, STRONGEST = 2.0, 10_000.0
 _SPACE = r"[\\x20\\x09-\\x0D]+"
 FEATURES = ("f_words", "f_length", "f_symbols", "f_capitals", "f_digits", "f_words_again", "f_lines_again", "f_ends")
@@ -41,23 +44,43 @@ _STEPS = (
 )
 
 
-def features(docs: DataFrame, host: str, path: str) -> DataFrame:
-    """doc_id, host, path and FEATURES of every row."""
-    rows = docs.select("doc_id", F.col(f"`{host}`").cast("string").alias("host"), F.col(f"`{path}`").cast("string").alias("path"), "text")
-    kept = ["doc_id", "host", "path", "text"]
+_BUCKET = f"cast(pmod(xxhash64(lower(x)), {BUCKETS}) AS int)"
+
+
+def _stepped(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, w (the words) and FEATURES of rows with a column text."""
+    kept = [*keys, "text"]
     for step in _STEPS:
         rows = rows.select(*kept, *[F.expr(e).alias(c) for c, e in step.items()])
         kept = [*kept, *step]
-    return rows.select("doc_id", "host", "path", *FEATURES)
+    return rows.select(*keys, "w", *FEATURES)
+
+
+def training_data(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Features, then bucket shares, and labels of the bounded sample, in an order of its own."""
+    known = labels.where("quality IS NOT NULL").groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_ROWS)
+    rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select(F.xxhash64("doc_id", "text").alias("row"), F.col("quality").cast("double").alias("quality"), "text")
+    rows = keep(_stepped(rows, ["row", "quality"]))
+    words = rows.select("row", F.expr(f"explode(transform(w, x -> {_BUCKET}))").alias("bucket")).groupBy("row", "bucket").agg(F.count("*").alias("n")).toPandas()
+    sample = rows.select("row", "quality", *FEATURES).toPandas().drop_duplicates("row").sort_values("row")
+    x = np.zeros((len(sample), len(FEATURES) + BUCKETS))
+    x[:, : len(FEATURES)] = sample[list(FEATURES)].to_numpy(float)
+    place = np.searchsorted(sample["row"].to_numpy(), words["row"].to_numpy())
+    x[place, len(FEATURES) + words["bucket"].to_numpy(int)] = words["n"].to_numpy(float)
+    shares = x[:, len(FEATURES) :]
+    shares *= SPREAD / np.maximum(1, shares.sum(1, keepdims=True))
+    return x, sample["quality"].to_numpy(float)
 
 
 def fit(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Weights (bias first) of a logistic curve over x, by Newton steps with a small ridge."""
     if len(y) == 0 or y.min() == y.max():
         share = (y.sum() + 0.5) / (len(y) + 1)
-        return np.array([np.log(share / (1 - share)), *np.zeros(x.shape[1] if x.ndim == 2 else len(FEATURES))])
+        return np.array([np.log(share / (1 - share)), *np.zeros(x.shape[1])])
     x = np.column_stack([np.ones(len(x)), x])
-    w, ridge = np.zeros(x.shape[1]), np.full(x.shape[1], 0.1)
+    w, ridge = np.zeros(x.shape[1]), np.full(x.shape[1], RIDGE)
+    ridge[1 + len(FEATURES) :] = WORD_RIDGE
     for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         step = np.linalg.solve((x * (p * (1 - p) + 1e-6)[:, None]).T @ x + np.diag(ridge), x.T @ (y - p) - ridge * w)
@@ -67,6 +90,16 @@ def fit(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return w
 
 
+def evidence(docs: DataFrame, host: str, path: str, w: np.ndarray) -> DataFrame:
+    """doc_id, host, path and the curve's value for every row."""
+    rows = docs.select("doc_id", F.col(f"`{host}`").cast("string").alias("host"), F.col(f"`{path}`").cast("string").alias("path"), "text")
+    rows = _stepped(rows, ["doc_id", "host", "path"])
+    each = ", ".join(f"{x!r}D" for x in (SPREAD * w[1 + len(FEATURES) :]).tolist())
+    words = F.expr(f"aggregate(w, 0.0D, (a, x) -> a + array({each})[{_BUCKET}]) / greatest(1, size(w))")
+    z = sum((F.col(f) * float(x) for f, x in zip(FEATURES, w[1:])), F.lit(float(w[0]))) + words
+    return rows.select("doc_id", "host", "path", (1 / (1 + F.exp(-F.greatest(F.lit(-12.0), F.least(F.lit(12.0), z))))).alias("evidence"))
+
+
 def _strength(groups: DataFrame, n: str, mean: str, parent) -> float:
     """Prior strength of a level by moments: groups' sizes, means, what they are shrunk to, and their inner variance."""
     d = F.col(mean) - parent
@@ -80,14 +113,7 @@ def _strength(groups: DataFrame, n: str, mean: str, parent) -> float:
 
 def quality(docs: DataFrame, labels: DataFrame, host: str, path: str) -> DataFrame:
     """doc_id, evidence, host_posterior, path_posterior, posterior, kept of every row. labels: doc_id, quality."""
-    rows = keep(features(docs, host, path))
-    known = labels.where("quality IS NOT NULL").groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_ROWS)
-    # A bounded sample: TRAIN_ROWS rows of len(FEATURES) numbers.
-    sample = np.array(rows.join(F.broadcast(known), "doc_id").select(*FEATURES, "quality").orderBy("quality", *FEATURES).collect(), float)
-    w = fit(sample[:, :-1], sample[:, -1]) if len(sample) else fit(np.empty((0, len(FEATURES))), np.empty(0))
-    z = sum((F.col(f) * float(x) for f, x in zip(FEATURES, w[1:])), F.lit(float(w[0])))
-    rows = rows.select("doc_id", "host", "path", (1 / (1 + F.exp(-F.greatest(F.lit(-12.0), F.least(F.lit(12.0), z))))).alias("evidence"))
+    rows = keep(evidence(docs, host, path, fit(*training_data(docs, labels))))
     sums = keep(rows.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum("evidence").alias("s"), F.sum(F.col("evidence") * F.col("evidence")).alias("q")))
     mean = sums.agg(F.sum("s") / F.sum("n")).head()[0]
     mean = 0.5 if mean is None else float(mean)

@@ -47,3 +47,61 @@ def test_quality(spark, odd):
     assert all(0 <= x.posterior <= 1 and x.path_posterior is not None for x in got.collect())
     assert quality(make(spark, []), labels, "source", "lang").count() == 0
     assert {x.kept for x in quality(make(spark, rows[:5]), labels.limit(0), "source", "lang").collect()} <= {True, False}
+
+
+def brute_posteriors(rows):
+    """Host, path and document posteriors from (host, path, evidence), group by group."""
+    import math
+
+    import numpy as np
+
+    def strength(groups, parent):
+        n, k = sum(len(v) for v in groups.values()), len(groups)
+        if k < 2 or n <= k:
+            return 10_000.0
+        inner = sum(len(v) * max(0.0, np.mean(np.square(v)) - np.mean(v) ** 2) for v in groups.values()) / (n - k)
+        between = (sum(len(v) * (np.mean(v) - parent[g]) ** 2 for g, v in groups.items()) - (k - 1) * inner) / n
+        return 10_000.0 if between <= 0 else min(10_000.0, max(2.0, inner / between))
+
+    hosts, paths = {}, {}
+    for h, p, e in rows:
+        hosts.setdefault(h, []).append(e)
+        paths.setdefault((h, p), []).append(e)
+    mean = sum(e for *_, e in rows) / len(rows)
+    a = strength(hosts, dict.fromkeys(hosts, mean))
+    host = {h: (sum(v) + a * mean) / (len(v) + a) for h, v in hosts.items()}
+    b = strength(paths, {g: host[g[0]] for g in paths})
+    path = {g: (sum(v) + b * host[g[0]]) / (len(v) + b) for g, v in paths.items()}
+    odds = lambda x: math.log(x / (1 - x))
+    safe = lambda x: min(1 - 1e-6, max(1e-6, x))
+    return [(host[h], path[h, p], 1 / (1 + math.exp(-(odds(safe(e)) + 0.5 * (odds(safe(path[h, p])) - odds(safe(mean))))))) for h, p, e in rows]
+
+
+def test_posteriors_against_brute_force(spark, odd):
+    """Shrunk means of hosts and paths, and documents' posteriors, from the evidence."""
+    r = random.Random(12)
+    words = ["some", "plain", "words", "in", "order", "here", "and", "there"]
+    rows = [(i, " ".join(r.choice(words) for _ in range(r.randint(3, 60))) + ("!!! BUY" if r.random() < (i % 5) / 5 else "."), r.choice(["en", "de", None]), f"s{i % 5}" if i % 11 else None) for i in range(400)]
+    rows += [(None if d is None else 1000 + d, t, lang, s) for d, t, lang, s in odd]
+    labels = spark.createDataFrame([(i, int("BUY" not in rows[i][1]), 0) for i in range(0, 400, 3)], "doc_id long, quality int, toxic int")
+    docs = make(spark, rows)
+    got = quality(docs, labels, "source", "lang").collect()
+    where = {}
+    for d, _, lang, s in rows:
+        where.setdefault(d, []).append((s, lang))
+    every = [(*where[x.doc_id][0], x.evidence) for x in got]  # repeated rows of the fixture agree in host and path
+    want = brute_posteriors(every)
+    assert len(got) == len(rows)
+    for x, (host, path, posterior) in zip(got, want):
+        assert abs(x.host_posterior - host) < 1e-9 and abs(x.path_posterior - path) < 1e-9 and abs(x.posterior - posterior) < 1e-9
+        assert x.kept == (x.posterior >= 0.5)
+
+
+def test_word_evidence(spark):
+    """Texts alike in all but their words are told apart."""
+    r = random.Random(3)
+    good, bad = [f"good{i}" for i in range(30)], [f"evil{i}" for i in range(30)]
+    rows = [(i, " ".join(r.choice(good if i % 2 else bad) for _ in range(40)), "en", f"s{i % 3}") for i in range(400)]
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(200)], "doc_id long, quality int, toxic int")
+    got = quality(make(spark, rows), labels, "source", "lang").where("doc_id >= 200").collect()
+    assert sum(x.kept == (x.doc_id % 2 == 1) for x in got) >= 0.97 * len(got)
