@@ -57,33 +57,40 @@ def _stepped(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def training_data(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Features, then bucket shares, and labels of the bounded sample, in an order of its own."""
+    """A column of ones, features and bucket shares, and labels of the bounded sample, in an order of its own."""
     known = labels.where("quality IS NOT NULL").groupBy("doc_id").agg(F.max("quality").alias("quality"))
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_ROWS)
     rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select(F.xxhash64("doc_id", "text").alias("row"), F.col("quality").cast("double").alias("quality"), "text")
     rows = keep(_stepped(rows, ["row", "quality"]))
-    words = rows.select("row", F.expr(f"explode(transform(w, x -> {_BUCKET}))").alias("bucket")).groupBy("row", "bucket").agg(F.count("*").alias("n")).toPandas()
-    sample = rows.select("row", "quality", *FEATURES).toPandas().drop_duplicates("row").sort_values("row")
-    x = np.zeros((len(sample), len(FEATURES) + BUCKETS))
-    x[:, : len(FEATURES)] = sample[list(FEATURES)].to_numpy(float)
-    place = np.searchsorted(sample["row"].to_numpy(), words["row"].to_numpy())
-    x[place, len(FEATURES) + words["bucket"].to_numpy(int)] = words["n"].to_numpy(float)
-    shares = x[:, len(FEATURES) :]
+    # The driver holds one matrix and the counts in Arrow; both are bounded by the sample.
+    words = rows.select("row", F.expr(f"explode(transform(w, x -> {_BUCKET}))").alias("bucket")).groupBy("row", "bucket").agg(F.count("*").cast("int").alias("n")).toArrow()
+    sample = rows.select("row", "quality", *FEATURES).toArrow()
+    names, first = np.unique(sample["row"].to_numpy(), return_index=True)
+    x = np.zeros((len(names), 1 + len(FEATURES) + BUCKETS))
+    x[:, 0] = 1
+    for k, f in enumerate(FEATURES, 1):
+        x[:, k] = sample[f].to_numpy()[first]
+    x[np.searchsorted(names, words["row"].to_numpy()), 1 + len(FEATURES) + words["bucket"].to_numpy()] = words["n"].to_numpy()
+    shares = x[:, 1 + len(FEATURES) :]
     shares *= SPREAD / np.maximum(1, shares.sum(1, keepdims=True))
-    return x, sample["quality"].to_numpy(float)
+    return x, sample["quality"].to_numpy()[first]
 
 
 def fit(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Weights (bias first) of a logistic curve over x, by Newton steps with a small ridge."""
+    """Weights of a logistic curve over x (ones, features, bucket shares), by Newton steps with small ridges, a stretch of rows at a time."""
     if len(y) == 0 or y.min() == y.max():
         share = (y.sum() + 0.5) / (len(y) + 1)
-        return np.array([np.log(share / (1 - share)), *np.zeros(x.shape[1])])
-    x = np.column_stack([np.ones(len(x)), x])
+        return np.array([np.log(share / (1 - share)), *np.zeros(x.shape[1] - 1)])
     w, ridge = np.zeros(x.shape[1]), np.full(x.shape[1], RIDGE)
     ridge[1 + len(FEATURES) :] = WORD_RIDGE
     for _ in range(100):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p) + 1e-6)[:, None]).T @ x + np.diag(ridge), x.T @ (y - p) - ridge * w)
+        bend, pull = np.diag(ridge), -ridge * w
+        for k in range(0, len(x), 2048):
+            part = x[k : k + 2048]
+            p = 1 / (1 + np.exp(-np.clip(part @ w, -30, 30)))
+            bend += (part * (p * (1 - p) + 1e-6)[:, None]).T @ part
+            pull += part.T @ (y[k : k + 2048] - p)
+        step = np.linalg.solve(bend, pull)
         w = w + np.clip(step, -2, 2)
         if abs(step).max() < 1e-8:
             break
