@@ -86,6 +86,12 @@ def main(argv: list[str] | None = None, spark=None) -> int:
     log = _log(args.output)
     report = run(spark, Options(args.input, args.output, args.temp, from_environment(args.model), args.compat))
     log.info("discovered %d, pending %d, processed %d, skipped %d, failed %d", report.discovered, report.pending, report.processed, report.skipped, report.failed)
+    log.info("formats: %s", ", ".join(f"{n} {x}" for x, n in report.formats.items()) or "none")
+    for name, (chars, delta) in report.steps.items():
+        log.info("step %s: %d characters, %+d", name, chars, delta)
+    if report.ocr:
+        log.info("ocr: %d extracted, %d blank, %d failed, %d characters", *(report.ocr[x] or 0 for x in ("extracted", "blank", "failed", "chars")))
+    log.info("tokens: %d prompt, %d completion", *report.tokens)
     log.info("lint: %d fixed, %d remaining; model: %d calls, cost %.4f", report.lint_fixed, report.lint_remaining, report.calls, report.cost)
     if report.aborted:
         log.error("%s", report.aborted)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lectern.functions.text import strip
+
 LEAST_SIDE, SCANNED = 50, 0.8
 
 
@@ -24,10 +26,14 @@ def embedded_images(images: DataFrame) -> DataFrame:
     return kept.withColumn("asset_idx", (F.row_number().over(Window.partitionBy("rel_path").orderBy("page", "pos", "xref")) - 1).cast("long"))
 
 
+def blank(text: Column) -> Column:
+    """Whether a page's text is nothing but white space of any kind."""
+    return strip(F.coalesce(text, F.lit(""))) == ""
+
+
 def scanned(pages: DataFrame, key: str = "rel_path", text: str = "text") -> DataFrame:
     """key, pages, blank_ratio, is_scanned: at least 0.8 of the pages without text."""
-    blank = (F.trim(F.coalesce(F.col(text), F.lit(""))) == "").cast("double")
-    return pages.groupBy(key).agg(F.count("*").alias("pages"), F.avg(blank).alias("blank_ratio")).withColumn("is_scanned", F.col("blank_ratio") >= SCANNED)
+    return pages.groupBy(key).agg(F.count("*").alias("pages"), F.avg(blank(F.col(text)).cast("double")).alias("blank_ratio")).withColumn("is_scanned", F.col("blank_ratio") >= SCANNED)
 
 
 def pair_by_order(places: DataFrame, images: DataFrame, key: str, place: str, image: str) -> DataFrame:

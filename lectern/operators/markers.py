@@ -21,9 +21,10 @@ def markers(docs: DataFrame, key: str, kind: str, text: str = "markdown") -> Dat
 
 
 def splice(docs: DataFrame, key: str, replaced: DataFrame, kind: str, text: str = "markdown") -> DataFrame:
-    """docs with the markers of a kind replaced. replaced: key, ordinal, new; a null new keeps the marker."""
+    """docs with the markers of a kind replaced. replaced: key, ordinal, new; a null new keeps the marker, and of several for
+    one marker the last by value counts."""
     pattern = KINDS[kind]
-    news = replaced.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("ordinal", "new"))).alias("_new"))
+    news = replaced.groupBy(key, "ordinal").agg(F.max("new").alias("new")).groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("ordinal", "new"))).alias("_new"))
     out = docs.join(news, key, "left")
     segments = F.split(F.col(text), pattern, -1)
     whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
@@ -55,6 +56,26 @@ def formula_lookup(docs: DataFrame, formulas: DataFrame, key: str, text: str = "
     return m.join(formulas, [key, "formula_idx"], "left")
 
 
+def contexts(docs: DataFrame, key: str, kind: str = "image", text: str = "markdown", around: int = AROUND) -> DataFrame:
+    """key, ordinal, ref, context of every marker of a kind: the rule of context_around at each marker's own place.
+
+    A marker has ten characters or more, so a few pieces on either side hold all that may be needed; no text is repeated.
+    """
+    pattern, reach = KINDS[kind], around // 8 + 1
+    d = docs.select(key, F.split(F.col(text), pattern, -1).alias("s"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"), F.regexp_extract_all(text, F.lit(pattern), F.lit(1)).alias("r"))
+    tail = lambda c: F.reverse(F.substring(F.reverse(c), 1, around))
+    d = d.withColumn("before", F.transform("m", lambda m, i: F.concat(tail(F.get("s", i)), m))).withColumn("after", F.transform("m", lambda m, i: F.concat(m, F.substring(F.get("s", i + 1), 1, around))))
+
+    def one(m, i):
+        first = F.greatest(F.lit(0), i - reach)
+        left = tail(F.concat(F.array_join(F.slice("before", first + 1, i - first), ""), tail(F.get("s", i))))
+        right = F.substring(F.concat(F.substring(F.get("s", i + 1), 1, around), F.array_join(F.slice("after", i + 2, F.lit(reach)), "")), 1, around)
+        return F.struct(F.get("r", i).alias("ref"), strip(without_images(F.concat(left, right))).alias("context"))
+
+    rows = d.select(key, F.posexplode(F.transform("m", one)).alias("ordinal", "x"))
+    return rows.select(key, F.col("ordinal").cast("long").alias("ordinal"), "x.ref", "x.context")
+
+
 def context_around(docs: DataFrame, key: str, marker: Column, text: str = "markdown", around: int = AROUND) -> DataFrame:
     """key, context: up to ``around`` characters on either side of a marker's first place, without image references."""
     d = docs.select(key, F.col(text).alias("t"), marker.alias("m")).withColumn("p", F.expr("cast(instr(t, m) AS int)")).where("p > 0")

@@ -43,12 +43,12 @@ def run_counts(files: DataFrame) -> DataFrame:
 
 
 def path_rank(files: DataFrame, path: str = "rel_path") -> DataFrame:
-    """files with place: how many files come before it in path order, plus 1; equal paths share a place.
+    """files with place: how many files come before it in path order, plus 1; equal paths share a place, a null path has none.
 
     Ranks are taken within the first two parts of the path, and only one row for each of these beginnings meets in one task.
     """
-    paths = files.groupBy(path).agg(F.count("*").alias("_n")).withColumn("_parts", path_parts(path)).withColumn("_top", F.slice("_parts", 1, 2))
+    paths = files.where(F.col(path).isNotNull()).groupBy(path).agg(F.count("*").alias("_n")).withColumn("_parts", path_parts(path)).withColumn("_top", F.slice("_parts", 1, 2))
     earlier = lambda w: F.coalesce(F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     tops = paths.groupBy("_top").agg(F.sum("_n").alias("_n")).select("_top", earlier(Window.orderBy("_top")).alias("_before"))
     paths = paths.withColumn("_within", earlier(Window.partitionBy("_top").orderBy("_parts"))).join(tops, "_top")
-    return files.join(paths.select(path, (F.col("_before") + F.col("_within") + 1).alias("place")), path)
+    return files.join(paths.select(path, (F.col("_before") + F.col("_within") + 1).alias("place")), path, "left")

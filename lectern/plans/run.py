@@ -10,14 +10,14 @@ from __future__ import annotations
 import json
 import os
 import shutil
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern import schemas
 from lectern.functions.text import FORMULA_MIME, IMAGE_MIME, is_sentinel, media_type, strip, unwrap_reply
-from lectern.operators import chunks, index, lint, markers, model, progress, sections
+from lectern.operators import chunks, index, lint, markers, metrics, model, progress, sections
 from lectern.sources.doctree import discover, with_content
 from lectern.sources.extract import asset_table, extract, formula_table, page_table, to_markdown
 from lectern.sources.raster import Raster, blank_pages, formula_regions, render
@@ -45,6 +45,10 @@ class Report:
     calls: int
     cost: float
     aborted: str | None = None
+    formats: dict[str, int] = field(default_factory=dict)
+    tokens: tuple[int, int] = (0, 0)
+    ocr: dict[str, int] = field(default_factory=dict)
+    steps: dict[str, tuple[int, int]] = field(default_factory=dict)  # step -> characters after it, and how many it took or added
 
     @property
     def exit_code(self) -> int:
@@ -104,13 +108,7 @@ def _ocr(docs: DataFrame, assets: DataFrame, o: Options) -> tuple[DataFrame, Dat
 
 
 def _figures(docs: DataFrame, assets: DataFrame, o: Options) -> tuple[DataFrame, DataFrame]:
-    found = markers.markers(docs, "rel_path", "image")
-    # Context: what stands around each marker, cut by its own place in the text.
-    cut = docs.join(found, "rel_path")
-    before = F.array_join(F.slice(F.split("markdown", markers.IMAGE_REF, -1), F.lit(1), (F.col("ordinal") + 1).cast("int")), "")
-    after = F.array_join(F.slice(F.split("markdown", markers.IMAGE_REF, -1), (F.col("ordinal") + 2).cast("int"), F.lit(1 << 20)), "")
-    around = strip(F.concat(F.reverse(F.substring(F.reverse(before), 1, markers.AROUND)), F.substring(after, 1, markers.AROUND)))
-    found = cut.select("rel_path", "ordinal", "ref", around.alias("context"))
+    found = markers.contexts(docs, "rel_path")
     replies = _written(model.ask(_requests(found, assets, "image", IMAGE_MIME), o.provider), f"{o.work}/replies_image")
     new = replies.select("rel_path", "ordinal", markers.figure_text(model.sentinel_to_empty("reply", "DECORATIVE")).alias("new"))
     return markers.splice(docs, "rel_path", new, "image"), replies
@@ -198,6 +196,7 @@ def run(spark: SparkSession, o: Options) -> Report:
     todo = progress.pending(files, done)
     discovered, pending = files.count(), todo.count()
     report = Report(discovered, pending, 0, 0, discovered - pending, 0, 0, 0, 0.0)
+    report.formats = {r["format"]: r["files"] for r in progress.format_counts(files).orderBy("format").collect()}
     if pending:
         x = _written(extract(with_content(todo, o.source), o.compat), f"{o.work}/extracted")
         report.failed = x.where("error IS NOT NULL").count()
@@ -214,12 +213,24 @@ def run(spark: SparkSession, o: Options) -> Report:
         _write_bytes(assets.select("ref", "bytes"), o.work)
         docs = _written(to_markdown(x), f"{o.work}/docs_raw")
         _write_texts(progress.outputs(docs).where("wins").select("out_path", "markdown"), f"{o.work}/raw")
+
+        def step(name: str, before: DataFrame, after: DataFrame) -> DataFrame:
+            after = _written(after, f"{o.work}/docs_{name}")
+            sums = metrics.step_deltas(before, after, "rel_path").agg(F.coalesce(F.sum("chars"), F.lit(0)), F.coalesce(F.sum("delta"), F.lit(0))).head()
+            report.steps[name] = sums[0], sums[1]
+            return after
+
         try:
-            docs, r1 = _formulas(docs, formulas, assets, o)
-            docs, r2 = _ocr(docs, assets, o)
-            docs = sections.filter_content(docs, compat=o.compat)
-            docs, r3 = _figures(_written(docs, f"{o.work}/docs_filtered"), assets, o)
-            docs, r4 = _cleanup(_written(docs, f"{o.work}/docs_figures"), o)
+            spelt, r1 = _formulas(docs, formulas, assets, o)
+            docs = step("formulas", docs, spelt)
+            read, r2 = _ocr(docs, assets, o)
+            docs = step("ocr", docs, read)
+            docs = step("filtered", docs, sections.filter_content(docs, compat=o.compat))
+            told, r3 = _figures(docs, assets, o)
+            docs = step("figures", docs, told)
+            tidied, r4 = _cleanup(docs, o)
+            docs = step("cleanup", docs, tidied)
+            report.ocr = metrics.reply_outcomes(r2).head().asDict()
             replies = [r.select("status", "prompt_tokens", "completion_tokens", "cost") for r in (r1, r2, r3, r4)]
         except Exception as e:  # noqa: BLE001  a provider that is down ends the run, not the index
             if "ProviderDown" not in str(e):
@@ -234,8 +245,8 @@ def run(spark: SparkSession, o: Options) -> Report:
             totals = lint.lint_totals(final).head()
             report.processed, report.lint_fixed, report.lint_remaining = totals["files"], totals["fixed"], totals["remaining"]
             calls = [r.where("status <> 'no_key'") for r in replies]
-            used = calls[0].unionByName(calls[1]).unionByName(calls[2]).unionByName(calls[3]).agg(F.count("*"), F.coalesce(F.round(F.sum("cost"), 4), F.lit(0.0))).head()
-            report.calls, report.cost = used[0], used[1]
+            used = metrics.usage_totals(calls[0].unionByName(calls[1]).unionByName(calls[2]).unionByName(calls[3])).head()
+            report.calls, report.cost, report.tokens = used["calls"], used["cost"] or 0.0, (used["prompt_tokens"], used["completion_tokens"])
     write_index(spark, o.output)
     return report
 

@@ -63,29 +63,61 @@ class DocTree(DataSource):
         return _Reader(self.options["path"])
 
 
+#: The setting that bounds batches on the way between readers.
+_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def _size(text: str) -> int:
+    """Bytes of a setting such as 64MB."""
+    number, unit = text.strip().lower().rstrip("b"), 1
+    if number[-1:] in "kmgt":
+        number, unit = number[:-1], 1 << 10 * ("kmgt".index(number[-1]) + 1)
+    return int(number) * unit
+
+
 def discover(spark: SparkSession, root: str) -> DataFrame:
     """Files of known formats below root (schema FILES)."""
     spark.dataSource.register(DocTree)
     return spark.read.format("doctree").load(root)
 
 
-def with_content(files: DataFrame, root: str) -> DataFrame:
-    """files with content; a file that can't be read has null content and an error."""
+#: Bytes of files that one batch holds, beside its last file; larger files than MOST_BYTES are errors of their own.
+BATCH_BYTES, MOST_BYTES = 64 << 20, 1 << 30
+
+
+def with_content(files: DataFrame, root: str, batch_bytes: int = BATCH_BYTES, most: int = MOST_BYTES) -> DataFrame:
+    """files with content, in batches bounded by bytes; a file that can't be read, or is too large, has null content and an error."""
+    conf = files.sparkSession.conf
+    if _size(conf.get(_BYTES, str((1 << 31) - 2))) > 4 * batch_bytes:  # a smaller setting of the user's own is left alone
+        conf.set(_BYTES, str(4 * batch_bytes))
 
     def read(batches):
         import pyarrow as pa
 
+        def sent(b, begin, content, error):
+            columns = [c.slice(begin, len(content)) for c in b.columns]
+            return pa.RecordBatch.from_arrays([*columns, pa.array(content, pa.binary()), pa.array(error, pa.string())], [*b.schema.names, "content", "error"])
+
         for b in batches:
-            content, error = [], []
-            for rel in b.column("rel_path").to_pylist():
+            content, error, held, begin = [], [], 0, 0
+            for k, rel in enumerate(b.column("rel_path").to_pylist()):
+                data, said = None, None
                 try:
                     with open(os.path.join(root, rel), "rb") as f:
-                        content.append(f.read())
-                    error.append(None)
+                        if os.fstat(f.fileno()).st_size > most:
+                            said = f"larger than {most} bytes"
+                        else:
+                            data = f.read()
                 except OSError as e:
-                    content.append(None)
-                    error.append(str(e))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(content, pa.binary()), pa.array(error, pa.string())], [*b.schema.names, "content", "error"])
+                    said = str(e)
+                if held and held + len(data or b"") > batch_bytes:
+                    yield sent(b, begin, content, error)
+                    content, error, held, begin = [], [], 0, k
+                content.append(data)
+                error.append(said)
+                held += len(data or b"")
+            if content:
+                yield sent(b, begin, content, error)
 
     names = [x.split()[0] for x in schemas.FILES.split(", ")]
     return files.select(*names).mapInArrow(read, schemas.FILES + ", content binary, error string")

@@ -9,10 +9,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern import schemas
-from lectern.functions.text import asset_dir
+from lectern.functions.text import asset_dir, strip
 from lectern.operators import assets as A
 from lectern.operators import formulas as M
 from lectern.operators.tables import blocks_to_markdown, sheets_to_markdown
+from lectern.sources.doctree import BATCH_BYTES
 
 _BLOCK = "struct<seq: long, kind: string, level: int, text: string, grid: array<array<string>>>"
 _FORMULA = "struct<formula_idx: long, omml: string, is_inline: boolean, context: string>"
@@ -63,7 +64,7 @@ def extract(files: DataFrame, compat: bool = False) -> DataFrame:
         readers = {"docx": lambda c: _office(read_docx(c, compat)), "pptx": lambda c: _office(read_pptx(c)), "xlsx": lambda c: _office(read_xlsx(c)), "pdf": _pdf}
         empty = {f.name: [] for f in schema if f.name not in ("rel_path", "format", "error")}
         for b in batches:
-            rows = []
+            rows, held = [], 0
             for rel, fmt, ext, content, error in zip(*(b.column(c).to_pylist() for c in ("rel_path", "format", "ext", "content", "error"))):
                 row = dict(empty)
                 if error is None:
@@ -72,7 +73,12 @@ def extract(files: DataFrame, compat: bool = False) -> DataFrame:
                     except Exception as e:  # noqa: BLE001  whatever a broken file raises is that file's error
                         error, row = f"{type(e).__name__}: {e}", dict(empty)
                 rows.append(row | {"rel_path": rel, "format": fmt, "error": error})
-            yield pa.RecordBatch.from_pylist(rows, schema)
+                held += len(content or b"")
+                if held > BATCH_BYTES:
+                    yield pa.RecordBatch.from_pylist(rows, schema)
+                    rows, held = [], 0
+            if rows:
+                yield pa.RecordBatch.from_pylist(rows, schema)
 
     return files.select("rel_path", "format", "ext", "content", "error").mapInArrow(run, EXTRACTED)
 
@@ -106,11 +112,11 @@ def page_table(x: DataFrame) -> DataFrame:
     """rel_path, page, text (stripped), width, height, is_scanned, ref (where a picture of the page lies) of PDF pages."""
     pages = x.where("format = 'pdf'").select("rel_path", _scanned_flag().alias("is_scanned"), F.explode("pages").alias("p")).select("rel_path", "is_scanned", "p.*")
     ref = _ref(F.col("rel_path"), F.concat(F.lit("page"), F.col("page").cast("string"), F.lit(".png")))
-    return pages.withColumn("text", F.regexp_replace("text", r"\A\s+|\s+\z", "")).withColumn("ref", ref)
+    return pages.withColumn("text", strip("text")).withColumn("ref", ref)
 
 
 def _scanned_flag():
-    blank = F.size(F.filter("pages", lambda p: F.trim(p["text"]) == ""))
+    blank = F.size(F.filter("pages", lambda p: A.blank(p["text"])))
     return (F.size("pages") > 0) & (blank >= A.SCANNED * F.size("pages"))
 
 

@@ -118,3 +118,33 @@ def test_assets_and_metrics(spark):
     assert [(r.page, r.xref, r.asset_idx) for r in assets.embedded_images(images).collect()] == [(2, 8, 0)]
     empty = spark.createDataFrame([], "prompt_tokens long, completion_tokens long, cost double")
     assert tuple(metrics.usage_totals(empty).head()) == (0, 0, 0, 0, 0.0)
+
+
+def test_contexts_of_markers(spark):
+    """The text around each marker's own place, other references in it and references cut in two."""
+    import re
+
+    r = random.Random(4)
+    texts = ["".join(r.choice(["word ", "![image](a.png)", "![image](long/name/of/a/file.png)", "x" * 90, "\n", "é "]) for _ in range(r.randint(0, 60))) for _ in range(60)] + ["", "![image](a)" * 50]
+    df = spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "rel_path string, markdown string")
+    got = {(x.rel_path, x.ordinal): (x.ref, x.context) for x in markers.contexts(df, "rel_path").collect()}
+    want = {}
+    for i, t in enumerate(texts):
+        for k, m in enumerate(re.finditer(r"!\[image\]\((.+?)\)", t)):
+            around = t[max(0, m.start() - 200) : m.start()] + t[m.end() : m.end() + 200]
+            want[str(i), k] = m[1], re.sub(r"!\[image\]\(.+?\)", "", around).strip()
+    assert got == want
+
+
+def test_repeated_replacements_and_null_paths(spark):
+    docs = spark.createDataFrame([("a", "x ![ocr](p.png) y")], "rel_path string, markdown string")
+    new = spark.createDataFrame([("a", 0, "one"), ("a", 0, "two")], "rel_path string, ordinal long, new string")
+    assert markers.splice(docs, "rel_path", new, "ocr").head()["markdown"] == "x two y"
+    files = spark.createDataFrame([("b",), (None,), ("a/b",)], "rel_path string")
+    assert {(x.rel_path, x.place) for x in progress.path_rank(files).collect()} == {("a/b", 1), ("b", 2), (None, None)}
+
+
+def test_blank_pages_of_any_white_space(spark):
+    pages = spark.createDataFrame([("a", t) for t in ("\n\n", "\xa0\u3000", "", None, "x")], "rel_path string, text string")
+    got = assets.scanned(pages).head()
+    assert got["blank_ratio"] == 0.8 and got["is_scanned"]

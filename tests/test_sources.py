@@ -203,3 +203,31 @@ def test_arrivals(spark, tmp_path):
     q = arrivals(stream, "at").writeStream.outputMode("complete").format("memory").queryName("arrived").trigger(availableNow=True).start()
     q.awaitTermination()
     assert sorted(r.documents for r in spark.table("arrived").collect()) == [1, 2]
+
+
+def test_batches_are_bounded_by_bytes(spark, tmp_path):
+    """Files of more bytes than a batch holds come in several, and one that is too large is an error of its own."""
+    from lectern.sources import doctree
+
+    assert [doctree._size(x) for x in ("64MB", "1g", "17", "2k", "5 m".replace(" ", ""))] == [64 << 20, 1 << 30, 17, 2 << 10, 5 << 20]
+    for i in range(30):
+        (tmp_path / f"{i}.png").write_bytes(bytes([i]) * 100_000)
+    (tmp_path / "big.png").write_bytes(b"x" * 400_000)
+    files = doctree.discover(spark, str(tmp_path)).coalesce(1)
+    got = {r.rel_path: (None if r.content is None else bytes(r.content), r.error) for r in doctree.with_content(files, str(tmp_path), 250_000, 300_000).collect()}
+    assert len(got) == 31 and got["big.png"][0] is None and "larger" in got["big.png"][1]
+    assert all(got[f"{i}.png"] == (bytes([i]) * 100_000, None) for i in range(30))
+
+
+def test_more_than_two_gigabytes_in_a_partition(spark, tmp_path):
+    """Sparse files of over 2 GB together, read in one task."""
+    from pyspark.sql import functions as F
+
+    from lectern.sources import doctree
+
+    for i in range(9):
+        with open(tmp_path / f"{i}.pdf", "wb") as f:
+            f.truncate(250 << 20)
+    files = doctree.discover(spark, str(tmp_path)).coalesce(1)
+    got = doctree.with_content(files, str(tmp_path)).select(F.length("content").alias("n"), "error").collect()
+    assert [(r.n, r.error) for r in got] == 9 * [(250 << 20, None)]
