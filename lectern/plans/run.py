@@ -206,7 +206,7 @@ def run(spark: SparkSession, o: Options) -> Report:
             regions = formula_regions(formulas, pages)
             wanted = blank_pages(pages).unionByName(regions.drop("formula_idx"))
             drawn = _written(render(todo, o.source, wanted, o.raster), f"{o.work}/drawn")
-            assets = assets.unionByName(drawn)
+            assets = assets.unionByName(drawn.join(assets.select("ref"), "ref", "left_anti").select(*assets.columns))
             have = regions.join(drawn.select("rel_path", "ref"), ["rel_path", "ref"], "left_semi").select("rel_path", "formula_idx", F.col("ref").alias("drawn"))
             formulas = formulas.join(have, ["rel_path", "formula_idx"], "left").withColumn("image_ref", F.coalesce("image_ref", "drawn")).drop("drawn")
         assets = _written(assets, f"{o.work}/assets")

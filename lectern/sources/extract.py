@@ -97,7 +97,24 @@ def asset_table(x: DataFrame) -> DataFrame:
     own = _explode(x, "assets").select("rel_path", _ref(F.col("rel_path"), F.regexp_replace("ref", r"[()\[\]]", "_")).alias("ref"), "ext", "bytes")
     kept = A.embedded_images(_explode(x, "images"))
     name = F.concat(F.lit("page"), F.col("page").cast("string"), F.lit("_img"), F.col("asset_idx").cast("string"), F.lit("."), F.col("ext"))
-    return own.unionByName(kept.select("rel_path", _ref(F.col("rel_path"), name).alias("ref"), F.concat(F.lit("."), F.col("ext")).alias("ext"), "bytes"))
+    embedded = kept.select("rel_path", _ref(F.col("rel_path"), name).alias("ref"), F.concat(F.lit("."), F.col("ext")).alias("ext"), "bytes")
+    # Pages of scanned files: the largest image of a page is its picture.
+    pages = x.where((F.col("format") == "pdf") & _scanned_flag()).select("rel_path", "images", F.explode("pages.page").alias("page"))
+    pages = pages.select("rel_path", "page", _largest(F.col("images"), F.col("page")).alias("top")).where("top IS NOT NULL")
+    shots = pages.select("rel_path", _shot(F.col("page"), F.col("top")["ext"]).alias("ref"), F.concat(F.lit("."), F.col("top")["ext"]).alias("ext"), F.col("top")["bytes"].alias("bytes"))
+    return own.unionByName(embedded).unionByName(shots)
+
+
+def _largest(images, page):
+    """The image of a page with the most points, of equal ones the first; null without a usable one."""
+    there = F.filter(images, lambda i: (i["page"] == page) & i["ext"].isin("png", "jpeg") & (i["width"] >= A.LEAST_SIDE) & (i["height"] >= A.LEAST_SIDE))
+    order = F.transform(there, lambda i, k: F.struct((-i["width"].cast("long") * i["height"]).alias("size"), k.alias("k"), i["ext"].alias("ext"), i["bytes"].alias("bytes")))
+    return F.get(F.array_sort(order), F.lit(0))
+
+
+def _shot(page, ext):
+    """Where a picture of a page lies."""
+    return _ref(F.col("rel_path"), F.concat(F.lit("page"), page.cast("string"), F.lit("."), F.coalesce(ext, F.lit("png"))))
 
 
 def formula_table(x: DataFrame) -> DataFrame:
@@ -110,9 +127,10 @@ def formula_table(x: DataFrame) -> DataFrame:
 
 def page_table(x: DataFrame) -> DataFrame:
     """rel_path, page, text (stripped), width, height, is_scanned, ref (where a picture of the page lies) of PDF pages."""
-    pages = x.where("format = 'pdf'").select("rel_path", _scanned_flag().alias("is_scanned"), F.explode("pages").alias("p")).select("rel_path", "is_scanned", "p.*")
-    ref = _ref(F.col("rel_path"), F.concat(F.lit("page"), F.col("page").cast("string"), F.lit(".png")))
-    return pages.withColumn("text", strip("text")).withColumn("ref", ref)
+    pages = x.where("format = 'pdf'").select("rel_path", _scanned_flag().alias("is_scanned"), "images", F.explode("pages").alias("p"))
+    ext = F.when(F.col("is_scanned"), _largest(F.col("images"), F.col("p.page"))["ext"])
+    pages = pages.select("rel_path", "is_scanned", ext.alias("_ext"), "p.*")
+    return pages.withColumn("text", strip("text")).withColumn("ref", _shot(F.col("page"), F.col("_ext"))).drop("_ext")
 
 
 def _scanned_flag():

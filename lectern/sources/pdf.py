@@ -1,21 +1,57 @@
 """A best-effort PDF reader with the standard library: text with fonts and places, page sizes, embedded images.
 
-It reads plain and Flate streams, object streams, and fonts of one byte a character or with a ToUnicode map. Encrypted files
-and other filters are beyond it: such a file gives an error row or pages without text, never a failed task. Pages can't be
-rastered here, so what needs a picture of a page has none and follows the path of a missing image.
+It reads streams of all filters but those of fax and JBIG2 pictures, object streams, form objects, and fonts of one byte a
+character (with Differences) or with a ToUnicode map. Embedded rasters become PNG files. Encrypted files are beyond it: such a
+file gives an error row or pages without text, never a failed task, and a stream that grows beyond a bound is that file's error.
+Pages can't be rastered here: a scanned page's picture is the largest image on it, and one without follows the path of a missing image.
 """
 
 from __future__ import annotations
 
+import contextlib
 import re
-import zlib
+import unicodedata
 from dataclasses import dataclass, field
 
+from lectern.sources.streams import ascii85, ascii_hex, inflate, lzw, raster_png, run_length, unpredict
+
 _OBJECT = re.compile(rb"(?<!\d)(\d+)\s+\d+\s+obj\b")
 _TOKEN = re.compile(rb"""[\x00\t\n\f\r ]+|%[^\r\n]*|(<<|>>|\[|\]|\{|\})|/([^\x00\t\n\f\r ()<>\[\]{}/%]*)|(\()|<([0-9A-Fa-f\x00\t\n\f\r ]*)>|([+-]?(?:\d+\.?\d*|\.\d+))|([^\x00\t\n\f\r ()<>\[\]{}/%]+)""")
 _ESCAPES = {b"n": b"\n", b"r": b"\r", b"t": b"\t", b"b": b"\b", b"f": b"\f"}
 
 
+_CODES = {"ASCII85Decode": ascii85, "A85": ascii85, "ASCIIHexDecode": ascii_hex, "AHx": ascii_hex, "RunLengthDecode": run_length, "RL": run_length}
+#: Glyph names that neither a rule nor the names of Greek letters and digits give.
+_GLYPHS = {
+    "space": " ", "exclam": "!", "quotedbl": '"', "numbersign": "#", "dollar": "$", "percent": "%", "ampersand": "&", "quotesingle": "'", "quoteright": "’", "quoteleft": "‘", "parenleft": "(", "parenright": ")",
+    "asterisk": "*", "plus": "+", "comma": ",", "hyphen": "-", "minus": "−", "period": ".", "slash": "/", "colon": ":", "semicolon": ";", "less": "<", "equal": "=", "greater": ">", "question": "?", "at": "@",
+    "bracketleft": "[", "backslash": "\\", "bracketright": "]", "asciicircum": "^", "underscore": "_", "grave": "`", "braceleft": "{", "bar": "|", "braceright": "}", "asciitilde": "~", "bullet": "•",
+    "endash": "–", "emdash": "—", "quotedblleft": "“", "quotedblright": "”", "ellipsis": "…", "fi": "fi", "fl": "fl", "ff": "ff", "ffi": "ffi", "ffl": "ffl", "germandbls": "ß", "ae": "æ", "oe": "œ",
+    "summation": "∑", "integral": "∫", "product": "∏", "radical": "√", "partialdiff": "∂", "infinity": "∞", "plusminus": "±", "multiply": "×", "divide": "÷", "approxequal": "≈", "notequal": "≠",
+    "lessequal": "≤", "greaterequal": "≥", "element": "∈", "arrowright": "→", "arrowleft": "←", "universal": "∀", "existential": "∃", "gradient": "∇", "similar": "∼", "proportional": "∝",
+}
+
+
+def glyph(name: str) -> str:
+    """The characters that a glyph name stands for, "" if none is known."""
+    name = name.partition(".")[0]
+    if len(name) == 1 or name in _GLYPHS:
+        return _GLYPHS.get(name, name)
+    if m := re.fullmatch(r"uni((?:[0-9A-F]{4})+)|u([0-9A-F]{4,6})", name):
+        codes = re.findall("....", m[1]) if m[1] else [m[2]]
+        return "".join(chr(int(x, 16)) for x in codes if int(x, 16) < 0x110000 and not 0xD800 <= int(x, 16) < 0xE000)
+    case = "SMALL" if name.islower() else "CAPITAL"
+    letter = re.fullmatch(r"([A-Za-z])(acute|grave|circumflex|dieresis|tilde|ring|cedilla|caron)", name)
+    accents = {"dieresis": "DIAERESIS", "ring": "RING ABOVE"}
+    names = [f"DIGIT {name.upper()}", f"GREEK {case} LETTER {name.upper()}"]
+    if letter:
+        names.insert(0, f"LATIN {'SMALL' if letter[1].islower() else 'CAPITAL'} LETTER {letter[1].upper()} WITH {accents.get(letter[2], letter[2].upper())}")
+    for x in names:
+        with contextlib.suppress(KeyError):
+            return unicodedata.lookup(x)
+    return ""
+
+
 class Name(str):
     """A PDF name."""
 
@@ -183,9 +219,16 @@ class File:
                 if end < 0 or not re.match(rb"\s*endstream", self.data[end : end + 20]):
                     end = self.data.find(b"endstream", m.end())
                 body = self.data[m.end() : end if end >= 0 else None]
-                for f in self.filters(head):
-                    if f == "FlateDecode":
-                        body = zlib.decompressobj().decompress(body)
+                given = self.get(head.get("DecodeParms"))
+                given = [self.get(x) for x in given] if isinstance(given, list) else [given]
+                for k, f in enumerate(self.filters(head)):
+                    parms = given[k] if k < len(given) and isinstance(given[k], dict) else {}
+                    parm = lambda x, other: v if isinstance(v := self.get(parms.get(x)), int) else other  # noqa: B023, E731
+                    if f in ("FlateDecode", "Fl", "LZWDecode", "LZW"):
+                        body = inflate(body) if f.startswith("Fl") else lzw(body, parm("EarlyChange", 1))
+                        body = unpredict(body, parm("Predictor", 1), parm("Colors", 1), parm("BitsPerComponent", 8), parm("Columns", 1))
+                    elif f in _CODES:
+                        body = _CODES[f](body)
             self.streams[number] = body
         return self.streams[number]
 
@@ -222,6 +265,17 @@ class Font:
         self.name = str(file.get(d.get("BaseFont")) or "")
         self.wide = d.get("Subtype") == "Type0"
         self.map: dict[int, str] = {}
+        encoding = file.get(d.get("Encoding"))
+        if isinstance(encoding, dict) and not self.wide:
+            code = 0
+            for x in file.get(encoding.get("Differences")) or []:
+                if isinstance(x, Name):
+                    self.map[code] = glyph(x)
+                    code += 1
+                elif isinstance(x, int):
+                    code = x
+        first, widths = file.get(d.get("FirstChar")), file.get(d.get("Widths"))
+        self.widths = {first + k: file.get(x) / 1000 for k, x in enumerate(widths) if isinstance(file.get(x), (int, float))} if isinstance(first, int) and isinstance(widths, list) else {}
         if isinstance(d.get("ToUnicode"), Ref):
             self._read(file.stream(d["ToUnicode"].number))
 
@@ -260,12 +314,21 @@ def _text(file: File, page: dict, height: float) -> list[list[Span]]:
     parts = file.get(contents)
     numbers = [x.number for x in parts if isinstance(x, Ref)] if isinstance(parts, list) else [contents.number] if isinstance(contents, Ref) else []
     data = b"\n".join(file.stream(n) for n in numbers if n in file.at)
-    resources = file.get(page.get("Resources")) or {}
-    fonts = {k: Font(file, v) for k, v in (file.get(resources.get("Font")) or {}).items()}
     lines: list[list[Span]] = []
+    _show(file, data, file.get(page.get("Resources")) or {}, height, lines, [1.0, 0.0, 0.0, 1.0, 0.0, 0.0], 0)
+    return [x for x in lines if x]
+
+
+#: How deep form objects may lie in one another.
+DEEPEST = 12
+
+
+def _show(file: File, data: bytes, resources: dict, height: float, lines: list[list[Span]], ctm: list[float], depth: int) -> None:
+    """Append the lines that a content stream shows, and those of the form objects it draws."""
+    fonts = {k: Font(file, v) for k, v in (file.get(resources.get("Font")) or {}).items()}
+    objects = file.get(resources.get("XObject")) or {}
     args: list = []
     font, size, lead = None, 0.0, 0.0
-    ctm = [1.0, 0.0, 0.0, 1.0, 0.0, 0.0]
     saved: list[list[float]] = []
     line, text = list(ctm), list(ctm)
     arrays: list[list] = []
@@ -286,7 +349,9 @@ def _text(file: File, page: dict, height: float) -> list[list[Span]]:
             return
         place = times(text, ctm)
         tall = abs(size * (place[3] or place[0] or 1.0))
-        wide = 0.5 * tall * len(s)  # widths of glyphs aren't read: half the height for each is near enough for regions
+        codes = raw if font and not font.wide and font.widths else b""
+        ems = sum(font.widths.get(c, 0.5) for c in codes) if codes else 0.5 * len(s)  # without widths, half the height for each
+        wide = tall * ems
         y = height - place[5]
         span = Span(s, font.name if font else "", place[4], y - tall, place[4] + wide, y)
         if base is None or abs(y - base) > 0.3 * max(tall, 1.0):
@@ -295,7 +360,7 @@ def _text(file: File, page: dict, height: float) -> list[list[Span]]:
             lines[-1][-1].text += " "
         base = y
         lines[-1].append(span)
-        text = times([1, 0, 0, 1, 0.5 * size * len(s), 0], text)
+        text = times([1, 0, 0, 1, size * ems, 0], text)
 
     number = lambda k: float(args[k]) if len(args) >= -k and isinstance(args[k], (int, float)) else 0.0
     for t, _ in tokens(data):
@@ -342,18 +407,61 @@ def _text(file: File, page: dict, height: float) -> list[list[Span]]:
                 elif isinstance(x, (int, float)) and x < -200 and not (font and font.wide):
                     joined += b" "
             show(bytes(joined))
+        elif t == "Do" and args and depth < DEEPEST and isinstance(ref := objects.get(args[-1]), Ref):
+            form = file.get(ref)
+            if isinstance(form, dict) and form.get("Subtype") == "Form":
+                matrix = [float(file.get(x) or 0) for x in file.get(form.get("Matrix")) or [1, 0, 0, 1, 0, 0]]
+                _show(file, file.stream(ref.number), file.get(form.get("Resources")) or resources, height, lines, times(matrix, ctm), depth + 1)
+                base = None
         args = []
-    return [x for x in lines if x]
+
+
+def _colors(file: File, space) -> tuple[int, bytes | None]:
+    """Colours of a colour space, and its palette as RGB if it has one; (0, None) if it isn't known."""
+    space = file.get(space)
+    plain = {"DeviceGray": 1, "CalGray": 1, "G": 1, "DeviceRGB": 3, "CalRGB": 3, "RGB": 3, "DeviceCMYK": 4, "CMYK": 4}
+    if isinstance(space, Name):
+        return plain.get(space, 0), None
+    if isinstance(space, list) and space:
+        kind = file.get(space[0])
+        if kind == "ICCBased" and len(space) > 1 and isinstance(profile := file.get(space[1]), dict):
+            return int(file.get(profile.get("N")) or 0), None
+        if kind in ("Indexed", "I") and len(space) > 3:
+            base, _ = _colors(file, space[1])
+            table = file.stream(space[3].number) if isinstance(space[3], Ref) and isinstance(file.get(space[3]), dict) else file.get(space[3])
+            if isinstance(table, bytes) and base in (1, 3):
+                return 1, b"".join(bytes([x]) * 3 for x in table) if base == 1 else table
+            return 0, None
+        return plain.get(kind, 0), None
+    return 0, None
 
 
 def _images(file: File, page: dict) -> list[Image]:
-    out = []
-    resources = file.get(page.get("Resources")) or {}
-    for ref in (file.get(resources.get("XObject")) or {}).values():
-        d = file.get(ref)
-        if isinstance(ref, Ref) and isinstance(d, dict) and d.get("Subtype") == "Image":
-            ext = {"DCTDecode": "jpeg", "JPXDecode": "jpx"}.get((file.filters(d) or [""])[-1], "bin")
-            out.append(Image(ref.number, int(file.get(d.get("Width")) or 0), int(file.get(d.get("Height")) or 0), ext, file.stream(ref.number)))
+    """Images of a page and of the form objects on it: JPEG as it is, rasters as PNG, others in their own bytes."""
+    out: list[Image] = []
+    seen: set[int] = set()
+
+    def walk(resources, depth: int) -> None:
+        for ref in (file.get((file.get(resources) or {}).get("XObject")) or {}).values():
+            d = file.get(ref)
+            if not isinstance(ref, Ref) or not isinstance(d, dict) or ref.number in seen:
+                continue
+            seen.add(ref.number)
+            if d.get("Subtype") == "Form" and depth < DEEPEST:
+                walk(d.get("Resources"), depth + 1)
+            elif d.get("Subtype") == "Image":
+                number = lambda k, other=0: int(v) if isinstance(v := file.get(d.get(k)), (int, float)) else other  # noqa: B023, E731
+                width, height, data = number("Width"), number("Height"), file.stream(ref.number)
+                ext = {"DCTDecode": "jpeg", "DCT": "jpeg", "JPXDecode": "jpx", "CCITTFaxDecode": "bin", "CCF": "bin", "JBIG2Decode": "bin"}.get((file.filters(d) or [""])[-1])
+                if ext is None:
+                    mask = file.get(d.get("ImageMask")) is True or d.get("ImageMask") == "true"
+                    colors, palette = (1, None) if mask else _colors(file, d.get("ColorSpace"))
+                    decode = file.get(d.get("Decode"))
+                    made = raster_png(width, height, 1 if mask else number("BitsPerComponent", 8), colors, data, palette, isinstance(decode, list) and len(decode) > 1 and palette is None and decode[0] == 1) if colors else None
+                    ext, data = ("png", made) if made else ("bin", data)
+                out.append(Image(ref.number, width, height, ext, data))
+
+    walk(page.get("Resources"), 0)
     return out
 
 

@@ -2,6 +2,7 @@
 
 import json
 import os
+import random
 
 import pytest
 
@@ -231,3 +232,101 @@ def test_more_than_two_gigabytes_in_a_partition(spark, tmp_path):
     files = doctree.discover(spark, str(tmp_path)).coalesce(1)
     got = doctree.with_content(files, str(tmp_path)).select(F.length("content").alias("n"), "error").collect()
     assert [(r.n, r.error) for r in got] == 9 * [(250 << 20, None)]
+
+
+def _pdf_file(objects):
+    """A PDF file of numbered objects: (dictionary, stream or None)."""
+    out = b"%PDF-1.4\n"
+    for n, (head, body) in objects.items():
+        out += f"{n} 0 obj\n".encode() + (head if body is None else head[:-2] + f" /Length {len(body)} >>\nstream\n".encode() + body + b"\nendstream") + b"\nendobj\n"
+    return out + b"trailer << /Root 1 0 R >>\n%%EOF"
+
+
+def _one_page(content, more, resources):
+    return _pdf_file({1: (b"<< /Type /Catalog /Pages 2 0 R >>", None), 2: (b"<< /Type /Pages /Kids [3 0 R] /Count 1 >>", None), 3: (b"<< /Type /Page /Parent 2 0 R /MediaBox [0 0 300 300] /Contents 4 0 R /Resources << " + resources + b" >> >>", None), 4: content, **more})
+
+
+def test_pdf_forms_differences_and_widths():
+    form = b"BT /F1 10 Tf 20 50 Td <0102> Tj ET"
+    font = b"<< /Type /Font /Subtype /Type1 /BaseFont /CMSY10 /FirstChar 1 /Widths [900 250] /Encoding << /Type /Encoding /Differences [1 /summation /alpha 65 /Eacute] >> >>"
+    data = _one_page((b"<< >>", b"BT /F1 10 Tf 20 200 Td (A) Tj ET q 1 0 0 1 0 30 cm /X1 Do Q"), {5: (font, None), 6: (b"<< /Type /XObject /Subtype /Form /Matrix [1 0 0 1 5 0] /Resources << /Font << /F1 5 0 R >> >> >>", form)}, b"/Font << /F1 5 0 R >> /XObject << /X1 6 0 R >>")
+    (page,) = read_pdf(data)
+    assert page.text == "\u00c9\n\u2211\u03b1"
+    span = page.lines[1][0]
+    assert (span.x0, round(span.x1 - span.x0, 6), span.y1) == (25.0, 11.5, 300.0 - 80.0)
+
+
+def test_pdf_filters():
+    import base64
+    import zlib
+
+    from lectern.sources import streams
+
+    text = b"BT /F1 10 Tf 20 200 Td (Hello) Tj ET"
+    runs = b"".join(bytes([len(text[i : i + 100]) - 1]) + text[i : i + 100] for i in range(0, len(text), 100)) + b"\x80"
+    codes = "".join(f"{c:09b}" for c in [256, *text, 257])
+    packed = int(codes.ljust(-(-len(codes) // 8) * 8, "0"), 2).to_bytes(-(-len(codes) // 8))
+    predicted = b"".join(bytes([1, *((b - a) & 255 for a, b in zip(b"\0" + text[i : i + 9], text[i : i + 9]))]) for i in range(0, len(text), 9))
+    for name, body in (("/ASCII85Decode", base64.a85encode(text) + b"~>"), ("/ASCIIHexDecode", text.hex().encode() + b">"), ("/RunLengthDecode", runs), ("/LZWDecode", packed), ("[/ASCII85Decode /FlateDecode]", base64.a85encode(zlib.compress(text)) + b"~>"), ("/FlateDecode /DecodeParms << /Predictor 12 /Columns 9 >>", zlib.compress(predicted))):
+        (page,) = read_pdf(_one_page((f"<< /Filter {name} >>".encode(), body), {}, b""))
+        assert page.text == "Hello", name
+    with pytest.raises(streams.TooLarge):
+        streams.inflate(zlib.compress(bytes(10_000_000)), 1_000_000)
+    r = random.Random(1)
+    raw = bytes(r.choice(b"abcd") for _ in range(5000))
+    table, cur, bits = {bytes([i]): i for i in range(256)}, b"", f"{256:09b}"
+    n, width = 258, 9
+    for c in raw:
+        if cur + bytes([c]) in table:
+            cur += bytes([c])
+            continue
+        bits += f"{table[cur]:0{width}b}"
+        table[cur + bytes([c])] = n
+        n += 1
+        width = max(9, n.bit_length())
+        cur = bytes([c])
+    bits += f"{table[cur]:0{width}b}"
+    n += 1
+    bits += f"{257:0{max(9, n.bit_length())}b}"
+    assert n < 4096 and streams.lzw(int(bits.ljust(-(-len(bits) // 8) * 8, "0"), 2).to_bytes(-(-len(bits) // 8))) == raw
+
+
+def test_pdf_rasters_and_scanned_pages(spark, tmp_path):
+    """Flate rasters become PNG files; the largest image of a scanned page is its picture for OCR."""
+    import struct
+    import zlib
+
+    def plain_png(data):
+        """Width, height, bits, kind and unfiltered rows of a PNG file."""
+        assert data[:8] == b"\x89PNG\r\n\x1a\n"
+        at, chunks = 8, {}
+        while at < len(data):
+            n, name = struct.unpack(">I4s", data[at : at + 8])
+            body = data[at + 8 : at + 8 + n]
+            assert zlib.crc32(name + body) == struct.unpack(">I", data[at + 8 + n : at + 12 + n])[0]
+            chunks[name] = body
+            at += 12 + n
+        w, h, bits, kind = struct.unpack(">IIBB", chunks[b"IHDR"][:10])
+        rows = zlib.decompress(chunks[b"IDAT"])
+        size = len(rows) // h
+        return w, h, bits, kind, b"".join(rows[i + 1 : i + size] for i in range(0, len(rows), size))
+
+    rgb, gray = bytes(range(256)) * 3 * 4, bytes(range(64)) * 64
+    images = {
+        5: (b"<< /Subtype /Image /Width 64 /Height 16 /BitsPerComponent 8 /ColorSpace /DeviceRGB /Filter /FlateDecode >>", zlib.compress(rgb)),
+        6: (b"<< /Subtype /Image /Width 64 /Height 64 /BitsPerComponent 8 /ColorSpace [/ICCBased 8 0 R] /Filter /FlateDecode >>", zlib.compress(gray)),
+        7: (b"<< /Subtype /Image /Width 16 /Height 2 /BitsPerComponent 1 /ColorSpace [/Indexed /DeviceRGB 1 <000000FF0000>] /Filter /FlateDecode >>", zlib.compress(b"\xAA\x55\xF0\x0F")),
+        8: (b"<< /N 1 >>", b"profile"),
+        9: (b"<< /Subtype /Image /Width 60 /Height 1 /BitsPerComponent 8 /ColorSpace /DeviceCMYK /Filter /FlateDecode >>", zlib.compress(bytes([0, 255, 255, 0]) * 60)),
+    }
+    data = _one_page((b"<< >>", b""), images, b"/XObject << /A 5 0 R /B 6 0 R /C 7 0 R /D 9 0 R >>")
+    (page,) = read_pdf(data)
+    got = {i.xref: plain_png(i.data) for i in page.images}
+    assert {i.ext for i in page.images} == {"png"}
+    assert got[5] == (64, 16, 8, 2, rgb) and got[6] == (64, 64, 8, 0, gray) and got[7] == (16, 2, 1, 3, b"\xAA\x55\xF0\x0F") and got[9] == (60, 1, 8, 2, b"\xff\0\0" * 60)
+    src, out, work = str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "work")
+    put(src, "scan.pdf", data)
+    r = run(spark, Options(src, out, work, model.Scripted([("Transcribe", "the words on the page")])))
+    with open(os.path.join(out, "scan.md"), encoding="utf-8") as f:
+        assert "the words on the page" in f.read()
+    assert r.formats == {"pdf": 1} and r.ocr["extracted"] == 1
