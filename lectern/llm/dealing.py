@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from lectern.llm.words import lean
 
 #: Ranges that a task deals to at once; entries gathered in the second step.
-FAN, FLUSH = 2048, 500_000
+FAN, FLUSH = 8192, 500_000
 
 
 def schema(ids: dict[str, type], cols: dict[str, type]) -> str:

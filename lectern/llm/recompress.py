@@ -42,7 +42,7 @@ REACH = RUN + sum(CAPS)
 #: Words gathered before a map task sends blobs; bytes of text for each hash range.
 FLUSH, RANGE_BYTES = 500_000, 12_000_000
 #: Ranges that a task deals to at once, and names that it remembers to have sent.
-FAN, SENT = 2048, 500_000
+FAN, SENT = 8192, 500_000
 _BLOBS = "part int, ids binary, counts binary, names binary, at binary, fine binary"
 _FOUND = "row long, at binary"
 
