@@ -1,4 +1,4 @@
-"""Command line: ``run`` (the default), ``lint`` and ``clear``."""
+"""Command line: ``run`` (the default), ``stream``, ``lint`` and ``clear``."""
 
 from __future__ import annotations
 
@@ -24,6 +24,11 @@ def parser() -> argparse.ArgumentParser:
     clear.add_argument("--temp", default="./temp")
     clear.add_argument("--all", action="store_true")
     clear.add_argument("--yes", action="store_true", help="don't ask")
+    stream = sub.add_parser("stream", help="filter, lint and index extracted texts (Parquet: rel_path, mtime, markdown) that arrived below a folder, each once")
+    stream.add_argument("arrivals")
+    stream.add_argument("--output", default="./output")
+    stream.add_argument("--temp", default="./temp")
+    stream.add_argument("--compat", action="store_true")
     tidy = sub.add_parser("lint", help="lint the Markdown files below a folder in place")
     tidy.add_argument("directory")
     return p
@@ -66,6 +71,9 @@ def main(argv: list[str] | None = None, spark=None) -> int:
     if args.command == "lint" and not os.path.isdir(args.directory):
         print(f"No such folder: {args.directory}", file=sys.stderr)
         return 1
+    if args.command == "stream" and not os.path.isdir(args.arrivals):
+        print(f"No such folder: {args.arrivals}", file=sys.stderr)
+        return 1
     if args.command is None and not args.input:
         p.error("--input is required")
     if spark is None:
@@ -74,8 +82,15 @@ def main(argv: list[str] | None = None, spark=None) -> int:
         spark = SparkSession.builder.appName("lectern").config("spark.sql.session.timeZone", "UTC").getOrCreate()
     from pyspark.sql import functions as F
 
-    from lectern.plans.run import Options, lint_tree, run
+    from lectern.plans.run import Options, lint_tree, read_progress, run, write_index
+
+    if args.command == "stream":
+        from lectern.streaming.incremental import process_new, tidy
 
+        state = os.path.join(args.temp, "stream_progress")
+        process_new(spark, args.arrivals, state, os.path.join(args.temp, "stream_checkpoint"), tidy(args.output, args.compat))
+        print(f"{read_progress(spark, state).count()} documents done, {write_index(spark, args.output)} indexed")
+        return 0
     if args.command == "lint":
         rows = lint_tree(spark, args.directory)
         for r in rows.orderBy(F.split("path", "/")).toLocalIterator():

@@ -127,7 +127,7 @@ def _cleanup(docs: DataFrame, o: Options) -> tuple[DataFrame, DataFrame]:
     return out.withColumn("markdown", F.coalesce("new", "markdown")).drop("new"), replies
 
 
-def _write_texts(rows: DataFrame, root: str) -> None:
+def write_texts(rows: DataFrame, root: str) -> None:
     """rel (a path below root), text: one file each, by the tasks that hold the rows; root is a shared folder."""
 
     def put(part) -> None:
@@ -212,7 +212,7 @@ def run(spark: SparkSession, o: Options) -> Report:
         assets = _written(assets, f"{o.work}/assets")
         _write_bytes(assets.select("ref", "bytes"), o.work)
         docs = _written(to_markdown(x), f"{o.work}/docs_raw")
-        _write_texts(progress.outputs(docs).where("wins").select("out_path", "markdown"), f"{o.work}/raw")
+        write_texts(progress.outputs(docs).where("wins").select("out_path", "markdown"), f"{o.work}/raw")
 
         def step(name: str, before: DataFrame, after: DataFrame) -> DataFrame:
             after = _written(after, f"{o.work}/docs_{name}")
@@ -239,7 +239,7 @@ def run(spark: SparkSession, o: Options) -> Report:
             report.failed += 1
         if report.aborted is None:
             final = _written(lint.lint(progress.outputs(docs)), f"{o.work}/docs")
-            _write_texts(final.where("wins").select("out_path", "markdown"), o.output)
+            write_texts(final.where("wins").select("out_path", "markdown"), o.output)
             marked = final.join(files.select("rel_path", "mtime"), "rel_path").select("rel_path", "mtime", F.col("out_path").alias("output"))
             write_progress(progress.upsert(done, marked), f"{o.work}/progress")
             totals = lint.lint_totals(final).head()
@@ -255,7 +255,7 @@ def lint_tree(spark: SparkSession, root: str) -> DataFrame:
     """path, fixed_count, remaining_failures, fast_mode of all Markdown files below root, which are rewritten if changed."""
     work = os.path.join(root, ".lint")  # written before any file is changed: results must not be worked out from changed files
     after = _written(lint.lint(read_outputs(spark, root, with_index=True).withColumn("was", F.col("markdown"))), work)
-    _write_texts(after.where("markdown <> was").select("path", "markdown"), root)
+    write_texts(after.where("markdown <> was").select("path", "markdown"), root)
     out = [tuple(r) for r in after.select("path", "fixed_count", "remaining_failures", "fast_mode").toLocalIterator()]
     shutil.rmtree(work, ignore_errors=True)
     return spark.createDataFrame(out, "path string, fixed_count long, remaining_failures array<string>, fast_mode boolean")

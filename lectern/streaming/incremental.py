@@ -12,8 +12,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.operators import progress
-from lectern.plans.run import read_progress, write_progress
+from lectern.functions.text import format_of
+from lectern.operators import lint, progress, sections
+from lectern.plans.run import read_progress, write_progress, write_texts
 
 SCHEMA = "rel_path string, mtime double, markdown string"
 
@@ -37,6 +38,18 @@ def process_new(spark: SparkSession, source: str, state: str, checkpoint: str, p
     return query
 
 
+def tidy(output: str, compat: bool = False) -> Callable[[DataFrame], DataFrame]:
+    """What to do with extracted texts that arrive: filter, lint and write them below output; the result is for process_new."""
+
+    def process(rows: DataFrame) -> DataFrame:
+        docs = rows.withColumn("format", F.coalesce(format_of("rel_path"), F.lit("")))
+        final = lint.lint(progress.outputs(sections.filter_content(docs, compat=compat)))
+        write_texts(final.where("wins AND markdown IS NOT NULL").select("out_path", "markdown"), output)
+        return final.select("rel_path", "mtime", F.col("out_path").alias("output"))
+
+    return process
+
+
 def arrivals(stream: DataFrame, time: str, width: str = "1 hour", late: str = "1 day") -> DataFrame:
     """window, documents: arrivals by time window, with a watermark for late ones."""
     return stream.withWatermark(time, late).groupBy(F.window(time, width)).agg(F.count("*").alias("documents"))

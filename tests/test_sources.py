@@ -330,3 +330,18 @@ def test_pdf_rasters_and_scanned_pages(spark, tmp_path):
     with open(os.path.join(out, "scan.md"), encoding="utf-8") as f:
         assert "the words on the page" in f.read()
     assert r.formats == {"pdf": 1} and r.ocr["extracted"] == 1
+
+
+def test_stream_from_the_command_line(spark, tmp_path):
+    """Texts that arrive are written and indexed once; changed ones again."""
+    arrivals, out, work = (str(tmp_path / x) for x in ("in", "out", "work"))
+    os.makedirs(arrivals)
+    put = lambda rows: spark.createDataFrame(rows, "rel_path string, mtime double, markdown string").coalesce(1).write.mode("append").parquet(arrivals)
+    command = ["stream", arrivals, "--output", out, "--temp", work]
+    put([("d/a.docx", 1.0, "# A\nx  "), ("b.pptx", 1.0, "## Slide 1\nfew\n## Two\n" + "word " * 30)])
+    assert main(command, spark) == 0 and main(command, spark) == 0
+    read = lambda n: open(os.path.join(out, n), encoding="utf-8").read()
+    assert read("d/a.md") == "# A\n\nx\n" and "Slide 1" not in read("b.md") and "[A](d/a.md)" in read("index.md")
+    put([("d/a.docx", 2.0, "# B\n")])
+    assert main(command, spark) == 0 and read("d/a.md") == "# B\n" and "[B](d/a.md)" in read("index.md")
+    assert main(["stream", str(tmp_path / "nothing")], spark) == 1
