@@ -200,18 +200,19 @@ def run(spark: SparkSession, o: Options) -> Report:
     if pending:
         x = _written(extract(with_content(todo, o.source), o.compat), f"{o.work}/extracted")
         report.failed = x.where("error IS NOT NULL").count()
-        assets, formulas = asset_table(x), formula_table(x)
+        drawn_pages = o.raster is not None
+        assets, formulas = asset_table(x, drawn_pages), formula_table(x)
         if o.raster is not None:
-            pages = page_table(x)
+            pages = page_table(x, drawn_pages)
             regions = formula_regions(formulas, pages)
             wanted = blank_pages(pages).unionByName(regions.drop("formula_idx"))
             drawn = _written(render(todo, o.source, wanted, o.raster), f"{o.work}/drawn")
-            assets = assets.unionByName(drawn.join(assets.select("ref"), "ref", "left_anti").select(*assets.columns))
+            assets = assets.unionByName(drawn)
             have = regions.join(drawn.select("rel_path", "ref"), ["rel_path", "ref"], "left_semi").select("rel_path", "formula_idx", F.col("ref").alias("drawn"))
             formulas = formulas.join(have, ["rel_path", "formula_idx"], "left").withColumn("image_ref", F.coalesce("image_ref", "drawn")).drop("drawn")
         assets = _written(assets, f"{o.work}/assets")
         _write_bytes(assets.select("ref", "bytes"), o.work)
-        docs = _written(to_markdown(x), f"{o.work}/docs_raw")
+        docs = _written(to_markdown(x, drawn_pages), f"{o.work}/docs_raw")
         write_texts(progress.outputs(docs).where("wins").select("out_path", "markdown"), f"{o.work}/raw")
 
         def step(name: str, before: DataFrame, after: DataFrame) -> DataFrame:

@@ -92,13 +92,15 @@ def _ref(path, name):
     return F.concat(F.lit("images/"), F.regexp_replace(asset_dir(path), r"[()\[\]]", "_"), F.lit("/"), name)
 
 
-def asset_table(x: DataFrame) -> DataFrame:
-    """rel_path, ref, ext, bytes of all assets: extracted pictures and kept embedded images of PDF files."""
+def asset_table(x: DataFrame, drawn: bool = False) -> DataFrame:
+    """rel_path, ref, ext, bytes of all assets: extracted pictures, kept embedded images of PDF files and, unless pages are
+    drawn elsewhere, the largest image of each page of a scanned one."""
     own = _explode(x, "assets").select("rel_path", _ref(F.col("rel_path"), F.regexp_replace("ref", r"[()\[\]]", "_")).alias("ref"), "ext", "bytes")
     kept = A.embedded_images(_explode(x, "images"))
     name = F.concat(F.lit("page"), F.col("page").cast("string"), F.lit("_img"), F.col("asset_idx").cast("string"), F.lit("."), F.col("ext"))
     embedded = kept.select("rel_path", _ref(F.col("rel_path"), name).alias("ref"), F.concat(F.lit("."), F.col("ext")).alias("ext"), "bytes")
-    # Pages of scanned files: the largest image of a page is its picture.
+    if drawn:
+        return own.unionByName(embedded)
     pages = x.where((F.col("format") == "pdf") & _scanned_flag()).select("rel_path", "images", F.explode("pages.page").alias("page"))
     pages = pages.select("rel_path", "page", _largest(F.col("images"), F.col("page")).alias("top")).where("top IS NOT NULL")
     shots = pages.select("rel_path", _shot(F.col("page"), F.col("top")["ext"]).alias("ref"), F.concat(F.lit("."), F.col("top")["ext"]).alias("ext"), F.col("top")["bytes"].alias("bytes"))
@@ -125,10 +127,10 @@ def formula_table(x: DataFrame) -> DataFrame:
     return office.unionByName(found)
 
 
-def page_table(x: DataFrame) -> DataFrame:
+def page_table(x: DataFrame, drawn: bool = False) -> DataFrame:
     """rel_path, page, text (stripped), width, height, is_scanned, ref (where a picture of the page lies) of PDF pages."""
     pages = x.where("format = 'pdf'").select("rel_path", _scanned_flag().alias("is_scanned"), "images", F.explode("pages").alias("p"))
-    ext = F.when(F.col("is_scanned"), _largest(F.col("images"), F.col("p.page"))["ext"])
+    ext = F.when(F.col("is_scanned") & F.lit(not drawn), _largest(F.col("images"), F.col("p.page"))["ext"])
     pages = pages.select("rel_path", "is_scanned", ext.alias("_ext"), "p.*")
     return pages.withColumn("text", strip("text")).withColumn("ref", _shot(F.col("page"), F.col("_ext"))).drop("_ext")
 
@@ -138,7 +140,7 @@ def _scanned_flag():
     return (F.size("pages") > 0) & (blank >= A.SCANNED * F.size("pages"))
 
 
-def to_markdown(x: DataFrame) -> DataFrame:
+def to_markdown(x: DataFrame, drawn: bool = False) -> DataFrame:
     """Schema DOCS of extracted files; files with errors are left out."""
     x = x.where("error IS NULL")
     ok = x.select("rel_path", "format")
@@ -149,7 +151,7 @@ def to_markdown(x: DataFrame) -> DataFrame:
     pictures = x.where("format = 'image'").select("rel_path", F.concat(F.lit("![image]("), _ref(F.col("rel_path"), F.regexp_replace(F.col("assets")[0]["ref"], r"[()\[\]]", "_")), F.lit(")\n")).alias("markdown"))
     # PDF: page texts with markers for regions, or one reference for each page without text.
     pdf = x.where("format = 'pdf'").withColumn("is_scanned", _scanned_flag())
-    pages = page_table(x)
+    pages = page_table(x, drawn)
     marked = M.insert_markers(pages.where("NOT is_scanned AND text <> ''").select("rel_path", "page", "text", "height"), M.regions(_explode(x.where(~_scanned_flag()), "spans")))
     body = pages.join(marked.withColumnRenamed("text", "marked"), ["rel_path", "page"], "left")
     shot = lambda kind: F.concat(F.lit(f"\n![{kind}]("), F.col("ref"), F.lit(")\n"))
