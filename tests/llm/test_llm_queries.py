@@ -128,3 +128,27 @@ def test_pipeline_against_brute_force(spark):
         assert r.offset == ends.get(r.sequence_id, 0)
         ends[r.sequence_id] = r.offset + r.length
     assert max(ends.values()) <= 1024
+
+
+def test_stages_of_odd_tables(spark, odd):
+    """Each stage on nulls, empty and long texts, repeated rows and clashing columns, and on an empty table."""
+    import corpus_pipeline as c
+    from corpus import make
+
+    want = {
+        "quality_rules": {1, 2, 3, 9, 14}, "ngram_jaccard": {None, 1, 4, 5, 6, 7, 9, 10, 11, 12, 13},
+        "substring_dedup": {None, *range(1, 15)}, "decontamination": {None, *range(1, 15)},
+    }
+    for name, stage in c.STAGES:
+        docs = make(spark, odd)
+        got = stage(spark, docs, SF)
+        if name == "packing":
+            assert sorted((r.doc_id or 0) for r in got.where("piece = 0").collect()) == sorted((d or 0) for d, *_ in odd)
+        else:
+            rows = got.collect()
+            assert got.columns == docs.columns and {r.doc_id for r in rows} == want[name], (name, {r.doc_id for r in rows})
+            if name in ("substring_dedup", "decontamination"):
+                assert len(rows) == len(odd)
+            if name == "substring_dedup":
+                assert {r.doc_id: r.text for r in rows}[4] is None and {r.text for r in rows if r.doc_id in (1, 2)} == {""}
+        assert stage(spark, make(spark, []), SF).count() == 0
