@@ -8,8 +8,9 @@
 3. Each piece gets its rank among those of its length: ranks within (length, hash slice), a slice holding a bounded number
    of pieces, plus the sums of the slices before. The plan turns rank into bin and offset.
 
-Null and empty texts are the end token alone. Repeated rows are packed as often as they stand, and rank by their order of
-piece. An empty table gives no rows.
+Null and empty texts are the end token alone. Repeated rows are packed as often as they stand. Pieces rank by document,
+piece, start and crc, so that only rows alike in all of these can change places if a task is worked out again; rows without
+a doc_id spread over the slices by their crc. An empty table gives no rows.
 
 Token ids are those of the tokenizers file. For texts within code points up to U+024F that don't hold a special token's
 string, the same vocabulary is applied by tiktoken, which gives the same ids (tests compare the two over that range) in a
@@ -169,11 +170,11 @@ def pack(docs: DataFrame, spec: tuple, capacity: int = CAPACITY) -> DataFrame:
     rows = [(n, -(-count[n] // SLICE), [x[0] for x in r], [x[1] for x in r], [x[2] for x in r]) for n, r in by.items()]
     table = spark.createDataFrame(rows, "length long, slices long, firsts array<long>, bins array<long>, offsets array<long>")
     slices = F.broadcast(table.select("length", "slices"))  # both broadcasts: at most ``capacity`` rows
-    ranked = pieces.join(slices, "length").withColumn("slice", F.pmod(F.xxhash64("doc_id", "piece"), F.col("slices"))).drop("slices")
+    ranked = pieces.join(slices, "length").withColumn("slice", F.pmod(F.xxhash64("doc_id", "piece", "start", "ids_crc32"), F.col("slices"))).drop("slices")
     sums = ranked.groupBy("length", "slice").agg(F.count("*").alias("n"))
     before = Window.partitionBy("length").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select("length", "slice", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    within = F.row_number().over(Window.partitionBy("length", "slice").orderBy("doc_id", "piece"))
+    within = F.row_number().over(Window.partitionBy("length", "slice").orderBy("doc_id", "piece", "start", "ids_crc32"))
     ranked = ranked.withColumn("rank", within - 1).join(sums, ["length", "slice"]).withColumn("rank", F.col("rank") + F.col("base"))
     run = F.expr("size(filter(firsts, x -> x <= rank)) - 1")
     out = ranked.join(F.broadcast(table.drop("slices")), "length").withColumn("run", run)

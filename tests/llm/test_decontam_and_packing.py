@@ -191,6 +191,15 @@ def test_packing(spark, odd):
     assert packing.pack(make(spark, []), tokenizer_spec()).count() == 0
 
 
+def test_packing_without_ids(spark, monkeypatch):
+    """Rows without a doc_id spread over slices; the order in which rows arrive changes nothing."""
+    monkeypatch.setattr(packing, "SLICE", 10)
+    docs = make(spark, [(None, f"text {i % 90:02d}", "en", "a") for i in range(400)] + [(i % 5, "again and again", "en", "a") for i in range(300)])
+    once, again = (packing.pack(docs.repartition(k), tokenizer_spec()).collect() for k in (1, 7))
+    assert len(once) == 700 and sorted(map(str, once)) == sorted(map(str, again))
+    assert len(unpacked(once)) <= -(-sum(r.length for r in once) // 1024) + 2
+
+
 @pytest.mark.parametrize("seed", range(8))
 def test_plan(seed):
     r = random.Random(seed)
