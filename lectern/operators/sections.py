@@ -6,11 +6,13 @@ itself repeats (formula fences, code fences, table rules) are never taken for pa
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern.functions.patterns import SECTION_HEAD, SECTION_START
-from lectern.functions.text import _c, count_words, strip, without_images
+from lectern.functions.text import _c, count_words, let, strip, without_images
 
 TITLE_WORDS, REPEATS, SHORT = 20, 3, 100
 #: Lines that repeat by nature.
@@ -72,9 +74,20 @@ def repeated(x, compat: bool = False) -> Column:
 
 
 def without_repeated(x, compat: bool = False) -> Column:
-    """The text without the lines that repeat."""
-    gone = lambda g: F.array_join(F.filter(F.split(_c(x), "\n", -1), lambda line: ~F.array_contains(g, strip(line))), "\n")
-    return F.transform(F.array(repeated(x, compat)), gone)[0]
+    """The text without the lines that repeat: lines sorted by what they say, marked by their neighbours, put back in order."""
+
+    def rows(line: Column, i: Column) -> Column:
+        return let(strip(line), lambda s: F.struct(F.when(countable(s, compat) & (F.length(s) < SHORT), s).alias("says"), i.alias("at"), line.alias("line")))
+
+    def marked(a: Column) -> Column:
+        # A line is one of REPEATS alike if it begins, ends or lies within a run of that length.
+        alike = lambda s, i, k: F.coalesce(F.get(a, i + k)["says"] == F.get(a, i + (k + REPEATS - 1))["says"], F.lit(False)) & F.coalesce(F.get(a, i + k)["says"] == s["says"], F.lit(False))
+        gone = lambda s, i: reduce(lambda p, q: p | q, [alike(s, i, -k) for k in range(REPEATS)])
+        return F.transform(a, lambda s, i: F.struct(s["at"].alias("at"), s["line"].alias("line"), gone(s, i).alias("gone")))
+
+    kept = lambda a: F.array_join(F.transform(F.filter(F.array_sort(a), lambda s: ~s["gone"]), lambda s: s["line"]), "\n")
+    cut = kept(let(F.array_sort(F.transform(F.split(_c(x), "\n", -1), rows)), marked))
+    return F.when(F.size(repeated(x, compat)) == 0, _c(x)).otherwise(cut)
 
 
 def filter_content(docs: DataFrame, text: str = "markdown", fmt: str = "format", compat: bool = False) -> DataFrame:
