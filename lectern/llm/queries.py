@@ -102,7 +102,25 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(_table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_license_scans, op3_decontamination, op4_ngram_jaccard, op5_quality_classifier, op6_language_id, op7_best_fit_packing, op8_toxicity, op9_quality_rules, op10_html_extraction)}
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lectern.llm.prefix_trie import prefix_trie, rebuilt, turn_arrays
+
+    return prefix_trie(rebuilt(turn_arrays(_table(spark, sf_dir, "conversations"))))
+
+
+def op12_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+    from pyspark.sql import functions as F
+
+    from lectern.llm.bpe_codec import decode, encode
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    out = decode(encode(_table(spark, sf_dir, "documents"), path), path)
+    n = (F.octet_length("ids") / 4).cast("long")
+    return out.select("doc_id", n.alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_license_scans, op3_decontamination, op4_ngram_jaccard, op5_quality_classifier, op6_language_id, op7_best_fit_packing, op8_toxicity, op9_quality_rules, op10_html_extraction, op11_prefix_trie, op12_bpe_codec)}
 
 #: Words of a text as every contract has them (DuckDB).
 _WORDS = r"list_filter(string_split_regex(coalesce({0}, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '')"
@@ -148,6 +166,25 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM r LEFT JOIN q USING (host)""",
 }
 
+#: One step of CRC-32 (reflected polynomial 0xEDB88320), eight for each byte.
+_CRC_STEP = "xor(x >> 1, 3988292384 * (x & 1))"
+
+SQL["op11_prefix_trie"] = rf"""
+WITH o AS MATERIALIZED (SELECT conv_id, name, words, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, name) AS k FROM (
+    SELECT conv_id, turn, sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS name, len({_WORDS.format("text")}) AS words FROM conversations WHERE conv_id IS NOT NULL)),
+b AS (SELECT conv_id, list_transform(string_split(conv_id::varchar, ''), lambda c: ord(c)) AS digits FROM (SELECT DISTINCT conv_id FROM o)),
+c AS MATERIALIZED (SELECT conv_id, conv_id - conv_id % 20 AS base, xor(list_reduce(list_concat([4294967295::bigint], digits),
+    lambda a, d: list_reduce(list_concat([xor(a, d::bigint)], range(8)), lambda x, i: {_CRC_STEP})), 4294967295) % 4 AS h FROM b),
+r AS (SELECT c.conv_id, 0 AS own, k, name, words FROM c JOIN o ON o.conv_id = c.base AND o.k <= h UNION ALL SELECT conv_id, 1, k, name, words FROM c JOIN o USING (conv_id) WHERE k > h),
+p AS MATERIALIZED (SELECT conv_id, words, row_number() OVER w AS d, string_agg(name, '') OVER w AS path FROM r WINDOW w AS (PARTITION BY conv_id ORDER BY own, k)),
+m AS (SELECT conv_id, d, path, words, d = max(d) OVER (PARTITION BY conv_id) AS ends FROM (SELECT conv_id, d, path, words FROM p UNION ALL SELECT conv_id, 0, '', 0 FROM c)),
+n AS MATERIALIZED (SELECT path, d, min(conv_id) AS conv_id, count(*) AS n, (count(*) - 1) * min(words) AS saved,
+    sha256(coalesce(string_agg(conv_id::varchar, ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256 FROM m GROUP BY path, d),
+kids AS MATERIALIZED (SELECT left(path, 64 * (d - 1)) AS path, count(*) AS kids FROM n WHERE d > 0 GROUP BY 1),
+below AS (SELECT path, sum(leaf) AS leaves, sum(saved) AS saved FROM (SELECT left(n.path, 64 * unnest(range(d + 1))) AS path, saved, (kids.path IS NULL)::int AS leaf FROM n LEFT JOIN kids USING (path)) GROUP BY path)
+SELECT n.conv_id, n.d AS depth, up.conv_id AS parent_conv_id, n.n AS n_convs, coalesce(kids, 0) AS n_children, leaves::bigint AS n_leaves, below.saved::bigint AS saved_tokens, n.ends_sha256
+FROM n JOIN below USING (path) LEFT JOIN kids USING (path) LEFT JOIN n up ON n.d > 0 AND up.path = left(n.path, 64 * (n.d - 1))"""
+
 
 def _license_sql() -> str:
     """op2 in SQL: the same constants, a line and a token a row."""

@@ -17,7 +17,7 @@ def test_sql(name, spark):
 def test_registry(spark):
     import __spark_entry__
 
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 13))
     assert set(QUERIES) | {"pipeline"} <= set(__spark_entry__.queries())
 
 
