@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions.text import path_parts, with_suffix
+from lectern.operators import order
+from lectern.shared import keep
 
 
 def pending(files: DataFrame, progress: DataFrame) -> DataFrame:
@@ -43,12 +45,28 @@ def run_counts(files: DataFrame) -> DataFrame:
 
 
 def path_rank(files: DataFrame, path: str = "rel_path") -> DataFrame:
-    """files with place: how many files come before it in path order, plus 1; equal paths share a place, a null path has none.
+    """files with place: how many files come before it in path order, plus 1; equal paths share a place, a null path has none."""
+    paths = files.where(F.col(path).isNotNull()).groupBy(path).agg(F.count("*").alias("_n")).withColumn("_parts", path_parts(path))
+    ranked = order.before(paths, ["_parts"], F.col("_n"), "_before")
+    return files.join(ranked.select(path, (F.col("_before") + 1).alias("place")), path, "left")
 
-    Ranks are taken within the first two parts of the path, and only one row for each of these beginnings meets in one task.
+
+#: Names of colliding outputs that are broadcast; more of them are joined otherwise.
+FEW = 500_000
+
+
+def winners(docs: DataFrame, path: str = "rel_path", then: list[Column] | None = None) -> DataFrame:
+    """docs with out_path, one row for each: of those that map to one output the last by path order, then by the given columns.
+
+    Only names are grouped to find which outputs collide; rows of all others are neither shuffled nor sorted. Rows without a
+    path have no output and are left out.
     """
-    paths = files.where(F.col(path).isNotNull()).groupBy(path).agg(F.count("*").alias("_n")).withColumn("_parts", path_parts(path)).withColumn("_top", F.slice("_parts", 1, 2))
-    earlier = lambda w: F.coalesce(F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    tops = paths.groupBy("_top").agg(F.sum("_n").alias("_n")).select("_top", earlier(Window.orderBy("_top")).alias("_before"))
-    paths = paths.withColumn("_within", earlier(Window.partitionBy("_top").orderBy("_parts"))).join(tops, "_top")
-    return files.join(paths.select(path, (F.col("_before") + F.col("_within") + 1).alias("place")), path, "left")
+    out = docs.where(F.col(path).isNotNull()).withColumn("out_path", with_suffix(path, ".md"))
+    twice = keep(out.groupBy("out_path").agg(F.count("*").alias("_n")).where("_n > 1").select("out_path"))
+    n = twice.count()
+    if not n:
+        return out
+    names = F.broadcast(twice) if n <= FEW else twice
+    last = Window.partitionBy("out_path").orderBy(path_parts(path).desc(), *[c.desc() for c in then or []])
+    decided = out.join(names, "out_path", "left_semi").withColumn("_k", F.row_number().over(last)).where("_k = 1").drop("_k")
+    return out.join(names, "out_path", "left_anti").unionByName(decided)
