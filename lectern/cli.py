@@ -85,10 +85,10 @@ def main(argv: list[str] | None = None, spark=None) -> int:
     from lectern.plans.run import Options, lint_tree, read_progress, run, write_index
 
     if args.command == "stream":
-        from lectern.streaming.incremental import process_new, tidy
+        from lectern.streaming.incremental import outputs, process_new, tidy
 
         state = os.path.join(args.temp, "stream_progress")
-        process_new(spark, args.arrivals, state, os.path.join(args.temp, "stream_checkpoint"), tidy(args.output, args.compat))
+        process_new(spark, args.arrivals, state, os.path.join(args.temp, "stream_checkpoint"), tidy(args.compat), write=outputs(args.output))
         print(f"{read_progress(spark, state).count()} documents done, {write_index(spark, args.output)} indexed")
         return 0
     if args.command == "lint":

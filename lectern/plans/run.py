@@ -7,20 +7,24 @@ before the filter, figures after it, so that filtered pictures are never sent.
 
 from __future__ import annotations
 
-import json
-import os
-import shutil
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern import schemas
-from lectern.functions.text import FORMULA_MIME, IMAGE_MIME, is_sentinel, media_type, strip, unwrap_reply
+from lectern.functions.text import FORMULA_MIME, IMAGE_MIME, file_name, is_sentinel, media_type, strip, unwrap_reply
 from lectern.operators import chunks, index, lint, markers, metrics, model, progress, sections
-from lectern.sources.doctree import discover, with_content
+from lectern.plans import catalog
+from lectern.shared import exists, keep
+from lectern.sinks import read_files, write_files, write_lines
+from lectern.sources.doctree import SLICE, discover, with_content
 from lectern.sources.extract import asset_table, extract, formula_table, page_table, to_markdown
 from lectern.sources.raster import Raster, blank_pages, formula_regions, render
+from lectern.sources.tree import listing
+
+#: The progress log: what each batch finished.
+PROGRESS_LOG = f"{schemas.PROGRESS}, batch long"
 
 
 @dataclass
@@ -60,26 +64,24 @@ def _written(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def read_progress(spark: SparkSession, path: str) -> DataFrame:
-    """The progress table, empty if there is none yet."""
-    current = os.path.join(path, "CURRENT")
-    if os.path.exists(current):
-        with open(current) as f:
-            return spark.read.schema(schemas.PROGRESS).parquet(os.path.join(path, f.read().strip()))
-    return spark.createDataFrame([], schemas.PROGRESS)
+def next_batch(spark: SparkSession, path: str) -> int:
+    """The number of the next batch of a progress log."""
+    if not exists(spark, path):
+        return 0
+    last = spark.read.schema(PROGRESS_LOG).parquet(path).agg(F.max("batch")).head()[0]
+    return 0 if last is None else last + 1
+
+
+def read_progress(spark: SparkSession, path: str, before: int | None = None) -> DataFrame:
+    """The newest row of each file in the progress log, of the batches before the given one if there is one."""
+    log = catalog.read(spark, path, PROGRESS_LOG)
+    log = log if before is None else log.where(F.col("batch") < before)
+    return progress.latest(log, ["rel_path"], [F.col("batch")]).select("rel_path", "mtime", "output")
 
 
-def write_progress(table: DataFrame, path: str) -> None:
-    """A new version beside the old one, and then the pointer, in one rename."""
-    os.makedirs(path, exist_ok=True)
-    old = [x for x in os.listdir(path) if x.startswith("v")]
-    new = f"v{max([0, *(int(x[1:]) for x in old)]) + 1:08d}"
-    table.write.parquet(os.path.join(path, new))
-    with open(os.path.join(path, "CURRENT.new"), "w") as f:
-        f.write(new)
-    os.replace(os.path.join(path, "CURRENT.new"), os.path.join(path, "CURRENT"))
-    for x in old:
-        shutil.rmtree(os.path.join(path, x), ignore_errors=True)
+def write_progress(rows: DataFrame, path: str, batch: int) -> None:
+    """What a batch finished, as a partition of the log: written again, it is the same partition."""
+    catalog.write(rows.select("rel_path", "mtime", "output", F.lit(batch).cast("long").alias("batch")), path, "batch")
 
 
 def _requests(found: DataFrame, assets: DataFrame, kind: str, table: dict[str, str]) -> DataFrame:
@@ -127,70 +129,26 @@ def _cleanup(docs: DataFrame, o: Options) -> tuple[DataFrame, DataFrame]:
     return out.withColumn("markdown", F.coalesce("new", "markdown")).drop("new"), replies
 
 
-def write_texts(rows: DataFrame, root: str) -> None:
-    """rel (a path below root), text: one file each, by the tasks that hold the rows; root is a shared folder."""
-
-    def put(part) -> None:
-        for rel, text in part:
-            path = os.path.join(root, rel)
-            os.makedirs(os.path.dirname(path), exist_ok=True)
-            with open(path + ".new", "w", encoding="utf-8", newline="") as f:
-                f.write(text)
-            os.replace(path + ".new", path)
-
-    rows.foreachPartition(put)
-
-
-def _write_bytes(rows: DataFrame, root: str) -> None:
-    def put(part) -> None:
-        for rel, data in part:
-            path = os.path.join(root, rel)
-            os.makedirs(os.path.dirname(path), exist_ok=True)
-            with open(path, "wb") as f:
-                f.write(data)
-
-    rows.foreachPartition(put)
-
-
 def read_outputs(spark: SparkSession, root: str, with_index: bool = False) -> DataFrame:
     """path, markdown of the Markdown files below root; index files only on request."""
-    found = sorted((os.path.relpath(os.path.join(d, n), root).replace(os.sep, "/").split("/") for d, _, names in os.walk(root) for n in names if n.endswith(".md") and (with_index or n != "index.md")))
-    paths = spark.createDataFrame([("/".join(p),) for p in found], "path string")
-
-    def read(batches):
-        import pyarrow as pa
-
-        for b in batches:
-            texts = []
-            for rel in b.column("path").to_pylist():
-                with open(os.path.join(root, rel), encoding="utf-8", errors="ignore", newline="") as f:
-                    texts.append(f.read())
-            yield pa.RecordBatch.from_arrays([b.column("path"), pa.array(texts, pa.string())], ["path", "markdown"])
-
-    return paths.mapInArrow(read, "path string, markdown string")
+    found = listing(spark, root, (".md",))
+    if not with_index:
+        found = found.where(file_name("rel_path") != "index.md")
+    return read_files(spark, found.where(F.col("rel_path").endswith(".md")), root)
 
 
 def write_index(spark: SparkSession, output: str) -> int:
     """index.md and manifest.json of all outputs; nothing is written if there are none. Returns their number."""
-    entries = index.manifest(read_outputs(spark, output))
-    entries = _written(entries, os.path.join(output, ".manifest"))
-    text = index.index_text(entries).head()
-    if text is None:
-        shutil.rmtree(os.path.join(output, ".manifest"), ignore_errors=True)
-        return 0
-    with open(os.path.join(output, "index.md"), "w", encoding="utf-8", newline="") as f:
-        f.write(text[0])
-    rows = [r.asDict() for r in entries.orderBy(F.split("path", "/")).toLocalIterator()]
-    with open(os.path.join(output, "manifest.json"), "w", encoding="utf-8") as f:
-        json.dump(rows, f, indent=2)
-    shutil.rmtree(os.path.join(output, ".manifest"), ignore_errors=True)
-    return len(rows)
+    entries = keep(index.manifest(read_outputs(spark, output)))
+    n = entries.count()
+    if n:
+        write_lines(index.index_rows(entries, n), index.INDEX_ORDER, output, "index.md")
+        write_lines(index.manifest_rows(entries), index.MANIFEST_ORDER, output, "manifest.json")
+    return n
 
 
 def run(spark: SparkSession, o: Options) -> Report:
     """One run over a tree. A file that fails isn't tracked and comes again; the index is always rebuilt."""
-    os.makedirs(o.output, exist_ok=True)
-    os.makedirs(o.work, exist_ok=True)
     files = _written(discover(spark, o.source), f"{o.work}/files")
     done = read_progress(spark, f"{o.work}/progress")
     todo = progress.pending(files, done)
@@ -198,7 +156,7 @@ def run(spark: SparkSession, o: Options) -> Report:
     report = Report(discovered, pending, 0, 0, discovered - pending, 0, 0, 0, 0.0)
     report.formats = {r["format"]: r["files"] for r in progress.format_counts(files).orderBy("format").collect()}
     if pending:
-        x = _written(extract(with_content(todo, o.source), o.compat), f"{o.work}/extracted")
+        x = _written(extract(with_content(todo.repartition(-(-pending // SLICE)), o.source), o.compat), f"{o.work}/extracted")
         report.failed = x.where("error IS NOT NULL").count()
         drawn_pages = o.raster is not None
         assets, formulas = asset_table(x, drawn_pages), formula_table(x)
@@ -211,9 +169,9 @@ def run(spark: SparkSession, o: Options) -> Report:
             have = regions.join(drawn.select("rel_path", "ref"), ["rel_path", "ref"], "left_semi").select("rel_path", "formula_idx", F.col("ref").alias("drawn"))
             formulas = formulas.join(have, ["rel_path", "formula_idx"], "left").withColumn("image_ref", F.coalesce("image_ref", "drawn")).drop("drawn")
         assets = _written(assets, f"{o.work}/assets")
-        _write_bytes(assets.select("ref", "bytes"), o.work)
+        write_files(assets.select("ref", "bytes"), o.work)
         docs = _written(to_markdown(x, drawn_pages), f"{o.work}/docs_raw")
-        write_texts(progress.outputs(docs).where("wins").select("out_path", "markdown"), f"{o.work}/raw")
+        write_files(progress.outputs(docs).where("wins").select("out_path", "markdown"), f"{o.work}/raw")
 
         def step(name: str, before: DataFrame, after: DataFrame) -> DataFrame:
             after = _written(after, f"{o.work}/docs_{name}")
@@ -240,9 +198,9 @@ def run(spark: SparkSession, o: Options) -> Report:
             report.failed += 1
         if report.aborted is None:
             final = _written(lint.lint(progress.outputs(docs)), f"{o.work}/docs")
-            write_texts(final.where("wins").select("out_path", "markdown"), o.output)
+            write_files(final.where("wins").select("out_path", "markdown"), o.output)
             marked = final.join(files.select("rel_path", "mtime"), "rel_path").select("rel_path", "mtime", F.col("out_path").alias("output"))
-            write_progress(progress.upsert(done, marked), f"{o.work}/progress")
+            write_progress(marked, f"{o.work}/progress", next_batch(spark, f"{o.work}/progress"))
             totals = lint.lint_totals(final).head()
             report.processed, report.lint_fixed, report.lint_remaining = totals["files"], totals["fixed"], totals["remaining"]
             calls = [r.where("status <> 'no_key'") for r in replies]
@@ -254,9 +212,7 @@ def run(spark: SparkSession, o: Options) -> Report:
 
 def lint_tree(spark: SparkSession, root: str) -> DataFrame:
     """path, fixed_count, remaining_failures, fast_mode of all Markdown files below root, which are rewritten if changed."""
-    work = os.path.join(root, ".lint")  # written before any file is changed: results must not be worked out from changed files
-    after = _written(lint.lint(read_outputs(spark, root, with_index=True).withColumn("was", F.col("markdown"))), work)
-    write_texts(after.where("markdown <> was").select("path", "markdown"), root)
-    out = [tuple(r) for r in after.select("path", "fixed_count", "remaining_failures", "fast_mode").toLocalIterator()]
-    shutil.rmtree(work, ignore_errors=True)
-    return spark.createDataFrame(out, "path string, fixed_count long, remaining_failures array<string>, fast_mode boolean")
+    # Written before any file is changed: results must not be worked out from changed files.
+    after = keep(lint.lint(read_outputs(spark, root, with_index=True).withColumn("was", F.col("markdown"))))
+    write_files(after.where("markdown <> was").select("path", "markdown"), root)
+    return after.select("path", "fixed_count", "remaining_failures", "fast_mode")

@@ -1,68 +1,22 @@
-"""The file tree as a data source: one row a file, listing apart from reading.
+"""Files of known formats in a tree, listing apart from reading.
 
-Spark's own binaryFile source hides names that begin with a dot or underscore and matches endings by case, so the listing
-is a Python data source. It lists on the driver (names, times and sizes only), deals the files out in slices, and reads
-bytes only if asked to: a run lists first, drops what is done, and then reads the rest with ``with_content``.
+Spark's own binaryFile source hides names that begin with a dot or underscore and matches endings by case, so names, times and
+sizes come from ``tree.listing``. A run lists first, drops what is done, and then reads the rest with ``with_content``.
 """
 
 from __future__ import annotations
 
-import os
-from collections.abc import Iterator
-
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql import functions as F
 
 from lectern import schemas
-from lectern.functions.text import FORMATS, SKIPPED_DIRS
+from lectern.functions.text import FORMATS, SKIPPED_DIRS, format_of, path_parts, stem, suffix
+from lectern.sources.tree import listing, opened
 
+#: Files that a task of a run reads, about.
 SLICE = 64
 
 
-class _Slice(InputPartition):
-    def __init__(self, files: list[tuple]):
-        self.files = files
-
-
-class _Reader(DataSourceReader):
-    def __init__(self, root: str):
-        self.root = root
-
-    def partitions(self) -> list[InputPartition]:
-        found = []
-        for folder, dirs, names in os.walk(self.root):
-            dirs[:] = [d for d in dirs if d not in SKIPPED_DIRS]
-            for name in names:
-                base, dot, ending = name.rpartition(".")
-                ext = f".{ending}" if dot and base and ending else ""
-                if name in SKIPPED_DIRS or ext.lower() not in FORMATS:
-                    continue
-                path = os.path.join(folder, name)
-                if os.path.isfile(path):
-                    rel = os.path.relpath(path, self.root).replace(os.sep, "/")
-                    info = os.stat(path)
-                    found.append((rel, rel.split("/"), base, ext, FORMATS[ext.lower()], info.st_mtime, info.st_size))
-        found.sort(key=lambda x: x[1])
-        return [_Slice(found[i : i + SLICE]) for i in range(0, len(found), SLICE)] or [_Slice([])]
-
-    def read(self, partition: InputPartition) -> Iterator[tuple]:
-        yield from partition.files
-
-
-class DocTree(DataSource):
-    """``spark.read.format("doctree").load(dir)``."""
-
-    @classmethod
-    def name(cls) -> str:
-        return "doctree"
-
-    def schema(self) -> str:
-        return schemas.FILES
-
-    def reader(self, schema) -> DataSourceReader:
-        return _Reader(self.options["path"])
-
-
 #: The setting that bounds batches on the way between readers.
 _BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
@@ -76,13 +30,15 @@ def _size(text: str) -> int:
 
 
 def discover(spark: SparkSession, root: str) -> DataFrame:
-    """Files of known formats below root (schema FILES)."""
-    spark.dataSource.register(DocTree)
-    return spark.read.format("doctree").load(root)
+    """Files of known formats below root (schema FILES), in no order. A root that isn't there has none."""
+    found = listing(spark, root, tuple(FORMATS), SKIPPED_DIRS)
+    out = found.select("rel_path", path_parts("rel_path").alias("parts"), stem("rel_path").alias("stem"), suffix("rel_path").alias("ext"), format_of("rel_path").alias("format"), "mtime", "length")
+    return out.where(F.col("format").isNotNull())
 
 
-#: Bytes of files that one batch holds, beside its last file; larger files than MOST_BYTES are errors of their own.
-BATCH_BYTES, MOST_BYTES = 64 << 20, 1 << 30
+#: Bytes of files that one batch holds, beside its last file; and what a cell of a batch can hold at most, so larger files are
+#: errors of their own.
+BATCH_BYTES, MOST_BYTES = 64 << 20, (1 << 31) - (1 << 20)
 
 
 def with_content(files: DataFrame, root: str, batch_bytes: int = BATCH_BYTES, most: int = MOST_BYTES) -> DataFrame:
@@ -98,13 +54,14 @@ def with_content(files: DataFrame, root: str, batch_bytes: int = BATCH_BYTES, mo
             columns = [c.slice(begin, len(content)) for c in b.columns]
             return pa.RecordBatch.from_arrays([*columns, pa.array(content, pa.binary()), pa.array(error, pa.string())], [*b.schema.names, "content", "error"])
 
+        fs, base = opened(root)
         for b in batches:
             content, error, held, begin = [], [], 0, 0
             for k, rel in enumerate(b.column("rel_path").to_pylist()):
                 data, said = None, None
                 try:
-                    with open(os.path.join(root, rel), "rb") as f:
-                        if os.fstat(f.fileno()).st_size > most:
+                    with fs.open_input_file(f"{base}/{rel}") as f:
+                        if f.size() > most:
                             said = f"larger than {most} bytes"
                         else:
                             data = f.read()
