@@ -1,4 +1,9 @@
-"""Markdown lint as one chain of expressions: trailing space, tabs, blank lines, heading marks, blank lines round headings."""
+"""Markdown lint as one chain of expressions: trailing space, tabs, blank lines, heading marks, blank lines round headings.
+
+What isn't prose is left alone: front matter, fenced code, raw HTML blocks and comments. Each such block is taken out, a mark
+stands in its place as one word while the rules run, and it is put back as it was. A block that is never closed goes on to the
+end. The rule is the same for texts of any length.
+"""
 
 from __future__ import annotations
 
@@ -21,12 +26,47 @@ SAYS = {
     "MD009": "Trailing spaces", "MD010": "Hard tabs", "MD012": "Multiple consecutive blank lines", "MD018": "No space after hash of heading", "MD019": "Multiple spaces after hash of heading",
     "MD022": "Headings should be surrounded by blank lines", "MD023": "Headings must start at the beginning of the line", "MD047": "Files should end with a single newline character",
 }
-#: Texts above this many bytes are marked as linted fast; they are linted and scanned like any other.
+#: Texts above this many bytes are marked as linted fast. compat: there the rules look into blocks too, as they did.
 FAST_ABOVE = 512 * 1024
+#: Stands for a block. In a text of its own it is taken out and put back like one.
+MARK = "\ue000"
+_END = r"(?=\n*\z)"
+#: Front matter; fences of backticks and of tildes, closed by one at least as long; HTML blocks up to their end tag; comments.
+BLOCK = (
+    r"(?msd)\A---[ \t]*$.*?^(?:---|\.\.\.)[ \t]*$"
+    rf"|^ {{0,3}}(`{{3,}})[^`\n]*$.*?(?:^ {{0,3}}\1`*[ \t]*$|{_END})"
+    rf"|^ {{0,3}}(~{{3,}})[^\n]*$.*?(?:^ {{0,3}}\2~*[ \t]*$|{_END})"
+    rf"|^ {{0,3}}<(pre|script|style|textarea)(?=[ \t>\n]).*?(?:</\3>[^\n]*$|{_END})"
+    rf"|^ {{0,3}}<!--.*?(?:-->[^\n]*$|{_END})"
+    rf"|{MARK}"
+)
+
+
+def _woven(pieces: Column, blocks: Column) -> Column:
+    return F.array_join(F.zip_with(pieces, blocks, lambda p, b: F.concat(p, F.coalesce(b, F.lit("")))), "")
+
+
+def outside(x, rules) -> Column:
+    """The text with rules (a function of a text column) applied to all but its blocks."""
+    text = _c(x)
+    blocks = F.regexp_extract_all(text, F.lit(BLOCK), F.lit(0))
+    return F.when(text.rlike(BLOCK), _woven(F.split(rules(F.regexp_replace(text, BLOCK, MARK)), MARK, -1), blocks)).otherwise(rules(text))
+
+
+def prose(x) -> Column:
+    """The text with a mark in place of each line of a block, so that line numbers stay."""
+    text = _c(x)
+    blocks = F.transform(F.regexp_extract_all(text, F.lit(BLOCK), F.lit(0)), lambda b: F.array_join(F.array_repeat(F.lit(MARK), F.size(F.split(b, "\n", -1))), "\n"))
+    return F.when(text.rlike(BLOCK), _woven(F.split(text, BLOCK, -1), blocks)).otherwise(text)
 
 
 def fixed(x) -> Column:
-    """The text after all rules, ending in one line feed."""
+    """The text after all rules, ending in one line feed; blocks as they were."""
+    return outside(x, fixed_throughout)
+
+
+def fixed_throughout(x) -> Column:
+    """The text after all rules, which look into blocks too."""
     out = _c(x)
     for _, pattern, to in RULES:
         out = F.regexp_replace(out, pattern, to)
@@ -47,8 +87,11 @@ def changed_lines(before, after) -> Column:
 
 
 def failures(x) -> Column:
-    """What the rules find in a text: an entry "RULE:line:column words" for each place, by line and then by rule."""
-    text = _c(x)
+    """What the rules find in a text's prose: an entry "RULE:line:column words" for each place, by line and then by rule."""
+    return let(prose(x), _failures)
+
+
+def _failures(text: Column) -> Column:
     place = F.struct
     empty = F.array().cast("array<struct<no:int,rule:string,col:int>>")
 
@@ -78,20 +121,24 @@ def failures(x) -> Column:
     return F.transform(F.array_sort(let(let(F.split(text, "\n", -1), around), by_line)), named)
 
 
-def lint(docs: DataFrame, text: str = "markdown") -> DataFrame:
+def lint(docs: DataFrame, text: str = "markdown", compat: bool = False) -> DataFrame:
     """docs with its text fixed and found (failures before), fixed_count (changed lines), remaining_failures, fast_mode.
 
-    fast_mode marks texts above FAST_ABOVE bytes. A null text stays null, with nothing found or fixed.
+    fast_mode marks texts above FAST_ABOVE bytes. A text in which nothing is found stays as it is, and isn't scanned again. A
+    null text stays null, with nothing found or fixed.
     """
     none = F.array().cast("array<string>")
-    out = docs.withColumn("_fixed", fixed(text))
+    fast = F.coalesce(F.octet_length(F.col(text)) > FAST_ABOVE, F.lit(False))
+    found = F.when(F.col(text).isNotNull(), failures(text))
+    out = docs.withColumn("fast_mode", fast).withColumn("_found", F.coalesce(found, none))
+    after = F.when(F.size("_found") == 0, F.col(text)).otherwise(fixed(text))
+    out = out.withColumn("_fixed", F.when(F.col("fast_mode"), fixed_throughout(text)).otherwise(after) if compat else after)
     return (
-        out.withColumn("found", F.coalesce(F.when(F.col(text).isNotNull(), F.size(failures(text)).cast("long")), F.lit(0).cast("long")))
+        out.withColumn("found", F.size("_found").cast("long"))
         .withColumn("fixed_count", F.coalesce(changed_lines(text, "_fixed"), F.lit(0).cast("long")))
-        .withColumn("fast_mode", F.coalesce(F.octet_length(F.col(text)) > FAST_ABOVE, F.lit(False)))
-        .withColumn("remaining_failures", F.when(F.col("_fixed").isNull(), none).otherwise(failures("_fixed")))
+        .withColumn("remaining_failures", F.when(F.col("_fixed").isNull(), none).when(F.col("_fixed") == F.col(text), F.col("_found")).otherwise(failures("_fixed")))
         .withColumn(text, F.col("_fixed"))
-        .drop("_fixed")
+        .drop("_fixed", "_found")
     )
 
 

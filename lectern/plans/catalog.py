@@ -26,7 +26,7 @@ def pages(docs: DataFrame, compat: bool = False) -> DataFrame:
     a page of one line feed.
     """
     docs = docs.where("markdown IS NOT NULL").withColumn("digest", F.md5("markdown"))
-    final = lint.lint(sections.filter_content(progress.winners(docs, then=[F.col("digest")]), compat=compat))
+    final = lint.lint(sections.filter_content(progress.winners(docs, then=[F.col("digest")]), compat=compat), compat=compat)
     path = F.col("out_path")
     return final.select(
         path.alias("path"), title("markdown", stem(path)).alias("title"), headings("markdown").alias("headings"), count_tokens("markdown").alias("word_count"),

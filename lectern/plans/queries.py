@@ -328,6 +328,25 @@ def lint_failures(spark, sf_dir):
     return docs.select("doc_id", *[n(rule.upper()) for rule in _FOUND_SQL])
 
 
+#: Every third sentence end opens a fence and the next closes it; what stands between is as dirty as the rest.
+_FENCED = "array_to_string(list_transform(string_split(text, '. '), lambda s, i: concat(s, CASE i % 3 WHEN 1 THEN concat('.', chr(9), ' ', chr(10), chr(10), chr(10), '#') WHEN 2 THEN concat('. ', chr(10), '```py', chr(10), '#') ELSE concat(chr(9), chr(10), chr(10), chr(10), '```', chr(10)) END)), '')"
+#: The same in Spark, whose arrays count from 0.
+_FENCED_SPARK = _FENCED.replace("array_to_string(list_transform(string_split(text, '. '), lambda s, i: ", "array_join(transform(split(text, '[.] ', -1), (s, i) -> ").replace("i % 3", "(i + 1) % 3")
+_MARK = "chr(57344)"
+#: Pieces between fences: every second one is inside, and the last line of an open one goes on to the end.
+_PIECES = f"(SELECT doc_id, t, p FROM (SELECT doc_id, t, string_split(t, '```') AS p FROM (SELECT doc_id, {_FENCED} AS t FROM documents)))"
+_SKELETON = f"array_to_string(list_transform(p, lambda s, i: CASE WHEN i % 2 = 1 THEN s ELSE concat({_MARK}, CASE WHEN i = len(p) THEN regexp_extract(s, chr(10) || '*$') ELSE '' END) END), '')"
+_BLOCKS = "list_transform(list_filter(range(1, len(p) + 1), lambda i: i % 2 = 0), lambda i: concat('```', CASE WHEN i = len(p) THEN regexp_replace(p[i], chr(10) || '*$', '') ELSE concat(p[i], '```') END))"
+
+
+@query(f"""SELECT doc_id, array_to_string(list_transform(range(1, len(f) + 1), lambda i: concat(f[i], coalesce(b[i], ''))), '') AS markdown
+FROM (SELECT doc_id, string_split({_FIXED_SQL.format(_SKELETON)}, {_MARK}) AS f, {_BLOCKS} AS b FROM {_PIECES})""")
+def lint_outside_fences(spark, sf_dir):
+    """Texts with fenced stretches, of which some are never closed: nothing in a fence changes."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.expr(_FENCED_SPARK).alias("markdown"))
+    return lint.lint(docs).select("doc_id", "markdown")
+
+
 # Tables and assembly --------------------------------------------------------------------------------------------------
 
 

@@ -197,7 +197,7 @@ def run(spark: SparkSession, o: Options) -> Report:
             report.aborted = "the model provider doesn't answer"
             report.failed += 1
         if report.aborted is None:
-            final = _written(lint.lint(progress.outputs(docs)), f"{o.work}/docs")
+            final = _written(lint.lint(progress.outputs(docs), compat=o.compat), f"{o.work}/docs")
             write_files(final.where("wins").select("out_path", "markdown"), o.output)
             marked = final.join(files.select("rel_path", "mtime"), "rel_path").select("rel_path", "mtime", F.col("out_path").alias("output"))
             write_progress(marked, f"{o.work}/progress", next_batch(spark, f"{o.work}/progress"))

@@ -54,7 +54,7 @@ def tidy(compat: bool = False) -> Callable[[DataFrame], DataFrame]:
 
     def process(rows: DataFrame) -> DataFrame:
         docs = rows.withColumn("format", F.coalesce(format_of("rel_path"), F.lit("")))
-        return lint.lint(progress.outputs(sections.filter_content(docs, compat=compat))).withColumn("output", F.col("out_path"))
+        return lint.lint(progress.outputs(sections.filter_content(docs, compat=compat)), compat=compat).withColumn("output", F.col("out_path"))
 
     return process
 
