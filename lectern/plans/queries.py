@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions import text as T
 from lectern.functions.patterns import LINE_END, MATH_RANGES, MATH_SIGNS, WS
-from lectern.operators import assets, chunks, formulas, index, lint, markers, metrics, progress, sections, tables
+from lectern.operators import assets, chunks, formulas, index, lint, markers, metrics, model, progress, sections, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -447,6 +447,19 @@ def ocr_outcomes(spark, sf_dir):
     return metrics.reply_outcomes(table(spark, sf_dir, "orders").select(reply.alias("reply")))
 
 
+_PART = "length(encode({0})) || ':' || sha256({0})"
+
+
+@query(f"""SELECT sha256('any|' || {_PART.format("'cleanup'")} || '|' || {_PART.format("line").replace("length(encode(line))", "octet_length(encode(line))")} || '|-|-|-') AS name, min(doc_id) AS asked_by, count(*) AS requests
+FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) GROUP BY line""".replace("length(encode('cleanup'))", "'7'"))
+def requests_by_content(spark, sf_dir):
+    """Each line of each document as a request to tidy it: equal ones have one name and are asked once."""
+    lines = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.split("text", "\n", -1)).alias("text"))
+    null = lambda t: F.lit(None).cast(t)
+    rows = lines.select("doc_id", F.lit("cleanup").alias("kind"), "text", null("string").alias("context"), null("binary").alias("image"), null("string").alias("mime"))
+    return model.by_content(rows, "any").groupBy("name").agg(F.min("doc_id").alias("asked_by"), F.count("*").alias("requests"))
+
+
 @query("SELECT count(*) AS calls, sum(p)::bigint AS prompt_tokens, sum(c)::bigint AS completion_tokens, sum(coalesce(p, 0) + coalesce(c, 0))::bigint AS total_tokens, round(sum(value), 4) AS cost FROM (SELECT user_id % 500 AS p, CASE WHEN event_type = 'click' THEN NULL ELSE user_id % 90 END AS c, value FROM events)")
 def model_usage_totals(spark, sf_dir):
     calls = table(spark, sf_dir, "events").selectExpr("user_id % 500 AS prompt_tokens", "CASE WHEN event_type = 'click' THEN NULL ELSE user_id % 90 END AS completion_tokens", "value AS cost")

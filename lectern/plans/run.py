@@ -8,6 +8,7 @@ before the filter, figures after it, so that filtered pictures are never sent.
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -84,6 +85,15 @@ def write_progress(rows: DataFrame, path: str, batch: int) -> None:
     catalog.write(rows.select("rel_path", "mtime", "output", F.lit(batch).cast("long").alias("batch")), path, "batch")
 
 
+def _asked(requests: DataFrame, o: Options, name: str) -> tuple[DataFrame, DataFrame]:
+    """Replies to requests, written, and the calls that were paid for."""
+    if isinstance(o.provider, model.NoProvider):
+        replies = _written(model.ask(requests, o.provider), f"{o.work}/replies_{name}")
+        return replies, replies
+    replies, calls = model.ask_once(requests, o.provider, f"{o.work}/asked", compat=o.compat)
+    return _written(replies, f"{o.work}/replies_{name}"), calls
+
+
 def _requests(found: DataFrame, assets: DataFrame, kind: str, table: dict[str, str]) -> DataFrame:
     """Markers whose picture exists, as requests."""
     joined = found.join(assets.select("ref", "bytes"), "ref")
@@ -95,25 +105,25 @@ def _formulas(docs: DataFrame, formulas: DataFrame, assets: DataFrame, o: Option
     base = m.select("rel_path", "ordinal", "formula_idx", "is_inline", "kind", "omml", "context", F.col("image_ref").alias("ref"))
     office = base.where("kind = 'omml'").select("rel_path", "ordinal", F.lit("formula_omml").alias("kind"), F.col("omml").alias("text"), "context", F.lit(None).cast("binary").alias("image"), F.lit(None).cast("string").alias("mime"))
     drawn = _requests(base.where("kind = 'region'").select("rel_path", "ordinal", "ref", "context"), assets, "formula_image", FORMULA_MIME)
-    replies = _written(model.ask(office.unionByName(drawn), o.provider), f"{o.work}/replies_formula")
+    replies, calls = _asked(office.unionByName(drawn), o, "formula")
     latex = F.when(is_sentinel("reply", "UNCLEAR"), None).otherwise(unwrap_reply("reply"))
     new = base.select("rel_path", "ordinal", "is_inline").join(replies.select("rel_path", "ordinal", latex.alias("latex")), ["rel_path", "ordinal"], "left")
     has_key = not isinstance(o.provider, model.NoProvider)
-    return markers.splice(docs, "rel_path", new.select("rel_path", "ordinal", markers.formula_text(F.col("latex"), F.col("is_inline"), has_key).alias("new")), "formula"), replies
+    return markers.splice(docs, "rel_path", new.select("rel_path", "ordinal", markers.formula_text(F.col("latex"), F.col("is_inline"), has_key).alias("new")), "formula"), calls
 
 
-def _ocr(docs: DataFrame, assets: DataFrame, o: Options) -> tuple[DataFrame, DataFrame]:
+def _ocr(docs: DataFrame, assets: DataFrame, o: Options) -> tuple[DataFrame, DataFrame, DataFrame]:
     found = markers.markers(docs, "rel_path", "ocr").withColumn("context", F.lit(None).cast("string"))
-    replies = _written(model.ask(_requests(found, assets, "ocr", IMAGE_MIME), o.provider), f"{o.work}/replies_ocr")
+    replies, calls = _asked(_requests(found, assets, "ocr", IMAGE_MIME), o, "ocr")
     new = replies.select("rel_path", "ordinal", markers.ocr_text(model.sentinel_to_empty("reply", "BLANK_PAGE")).alias("new"))
-    return markers.splice(docs, "rel_path", new, "ocr"), replies
+    return markers.splice(docs, "rel_path", new, "ocr"), replies, calls
 
 
 def _figures(docs: DataFrame, assets: DataFrame, o: Options) -> tuple[DataFrame, DataFrame]:
     found = markers.contexts(docs, "rel_path")
-    replies = _written(model.ask(_requests(found, assets, "image", IMAGE_MIME), o.provider), f"{o.work}/replies_image")
+    replies, calls = _asked(_requests(found, assets, "image", IMAGE_MIME), o, "image")
     new = replies.select("rel_path", "ordinal", markers.figure_text(model.sentinel_to_empty("reply", "DECORATIVE")).alias("new"))
-    return markers.splice(docs, "rel_path", new, "image"), replies
+    return markers.splice(docs, "rel_path", new, "image"), calls
 
 
 def _cleanup(docs: DataFrame, o: Options) -> tuple[DataFrame, DataFrame]:
@@ -123,10 +133,10 @@ def _cleanup(docs: DataFrame, o: Options) -> tuple[DataFrame, DataFrame]:
     parts = F.array(F.substring("markdown", 1, model.CLEANUP_CAP)) if o.compat else chunks.chunks("markdown", model.CLEANUP_CAP)
     rows = todo.select("rel_path", F.posexplode(parts).alias("ordinal", "text"))
     rows = rows.select("rel_path", F.col("ordinal").cast("long").alias("ordinal"), F.lit("cleanup").alias("kind"), "text", F.lit(None).cast("string").alias("context"), F.lit(None).cast("binary").alias("image"), F.lit(None).cast("string").alias("mime"))
-    replies = _written(model.ask(rows, o.provider), f"{o.work}/replies_cleanup")
+    replies, calls = _asked(rows, o, "cleanup")
     whole = replies.groupBy("rel_path").agg(F.min(F.coalesce(F.col("reply") != "", F.lit(False))).alias("all"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "reply"))), lambda x: x["reply"]), "\n").alias("new"))
     out = docs.join(whole.where("`all`").select("rel_path", "new"), "rel_path", "left")
-    return out.withColumn("markdown", F.coalesce("new", "markdown")).drop("new"), replies
+    return out.withColumn("markdown", F.coalesce("new", "markdown")).drop("new"), calls
 
 
 def read_outputs(spark: SparkSession, root: str, with_index: bool = False) -> DataFrame:
@@ -180,17 +190,17 @@ def run(spark: SparkSession, o: Options) -> Report:
             return after
 
         try:
-            spelt, r1 = _formulas(docs, formulas, assets, o)
+            spelt, c1 = _formulas(docs, formulas, assets, o)
             docs = step("formulas", docs, spelt)
-            read, r2 = _ocr(docs, assets, o)
+            read, heard, c2 = _ocr(docs, assets, o)
             docs = step("ocr", docs, read)
             docs = step("filtered", docs, sections.filter_content(docs, compat=o.compat))
-            told, r3 = _figures(docs, assets, o)
+            told, c3 = _figures(docs, assets, o)
             docs = step("figures", docs, told)
-            tidied, r4 = _cleanup(docs, o)
+            tidied, c4 = _cleanup(docs, o)
             docs = step("cleanup", docs, tidied)
-            report.ocr = metrics.reply_outcomes(r2).head().asDict()
-            replies = [r.select("status", "prompt_tokens", "completion_tokens", "cost") for r in (r1, r2, r3, r4)]
+            report.ocr = metrics.reply_outcomes(heard).head().asDict()
+            paid = [c.select("status", "prompt_tokens", "completion_tokens", "cost").where("status <> 'no_key'") for c in (c1, c2, c3, c4)]
         except Exception as e:  # noqa: BLE001  a provider that is down ends the run, not the index
             if "ProviderDown" not in str(e):
                 raise
@@ -203,8 +213,7 @@ def run(spark: SparkSession, o: Options) -> Report:
             write_progress(marked, f"{o.work}/progress", next_batch(spark, f"{o.work}/progress"))
             totals = lint.lint_totals(final).head()
             report.processed, report.lint_fixed, report.lint_remaining = totals["files"], totals["fixed"], totals["remaining"]
-            calls = [r.where("status <> 'no_key'") for r in replies]
-            used = metrics.usage_totals(calls[0].unionByName(calls[1]).unionByName(calls[2]).unionByName(calls[3])).head()
+            used = metrics.usage_totals(reduce(DataFrame.unionByName, paid)).head()
             report.calls, report.cost, report.tokens = used["calls"], used["cost"] or 0.0, (used["prompt_tokens"], used["completion_tokens"])
     write_index(spark, o.output)
     return report

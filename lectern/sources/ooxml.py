@@ -173,8 +173,10 @@ def read_docx(content: bytes, compat: bool = False) -> Extracted:
         display, inline = _formulas(element)
         if display or inline:
             marks = [out.formula(x, False, plain[:CONTEXT]) for x in display] + [out.formula(x, True, plain[:CONTEXT]) for x in inline]
-            if display:
+            if display and compat:
                 text = marks[0]
+            elif display:  # the words first, then each formula on its own line
+                text = "\n".join([plain, *marks] if plain else marks)
             else:
                 rest, parts = iter(marks), []
                 for x in element:

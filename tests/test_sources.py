@@ -41,7 +41,8 @@ def test_docx():
     assert kinds[2] == ("image", 0, "img_2.jpeg") and kinds[-1] == ("image", 0, "img_1.png")
     assert next(g for k, _, _, g in x.blocks if k == "merged_table") == [["h1", "h1"], ["a", "b"]]
     texts = [t for k, _, t in kinds if k == "para"]
-    assert "let <<FORMULA:0>> be" in texts and "<<FORMULA:1>>" in texts
+    assert "let <<FORMULA:0>> be" in texts and "before\n<<FORMULA:1>>\n<<FORMULA:2>>" in texts
+    assert "<<FORMULA:1>>" in [t for k, _, t, _ in read_docx(office.docx(), compat=True).blocks if k == "para"]  # the historic rule drops the rest
     assert [f[1] for f in x.formulas] == [True, False, True]
     assert [t for k, _, t, _ in read_docx(office.docx(), compat=True).blocks if k == "image"] == ["img_1.png", "img_2.jpeg"]
 
