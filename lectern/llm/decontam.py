@@ -1,7 +1,7 @@
 """Benchmark decontamination on templates: numbers, units and names become typed slots, windows of templates are matched
 by hash, and slots must be filled consistently, so that re-parameterised questions are found as well as copies.
 
-A word is stripped of punctuation and lower-cased. A number (digits or a number word) is the slot <num>, a unit right
+A word is stripped of punctuation and lower-cased. A number (digits, also with a unit glued to them, or a number word) is the slot <num>, a unit right
 after a number <unit>, and a capitalised word that doesn't begin a sentence or line <name> (an item's first word may be met as either). A second
 form of each text takes capitalised words that begin a sentence or line as <name> too, and a third has no slots at all, so
 that copies are found whatever their slots and capitals; windows of a form are looked up
@@ -16,6 +16,11 @@ taken together. With equal values throughout the match is
 "exact", else "reparameterised". Of several alignments of an item in a document the one covering most counts, then the
 first.
 
+Windows of slots alone, which every table of numbers has everywhere, don't begin an alignment; SEED equal words in a row
+within such a stretch do (fewer for items under seven words), and an alignment of which half the covered words are literal has a window with one. Once begun, an
+alignment is compared whole, slots included, so it counts as if every window had been looked up. All alignments of an item are
+compared as arrays, each once, so time and memory are linear in the text.
+
 An item under five words is no window: it matches, but for case and punctuation at either end, as a whole line, and one of a
 single word only as a whole text.
 
@@ -41,6 +46,11 @@ from lectern.llm.words import U, as_bytes, grams, lean, prefix
 WINDOW, SHORTEST, ENOUGH, SHARE = 8, 5, 13, 60
 #: Words of an equal run, and percent of the covered words that may differ, that make a copy.
 LONG, DIFFER = 20, 10
+#: Equal words that begin an alignment where all words are slots, for items of seven words or more: a copy that counts has as
+#: many in a row (SHARE of a shorter one).
+SEED = 5
+#: Windows of a text that are looked up at once, and cells of a comparison of alignments.
+WINDOWS, CELLS = 1 << 16, 1 << 19
 SLICE_WORDS = 1_000_000
 #: Distinct words of which a worker remembers the kind before it starts anew.
 REMEMBERED = 200_000
@@ -48,6 +58,7 @@ NUM, UNIT, NAME = 1, 2, 3
 _SLOT = np.array([0, *(xxh3_64_intdigest(x) for x in (b"<num>", b"<unit>", b"<name>"))], U)
 _NUMBER = re.compile(r"[+-]?[$€£]?\d[\d.,:/]*%?")
 _UNITS = frozenset("mm cm m km in ft mi mg g kg lb lbs oz t ms s sec secs min mins h hr hrs ml l usd eur gbp percent meters metres miles feet inches grams kilograms pounds seconds minutes hours days weeks months years dollars cents euros degrees litres liters mph kmh kb mb gb".split())
+_GLUED = re.compile(r"[+-]?\d[\d.,:/]*(" + "|".join(sorted(_UNITS, key=len, reverse=True)) + ")")
 _NUMBER_WORDS = frozenset("zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion".split())
 _PUNCTUATION = "!\"#&'()*,-./:;<=>?@[\\]^_`{|}~«»“”‘’…—–%$€£"
 
@@ -55,6 +66,10 @@ _PUNCTUATION = "!\"#&'()*,-./:;<=>?@[\\]^_`{|}~«»“”‘’…—–%$€£"
 _IS_NUMBER, _IS_UNIT, _IS_TITLE, _ENDS, _EMPTY = 1, 2, 4, 8, 16
 
 
+def _core(w: bytes) -> str:
+    return w.decode("utf-8", "replace").strip(_PUNCTUATION).lower()
+
+
 class Vocabulary(dict):
     """Ids of words by their bytes, and by id what the template needs to know of each: its name and flags."""
 
@@ -67,7 +82,7 @@ class Vocabulary(dict):
         core = w.strip(_PUNCTUATION)
         low = core.lower()
         flags = _EMPTY if not core else 0
-        if core and (_NUMBER.fullmatch(core) or low in _NUMBER_WORDS):
+        if core and (_NUMBER.fullmatch(core) or low in _NUMBER_WORDS or _GLUED.fullmatch(low)):
             flags |= _IS_NUMBER
         if low in _UNITS:
             flags |= _IS_UNIT
@@ -112,6 +127,12 @@ def _where(differ: np.ndarray, size: int) -> np.ndarray:
     return np.flatnonzero(other[size:] > other[:-size])
 
 
+def _all(marked: np.ndarray, size: int) -> np.ndarray:
+    """Places of windows of marked words alone."""
+    count = np.append(0, np.cumsum(marked))
+    return np.flatnonzero(count[size:] - count[:-size] == size)
+
+
 @dataclass(slots=True)
 class Template:
     """Names of a text's words with slots and without, kinds of the first and second form, and the words."""
@@ -122,16 +143,23 @@ class Template:
     second: np.ndarray
     words: list[bytes]
 
-    def windows(self, size: int) -> tuple[np.ndarray, np.ndarray, int, int]:
-        """Names and places of all windows of the first form, then of those of the second and third that differ from it;
-        where the second and the third begin."""
-        n = len(self.name) - size + 1
-        first = np.arange(n)
-        two, three = _where(self.kind != self.second, size), _where(self.kind > 0, size)
-        names = [grams(prefix(self.name), first, size)]
-        names.append(grams(prefix(np.where(self.kind != self.second, _SLOT[NAME], self.name)), two, size) if len(two) else np.empty(0, U))
-        names.append(grams(prefix(self.plain), three, size) if len(three) else np.empty(0, U))
-        return np.concatenate(names), np.concatenate([first, two, three]), n, n + len(two)
+    def forms(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Names of the words in each of the three forms."""
+        return self.name, np.where(self.kind != self.second, _SLOT[NAME], self.name), self.plain
+
+    def windows(self, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """Names and places of the windows that begin alignments: of the first form those with a literal word, then those of
+        the second with one and of the third that differ from it."""
+        one, two, three = self.forms()
+        first, other, plain = _where(self.kind == 0, size), _where((self.kind != self.second) & (self.second > 0), size), _where(self.kind > 0, size)
+        other = other[np.isin(other, _where(self.second == 0, size), assume_unique=True)] if len(other) else other
+        names = [grams(prefix(x), at, size) if len(at) else np.empty(0, U) for x, at in ((one, first), (two, other), (three, plain))]
+        return np.concatenate(names), np.concatenate([first, other, plain])
+
+    def seeds(self, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """Names and places of so many plain words in a row that are all slots in the second form."""
+        at = _all(self.second > 0, size)
+        return grams(prefix(self.plain), at, size) if len(at) else np.empty(0, U), at
 
 
 @dataclass
@@ -140,9 +168,11 @@ class Index:
 
     ids: list[int]
     items: list[Template]
-    windows: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]  # size -> names, items, places, marks
+    windows: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]  # size -> names, items, places, marks; below 0: seeds
     short: dict[bytes, list[int]]  # line -> items
     longest: int  # bytes of the longest such line
+    forms: list[tuple[np.ndarray, ...]]  # of each item
+    slotted: list[bool]  # whether an item has a window of slots alone
 
 
 def _line(text: bytes) -> tuple[bytes, int]:
@@ -169,13 +199,15 @@ def index(rows: list[tuple[int, str | None]]) -> Index:
         if size < SHORTEST:
             short.setdefault(_line(text.encode())[0], []).append(len(ids))
         else:
-            names, at, *_ = t.windows(size)
-            if t.words[0][:1].isalpha() and t.words[0].decode("utf-8", "replace")[0].isupper():  # within a sentence, it looks like a name
+            names, at = t.windows(size)
+            if _starts_upper(t) and (t.kind[1:size] == 0).any():  # within a sentence, its first word looks like a name
                 other = np.append(_SLOT[NAME], t.name[1:size])
-                names, at = np.append(names, grams(prefix(other), at[:1], size)), np.append(at, 0)
-            _, single = np.unique(np.column_stack([names, at.astype(U)]), axis=0, return_index=True)
-            names, at = names[single], at[single]
-            held.setdefault(size, []).append((names, np.full(len(at), len(ids)), at))
+                names, at = np.append(names, grams(prefix(other), np.zeros(1, int), size)), np.append(at, 0)
+            few = min(SEED, -(-SHARE * size // 100))
+            for key, names, at in ((size, names, at), (-few, *t.seeds(few))):
+                if len(names):
+                    _, single = np.unique(np.column_stack([names, at.astype(U)]), axis=0, return_index=True)
+                    held.setdefault(key, []).append((names[single], np.full(len(single), len(ids)), at[single]))
         ids.append(item_id)
         items.append(t)
     windows = {}
@@ -183,7 +215,12 @@ def index(rows: list[tuple[int, str | None]]) -> Index:
         name, item, at = (np.concatenate(x) for x in zip(*parts))
         order = np.argsort(name, kind="stable")
         windows[size] = name[order], item[order], at[order], _marks(name)
-    return Index(ids, items, windows, short, max(map(len, short), default=0))
+    slotted = [len(t.words) >= SHORTEST and len(_all(t.second > 0, min(WINDOW, len(t.words)))) > 0 for t in items]
+    return Index(ids, items, windows, short, max(map(len, short), default=0), [t.forms() for t in items], slotted)
+
+
+def _starts_upper(t: Template) -> bool:
+    return t.words[0][:1].isalpha() and t.words[0].decode("utf-8", "replace")[0].isupper()
 
 
 def _short(idx: Index, text: bytes, words: int) -> dict[int, tuple]:
@@ -198,68 +235,129 @@ def _short(idx: Index, text: bytes, words: int) -> dict[int, tuple]:
     return best
 
 
-def _one_to_one(pairs: list[tuple[bytes, bytes]]) -> bool:
-    there, back = {}, {}
-    return all(there.setdefault(a, b) == b and back.setdefault(b, a) == a for a, b in pairs)
-
-
 def matches(idx: Index, t: Template, text: bytes | None = None) -> list[tuple[int, int, int, str]]:
     """(item, covered words, item words, kind) of each item that the template, or a line of its text, contains."""
-    kind, words, second = t.kind, t.words, t.second
-    found: dict[tuple[int, int], list[tuple[int, int, bool]]] = {}
+    best = _short(idx, text, len(t.words)) if idx.short and text else {}
+    forms = t.forms()
+    seen: dict[int, np.ndarray] = {}
+    runs: dict[int, list[tuple[int, int, int]]] = {}
     for size, (names, items, places, marks) in idx.windows.items():
-        if len(words) < size:
+        if len(t.words) < abs(size):
             continue
-        mine, at, two, three = t.windows(size)
-        maybe = np.flatnonzero(marks[mine >> U(64 - (len(marks).bit_length() - 1))])
-        lo = np.searchsorted(names, mine[maybe])
-        hit = names[np.minimum(lo, len(names) - 1)] == mine[maybe]
-        for x, k in zip(maybe[hit].tolist(), lo[hit].tolist()):
-            p = int(at[x])
-            while k < len(names) and names[k] == mine[x]:
-                found.setdefault((int(items[k]), p - int(places[k])), []).append((p, size, two <= x < three))
-                k += 1
-    best = _short(idx, text, len(words)) if idx.short and text else {}
-    runs: dict[int, list[tuple[int, int, int]]] = {}
-    for (item, begin), at in sorted(found.items()):
-        spots = sorted({x for p, size, _ in at for x in range(p, p + size)})
-        if any(later for *_, later in at) and (first := sorted({x for p, size, later in at if not later for x in range(p, p + size)})):
-            _judge(idx.items[item], item, [(x - begin, x) for x in first], kind, second, words, best)  # what the second form adds takes nothing away
-        _judge(idx.items[item], item, [(x - begin, x) for x in spots], kind, second, words, best)
-        start = spots[0]
-        for x, y in zip(spots, [*spots[1:], -1]):
-            if y != x + 1:
-                runs.setdefault(item, []).append((start, start - begin, x + 1 - start))
-                start = y
+        every, at = t.windows(size) if size > 0 else t.seeds(-size)
+        bits = U(64 - (len(marks).bit_length() - 1))
+        for k in range(0, len(every), WINDOWS):
+            maybe = k + np.flatnonzero(marks[every[k : k + WINDOWS] >> bits])
+            lo = np.searchsorted(names, every[maybe])
+            hit = names[np.minimum(lo, len(names) - 1)] == every[maybe]
+            maybe, lo = maybe[hit], lo[hit]
+            if not len(maybe):
+                continue
+            count = np.searchsorted(names, every[maybe], side="right") - lo
+            entry = np.repeat(lo, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+            which, begin = items[entry], np.repeat(at[maybe], count) - places[entry]
+            order = np.lexsort((begin, which))
+            which, begin = which[order], begin[order]
+            new = np.append(True, (which[1:] != which[:-1]) | (begin[1:] != begin[:-1]))
+            which, begin = which[new], begin[new]
+            for item in np.unique(which).tolist():
+                if best.get(item, (0,))[0] < len(idx.items[item].words):  # one that is covered whole can't be covered better
+                    mine = begin[which == item]
+                    if idx.slotted[item]:  # a stretch of slots goes with an alignment that begins beside it
+                        mine = np.unique(mine[:, None] + np.arange(-WINDOW, WINDOW + 1))
+                    mine = np.setdiff1d(mine, seen[item], assume_unique=True) if item in seen else mine
+                    seen[item] = np.union1d(seen[item], mine) if item in seen else mine
+                    _alignments(idx, item, t, forms, mine, best, runs)
     for item, held in runs.items():
         if len(held) > 1:
             for pairs in _chains(sorted(held)):
-                _judge(idx.items[item], item, pairs, kind, second, words, best)
+                if best.get(item, (0,))[0] == len(idx.items[item].words):
+                    break
+                _judge(idx.items[item], item, pairs, t, best)
     return [(item, *x) for item, x in sorted(best.items())]
 
 
-def _core(w: bytes) -> str:
-    return w.decode("utf-8", "replace").strip(_PUNCTUATION).lower()
+def _longest(marked: np.ndarray) -> np.ndarray:
+    """The longest run of marks in each row."""
+    count = np.cumsum(marked, axis=1)
+    return (count - np.maximum.accumulate(np.where(marked, 0, count), axis=1)).max(axis=1)
+
+
+def _spread(windows: np.ndarray, size: int) -> np.ndarray:
+    """The words that marked windows cover, by row."""
+    count = np.cumsum(np.pad(windows, ((0, 0), (size, size - 1))), axis=1)
+    return count[:, size:] > count[:, :-size]
+
+
+def _alignments(idx: Index, item: int, t: Template, forms, begins: np.ndarray, best: dict[int, tuple], runs: dict[int, list]) -> None:
+    """Compare an item with the text at each of the given places, as a whole, and note the best alignment that counts.
+
+    runs gets the stretches that windows cover.
+    """
+    entry, theirs = idx.items[item], idx.forms[item]
+    n, total = len(entry.words), len(t.words)
+    size = min(WINDOW, n)
+    upper = _starts_upper(entry)
+    for k in range(0, len(begins), max(1, CELLS // n)):
+        begin = begins[k : k + max(1, CELLS // n)]
+        at = begin[:, None] + np.arange(n)
+        there = (at >= 0) & (at < total)
+        at = np.clip(at, 0, total - 1)
+
+        def alike(form: int) -> np.ndarray:
+            """Windows of which all words are equal in a form."""
+            count = np.cumsum(np.pad((forms[form][at] == theirs[form]) & there, ((0, 0), (1, 0))), axis=1)
+            return count[:, size:] - count[:, :-size] == size
+
+        plain = alike(0) | alike(2)
+        if upper:
+            count = ((forms[0][at[:, 1:size]] == theirs[0][1:size]) & there[:, 1:size]).sum(axis=1)
+            plain[:, 0] |= (count == size - 1) & there[:, 0] & (forms[0][at[:, 0]] == _SLOT[NAME])
+        whole = _spread(plain | alike(1), size)
+        differ = forms[2][at] != theirs[2]
+        slot = ((t.second[at] > 0) | (entry.second > 0)) & ((t.kind[at] > 0) | differ)  # a word that only the second form takes as a name is a literal if both have it
+        for covers in (_spread(plain, size), whole):  # what the second form adds takes nothing away
+            covered = covers.sum(axis=1)
+            slots, changed = covers & slot, covers & slot & differ
+            enough = ((covered >= ENOUGH) | (100 * covered >= SHARE * n)) & (covered > best.get(item, (0,))[0])
+            longest = _longest(covers & ~changed)
+            copy = (100 * changed.sum(axis=1) <= DIFFER * covered) | (longest >= LONG) | (100 * longest >= SHARE * n)
+            fits = enough & (copy | (2 * slots.sum(axis=1) <= covered))
+            for row in sorted(np.flatnonzero(fits).tolist(), key=lambda r: -covered[r]):
+                if covered[row] <= best.get(item, (0,))[0]:
+                    break
+                i = np.flatnonzero(slots[row])
+                if copy[row] or _one_to_one(entry.plain[i], t.plain[at[row][i]]):
+                    best[item] = int(covered[row]), n, "reparameterised" if changed[row].any() else "exact"
+        if best.get(item, (0,))[0] == n:
+            return
+        edge = np.diff(np.pad(whole, ((0, 0), (1, 1))).astype(np.int8), axis=1)
+        (r, lo), (_, hi) = np.nonzero(edge == 1), np.nonzero(edge == -1)
+        runs.setdefault(item, []).extend(zip((begin[r] + lo).tolist(), lo.tolist(), (hi - lo).tolist()))
+
+
+def _one_to_one(a: np.ndarray, b: np.ndarray) -> bool:
+    pairs = set(zip(a.tolist(), b.tolist()))
+    return len(pairs) == len({x for x, _ in pairs}) == len({y for _, y in pairs})
 
 
-def _judge(entry, item: int, pairs: list[tuple[int, int]], kind, second, words: list[bytes], best: dict[int, tuple]) -> None:
-    """Note the alignment of places (of the item, of the document) if it counts and covers more than the best so far."""
-    theirs = entry.words
-    covered, n = len(pairs), len(theirs)
+def _judge(entry: Template, item: int, pairs: list[tuple[int, int]], t: Template, best: dict[int, tuple]) -> None:
+    """Note a chain of places (of the item, of the document) if it counts and covers more than the best so far."""
+    covered, n = len(pairs), len(entry.words)
     if (covered < ENOUGH and 100 * covered < SHARE * n) or covered <= best.get(item, (0,))[0]:
         return
-    slots = [(i, p, _core(theirs[i]), _core(words[p])) for i, p in pairs if second[p] or entry.second[i]]
-    # A word that only the second form takes as a name is a literal if both texts have it.
-    slots = [(i, p, a, b) for i, p, a, b in slots if kind[p] or a != b]
-    changed = {p for _, p, a, b in slots if a != b}
-    if changed and 100 * len(changed) > DIFFER * covered:
+    i, p = np.array(pairs).T
+    differ = entry.plain[i] != t.plain[p]
+    slot = ((t.second[p] > 0) | (entry.second[i] > 0)) & ((t.kind[p] > 0) | differ)
+    changed = slot & differ
+    if 100 * changed.sum() > DIFFER * covered:
         longest = run = 0
-        for k, (i, p) in enumerate(pairs):
-            run = 0 if p in changed else run + 1 if k and pairs[k - 1] == (i - 1, p - 1) else 1
+        for k in range(covered):
+            run = 0 if changed[k] else run + 1 if k and pairs[k - 1] == (i[k] - 1, p[k] - 1) else 1
             longest = max(longest, run)
-        if longest < LONG and 100 * longest < SHARE * n and (2 * len(slots) > covered or not _one_to_one([(a, b) for *_, a, b in slots])):
+        if longest < LONG and 100 * longest < SHARE * n and (2 * slot.sum() > covered or not _one_to_one(entry.plain[i[slot]], t.plain[p[slot]])):
             return
-    best[item] = covered, n, "exact" if not changed else "reparameterised"
+    best[item] = covered, n, "reparameterised" if changed.any() else "exact"
 
 
 def _chains(held: list[tuple[int, int, int]]):

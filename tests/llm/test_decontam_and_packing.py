@@ -1,6 +1,7 @@
 """Decontamination against a plain search, re-parameterised items, and packing by exact round trip."""
 
 import random
+import time
 import zlib
 
 import numpy as np
@@ -61,6 +62,12 @@ def test_copies(spark):
     assert got == {(1, 1): "exact", (2, 2): "reparameterised", (3, 3): "exact", (4, 3): "exact"}
 
 
+def test_glued_units(spark):
+    item = "A car drives 100km in 2h and rests for 15min before it drives back so how fast was it on the way?"
+    got = found(spark, [(1, item.replace("100km", "240km").replace("2h", "3h").replace("15min", "40min"), "en", "s"), (2, item.replace("100km", "far"), "en", "s")], [(1, item)])
+    assert got == {(1, 1): "reparameterised", (2, 1): "reparameterised"}
+
+
 def test_names_that_begin_sentences(spark):
     item = "Tom has 5 red apples and 3 pears. Tom eats 2 of them. Tom buys 4 more. How many fruits does Tom have?"
     wrapped = item.replace("does Tom", "does\nTom").replace("and 3", "and\n3")
@@ -236,3 +243,36 @@ def test_fast_ids():
         assert enc.fast.encode_ordinary(t) == enc.exact.encode(t, add_special_tokens=False).ids, repr(t)
     for t in ("a<|endoftext|>b", "日本語 text", "x̀"):
         assert enc.ids(t).tolist() == enc.exact.encode(t, add_special_tokens=False).ids
+
+
+def test_slots_in_plenty_against_all_alignments():
+    """Items of mostly numbers and names, in texts that are full of them: nothing but the begin of an alignment hangs on literals."""
+    r = random.Random(13)
+    word = lambda: r.choice([*map(str, range(10, 40)), "Tom", "Anna", "sum", "of", "is", "what", "the", "5", "km"])
+    hits = 0
+    for _ in range(1500):
+        item = " ".join(word() for _ in range(r.randint(5, 26)))
+        w = item.split()
+        for k in r.sample(range(len(w)), r.choice([0, 0, 1, 2, 4]) % len(w)):
+            w[k] = word()
+        text = " ".join([*(word() for _ in range(r.randint(0, 30))), *w, *(word() for _ in range(r.randint(0, 9)))])
+        vocabulary = decontam.Vocabulary()
+        got = bool(decontam.matches(decontam.index([(1, item)]), vocabulary.template(text.encode()), text.encode()))
+        want = plain_matches(item, text)
+        hits += want
+        assert got or not want, (item, text)
+    assert 500 < hits < 1450
+
+
+def test_time_is_linear_in_the_text():
+    r = random.Random(1)
+    number = lambda: str(r.randint(1, 99))
+    rows = [(i, f"Given the sequence {' '.join(number() for _ in range(20))} what comes next?") for i in range(5)]
+    alike = [(i, "id " + " id ".join(f"{number()} {number()} {number()}" for _ in range(8))) for i in range(5)]
+    for items, text, most in ((rows, " ".join(number() for _ in range(2_000_000)), 5), (alike, " ".join(f"id {number()} {number()} {number()}" for _ in range(20_000)), 5), ([(0, "x " * 40)], "x " * 1_000_000, 5)):
+        idx, t = decontam.index(items), decontam.Vocabulary().template(text.encode())
+        began = time.perf_counter()
+        got = decontam.matches(idx, t, text.encode())
+        assert time.perf_counter() - began < most and bool(got) == (text[0] == "x")
+    text = f"{' '.join(number() for _ in range(100_000))} {rows[3][1]} 1 2 3"
+    assert [x[0] for x in decontam.matches(decontam.index(rows), decontam.Vocabulary().template(text.encode()), text.encode())] == [3]
