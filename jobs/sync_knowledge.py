@@ -25,7 +25,7 @@ from jobs.publish_knowledge import document_files
 from jobs.settings import session, settings
 from lectern.operators import progress
 from lectern.plans import catalog
-from lectern.shared import is_file, new_dir, remove, written
+from lectern.shared import exists, is_file, new_dir, remove, written
 
 log = logging.getLogger("jobs.sync_knowledge")
 DOCUMENTS = "doc_id long, text string, lang string, source string"
@@ -64,7 +64,12 @@ def _take(files: DataFrame, batch: int, output: str) -> None:
 
 
 def sync(spark: SparkSession, arrivals: str, output: str, checkpoint: str, files: int = 1000) -> int:
-    """Take all files below arrivals that no run with this checkpoint has taken. Returns the number of batches."""
+    """Take all files below arrivals that no run with this checkpoint has taken. Returns the number of batches.
+
+    Batches are numbered by the checkpoint, so an output that has batches of another one is refused.
+    """
+    if exists(spark, f"{output}/pages") and not exists(spark, checkpoint):
+        raise ValueError(f"{output} has pages, but the checkpoint {checkpoint} isn't there: a new one would number its batches over theirs")
     reader = spark.readStream.schema(DOCUMENTS).option("maxFilesPerTrigger", files)
     if is_file(spark, arrivals):  # a stream watches folders; here it looks for the one name
         folder, _, name = arrivals.rstrip("/").rpartition("/")

@@ -1,4 +1,4 @@
-"""Command line: ``run`` (the default), ``stream``, ``lint`` and ``clear``."""
+"""Command line: ``run`` (the default), ``watch``, ``stream``, ``lint`` and ``clear``."""
 
 from __future__ import annotations
 
@@ -29,6 +29,13 @@ def parser() -> argparse.ArgumentParser:
     stream.add_argument("--output", default="./output")
     stream.add_argument("--temp", default="./temp")
     stream.add_argument("--compat", action="store_true")
+    look = sub.add_parser("watch", help="run over the files of a tree that are new or changed since the last watch")
+    look.add_argument("tree")
+    look.add_argument("--output", default="./output")
+    look.add_argument("--temp", default="./temp")
+    look.add_argument("--model", default=DEFAULT_MODEL)
+    look.add_argument("--compat", action="store_true")
+    look.add_argument("--every", help='keep looking, so often (such as "1 minute"); without it, once')
     tidy = sub.add_parser("lint", help="lint the Markdown files below a folder in place")
     tidy.add_argument("directory")
     return p
@@ -74,6 +81,9 @@ def main(argv: list[str] | None = None, spark=None) -> int:
     if args.command == "stream" and not os.path.isdir(args.arrivals):
         print(f"No such folder: {args.arrivals}", file=sys.stderr)
         return 1
+    if args.command == "watch" and not os.path.isdir(args.tree):
+        print(f"No such folder: {args.tree}", file=sys.stderr)
+        return 1
     if args.command is None and not args.input:
         p.error("--input is required")
     if spark is None:
@@ -99,11 +109,19 @@ def main(argv: list[str] | None = None, spark=None) -> int:
         print(f"{t[0]} files: {t[1]} fixes in {t[3]} files, {t[2]} issues remain")
         return 0
     log = _log(args.output)
-    report = run(spark, Options(args.input, args.output, args.temp, from_environment(args.model), args.compat))
+    if args.command == "watch":
+        from lectern.streaming.files import watch
+
+        options, codes = Options(args.tree, args.output, args.temp, from_environment(args.model), args.compat), [0]
+        query = watch(spark, args.tree, os.path.join(args.temp, "watch_checkpoint"), lambda files: codes.append(_tell(log, run(spark, options, files))), args.every)
+        query.awaitTermination()
+        return max(codes)
+    return _tell(log, run(spark, Options(args.input, args.output, args.temp, from_environment(args.model), args.compat)))
+
+
+def _tell(log: logging.Logger, report) -> int:
     log.info("discovered %d, pending %d, processed %d, skipped %d, failed %d", report.discovered, report.pending, report.processed, report.skipped, report.failed)
     log.info("formats: %s", ", ".join(f"{n} {x}" for x, n in report.formats.items()) or "none")
-    for name, (chars, delta) in report.steps.items():
-        log.info("step %s: %d characters, %+d", name, chars, delta)
     if report.ocr:
         log.info("ocr: %d extracted, %d blank, %d failed, %d characters", *(report.ocr[x] or 0 for x in ("extracted", "blank", "failed", "chars")))
     log.info("tokens: %d prompt, %d completion", *report.tokens)

@@ -101,12 +101,29 @@ def insert_markers(pages: DataFrame, found: DataFrame) -> DataFrame:
     return rows.groupBy("rel_path", "page").agg(F.array_join(F.transform(got, lambda x: x["t"]), "").alias("text"))
 
 
+#: Height of the buckets in which spans and regions of a page meet, and how many a page has at most.
+BUCKET, BUCKETS = 48.0, 10_000
+
+
+def _buckets(lo: Column, hi: Column) -> Column:
+    """The buckets that a stretch of a page touches; null if an end is."""
+    at = lambda y: F.least(F.greatest(F.floor(y / BUCKET), F.lit(0)), F.lit(BUCKETS)).cast("int")
+    return F.when(lo.isNotNull() & hi.isNotNull(), F.sequence(F.least(at(lo), at(hi)), F.greatest(at(lo), at(hi))))
+
+
 def region_context(found: DataFrame, spans: DataFrame, reach: float = 2.0, most: int = 300) -> DataFrame:
     """found with context: the page's text within ``reach`` heights above and below a region, in reading order, cut to
-    ``most`` characters. A page bounds what meets."""
-    r = found.select("rel_path", "page", "formula_idx", (F.col("bbox.y0") - reach * (F.col("bbox.y1") - F.col("bbox.y0"))).alias("lo"), (F.col("bbox.y1") + reach * (F.col("bbox.y1") - F.col("bbox.y0"))).alias("hi"))
+    ``most`` characters.
+
+    Spans and regions meet by buckets of height that they touch, so a page's spans aren't held against all of its regions; a
+    pair that shares several buckets meets in the first of them.
+    """
+    height = F.col("bbox.y1") - F.col("bbox.y0")
+    r = found.select("rel_path", "page", "formula_idx", F.greatest(F.lit(0.0), F.col("bbox.y0") - reach * height).alias("lo"), (F.col("bbox.y1") + reach * height).alias("hi"))
     s = spans.where("block_type = 0").select("rel_path", "page", F.col("bbox.y0").alias("y0"), F.col("bbox.y1").alias("y1"), F.col("bbox.x0").alias("x0"), "seq", "text")
-    near = r.join(s, ["rel_path", "page"]).where((F.col("y1") > F.greatest(F.lit(0.0), "lo")) & (F.col("y0") < F.col("hi")))
+    r = r.withColumn("_b", _buckets(F.col("lo"), F.col("hi"))).select("*", F.array_min("_b").alias("_r"), F.explode("_b").alias("_bucket")).drop("_b")
+    s = s.withColumn("_b", _buckets(F.col("y0"), F.col("y1"))).select("*", F.array_min("_b").alias("_s"), F.explode("_b").alias("_bucket")).drop("_b")
+    near = r.join(s, ["rel_path", "page", "_bucket"]).where((F.col("_bucket") == F.greatest("_r", "_s")) & (F.col("y1") > F.col("lo")) & (F.col("y0") < F.col("hi")))
     got = F.array_sort(F.collect_list(F.struct("y0", "x0", "seq", "text")))
     texts = near.groupBy("rel_path", "formula_idx").agg(F.array_join(F.transform(got, lambda x: x["text"]), " ").alias("context"))
     return found.join(texts, ["rel_path", "formula_idx"], "left").withColumn("context", F.substring(strip(F.coalesce("context", F.lit(""))), 1, most))

@@ -7,6 +7,8 @@ before the filter, figures after it, so that filtered pictures are never sent.
 
 from __future__ import annotations
 
+import logging
+import time
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -28,6 +30,11 @@ from lectern.sources.tree import listing
 PROGRESS_LOG = f"{schemas.PROGRESS}, batch long"
 
 
+log = logging.getLogger("lectern")
+#: Steps between extraction and lint.
+STEPS = 5
+
+
 @dataclass
 class Options:
     source: str
@@ -54,6 +61,7 @@ class Report:
     tokens: tuple[int, int] = (0, 0)
     ocr: dict[str, int] = field(default_factory=dict)
     steps: dict[str, tuple[int, int]] = field(default_factory=dict)  # step -> characters after it, and how many it took or added
+    seconds: dict[str, float] = field(default_factory=dict)  # step -> how long it took
 
     @property
     def exit_code(self) -> int:
@@ -157,9 +165,10 @@ def write_index(spark: SparkSession, output: str) -> int:
     return n
 
 
-def run(spark: SparkSession, o: Options) -> Report:
-    """One run over a tree. A file that fails isn't tracked and comes again; the index is always rebuilt."""
-    files = _written(discover(spark, o.source), f"{o.work}/files")
+def run(spark: SparkSession, o: Options, files: DataFrame | None = None) -> Report:
+    """One run over a tree, or over the given files of it (schema FILES). A file that fails isn't tracked and comes again; the
+    index is always rebuilt."""
+    files = _written(discover(spark, o.source) if files is None else files, f"{o.work}/files")
     done = read_progress(spark, f"{o.work}/progress")
     todo = progress.pending(files, done)
     discovered, pending = files.count(), todo.count()
@@ -180,25 +189,31 @@ def run(spark: SparkSession, o: Options) -> Report:
             formulas = formulas.join(have, ["rel_path", "formula_idx"], "left").withColumn("image_ref", F.coalesce("image_ref", "drawn")).drop("drawn")
         assets = _written(assets, f"{o.work}/assets")
         write_files(assets.select("ref", "bytes"), o.work)
-        docs = _written(to_markdown(x, drawn_pages), f"{o.work}/docs_raw")
+        docs = _written(to_markdown(x, drawn_pages).withColumn("chars", F.length("markdown").cast("long")), f"{o.work}/docs_raw")
         write_files(progress.outputs(docs).where("wins").select("out_path", "markdown"), f"{o.work}/raw")
 
-        def step(name: str, before: DataFrame, after: DataFrame) -> DataFrame:
+        def step(name: str, after: DataFrame) -> DataFrame:
+            """What a step made, written with its length beside the one before it, so nothing is read again to know what it did."""
+            began = time.monotonic()
+            after = after.withColumn("was", F.col("chars")).withColumn("chars", F.length("markdown").cast("long"))
             after = _written(after, f"{o.work}/docs_{name}")
-            sums = metrics.step_deltas(before, after, "rel_path").agg(F.coalesce(F.sum("chars"), F.lit(0)), F.coalesce(F.sum("delta"), F.lit(0))).head()
-            report.steps[name] = sums[0], sums[1]
+            facts = after.select("rel_path", F.lit(name).alias("step"), "chars", (F.col("chars") - F.col("was")).alias("delta"))
+            catalog.write(facts, f"{o.work}/steps", "step")
+            sums = facts.agg(F.coalesce(F.sum("chars"), F.lit(0)), F.coalesce(F.sum("delta"), F.lit(0)), F.count("*")).head()
+            report.steps[name], report.seconds[name] = (sums[0], sums[1]), time.monotonic() - began
+            log.info("step %d of %d, %s: %d of %d files, %d characters, %+d, %.1f s", len(report.steps), STEPS, name, sums[2], pending, sums[0], sums[1], report.seconds[name])
             return after
 
         try:
             spelt, c1 = _formulas(docs, formulas, assets, o)
-            docs = step("formulas", docs, spelt)
+            docs = step("formulas", spelt)
             read, heard, c2 = _ocr(docs, assets, o)
-            docs = step("ocr", docs, read)
-            docs = step("filtered", docs, sections.filter_content(docs, compat=o.compat))
+            docs = step("ocr", read)
+            docs = step("filtered", sections.filter_content(docs, compat=o.compat))
             told, c3 = _figures(docs, assets, o)
-            docs = step("figures", docs, told)
+            docs = step("figures", told)
             tidied, c4 = _cleanup(docs, o)
-            docs = step("cleanup", docs, tidied)
+            docs = step("cleanup", tidied)
             report.ocr = metrics.reply_outcomes(heard).head().asDict()
             paid = [c.select("status", "prompt_tokens", "completion_tokens", "cost").where("status <> 'no_key'") for c in (c1, c2, c3, c4)]
         except Exception as e:  # noqa: BLE001  a provider that is down ends the run, not the index

@@ -33,7 +33,7 @@ def opened(root: str) -> tuple[arrow_fs.FileSystem, str]:
     return arrow_fs.FileSystem.from_uri(root)
 
 
-def _entries(fs: arrow_fs.FileSystem, base: str, folder: str) -> Iterator[tuple[bool, str, float | None, int | None]]:
+def entries(fs: arrow_fs.FileSystem, base: str, folder: str) -> Iterator[tuple[bool, str, float | None, int | None]]:
     """(is a folder, name, time, bytes) of what is in a folder. One that can't be listed has nothing; links to folders aren't followed."""
     path = f"{base}/{folder}" if folder else base
     if isinstance(fs, arrow_fs.LocalFileSystem):
@@ -65,7 +65,7 @@ def listing(spark: SparkSession, root: str, endings: tuple[str, ...], skipped: t
         send = lambda: pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held) if held else [[]] * 4, schema)], schema=schema)
         for b in batches:
             for folder in b.column("folder").to_pylist():
-                for is_dir, name, mtime, length in _entries(fs, base, folder):
+                for is_dir, name, mtime, length in entries(fs, base, folder):
                     if name not in skipped and (is_dir or name.lower().endswith(endings)):
                         held.append((is_dir, f"{folder}/{name}" if folder else name, mtime, length))
                         if len(held) >= ROWS:

@@ -1,6 +1,7 @@
 """The jobs: against SQL, over growing input, from the command line, and after runs that broke off."""
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -128,3 +129,34 @@ def test_command_lines(spark, tmp_path, caplog):
     assert len(both) == 200
     with pytest.raises(SystemExit):
         sync_knowledge.main(["--config", str(config)], spark)
+
+
+def test_index_by_delta_is_the_index_made_anew(spark, tmp_path):
+    """Random edits over several batches: what is kept by delta equals what all arrivals together give."""
+    r = random.Random(9)
+    src, out, point = (str(tmp_path / x) for x in ("src", "out", "point"))
+    newest, versions = {}, {}
+    for batch in range(4):
+        rows = {}
+        for _ in range(60):
+            k = r.randrange(40)
+            rows[k] = (k, r.choice(["# A\n\ntext", "one", "two  \n#x", f"v{r.randrange(9)}", ""]), "en", f"s{k % 5}")
+        for k, row in rows.items():
+            if newest.get(k) != row[1]:
+                newest[k], versions[k] = row[1], versions.get(k, 0) + 1
+        spark.createDataFrame(list(rows.values()), DOCS).coalesce(1).write.mode("append").parquet(src)
+        sync_knowledge.sync(spark, src, out, point)
+    whole = catalog.pages(publish_knowledge.document_files(spark.createDataFrame([(k, t, "en", f"s{k % 5}") for k, t in newest.items()], DOCS)))
+    names = ["path", "title", "headings", "word_count", "fixed_count", "remaining", "digest", "group"]
+    index = catalog.read(spark, f"{out}/index", sync_knowledge.INDEX, "json")
+    key = lambda rows: sorted(tuple(map(str, x)) for x in rows)
+    assert key(index.select(*names).collect()) == key(whole.select(*names).collect())
+    assert {x.path: x.versions for x in index.collect()} == {f"s{k % 5}/en/d{k}.md": n for k, n in versions.items()}
+
+
+def test_output_without_its_checkpoint(spark, tmp_path):
+    src, out = str(tmp_path / "src"), str(tmp_path / "out")
+    spark.createDataFrame([(1, "one", "en", "a")], DOCS).coalesce(1).write.parquet(src)
+    sync_knowledge.sync(spark, src, out, str(tmp_path / "point"))
+    with pytest.raises(ValueError, match="checkpoint"):
+        sync_knowledge.sync(spark, src, out, str(tmp_path / "other"))

@@ -11,40 +11,69 @@ def box(x0, y0, x1, y1):
     return (float(x0), float(y0), float(x1), float(y1))
 
 
-def py_regions(spans, width):
-    """Boxes grown in reading order, then those over 10 wide."""
-    out = []
-    for b, line in sorted(spans, key=lambda s: (s[0][1], s[0][0])):
-        if out:
-            c, d = out[-1]
-            if b[1] - c[3] < (c[3] - c[1]) * 1.5 and b[0] - c[2] < width * 0.3:
-                grow = lambda p, q: [min(p[0], q[0]), min(p[1], q[1]), max(p[2], q[2]), max(p[3], q[3])]
-                out[-1] = (grow(c, b), grow(d, line))
-                continue
-        out.append((list(b), list(line)))
-    return [c for c, _ in out if c[2] - c[0] > 10]
-
-
-def test_region_fold(spark):
-    r = random.Random(3)
-    rows, want = [], {}
-    for page in range(40):
-        spans = []
-        for seq in range(r.randint(0, 14)):
-            x, y = r.randint(0, 400), r.choice(range(0, 300, 3))
-            b = box(x, y, x + r.randint(1, 60), y + r.randint(2, 20))
-            line = box(0, y, 500, y + 10)
-            spans.append((b, line))
-            rows.append((str(page), 1, seq, 0, "∑", "", b, line, 500.0, 800.0))
-        want[str(page)] = py_regions(spans, 500.0)
-    df = spark.createDataFrame(rows, "rel_path string, page long, seq long, block_type int, text string, font string, bbox struct<x0: double, y0: double, x1: double, y1: double>, line_bbox struct<x0: double, y0: double, x1: double, y1: double>, page_width double, page_height double")
+BOX = "struct<x0: double, y0: double, x1: double, y1: double>"
+SPANS = f"rel_path string, page long, seq long, block_type int, text string, font string, bbox {BOX}, line_bbox {BOX}, page_width double, page_height double"
+#: Pages of spans, 500 wide, and the regions that they make, worked out by hand.
+HAND = {
+    "none": ([], []),
+    "one": ([(50, 100, 90, 110)], [(50, 100, 90, 110)]),
+    "narrow goes": ([(50, 100, 60, 110)], []),
+    "side by side": ([(50, 100, 90, 110), (100, 100, 140, 110)], [(50, 100, 140, 110)]),
+    "too far right": ([(50, 100, 90, 110), (241, 100, 280, 110)], [(50, 100, 90, 110), (241, 100, 280, 110)]),
+    "just near enough": ([(50, 100, 90, 110), (239, 100, 280, 110)], [(50, 100, 280, 110)]),
+    "next line": ([(50, 100, 90, 110), (50, 124, 90, 134)], [(50, 100, 90, 134)]),
+    "too far down": ([(50, 100, 90, 110), (50, 126, 90, 136)], [(50, 100, 90, 110), (50, 126, 90, 136)]),
+    "what has grown reaches further": ([(50, 100, 90, 110), (50, 114, 90, 130), (50, 170, 90, 180)], [(50, 100, 90, 180)]),
+    "in reading order": ([(300, 100, 340, 110), (50, 100, 90, 110), (170, 100, 210, 110)], [(50, 100, 340, 110)]),
+    "two narrow ones are wide": ([(50, 100, 56, 110), (58, 100, 64, 110)], [(50, 100, 64, 110)]),
+}
+
+
+def pages_of(spark, pages):
+    rows = [(name, 1, seq, 0, "∑", "", box(*b), box(0, b[1], 500, b[3]), 500.0, 800.0) for name, spans in pages.items() for seq, b in enumerate(spans)]
+    return spark.createDataFrame(rows, SPANS)
+
+
+def regions_of(df):
     got = {}
     for x in formulas.regions(df).orderBy("rel_path", "formula_idx").collect():
-        got.setdefault(x.rel_path, []).append(list(x.bbox))
-    assert got == {k: v for k, v in want.items() if v}
+        got.setdefault(x.rel_path, []).append(tuple(x.bbox))
+    return got
+
+
+def test_regions_by_hand(spark):
+    df = pages_of(spark, {name: spans for name, (spans, _) in HAND.items()})
+    assert regions_of(df) == {name: [box(*b) for b in want] for name, (_, want) in HAND.items() if want}
     assert formulas.regions(df.where("block_type = 1")).count() == 0
 
 
+def test_regions_of_any_page(spark):
+    """Every wide span lies in a region, every region's edges are edges of spans, and pages don't mix."""
+    r = random.Random(3)
+    pages = {str(k): [(x := r.randint(0, 400), y := r.randrange(0, 300, 3), x + r.randint(11, 60), y + r.randint(2, 20)) for _ in range(r.randint(1, 14))] for k in range(60)}
+    got = regions_of(pages_of(spark, pages))
+    for name, spans in pages.items():
+        inside = lambda s, g: g[0] <= s[0] and g[1] <= s[1] and g[2] >= s[2] and g[3] >= s[3]
+        assert all(any(inside(s, g) for g in got[name]) for s in spans) and len(got[name]) <= len(spans)
+        assert all({g[k] for g in got[name]} <= {float(s[k]) for s in spans} for k in range(4))
+    alone = regions_of(pages_of(spark, {"7": pages["7"]}))
+    assert alone["7"] == got["7"]
+
+
+def test_context_of_a_crowded_page(spark):
+    """Each region hears of the spans near it alone, however many there are elsewhere on the page."""
+    spans = [("d", 1, k, 0, f"s{k}", "", box(0, 10 * k, 50, 10 * k + 8), box(0, 0, 1, 1), 500.0, 800.0) for k in range(20_000)]
+    spans.append(("d", 1, 20_000, 0, "tall", "", box(60, 0, 61, 200_000), box(0, 0, 1, 1), 500.0, 800.0))
+    found = [("d", 1, k, box(0, 2000 * k + 100, 9, 2000 * k + 110)) for k in range(100)] + [("d", 1, 100, None), ("e", 1, 0, box(0, 0, 1, 1))]
+    rows = formulas.region_context(spark.createDataFrame(found, f"rel_path string, page long, formula_idx long, bbox {BOX}"), spark.createDataFrame(spans, SPANS))
+    got = {(x.rel_path, x.formula_idx): x.context for x in rows.collect()}
+    assert len(got) == 102 and got["d", 100] == got["e", 0] == ""
+    # A region 10 high hears of what lies up to 20 above and below it: the spans from 80 to 130.
+    assert all(got["d", k] == " ".join(["tall", *(f"s{200 * k + n}" for n in range(8, 13))]) for k in range(100))
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert "_bucket" in plan
+
+
 def test_math_spans(spark):
     rows = [("abc", "CMMI10", True), ("abc", "Times", False), ("∑", "Times", True), (" ", "Symbol", False), ("∑∑∑" + "a" * 7, "", False), ("∑∑∑∑" + "a" * 6, "", True), ("𝑥𝑦z", None, True), ("ab", "", False)]
     df = spark.createDataFrame(rows, "t string, font string, want boolean")
@@ -121,19 +150,39 @@ def test_assets_and_metrics(spark):
 
 
 def test_contexts_of_markers(spark):
-    """The text around each marker's own place, other references in it and references cut in two."""
-    import re
+    """Worked out by hand: 200 characters on either side of the marker itself, other references in them taken out, cut ones kept."""
+    m, other = "![image](a.png)", "![image](b (1).png)"
+    cases = {
+        f"{'x' * 300}{m}{'y' * 300}": ["x" * 200 + "y" * 200],
+        f"short {m} text": ["short  text"],
+        m: [""],
+        f"{m}{m}": ["", ""],
+        f"{m} between {other}": ["between .png)"] * 2,  # a reference ends at its first bracket
+        f"{'p' * 195}{m}{'q' * 10}{m}": ["p" * 195 + "q" * 10, "p" * 175 + "q" * 10],
+        f"{m}{'z' * 190}{m} end": ["z" * 190 + "![image](a", "ge](a.png)" + "z" * 190 + " end"],
+        "no marker": [],
+        "": [],
+    }
+    df = spark.createDataFrame([(str(i), t) for i, t in enumerate(cases)], "rel_path string, markdown string")
+    got = {}
+    for x in markers.contexts(df, "rel_path").orderBy("rel_path", "ordinal").collect():
+        got.setdefault(x.rel_path, []).append(x.context)
+    wrong = {t: (got.get(str(i), []), want) for i, (t, want) in enumerate(cases.items()) if got.get(str(i), []) != want}
+    assert not wrong
 
+
+def test_contexts_hang_on_what_is_near_alone(spark):
+    """They are short, hold no whole reference, and what is more than 200 characters away doesn't matter."""
     r = random.Random(4)
-    texts = ["".join(r.choice(["word ", "![image](a.png)", "![image](long/name/of/a/file.png)", "x" * 90, "\n", "é "]) for _ in range(r.randint(0, 60))) for _ in range(60)] + ["", "![image](a)" * 50]
-    df = spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "rel_path string, markdown string")
-    got = {(x.rel_path, x.ordinal): (x.ref, x.context) for x in markers.contexts(df, "rel_path").collect()}
-    want = {}
-    for i, t in enumerate(texts):
-        for k, m in enumerate(re.finditer(r"!\[image\]\((.+?)\)", t)):
-            around = t[max(0, m.start() - 200) : m.start()] + t[m.end() : m.end() + 200]
-            want[str(i), k] = m[1], re.sub(r"!\[image\]\(.+?\)", "", around).strip()
-    assert got == want
+    piece = lambda: r.choice(["word ", "![image](a.png)", "![image](long/name/of/a/file.png)", "x" * 90, "\n", "é "])
+    near = ["".join(piece() for _ in range(r.randint(0, 60))) for _ in range(60)]
+    pairs = [(f"{far}{'-' * 210}{t}{'-' * 210}{far}", k, j) for k, t in enumerate(near) for j, far in enumerate(("", "other words " * 30))]
+    df = spark.createDataFrame([(f"{k} {j}", t) for t, k, j in pairs], "rel_path string, markdown string")
+    got = {}
+    for x in markers.contexts(df, "rel_path").orderBy("rel_path", "ordinal").collect():
+        got.setdefault(x.rel_path, []).append((x.ref, x.context))
+        assert len(x.context) <= 400 and "![image](a.png)" not in x.context
+    assert all(got.get(f"{k} 0") == got.get(f"{k} 1") and len(got.get(f"{k} 0", [])) == t.count("![image](") for k, t in enumerate(near))
 
 
 def test_repeated_replacements_and_null_paths(spark):
