@@ -53,13 +53,14 @@ SEED = 5
 WINDOWS, CELLS = 1 << 16, 1 << 19
 SLICE_WORDS = 1_000_000
 #: Distinct words of which a worker remembers the kind before it starts anew.
-REMEMBERED = 200_000
+REMEMBERED = 500_000
 NUM, UNIT, NAME = 1, 2, 3
 _SLOT = np.array([0, *(xxh3_64_intdigest(x) for x in (b"<num>", b"<unit>", b"<name>"))], U)
 _NUMBER = re.compile(r"[+-]?[$€£]?\d[\d.,:/]*%?")
 _UNITS = frozenset("mm cm m km in ft mi mg g kg lb lbs oz t ms s sec secs min mins h hr hrs ml l usd eur gbp percent meters metres miles feet inches grams kilograms pounds seconds minutes hours days weeks months years dollars cents euros degrees litres liters mph kmh kb mb gb".split())
 _GLUED = re.compile(r"[+-]?\d[\d.,:/]*(" + "|".join(sorted(_UNITS, key=len, reverse=True)) + ")")
 _NUMBER_WORDS = frozenset("zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion".split())
+_SIGNS = "+-$€£"
 _PUNCTUATION = "!\"#&'()*,-./:;<=>?@[\\]^_`{|}~«»“”‘’…—–%$€£"
 
 
@@ -82,7 +83,7 @@ class Vocabulary(dict):
         core = w.strip(_PUNCTUATION)
         low = core.lower()
         flags = _EMPTY if not core else 0
-        if core and (_NUMBER.fullmatch(core) or low in _NUMBER_WORDS or _GLUED.fullmatch(low)):
+        if low in _NUMBER_WORDS or core and (core[0].isdigit() or core[0] in _SIGNS) and (_NUMBER.fullmatch(core) or _GLUED.fullmatch(low)):
             flags |= _IS_NUMBER
         if low in _UNITS:
             flags |= _IS_UNIT
@@ -121,10 +122,11 @@ class Vocabulary(dict):
         return Template(np.where(kind > 0, _SLOT[kind], name), name, kind, second, words)
 
 
-def _where(differ: np.ndarray, size: int) -> np.ndarray:
-    """Places of windows that hold a marked word."""
-    other = np.append(0, np.cumsum(differ))
-    return np.flatnonzero(other[size:] > other[:-size])
+def _has(marked: np.ndarray, size: int) -> np.ndarray:
+    """Which windows hold a marked word."""
+    count = np.zeros(len(marked) + 1, np.int64)
+    np.cumsum(marked, out=count[1:])
+    return count[size:] > count[:-size]
 
 
 def _all(marked: np.ndarray, size: int) -> np.ndarray:
@@ -151,8 +153,9 @@ class Template:
         """Names and places of the windows that begin alignments: of the first form those with a literal word, then those of
         the second with one and of the third that differ from it."""
         one, two, three = self.forms()
-        first, other, plain = _where(self.kind == 0, size), _where((self.kind != self.second) & (self.second > 0), size), _where(self.kind > 0, size)
-        other = other[np.isin(other, _where(self.second == 0, size), assume_unique=True)] if len(other) else other
+        first, plain = np.flatnonzero(_has(self.kind == 0, size)), np.flatnonzero(_has(self.kind > 0, size))
+        differ = self.kind != self.second
+        other = np.flatnonzero(_has(differ, size) & _has(self.second == 0, size)) if differ.any() else first[:0]
         names = [grams(prefix(x), at, size) if len(at) else np.empty(0, U) for x, at in ((one, first), (two, other), (three, plain))]
         return np.concatenate(names), np.concatenate([first, other, plain])
 
