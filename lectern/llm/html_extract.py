@@ -6,7 +6,9 @@
    article, a main element or a level-1 heading: then they are wrappers. A class or id names an element if it is a listed
    word, ends with one, or begins with one and goes on with helper words (``comment-list``); ``has-sidebar``,
    ``no-comments`` or ``cookies-in-baking`` name nothing. A section within the content whose id alone is a topic word
-   stays if it begins with a heading and is prose.
+   stays if it begins with a heading and is prose; one whose class is a word that papers and manuals have sections about
+   (discussion, search, notice) stays if it begins with a heading and goes on with OWN paragraphs of prose or more, without a
+   form control. Of an article's own header the headings stay, and what is a sentence or more.
 2. Each page scores its containers: an article or main element with most text or the level-1 heading, else from the root
    down the container with most text, as long as no prose is left beside it. The page votes for its path: the tags and first
    classes from the root, digits taken out, so that pages of one template agree. Paths travel as 64-bit names.
@@ -41,6 +43,8 @@ PRIOR, EVIDENCE = 2.0, 0.25
 MOST, ALL, ENOUGH = 0.5, 0.98, 250
 #: Unlinked characters, and their share, that make a block prose; prose beside a container that keeps it from standing alone.
 PROSE, UNLINKED, BESIDE = 40, 0.7, 0.1
+#: Paragraphs of prose that make a section of the article of what is named like a part of the page.
+OWN = 3
 _TAG = re.compile(r"""<(?:!--.*?(?:-->|\Z)|!\[CDATA\[.*?(?:\]\]>|\Z)|[!?][^>]*(?:>|\Z)|(/?)([a-zA-Z][^\s/>]*)((?:[^>=]|=\s*+(?:"[^"]*"|'[^']*')?)*+)(?:>|\Z))""", re.S)
 _ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*+=\s*+("[^"]*"|'[^']*'|[^\s>]+))?""")
 _TELLS = re.compile(r"class|id|role|hidden|style", re.I)
@@ -55,19 +59,23 @@ _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar toolbar form status".split())
 _CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr",)}
 #: Words in an element's class or id that tell what it is.
-_LISTED = frozenset("nav navbar navigation menu menubar submenu breadcrumb breadcrumbs pagination pager sidebar sidenav aside ad ads adv advert adverts advertisement advertising adsense banner promo promotion promoted sponsor sponsored sponsors cookie cookies consent gdpr notice notices notification alert popup modal overlay lightbox newsletter subscribe subscription signup signin login register share sharing social related recommended recommendations widget widgets toolbar masthead copyright skip search searchform footer footnav form paywall toast hidden topnav mainnav subnav sitenav pagenav siteheader pageheader sitefooter pagefooter header".split())
-_COMMENTS = frozenset("comment comments commentlist disqus reply replies respond responses discussion".split())
+_LISTED = frozenset("nav navbar navigation menu menubar submenu breadcrumb breadcrumbs pagination pager sidebar sidenav aside ad ads adv advert adverts advertisement advertising adsense banner promo promotion promoted sponsor sponsored sponsors cookie cookies consent gdpr notice notices notification alert popup modal overlay lightbox newsletter subscribe subscription signup signin login register share sharing social related recommended recommendations widget widgets toolbar masthead copyright skip search searchform footer footnav form paywall toast hidden adbox adslot advertisment dfp taboola outbrain teaser teasers teaserlist readmore followus authorbox taglist topnav mainnav subnav sitenav pagenav siteheader pageheader sitefooter pagefooter header".split())
+_COMMENTS = frozenset("comment comments commentlist discuss disqus reply replies respond responses discussion".split())
 #: What may follow a listed word in a name, and what makes a name speak of something else.
 _HELPERS = frozenset("area author bar block body bottom box button buttons card col column container content count cta desktop dialog fixed form global group head header heading icons info inner inside item items left link links list main meta mobile module msg message outer overlay panel posts primary region right row secondary section signup site slot sm small stories text thread title top unit widget widgets wrap wrapper zone notice notices banner popup modal menu nav footer list comment comments".split())
 _MODIFIERS = frozenset("has no with without non not in on of for and the a about to hide show is".split())
 #: Listed words that are also topics, as an id of a section.
 _TOPICS = frozenset("cookie cookies consent gdpr notice notices notification alert popup search register menu ads advertising advertisement adverts banner promotion sponsors copyright sharing social subscription discussion navigation overlay widget widgets form footer header toolbar pagination login newsletter skip".split())
+#: Listed words that articles have sections about: alone in a class they don't tell.
+_SUBJECTS = frozenset("discussion search searchform form register notice notices menu social sharing header footer login alert notification skip pager pagination widget widgets overlay toolbar consent navigation copyright subscription".split())
+_CONTROLS = frozenset("form button select textarea label fieldset".split())
+_ENDS = re.compile(r"[.!?:…][\"'”’»)\]]*\Z")
 #: Words of an element that is the main part.
 _OF_MAIN = frozenset("article content post entry story".split())
 _CAMEL = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 _DIGITS = re.compile(r"\d+")
 _SIZE = re.compile(r"\d+(?:x\d+)?")
-NAMED, STRICT, HEAD, HEADING, LINK, IN_MAIN, IN_CONTENT, HARD, TOPIC = (1 << k for k in range(9))
+NAMED, STRICT, HEAD, HEADING, LINK, IN_MAIN, IN_CONTENT, HARD, TOPIC, SUBJECT = (1 << k for k in range(10))
 _INHERITED = HEAD | HEADING | LINK | IN_MAIN | IN_CONTENT | HARD
 
 
@@ -126,8 +134,10 @@ def _kind(tag: str, classes: str, ident: str) -> tuple[int, str]:
                 flags |= NAMED | (STRICT if _COMMENTS.intersection(by_class + by_id) - {"discussion"} else 0)
                 if not by_class and _TOPICS.issuperset(by_id):
                     flags |= TOPIC
+                elif all(x.lower() in _SUBJECTS for x in (*own, *ident.split()) if named(x)):
+                    flags |= SUBJECT
                 if "header" in by_class + by_id and set(by_class + by_id) == {"header"} and words & _OF_MAIN:
-                    flags = flags & ~(NAMED | TOPIC) | HEAD
+                    flags = flags & ~(NAMED | TOPIC | SUBJECT) | HEAD
         if not flags & NAMED and words & _OF_MAIN:
             flags |= IN_CONTENT
         first = _DIGITS.sub("", own[0]) if own else ""
@@ -145,7 +155,7 @@ def _marks(tag: str, source: str, above: int) -> tuple[int, str]:
     if tag in _NEVER_TEXT or "hidden" in attributes or attributes.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", attributes.get("style", ""), re.I):
         flags |= HARD
     if tag in _PAGE_PARTS or attributes.get("role", "").lower() in _ROLES:
-        flags = (flags | NAMED | STRICT) & ~TOPIC
+        flags = (flags | NAMED | STRICT) & ~(TOPIC | SUBJECT)
     if tag == "header" or flags & NAMED and above & IN_MAIN and flags & TOPIC == 0 and _only_header(attributes):
         flags = flags & ~(NAMED | STRICT) | HEAD if above & IN_MAIN else flags | NAMED | STRICT
     if tag in _HEADINGS:
@@ -187,7 +197,7 @@ def read(page: str | None) -> Page:
         if text:
             top = stack[-1] if stack else -1
             f = flags[top] if stack else 0
-            if not f & HARD and (not f & HEAD or f & HEADING):
+            if not f & HARD:
                 pieces.append((text, top))
 
     at, end = 0, len(page)
@@ -259,6 +269,14 @@ def _decide(p: Page, held: list[tuple[int, list[tuple[str, int]]]]) -> None:
     tags, up, flags = p.tags, p.up, p.flags
     n = len(tags)
     p.out = bytearray(n)
+
+    def prose(element: int, pieces: list[tuple[str, int]]) -> bool:
+        """Whether a block is a sentence or more, most of it not linked."""
+        text = html.unescape("".join(t for t, _ in pieces)).strip()
+        linked = sum(len(t) for t, at in pieces if at >= 0 and flags[at] & LINK)
+        return len(text) >= PROSE and len(text) - linked >= UNLINKED * len(text) and _ENDS.search(text) is not None
+
+    held = [(e, x) for e, x in held if e < 0 or not flags[e] & HEAD or flags[e] & HEADING or prose(e, x)]
     if any(f & NAMED for f in flags):
         worth, links, holds, first = array("q", bytes(8 * n)), array("q", bytes(8 * n)), bytearray(n), bytearray(n)
         total = 0
@@ -281,6 +299,16 @@ def _decide(p: Page, held: list[tuple[int, list[tuple[str, int]]]]) -> None:
             while at >= 0 and not first[at]:
                 first[at] = 2 if flags[element] & HEADING else 1
                 at = up[at]
+        own, controls = array("q", bytes(8 * n)), bytearray(n)
+        if any(f & SUBJECT for f in flags):
+            for element, pieces in held:
+                if element >= 0 and prose(element, pieces):
+                    own[element] += 1
+            for i in range(n - 1, -1, -1):
+                controls[i] |= tags[i] in _CONTROLS
+                if (a := up[i]) >= 0:
+                    own[a] += 0 if flags[i] & NAMED else own[i]
+                    controls[a] |= controls[i]
         for i in range(n):
             a = up[i]
             if a >= 0 and p.out[a]:
@@ -289,6 +317,7 @@ def _decide(p: Page, held: list[tuple[int, list[tuple[str, int]]]]) -> None:
                 worth[i] >= MOST * total and holds[i] and total
                 or worth[i] >= max(ALL * total, ENOUGH) and not flags[i] & STRICT
                 or flags[i] & TOPIC and a >= 0 and flags[a] & IN_CONTENT and first[i] == 2 and worth[i] >= 3 * PROSE and worth[i] >= UNLINKED * (worth[i] + links[i])
+                or flags[i] & SUBJECT and a >= 0 and flags[a] & IN_CONTENT and first[i] == 2 and own[i] >= OWN and not controls[i] and worth[i] >= UNLINKED * (worth[i] + links[i])
             ):
                 p.out[i] = 1
     for element, pieces in held:

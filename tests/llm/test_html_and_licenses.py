@@ -201,3 +201,39 @@ def test_wrapped_header(spark):
     gpl = "# This program is free software: you can\n# redistribute it and/or modify it under the\n# terms of the GNU General Public\n# License, either version 3 of the License\n"
     got = scan(spark, [(1, gpl + code, "a/x.py"), (2, "# Released\n# under the MIT\n# License\n" + code, "b/x.py"), (3, code, "c/x.py")])
     assert got == {1: ("GPL-3.0", "header"), 2: ("MIT", "header"), 3: (None, "none")}
+
+
+PARAGRAPH = "<p>This is a paragraph of plain prose that goes on for a while and then comes to its end.</p>"
+
+
+def in_article(inner):
+    return f'<html><body><nav><a href="/">Home</a></nav><article><h1>Title</h1>{4 * PARAGRAPH}{inner}</article><footer>foot</footer></body></html>'
+
+
+@pytest.mark.parametrize("name", "discussion search form register notice menu social sharing header footer login alert skip pager widget overlay toolbar consent".split())
+def test_sections_with_names_of_page_parts_stay(name):
+    """A section of prose under a heading is the article's, whatever its class; what is short, linked or has controls is not."""
+    text = lambda inner: H.main_text(in_article(f'<section class="{name}">{inner}</section>'), None)
+    assert text(f"<h2>About it</h2>{4 * PARAGRAPH}").count("plain prose") == 8
+    if name != "header":  # of an article's header every sentence stays
+        assert text(f"<h2>About it</h2>{4 * PARAGRAPH}<form><input><button>Go</button></form>").count("plain prose") == 4
+    links = "<ul>" + '<li><a href="x">a link with a rather long text in it</a></li>' * 9 + "</ul>"
+    assert "link" not in text(f"<h2>About it</h2>{links}")
+    assert "About" not in text("<h2>About it</h2><p>Short.</p>")
+
+
+@pytest.mark.parametrize("name", "aside related recommended hidden banner promo newsletter comments cookie-notice adbox advertisment dfp-slot taboola teaser-list readmore author-box tag-list follow-us discuss".split())
+def test_parts_of_the_page_go(name):
+    assert H.main_text(in_article(f'<div class="{name}"><h2>About it</h2>{4 * PARAGRAPH}</div>'), None).count("plain prose") == 4
+
+
+def test_comments_in_a_section_named_discussion_go():
+    comments = "".join(f'<div class="comment">{PARAGRAPH}</div>' for _ in range(4))
+    text = H.main_text(in_article(f'<section class="discussion"><h3>Comments</h3>{comments}</section>'), None)
+    assert text.count("plain prose") == 4 and "Comments" not in text
+
+
+def test_standfirst():
+    head = '<header><h1>Head</h1><p class="lead">A standfirst that tells what the article below is all about.</p><p>By Ann Other, Senior Correspondent of the Paper</p><time>3 May</time></header>'
+    text = H.main_text(f"<html><body><header><p>A page header that is a whole sentence, but no part of it.</p></header><article>{head}{3 * PARAGRAPH}</article></body></html>", None)
+    assert text.split("\n")[:2] == ["Head", "A standfirst that tells what the article below is all about."] and "Ann Other" not in text and "3 May" not in text and "page header" not in text
