@@ -219,7 +219,8 @@ def test_sections_with_names_of_page_parts_stay(name):
         assert text(f"<h2>About it</h2>{4 * PARAGRAPH}<form><input><button>Go</button></form>").count("plain prose") == 4
     links = "<ul>" + '<li><a href="x">a link with a rather long text in it</a></li>' * 9 + "</ul>"
     assert "link" not in text(f"<h2>About it</h2>{links}")
-    assert "About" not in text("<h2>About it</h2><p>Short.</p>")
+    if name != "header":  # nor its headings go
+        assert "About" not in text("<h2>About it</h2><p>Short.</p>")
 
 
 @pytest.mark.parametrize("name", "aside related recommended hidden banner promo newsletter comments cookie-notice adbox advertisment dfp-slot taboola teaser-list readmore author-box tag-list follow-us discuss".split())
