@@ -441,6 +441,42 @@ def three_state_replace(spark, sf_dir):
     return markers.splice(out, "doc_id", first(markers.ocr_text(page)), "ocr").select("doc_id", "markdown")
 
 
+_EACH = "array_join(transform(split(text, '[.] ', -1), (s, i) -> concat(s, '. ', {0}, ' ')), '')"
+_EACH_SQL = "array_to_string(list_transform(string_split(text, '. '), lambda s, i: concat(s, '. ', {0}, ' ')), '')"
+
+
+@query("SELECT doc_id, " + _EACH_SQL.format(f"CASE (i - 1) % 7 WHEN 0 THEN concat('$', source, '_{{', doc_id, '}}$') WHEN 1 THEN concat(chr(10), '$$', chr(10), lang, chr(10), '$$', chr(10)) WHEN 3 THEN concat(chr(10), '$$', chr(10), source, chr(10), '$$', chr(10)) WHEN 5 THEN '<<FORMULA:5>>' WHEN 6 THEN '<<FORMULA:6>>' ELSE '{markers.FAILED}' END") + " AS markdown FROM documents")
+def formulas_in_texts(spark, sf_dir):
+    """A marker after every sentence of every text, as a run has them: looked up, replies unwrapped, spliced. Formulas 5 and 6 aren't there."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", F.expr(_EACH.format("concat('<<FORMULA:', cast(i % 7 AS string), '>>')")).alias("markdown"))
+    reply = "CASE formula_idx WHEN 0 THEN concat('$', source, '_{', doc_id, '}$') WHEN 1 THEN concat('```latex\\n', lang, '\\n```') WHEN 2 THEN ' Unclear\\n' WHEN 3 THEN concat('  $$ ', source, ' $$ ') ELSE '' END"
+    known = docs.select("doc_id", "source", "lang", F.explode(F.sequence(F.lit(0), F.lit(4)).cast("array<long>")).alias("formula_idx"))
+    known = known.select("doc_id", "formula_idx", (F.col("formula_idx") % 2 == 0).alias("is_inline"), F.expr(reply).alias("reply"))
+    found = markers.formula_lookup(docs.select("doc_id", "markdown"), known, "doc_id").where("reply IS NOT NULL")
+    latex = F.when(T.is_sentinel("reply", "UNCLEAR"), None).otherwise(T.unwrap_reply("reply"))
+    new = found.select("doc_id", "ordinal", markers.formula_text(latex, F.col("is_inline")).alias("new"))
+    return markers.splice(docs.select("doc_id", "markdown"), "doc_id", new, "formula").select("doc_id", "markdown")
+
+
+_PICTURE = "concat('![image](img/', (i - 1) % 4, '.png)')"
+#: What stands around the i-th marker: 200 characters on either side, of which a dozen sentences hold all.
+_SENTENCE = "concat(p[j], '. ', CASE WHEN {0} THEN concat('![image](img/', (j - 1) % 4, '.png) ') ELSE '' END)"
+_AROUND = rf"""{_strip(r"regexp_replace(concat(right(array_to_string(list_transform(range(greatest(1, i - 12), i + 1), lambda j: " + _SENTENCE.format("j < i") + r"), ''), 200), left(concat(' ', array_to_string(list_transform(range(i + 1, least(len(p), i + 12) + 1), lambda j: " + _SENTENCE.format("true") + r"), '')), 200)), '!\[image\]\(.+?\)', '', 'g')")}"""
+
+
+@query(f"""SELECT doc_id, array_to_string(list_transform(p, lambda s, i: concat(s, '. ', CASE (i - 1) % 4 WHEN 0 THEN '' WHEN 1 THEN concat(chr(10), '```mermaid', chr(10), 'g', chr(10), '```', chr(10)) WHEN 2 THEN concat(chr(10), 'Figure: ', md5({_AROUND}), chr(10)) ELSE {_PICTURE} END, ' ')), '') AS markdown
+FROM (SELECT doc_id, string_split(text, '. ') AS p FROM documents)""")
+def pictures_in_texts(spark, sf_dir):
+    """A picture after every sentence of every text, as a run has them: of four one isn't there, one only decorates, one is a
+    diagram, and one is described by what stands around it."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.expr(_EACH.format("concat('![image](img/', cast(i % 4 AS string), '.png)')")).alias("markdown"))
+    assets_there = spark.range(3).select(F.concat(F.lit("img/"), F.col("id").cast("string"), F.lit(".png")).alias("ref"))
+    found = markers.existing(markers.contexts(docs, "doc_id"), assets_there)
+    reply = F.expr("CASE ref WHEN 'img/0.png' THEN ' decorative ' WHEN 'img/1.png' THEN '```mermaid\\ng\\n```' ELSE md5(context) END")
+    new = found.withColumn("reply", model.sentinel_to_empty(reply, "DECORATIVE")).select("doc_id", "ordinal", markers.figure_text(F.col("reply")).alias("new"))
+    return markers.splice(docs, "doc_id", new, "image").select("doc_id", "markdown")
+
+
 @query("SELECT count(*) FILTER (o_orderstatus = 'F') AS extracted, count(*) FILTER (o_orderstatus = 'P') AS blank, count(*) FILTER (o_orderstatus = 'O') AS failed, sum(CASE WHEN o_orderstatus = 'F' THEN length(o_orderpriority) ELSE 0 END)::bigint AS chars FROM orders")
 def ocr_outcomes(spark, sf_dir):
     reply = F.when(F.col("o_orderstatus") == "F", F.col("o_orderpriority")).when(F.col("o_orderstatus") == "P", "")
