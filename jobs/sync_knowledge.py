@@ -68,7 +68,7 @@ def sync(spark: SparkSession, arrivals: str, output: str, checkpoint: str, files
 
     Batches are numbered by the checkpoint, so an output that has batches of another one is refused.
     """
-    if exists(spark, f"{output}/pages") and not exists(spark, checkpoint):
+    if not exists(spark, f"{checkpoint}/metadata") and not catalog.read(spark, f"{output}/pages", LOG).isEmpty():
         raise ValueError(f"{output} has pages, but the checkpoint {checkpoint} isn't there: a new one would number its batches over theirs")
     reader = spark.readStream.schema(DOCUMENTS).option("maxFilesPerTrigger", files)
     if is_file(spark, arrivals):  # a stream watches folders; here it looks for the one name

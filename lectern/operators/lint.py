@@ -42,6 +42,14 @@ BLOCK = (
 )
 
 
+def has_blocks(text: Column) -> Column:
+    """Whether a text has a block; most have nothing that begins one, which is quickly seen."""
+    some = F.startswith(text, F.lit("---"))
+    for x in ("```", "~~~", "<", MARK):
+        some = some | text.contains(x)
+    return some & text.rlike(BLOCK)
+
+
 def _woven(pieces: Column, blocks: Column) -> Column:
     return F.array_join(F.zip_with(pieces, blocks, lambda p, b: F.concat(p, F.coalesce(b, F.lit("")))), "")
 
@@ -50,14 +58,14 @@ def outside(x, rules) -> Column:
     """The text with rules (a function of a text column) applied to all but its blocks."""
     text = _c(x)
     blocks = F.regexp_extract_all(text, F.lit(BLOCK), F.lit(0))
-    return F.when(text.rlike(BLOCK), _woven(F.split(rules(F.regexp_replace(text, BLOCK, MARK)), MARK, -1), blocks)).otherwise(rules(text))
+    return F.when(has_blocks(text), _woven(F.split(rules(F.regexp_replace(text, BLOCK, MARK)), MARK, -1), blocks)).otherwise(rules(text))
 
 
 def prose(x) -> Column:
     """The text with a mark in place of each line of a block, so that line numbers stay."""
     text = _c(x)
     blocks = F.transform(F.regexp_extract_all(text, F.lit(BLOCK), F.lit(0)), lambda b: F.array_join(F.array_repeat(F.lit(MARK), F.size(F.split(b, "\n", -1))), "\n"))
-    return F.when(text.rlike(BLOCK), _woven(F.split(text, BLOCK, -1), blocks)).otherwise(text)
+    return F.when(has_blocks(text), _woven(F.split(text, BLOCK, -1), blocks)).otherwise(text)
 
 
 def fixed(x) -> Column:

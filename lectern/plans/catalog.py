@@ -6,12 +6,12 @@ can write to. Groups of any size are written by as many tasks as they need.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.functions.text import count_tokens, headings, path_parts, stem, title, top_group
 from lectern.operators import lint, order, progress, sections
-from lectern.shared import exists
 
 #: What the index says of a page.
 ENTRY = "path string, title string, headings array<string>, word_count long, fixed_count long, remaining long, digest string"
@@ -43,9 +43,12 @@ def write(rows: DataFrame, path: str, *by: str, fmt: str = "parquet", whole: boo
 
 def read(spark: SparkSession, path: str, schema: str, fmt: str = "parquet") -> DataFrame:
     """A table of the catalogue; an empty one if there is none yet."""
-    if not exists(spark, path):
+    try:
+        return spark.read.schema(schema).format(fmt).load(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).format(fmt).load(path)
 
 
 def manifest(entries: DataFrame) -> DataFrame:

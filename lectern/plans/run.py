@@ -19,7 +19,7 @@ from lectern import schemas
 from lectern.functions.text import FORMULA_MIME, IMAGE_MIME, file_name, is_sentinel, media_type, strip, unwrap_reply
 from lectern.operators import chunks, index, lint, markers, metrics, model, progress, sections
 from lectern.plans import catalog
-from lectern.shared import exists, keep
+from lectern.shared import keep
 from lectern.sinks import read_files, write_files, write_lines
 from lectern.sources.doctree import SLICE, discover, with_content
 from lectern.sources.extract import asset_table, extract, formula_table, page_table, to_markdown
@@ -75,9 +75,7 @@ def _written(df: DataFrame, path: str) -> DataFrame:
 
 def next_batch(spark: SparkSession, path: str) -> int:
     """The number of the next batch of a progress log."""
-    if not exists(spark, path):
-        return 0
-    last = spark.read.schema(PROGRESS_LOG).parquet(path).agg(F.max("batch")).head()[0]
+    last = catalog.read(spark, path, PROGRESS_LOG).agg(F.max("batch")).head()[0]
     return 0 if last is None else last + 1
 
 

@@ -5,7 +5,9 @@ from __future__ import annotations
 import atexit
 import contextlib
 import uuid
+from urllib.parse import unquote
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 #: Where intermediate tables go if the session names no spark.checkpoint.dir (with a local master only).
@@ -50,13 +52,20 @@ def remove(spark: SparkSession, path: str) -> None:
 
 
 def exists(spark: SparkSession, path: str) -> bool:
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+    """Whether there is a file or folder of a few files at path."""
+    try:
+        spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return False
+    return True
 
 
 def is_file(spark: SparkSession, path: str) -> bool:
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return place.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(place).isFile()
+    """Whether what is at path is one file rather than a folder of them."""
+    names = [unquote(x).rpartition("/")[2] for x in spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).inputFiles()]
+    return names == [path.rstrip("/").rpartition("/")[2]]
 
 
 def sweep() -> None:

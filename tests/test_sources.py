@@ -104,6 +104,21 @@ def test_run(spark, tmp_path):
     assert (third.pending, third.processed, third.exit_code) == (1, 1, 0)
 
 
+def test_run_on_uris(spark, tmp_path):
+    """Source, output and work by URI, as on a file system that isn't mounted: the index is a folder of text in order."""
+    src, out, work = (f"file://{tmp_path}/{x}" for x in ("src", "out", "work"))
+    put(tmp_path / "src", "d/w.docx", office.docx())
+    put(tmp_path / "src", "i.png", b"png")
+    for pending in (2, 0):
+        r = run(spark, Options(src, out, work, model.NoProvider()))
+        assert (r.discovered, r.pending, r.failed) == (2, pending, 0)
+    assert "# One" in (tmp_path / "out" / "d" / "w.md").read_text(encoding="utf-8")
+    text = lambda n: "".join(p.read_text(encoding="utf-8") for p in sorted((tmp_path / "out" / n).iterdir()) if p.name.startswith("part-"))
+    assert text("index.md").startswith("# Knowledge Index\n\n**2 documents extracted**") and [e["path"] for e in json.loads(text("manifest.json"))] == ["d/w.md", "i.md"]
+    facts = spark.read.parquet(f"{work}/steps")
+    assert {(x.rel_path, x.step) for x in facts.collect()} == {(p, s) for p in ("d/w.docx", "i.png") for s in r.steps or ("formulas", "ocr", "filtered", "figures", "cleanup")}
+
+
 def test_run_with_model(spark, tmp_path):
     src, out, work = (str(tmp_path / x) for x in ("src", "out", "work"))
     put(src, "w.docx", office.docx())
