@@ -15,8 +15,8 @@
 
 Labels come from a bounded sample, the TRAIN_ROWS labelled rows whose doc_id has the smallest hash. Every text is scored
 whole, and tokens of any length are decoded. Null and empty texts have no evidence and get the curve's lowest value. Without labels of both kinds no word is
-learnt and every score is the share of label 1 (0 without labels). A token of over LONGEST characters stays
-as it is if no 4-gram of what it decodes to has been seen. Repeated rows give repeated results.
+learnt and every score is the share of label 1 (0 without labels). A token stays as it is if no 4-gram of what it decodes
+to has been seen. Repeated rows give repeated results.
 """
 
 from __future__ import annotations
@@ -37,7 +37,7 @@ from lectern.llm.words import lean
 TRAIN_ROWS, SUPPORT, ODDS, STEM = 20_000, 4, 8.0, 4
 #: Log odds of a strong word; evidence beyond which more doesn't change the curve's verdict (parameters of the model).
 STRONG, MANY, CLEAR = 5.0, 3.0, 12.0
-GRAM, LONGEST, REMEMBERED = 4, 40, 200_000
+GRAM, REMEMBERED = 4, 200_000
 #: Distinct words that a map task counts before it sends their 4-grams; distinct tokens decoded together.
 COUNTED, TOGETHER = 300_000, 10_000
 #: Characters after which the decoder puts aside what its paths spell.
@@ -49,9 +49,8 @@ SEPARATORS = ".-_*~^'`·/\\"
 DISGUISED, DROPPED, REPEAT, KEPT = 1.0, 0.5, 0.5, 6.0
 _EDGE = " \t\"'.,;:!?*#%&|$()[]{}<>«»“”‘’…-_~^/\\"
 _SIGNS = "".join(map(re.escape, STANDS))
-_ODD = re.compile(rf"[^\W\d_][{_SIGNS}]|[{_SIGNS}][^\W\d_]|([^\W\d_])\1\1|^\w{{1,3}}(?:[{re.escape(SEPARATORS)}]+\w{{1,3}}){{2,}}$")
-#: The same for tokens of any length: an underline is a separator only, or the time would grow exponentially.
-_LONG_ODD = re.compile(_ODD.pattern.replace(r"]+\w{1,3}){2,}$", r"]++[^\W_]{1,3}){2,}$"))
+#: An underline is a separator only, and separators aren't given back, or the time would grow exponentially with the token.
+_ODD = re.compile(rf"[^\W\d_][{_SIGNS}]|[{_SIGNS}][^\W\d_]|([^\W\d_])\1\1|^[^\W_]{{1,3}}(?:[{re.escape(SEPARATORS)}]++[^\W_]{{1,3}}){{2,}}$")
 _THRICE = re.compile(r"([^\W\d_])\1\1")
 _APART = re.compile(r"(?<!\S)\S(?:[ \t]+\S){3,}(?!\S)")
 
@@ -139,7 +138,7 @@ def asked(token: str) -> set[str]:
 def decode(full: str, model: CharModel) -> str:
     """A disguised token restored."""
     got = viterbi(full, model)
-    return got if len(full) <= LONGEST or any(g in model.grams for g in word_grams(got)) else full.strip(_EDGE)
+    return got if any(g in model.grams for g in word_grams(got)) else full.strip(_EDGE)
 
 
 def plain_or_odd(token: str) -> tuple[str, str | None]:
@@ -154,7 +153,7 @@ def plain_or_odd(token: str) -> tuple[str, str | None]:
     full = "".join(c for c in low[:at] if c in STANDS) + core + "".join(c for c in low[at + len(core) :] if c in STANDS)
     if full.isalpha():
         return core, full if _THRICE.search(full) else None
-    return core, full if (_ODD if len(full) <= LONGEST else _LONG_ODD).search(full) else None
+    return core, full if _ODD.search(full) else None
 
 
 def set_apart(text: str) -> list[str]:
