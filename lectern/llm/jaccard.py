@@ -48,6 +48,8 @@ MANY = 0xFFFFFFFF
 _IDS = {"fps": np.int64, "sizes": np.int32}
 _NAMES, _FOUND = {"names": np.uint32}, {"names": U, "dfs": np.uint32}
 CHUNK = 4096
+#: Names of a block that are looked at together.
+PASS = 2_000_000
 
 
 def shingles(text: bytes | None, k: int = SHINGLE) -> np.ndarray:
@@ -236,28 +238,41 @@ def _spanning(n: int, pairs, labels: np.ndarray | None = None) -> list[tuple[int
     return out
 
 
+def _overlaps(sets: list[np.ndarray]) -> np.ndarray:
+    """How many names any two of the sorted sets have in common: ranges of names one after the other, so that what is worked
+    out beside the sets is bounded, whatever their size."""
+    total = sum(map(len, sets))
+    passes = max(1, -(-total // PASS))
+    bounds = np.array([(k << 64) // passes for k in range(1, passes)], U)
+    cuts = [np.concatenate([[0], np.searchsorted(s, bounds), [len(s)]]) for s in sets]
+    overlap = np.zeros((len(sets), len(sets)), np.int64)
+    for k in range(passes):
+        held = [s[c[k] : c[k + 1]] for s, c in zip(sets, cuts)]
+        doc = np.repeat(np.arange(len(sets), dtype=np.int32), [len(x) for x in held])
+        _, column, df = np.unique(np.concatenate(held), return_inverse=True, return_counts=True)
+        met = df[column] > 1
+        doc, column = doc[met], column[met]
+        order = np.argsort(column, kind="stable")
+        doc, column = doc[order], column[order]
+        column = np.cumsum(np.concatenate([[0], column[1:] != column[:-1]])) if len(column) else column
+        for lo in range(0, int(column[-1]) + 1 if len(column) else 0, CHUNK):
+            i, j = np.searchsorted(column, (lo, lo + CHUNK))
+            block = np.zeros((len(sets), CHUNK), np.float32)
+            block[doc[i:j], column[i:j] - lo] = 1
+            overlap += (block @ block.T).astype(np.int64)  # up to CHUNK, so the product is exact
+    return overlap
+
+
 def _product(table: pa.Table) -> pa.Table:
     """Step 4 for one group of documents: overlap counts of all of them, and the links that span them."""
     lean()
     fps = np.array(table.column("fp").to_pylist(), np.int64)
     fps, at = np.unique(fps, return_index=True)
     label = np.array(table.column("label").to_pylist(), np.int64)[at]
-    sets = [np.frombuffer(x, U) for x in table.column("names").take(pa.array(at)).to_pylist()]
+    names = table.column("names")
+    sets = [np.frombuffer(names[int(i)].as_buffer(), U) for i in at]  # where they lie, not copied
     n = np.array([len(x) for x in sets])
-    doc = np.repeat(np.arange(len(sets)), n)
-    _, column, df = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    met = df[column] > 1
-    doc, column = doc[met], column[met]
-    order = np.argsort(column, kind="stable")
-    doc, column = doc[order], column[order]
-    column = np.cumsum(np.concatenate([[0], column[1:] != column[:-1]])) if len(column) else column
-    overlap = np.zeros((len(sets), len(sets)), np.float32)
-    for lo in range(0, int(column[-1]) + 1 if len(column) else 0, CHUNK):
-        i, j = np.searchsorted(column, (lo, lo + CHUNK))
-        block = np.zeros((len(sets), CHUNK), np.float32)
-        block[doc[i:j], column[i:j] - lo] = 1
-        overlap += block @ block.T
-    overlap = overlap.astype(np.int64)
+    overlap = _overlaps(sets)
     near = (100 * overlap >= PER_CENT * (n[:, None] + n[None, :] - overlap)) & (label[:, None] != label[None, :])
     links = _spanning(len(sets), zip(*(x.tolist() for x in np.nonzero(np.triu(near, 1)))), label)
     return pa.table([pa.array([fps[i] for i, _ in links], pa.int64()), pa.array([fps[j] for _, j in links], pa.int64())], names=["a", "b"])

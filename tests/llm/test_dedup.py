@@ -213,3 +213,26 @@ def test_map_time_is_flat():
 def test_cut():
     gone = np.array([False, True, True, False, True])
     assert recompress.cut(b" a  b c\n\nd e ", gone) == b" a\nd" and recompress.cut(b"a b c d e", ~gone) == b"b c\ne"
+
+
+def test_overlaps_in_ranges_of_names(monkeypatch):
+    """The same counts however many names are looked at together, and little memory beside the sets."""
+    import tracemalloc
+
+    import numpy as np
+
+    from lectern.llm import jaccard
+
+    r = np.random.default_rng(3)
+    pool = np.unique(r.integers(0, 1 << 63, 3000, dtype=np.uint64) * np.uint64(2))
+    sets = [np.sort(r.choice(pool, r.integers(1, 900), replace=False)) for _ in range(40)]
+    want = [[len(np.intersect1d(a, b)) for b in sets] for a in sets]
+    for some in (50, 1000, 10**9):
+        monkeypatch.setattr(jaccard, "PASS", some)
+        assert jaccard._overlaps(sets).tolist() == want
+    monkeypatch.setattr(jaccard, "PASS", 200_000)
+    large = [np.sort(r.integers(0, 1 << 63, 500_000, dtype=np.uint64)) for _ in range(8)]
+    tracemalloc.start()
+    jaccard._overlaps(large)
+    assert tracemalloc.get_traced_memory()[1] < 40e6
+    tracemalloc.stop()
