@@ -99,7 +99,7 @@ def main(argv: list[str] | None = None, spark=None) -> int:
 
         state = os.path.join(args.temp, "stream_progress")
         process_new(spark, args.arrivals, state, os.path.join(args.temp, "stream_checkpoint"), tidy(args.compat), write=outputs(args.output))
-        print(f"{read_progress(spark, state).count()} documents done, {write_index(spark, args.output)} indexed")
+        print(f"{read_progress(spark, state).count()} documents done, {write_index(spark, args.output, os.path.join(args.temp, 'stream_entries'))} indexed")
         return 0
     if args.command == "lint":
         rows = lint_tree(spark, args.directory)

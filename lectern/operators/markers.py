@@ -84,7 +84,8 @@ def context_around(docs: DataFrame, key: str, marker: Column, text: str = "markd
     return d.select(key, strip(without_images(F.concat(before, after))).alias("context"))
 
 
-def existing(found: DataFrame, assets: DataFrame) -> DataFrame:
-    """Markers whose reference is an asset of the same file."""
+def existing(found: DataFrame, assets: DataFrame, *columns: str) -> DataFrame:
+    """Markers whose reference is an asset, with the named columns of the asset; refs of assets are unique if there are any."""
+    if columns:
+        return found.join(assets.select("ref", *columns), "ref")
     return found.join(assets.select("ref").distinct(), "ref", "left_semi")
-

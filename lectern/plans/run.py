@@ -19,7 +19,7 @@ from lectern import schemas
 from lectern.functions.text import FORMULA_MIME, IMAGE_MIME, file_name, is_sentinel, media_type, strip, unwrap_reply
 from lectern.operators import chunks, index, lint, markers, metrics, model, progress, sections
 from lectern.plans import catalog
-from lectern.shared import keep
+from lectern.shared import keep, remove
 from lectern.sinks import read_files, write_files, write_lines
 from lectern.sources.doctree import SLICE, discover, with_content
 from lectern.sources.extract import asset_table, extract, formula_table, page_table, to_markdown
@@ -28,6 +28,8 @@ from lectern.sources.tree import listing
 
 #: The progress log: what each batch finished.
 PROGRESS_LOG = f"{schemas.PROGRESS}, batch long"
+#: What the index says of each output, and of which time of it.
+ENTRIES = f"{schemas.MANIFEST}, mtime double, batch long"
 
 
 log = logging.getLogger("lectern")
@@ -102,7 +104,7 @@ def _asked(requests: DataFrame, o: Options, name: str) -> tuple[DataFrame, DataF
 
 def _requests(found: DataFrame, assets: DataFrame, kind: str, table: dict[str, str]) -> DataFrame:
     """Markers whose picture exists, as requests."""
-    joined = found.join(assets.select("ref", "bytes"), "ref")
+    joined = markers.existing(found, assets, "bytes")
     return joined.select("rel_path", "ordinal", F.lit(kind).alias("kind"), F.lit(None).cast("string").alias("text"), F.col("context"), F.col("bytes").alias("image"), media_type("ref", table).alias("mime"))
 
 
@@ -147,15 +149,37 @@ def _cleanup(docs: DataFrame, o: Options) -> tuple[DataFrame, DataFrame]:
 
 def read_outputs(spark: SparkSession, root: str, with_index: bool = False) -> DataFrame:
     """path, markdown of the Markdown files below root; index files only on request."""
-    found = listing(spark, root, (".md",))
-    if not with_index:
-        found = found.where(file_name("rel_path") != "index.md")
-    return read_files(spark, found.where(F.col("rel_path").endswith(".md")), root)
-
-
-def write_index(spark: SparkSession, output: str) -> int:
+    return read_files(spark, _markdown_files(spark, root, with_index), root)
+
+
+def _markdown_files(spark: SparkSession, root: str, with_index: bool = False) -> DataFrame:
+    found = listing(spark, root, (".md",)).where(F.col("rel_path").endswith(".md"))
+    return found if with_index else found.where(file_name("rel_path") != "index.md")
+
+
+def entries_of(spark: SparkSession, output: str, state: str | None = None) -> DataFrame:
+    """What the index says of every output. With a state, the table of what it said last, only files that are new or have
+    another time are read; those that are gone go."""
+    if state is None:
+        return keep(index.manifest(read_outputs(spark, output)))
+    found = keep(_markdown_files(spark, output).select("rel_path", "mtime"))
+    log = catalog.read(spark, state, ENTRIES)
+    last = log.agg(F.max("batch")).head()[0]
+    had = log.where(F.col("batch") == F.lit(last)).drop("batch")
+    here = found.withColumnRenamed("rel_path", "path")
+    same = had.join(here, ["path", "mtime"], "left_semi")
+    fresh = here.join(had.select("path", "mtime"), ["path", "mtime"], "left_anti")
+    said = index.manifest(read_files(spark, fresh.select(F.col("path").alias("rel_path")), output)).join(fresh, "path")
+    batch = 0 if last is None else last + 1
+    catalog.write(same.unionByName(said).withColumn("batch", F.lit(batch).cast("long")), state, "batch")
+    if last:  # the version before stays for those who read it now, older ones go
+        remove(spark, f"{state}/batch={last - 1}")
+    return catalog.read(spark, state, ENTRIES).where(F.col("batch") == batch).drop("batch", "mtime")
+
+
+def write_index(spark: SparkSession, output: str, state: str | None = None) -> int:
     """index.md and manifest.json of all outputs; nothing is written if there are none. Returns their number."""
-    entries = keep(index.manifest(read_outputs(spark, output)))
+    entries = entries_of(spark, output, state)
     n = entries.count()
     if n:
         write_lines(index.index_rows(entries, n), index.INDEX_ORDER, output, "index.md")
@@ -228,7 +252,7 @@ def run(spark: SparkSession, o: Options, files: DataFrame | None = None) -> Repo
             report.processed, report.lint_fixed, report.lint_remaining = totals["files"], totals["fixed"], totals["remaining"]
             used = metrics.usage_totals(reduce(DataFrame.unionByName, paid)).head()
             report.calls, report.cost, report.tokens = used["calls"], used["cost"] or 0.0, (used["prompt_tokens"], used["completion_tokens"])
-    write_index(spark, o.output)
+    write_index(spark, o.output, f"{o.work}/entries")
     return report
 
 

@@ -123,3 +123,39 @@ def test_a_batch_is_worked_out_once_and_known_when_it_comes_again(spark, tmp_pat
         os.remove(os.path.join(check, "commits", name))
     process_new(spark, src, state, check, process, write=write)
     assert len(runs) == 1 and {r.rel_path: r.output for r in read_progress(spark, state).collect()} == done
+
+
+def test_index_by_delta(spark, tmp_path, monkeypatch):
+    """Only what is new or changed is read, what is gone goes, and the index is that of a whole rebuild."""
+    from lectern.plans import run as plans
+
+    r = random.Random(12)
+    out, state = tmp_path / "out", str(tmp_path / "state")
+    read = []
+    whole = plans.read_files
+    monkeypatch.setattr(plans, "read_files", lambda s, listed, root: whole(s, listed, root) if read.append(sorted(x.rel_path for x in listed.collect())) is None else None)
+    files = {}
+
+    def put(path, text):
+        (out / path).parent.mkdir(parents=True, exist_ok=True)
+        (out / path).write_text(text)
+        files[path] = text
+
+    for k in range(60):
+        put(f"g{k % 5}/f{k}.md", f"# T{k}\n")
+    for edits in range(4):
+        assert write_index(spark, str(out), state) == len(files)
+        assert (out / "index.md").read_text() == index.index_text(index.manifest(spark.createDataFrame(list(files.items()), "path string, markdown string"))).head().text
+        got = json.loads((out / "manifest.json").read_text())
+        assert {e["path"]: e["title"] for e in got} == {p: t[2:].strip() for p, t in files.items()}
+        changed = r.sample(sorted(files), 3)
+        for p in changed:
+            put(p, f"# Changed {edits}\n")
+        gone = next(p for p in sorted(files) if p not in changed)
+        os.remove(out / gone)
+        del files[gone]
+        put(f"new/n{edits}.md", "# New\n")
+        if edits:
+            assert read[-1] == expected
+        expected = sorted([*changed, f"new/n{edits}.md"])
+    assert len(read[0]) == 60 and len(os.listdir(state)) <= 6  # two versions, and what Spark writes beside them
