@@ -160,3 +160,19 @@ def test_output_without_its_checkpoint(spark, tmp_path):
     sync_knowledge.sync(spark, src, out, str(tmp_path / "point"))
     with pytest.raises(ValueError, match="checkpoint"):
         sync_knowledge.sync(spark, src, out, str(tmp_path / "other"))
+
+
+def test_many_batches_give_what_one_does(spark, tmp_path):
+    """A file a batch, with a document that changes between files and back, and pages that a batch doesn't have."""
+    src = str(tmp_path / "src")
+    for k, rows in enumerate([[(1, "one", "en", "a"), (2, "x", "en", "a")], [(1, "one, changed", "en", "a")], [(3, None, "en", "c")], [(4, "four", "de", "b"), (2, "x", "en", "a")]]):
+        spark.createDataFrame(rows, DOCS).coalesce(1).write.parquet(f"{src}/{k}")
+    done = {}
+    for files in (1, 100):
+        whole = str(tmp_path / f"whole{files}")
+        assert sync_knowledge.sync(spark, f"{src}/*", whole, f"{whole}-point", files) == (4 if files == 1 else 1)
+        index, pages, runs = state(spark, whole)
+        done[files] = {p: v[0] for p, v in index.items()}
+        assert sum(r[1] for r in runs) == 6
+    assert set(done[1]) == set(done[100]) == {"a/en/d1.md", "a/en/d2.md", "b/de/d4.md"}
+    assert done[1]["a/en/d1.md"] == 2  # the file that came last
