@@ -198,3 +198,14 @@ def test_long_text(pair):
         began = time.perf_counter()
         got = pair[0].encode(text)
         assert len(got) >= 4 and time.perf_counter() - began < 10
+
+
+def test_plans(spark):
+    """No product, nothing but the open stacks in one task, and texts read for their names alone."""
+    sf = "/root/testdata/sf0.001"
+    out = QUERIES["op11_prefix_trie"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in out and "NestedLoop" not in out and "SinglePartition" not in out
+    turns = rebuilt(turn_arrays(spark.read.parquet(f"{sf}/conversations.parquet")))._jdf.queryExecution().executedPlan().toString()
+    assert turns.count("Exchange") == 1 and "Python" not in turns and "MapIn" not in turns
+    both = QUERIES["op12_bpe_codec"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in both and both.count("MapInArrow") == 2 and "ReadSchema: struct<doc_id:bigint,text:string>" in both
