@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions import text as T
 from lectern.functions.patterns import LINE_END, MATH_RANGES, MATH_SIGNS, WS
-from lectern.operators import assets, chunks, formulas, index, lint, markers, metrics, model, progress, sections, tables
+from lectern.operators import assets, chunks, formulas, index, lint, markers, metrics, model, order, progress, sections, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -268,6 +268,16 @@ def index_text(spark, sf_dir):
     return index.index_text(index.manifest(_outputs(spark, sf_dir)))
 
 
+@query(f"""WITH m AS MATERIALIZED ({_MANIFEST_SQL}), r AS (SELECT 0 AS head, '' AS g, 0 AS kind, []::varchar[] AS p, concat('# Knowledge Index', chr(10), chr(10), '**', count(*), ' documents extracted**', chr(10)) AS value FROM m
+  UNION ALL SELECT DISTINCT 1, "group", 0, []::varchar[], concat(chr(10), '## ', "group", chr(10)) FROM m UNION ALL SELECT 1, "group", 1, string_split(path, '/'), concat('- [', title, '](', path, ')') FROM m)
+SELECT value, coalesce(sum(octet_length(encode(value)) + 1) OVER (ORDER BY head, g, kind, p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::bigint AS offset_bytes FROM r""")
+def index_places(spark, sf_dir):
+    """The index as lines, each with the byte at which it stands: no group, and no index, in one row or one task."""
+    entries = index.manifest(_outputs(spark, sf_dir))
+    rows = index.index_rows(entries, entries.count())
+    return order.before(rows, index.INDEX_ORDER, F.octet_length("value") + 1, "offset_bytes").select("value", "offset_bytes")
+
+
 @query("""SELECT doc_id, concat('doc ', doc_id) AS a, CASE WHEN upper(t) IN ('BLANK_PAGE') THEN '' ELSE t END AS reply FROM (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'Blank_Page' ELSE source END AS t FROM documents)""")
 def sentinel_replies(spark, sf_dir):
     raw = "CASE WHEN doc_id % 3 = 0 THEN concat(' Blank_Page', chr(10)) ELSE source END"
