@@ -132,21 +132,20 @@ def _failures(text: Column) -> Column:
 def lint(docs: DataFrame, text: str = "markdown", compat: bool = False) -> DataFrame:
     """docs with its text fixed and found (failures before), fixed_count (changed lines), remaining_failures, fast_mode.
 
-    fast_mode marks texts above FAST_ABOVE bytes. A text in which nothing is found stays as it is, and isn't scanned again. A
-    null text stays null, with nothing found or fixed.
+    fast_mode marks texts above FAST_ABOVE bytes. The rules change nothing where nothing is found, and what they leave as it
+    was isn't scanned again. A null text stays null, with nothing found or fixed.
     """
     none = F.array().cast("array<string>")
     fast = F.coalesce(F.octet_length(F.col(text)) > FAST_ABOVE, F.lit(False))
-    found = F.when(F.col(text).isNotNull(), failures(text))
-    out = docs.withColumn("fast_mode", fast).withColumn("_found", F.coalesce(found, none))
-    after = F.when(F.size("_found") == 0, F.col(text)).otherwise(fixed(text))
-    out = out.withColumn("_fixed", F.when(F.col("fast_mode"), fixed_throughout(text)).otherwise(after) if compat else after)
+    out = docs.withColumn("fast_mode", fast)
+    out = out.withColumn("_fixed", F.when(F.col("fast_mode"), fixed_throughout(text)).otherwise(fixed(text)) if compat else fixed(text))
+    left = F.when(F.col("_fixed").isNull(), none).when(F.col("_fixed") == F.col(text), failures(text)).otherwise(failures("_fixed"))
     return (
-        out.withColumn("found", F.size("_found").cast("long"))
+        out.withColumn("found", F.coalesce(F.when(F.col(text).isNotNull(), F.size(failures(text)).cast("long")), F.lit(0).cast("long")))
         .withColumn("fixed_count", F.coalesce(changed_lines(text, "_fixed"), F.lit(0).cast("long")))
-        .withColumn("remaining_failures", F.when(F.col("_fixed").isNull(), none).when(F.col("_fixed") == F.col(text), F.col("_found")).otherwise(failures("_fixed")))
+        .withColumn("remaining_failures", left)
         .withColumn(text, F.col("_fixed"))
-        .drop("_fixed", "_found")
+        .drop("_fixed")
     )
 
 
