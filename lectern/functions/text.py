@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from lectern.functions.patterns import FORMULA_REF, HEADING, IMAGE_REF, LINE_END, OCR_REF, WORD, WS
+from lectern.functions.patterns import FORMULA_REF, HEADING, IMAGE_REF, LINE_END, OCR_REF, RARE_LINE_ENDS, RARE_WS, WORD, WS, WS_CHARS
 
 
 def _c(x) -> Column:
@@ -19,7 +21,18 @@ def let(value: Column, body) -> Column:
 
 def strip(x) -> Column:
     """Without Unicode white space at either end."""
-    return F.regexp_replace(_c(x), rf"\A{WS}+|{WS}+\z", "")
+    return F.btrim(_c(x), F.lit(WS_CHARS))
+
+
+def has_any(x, parts) -> Column:
+    """Whether a text has one of the given strings. Searches for bytes are several times faster than one for a pattern."""
+    return reduce(lambda p, q: p | q, [_c(x).contains(s) for s in parts])
+
+
+def has_any_char(x, chars: str) -> Column:
+    """has_any for single characters: those beyond ASCII are only looked for in texts that aren't plain ASCII."""
+    text, low, high = _c(x), [c for c in chars if c < "\x80"], [c for c in chars if c >= "\x80"]
+    return has_any(text, low) | ((F.octet_length(text) != F.length(text)) & has_any(text, high))
 
 
 def without_images(x) -> Column:
@@ -33,8 +46,15 @@ def count_words(x) -> Column:
 
 
 def count_tokens(x) -> Column:
-    """Runs without white space."""
-    return F.size(F.filter(F.split(_c(x), f"{WS}+", -1), lambda w: w != "")).cast("long")
+    """Runs without white space. In most texts only line feeds and spaces part them, which takes no pattern."""
+    filled = lambda words: F.size(F.filter(words, lambda w: w != ""))
+
+    def spaced(t: Column) -> Column:
+        single = F.when(t == "", 0).otherwise(F.octet_length(t) - F.octet_length(F.replace(t, F.lit(" "), F.lit(""))) + 1)
+        return F.when(t.contains("  "), filled(F.split(t, " ", -1))).otherwise(single)
+
+    plain = lambda t: let(F.trim(F.replace(t, F.lit("\n"), F.lit(" "))), spaced)
+    return F.when(has_any_char(x, RARE_WS), filled(F.split(_c(x), f"{WS}+", -1))).otherwise(plain(_c(x))).cast("long")
 
 
 def headings(x, most: int | None = 20) -> Column:
@@ -46,13 +66,13 @@ def headings(x, most: int | None = 20) -> Column:
 def lines(x) -> Column:
     """Lines by any line end; a line end at the very end starts no line."""
     cut = lambda got: F.when(F.element_at(got, -1) == "", F.slice(got, F.lit(1), F.size(got) - 1)).otherwise(got)
-    return let(F.split(_c(x), LINE_END, -1), cut)
+    return let(F.when(has_any_char(x, RARE_LINE_ENDS), F.split(_c(x), LINE_END, -1)).otherwise(F.split(_c(x), "\n", -1)), cut)
 
 
 def title(x, otherwise, within: int = 20) -> Column:
     """The first level-1 heading among the first lines, else ``otherwise``."""
-    found = F.filter(F.slice(lines(x), 1, within), lambda line: line.startswith("# "))
-    return F.when(F.size(found) > 0, strip(F.substring(found[0], 3, 1 << 30))).otherwise(_c(otherwise))
+    found = F.filter(F.slice(F.split(_c(x), LINE_END, within + 1), 1, within), lambda line: line.startswith("# "))
+    return F.when(_c(x).contains("# "), F.coalesce(let(found, lambda got: strip(F.substring(F.get(got, 0), 3, 1 << 30))), _c(otherwise))).otherwise(_c(otherwise))
 
 
 def file_name(path) -> Column:

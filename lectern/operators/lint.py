@@ -7,10 +7,13 @@ end. The rule is the same for texts of any length.
 
 from __future__ import annotations
 
+from functools import partial, reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.functions.text import _c, let, lines
+from lectern.functions.patterns import RARE_LINE_ENDS
+from lectern.functions.text import _c, has_any, let, lines
 
 #: Fixed values: (rule, pattern, replacement) in the order in which they apply; a rule sees what the ones before it left.
 RULES = (
@@ -21,6 +24,13 @@ RULES = (
     ("MD022", r"([^\n])\n(#{1,6} )", "$1\n\n$2"),
     ("MD022", r"(?md)^(#{1,6} .+)\n([^\n#])", "$1\n\n$2"),
 )
+#: What the rules begin at: most texts have none of it, which is seen without a pattern.
+_TAB, _GAP = lambda t: t.contains("\t"), lambda t: t.contains("\n\n\n")
+_HEAD = lambda t: t.startswith("#") | t.contains("\n#")
+_TRAIL = lambda t: has_any(t, [" \n", "\t\n"]) | t.endswith(" ") | t.endswith("\t")
+_MAY = {"MD009": _TRAIL, "MD010": _TAB, "MD012": _GAP, "MD018": _HEAD, "MD022": _HEAD}
+#: Headings that a rule speaks of: no space or several after the marks, or a line beside them that isn't blank.
+_BAD_HEAD = r"(?md)^#{1,6}(?:[^ #\n]|  | [^\n]*\n[^\n])|[^\n]\n#{1,6} "
 #: What a second scan says of each rule.
 SAYS = {
     "MD009": "Trailing spaces", "MD010": "Hard tabs", "MD012": "Multiple consecutive blank lines", "MD018": "No space after hash of heading", "MD019": "Multiple spaces after hash of heading",
@@ -73,12 +83,16 @@ def fixed(x) -> Column:
     return outside(x, fixed_throughout)
 
 
+def _apply(rule: str, pattern: str, to: str, text: Column) -> Column:
+    return F.when(_MAY[rule](text), F.regexp_replace(text, pattern, to)).otherwise(text)
+
+
 def fixed_throughout(x) -> Column:
     """The text after all rules, which look into blocks too."""
     out = _c(x)
-    for _, pattern, to in RULES:
-        out = F.regexp_replace(out, pattern, to)
-    return F.concat(F.regexp_replace(out, r"\n+\z", ""), F.lit("\n"))
+    for rule, pattern, to in RULES:
+        out = let(out, partial(_apply, rule, pattern, to))
+    return F.concat(F.rtrim(out, F.lit("\n")), F.lit("\n"))
 
 
 def changed_lines(before, after) -> Column:
@@ -91,12 +105,25 @@ def changed_lines(before, after) -> Column:
         return F.aggregate(other, zero, lambda t, x: t + x) + F.abs(F.size(s["a"]) - F.size(s["b"])).cast("long")
 
     both = let(F.struct(lines(before).alias("a"), lines(after).alias("b")), count)
-    return F.when(_c(before) == _c(after), zero).otherwise(both)
+    b = _c(before)
+    ended = reduce(lambda p, q: p | q, [b.endswith(c) for c in "\n" + RARE_LINE_ENDS])
+    last = (b != "") & ~ended & (_c(after) == F.concat(b, F.lit("\n")))  # a line feed at the end is all that came
+    return F.when((b == _c(after)) | last, zero).otherwise(both)
 
 
 def failures(x) -> Column:
-    """What the rules find in a text's prose: an entry "RULE:line:column words" for each place, by line and then by rule."""
-    return let(prose(x), _failures)
+    """What the rules find in a text's prose: an entry "RULE:line:column words" for each place, by line and then by rule.
+
+    A text in which no rule finds anything is known as a whole; only the others are looked at line by line.
+    """
+    return let(prose(x), lambda t: F.when(clean(t), F.array().cast("array<string>")).otherwise(_failures(t)))
+
+
+def clean(text: Column) -> Column:
+    """Whether the line-by-line rules find nothing in a text (a few texts that they find nothing in aren't known)."""
+    found = _TRAIL(text) | _TAB(text) | _GAP(text) | text.startswith("\n\n") | (_HEAD(text) & text.rlike(_BAD_HEAD))
+    indented = reduce(lambda p, q: p | q, [text.startswith(s) | text.contains("\n" + s) for s in (" #", "  #", "   #")])
+    return text.endswith("\n") & ~text.endswith("\n\n") & (text != "\n") & ~found & ~indented
 
 
 def _failures(text: Column) -> Column:

@@ -49,25 +49,27 @@ def is_image_only(header: Column, body: Column) -> Column:
 
 
 def kept_sections(x, fmt: Column, compat: bool = False) -> Column:
-    """The text without title slides and image-only sections, as one expression."""
+    """The text without title slides and image-only sections, as one expression. Without slides and images it is as it was."""
 
     def dropped(s: Column) -> Column:
         head = header_of(s)
         body = F.substr(s, F.length(head) + 1)
         return is_title_slide(fmt, head, body, compat) | is_image_only(head, body)
 
-    return F.array_join(F.filter(split_sections(x), lambda s: ~F.coalesce(dropped(s), F.lit(False))), "")
+    may = F.coalesce(fmt == "pptx", F.lit(False)) | _c(x).contains("![image]")
+    return F.when(may, F.array_join(F.filter(split_sections(x), lambda s: ~F.coalesce(dropped(s), F.lit(False))), "")).otherwise(_c(x))
 
 
 def countable(stripped: Column, compat: bool = False) -> Column:
     """Whether a stripped line is looked at as page furniture."""
     ok = (stripped != "") & ~stripped.startswith("#") & ~stripped.startswith("!")
-    return ok if compat else ok & ~stripped.rlike(FURNITURE)
+    furniture = (stripped.startswith("$$") | stripped.startswith("```") | stripped.startswith("|")) & stripped.rlike(FURNITURE)
+    return ok if compat else ok & ~furniture
 
 
 def repeated(x, compat: bool = False) -> Column:
     """The distinct stripped lines, under 100 characters, that a text has three times or more: sorted runs, no nested loop."""
-    stripped = F.filter(F.transform(F.split(_c(x), "\n", -1), lambda line: strip(line)), lambda s: countable(s, compat) & (F.length(s) < SHORT))
+    stripped = F.filter(F.transform(F.split(_c(x), "\n", -1), lambda line: strip(line)), lambda s: (F.length(s) < SHORT) & countable(s, compat))
     # In a sorted array a value stands REPEATS times if the value REPEATS - 1 places further on equals it.
     runs = lambda a: F.array_distinct(F.filter(a, lambda s, i: F.coalesce(F.get(a, i + (REPEATS - 1)) == s, F.lit(False))))
     return F.transform(F.array(F.array_sort(stripped)), runs)[0]
@@ -77,7 +79,7 @@ def without_repeated(x, compat: bool = False) -> Column:
     """The text without the lines that repeat: lines sorted by what they say, marked by their neighbours, put back in order."""
 
     def rows(line: Column, i: Column) -> Column:
-        return let(strip(line), lambda s: F.struct(F.when(countable(s, compat) & (F.length(s) < SHORT), s).alias("says"), i.alias("at"), line.alias("line")))
+        return let(strip(line), lambda s: F.struct(F.when((F.length(s) < SHORT) & countable(s, compat), s).alias("says"), i.alias("at"), line.alias("line")))
 
     def marked(a: Column) -> Column:
         # A line is one of REPEATS alike if it begins, ends or lies within a run of that length.
