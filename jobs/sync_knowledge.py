@@ -60,7 +60,8 @@ def _take(files: DataFrame, batch: int, output: str) -> None:
     seen = mine.agg(F.count("*").alias("pages"), F.count_distinct("group").alias("groups"), F.coalesce(F.sum(F.length("markdown")), F.lit(0)).alias("characters"))
     facts = seen.select(F.lit(n).alias("arrived"), F.col("pages").alias("changed"), "pages", "groups", "characters", F.lit(batch).cast("long").alias("batch"))
     catalog.write(facts, f"{output}/runs", "batch", fmt="json")
-    log.info("batch %d: %s", batch, ", ".join(f"{v} {k}" for k, v in facts.drop("batch").head().asDict().items()))
+    done = catalog.read(spark, f"{output}/runs", RUNS, "json").where(F.col("batch") == batch).drop("batch").head()  # the texts aren't read again
+    log.info("batch %d: %s", batch, ", ".join(f"{v} {k}" for k, v in done.asDict().items()))
 
 
 def sync(spark: SparkSession, arrivals: str, output: str, checkpoint: str, files: int = 1000) -> int:
