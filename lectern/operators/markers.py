@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern.functions.patterns import FORMULA_REF, IMAGE_REF, OCR_REF
-from lectern.functions.text import strip, without_images
+from lectern.functions.text import let, strip, without_images
 
 KINDS = {"formula": FORMULA_REF, "ocr": OCR_REF, "image": IMAGE_REF}
 NO_KEY, FAILED = "[FORMULA: no API key]", "[FORMULA: conversion failed]"
@@ -59,20 +59,31 @@ def formula_lookup(docs: DataFrame, formulas: DataFrame, key: str, text: str = "
 def contexts(docs: DataFrame, key: str, kind: str = "image", text: str = "markdown", around: int = AROUND) -> DataFrame:
     """key, ordinal, ref, context of every marker of a kind: the rule of context_around at each marker's own place.
 
-    A marker has ten characters or more, so a few pieces on either side hold all that may be needed; no text is repeated.
+    A marker has ten characters or more, so a few pieces on either side hold all that may be needed; no text is repeated. Most
+    often the nearest ones do, and only where they fall short are more put together.
     """
-    pattern, reach = KINDS[kind], around // 8 + 1
-    d = docs.select(key, F.split(F.col(text), pattern, -1).alias("s"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"), F.regexp_extract_all(text, F.lit(pattern), F.lit(1)).alias("r"))
-    tail = lambda c: F.reverse(F.substring(F.reverse(c), 1, around))
-    d = d.withColumn("before", F.transform("m", lambda m, i: F.concat(tail(F.get("s", i)), m))).withColumn("after", F.transform("m", lambda m, i: F.concat(m, F.substring(F.get("s", i + 1), 1, around))))
-
-    def one(m, i):
-        first = F.greatest(F.lit(0), i - reach)
-        left = tail(F.concat(F.array_join(F.slice("before", first + 1, i - first), ""), tail(F.get("s", i))))
-        right = F.substring(F.concat(F.substring(F.get("s", i + 1), 1, around), F.array_join(F.slice("after", i + 2, F.lit(reach)), "")), 1, around)
-        return F.struct(F.get("r", i).alias("ref"), strip(without_images(F.concat(left, right))).alias("context"))
-
-    rows = d.select(key, F.posexplode(F.transform("m", one)).alias("ordinal", "x"))
+    pattern, near, far = KINDS[kind], 4, around // 8 + 1
+    left, right = lambda c: F.substring(c, -around, around), lambda c: F.substring(c, 1, around)
+    cut = F.struct(F.split(F.col(text), pattern, -1).alias("s"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"), F.regexp_extract_all(text, F.lit(pattern), F.lit(1)).alias("r"))
+
+    def sides(p: Column) -> Column:
+        before = F.transform(p["m"], lambda m, i: F.concat(left(F.get(p["s"], i)), m))
+        after = F.transform(p["m"], lambda m, i: F.concat(m, right(F.get(p["s"], i + 1))))
+        return F.struct(before.alias("before"), after.alias("after"))
+
+    def one(p: Column, q: Column, i: Column) -> Column:
+        def back(k: int) -> Column:
+            return F.concat(F.array_join(F.slice(q["before"], F.greatest(F.lit(0), i - k) + 1, F.least(i, F.lit(k))), ""), left(F.get(p["s"], i)))
+
+        def on(k: int) -> Column:
+            return F.concat(right(F.get(p["s"], i + 1)), F.array_join(F.slice(q["after"], i + 2, F.lit(k)), ""))
+
+        before = let(back(near), lambda c: F.when((F.length(c) >= around) | (i <= near), c).otherwise(back(far)))
+        after = let(on(near), lambda c: F.when((F.length(c) >= around) | (i + near >= F.size(p["m"]) - 1), c).otherwise(on(far)))
+        return F.struct(F.get(p["r"], i).alias("ref"), strip(without_images(F.concat(left(before), right(after)))).alias("context"))
+
+    found = let(cut, lambda p: let(sides(p), lambda q: F.transform(p["m"], lambda _, i: one(p, q, i))))
+    rows = docs.select(key, F.posexplode(found).alias("ordinal", "x"))
     return rows.select(key, F.col("ordinal").cast("long").alias("ordinal"), "x.ref", "x.context")
 
 
