@@ -116,14 +116,18 @@ def region_context(found: DataFrame, spans: DataFrame, reach: float = 2.0, most:
     ``most`` characters.
 
     Spans and regions meet by buckets of height that they touch, so a page's spans aren't held against all of its regions; a
-    pair that shares several buckets meets in the first of them.
+    pair that shares several buckets meets in the first of them. A region goes with its columns, also where nothing meets it,
+    so found is worked out once. formula_idx is unique within a file.
     """
+    key = ["rel_path", "page", "formula_idx"]
+    rest = [c for c in found.columns if c not in key]
     height = F.col("bbox.y1") - F.col("bbox.y0")
-    r = found.select("rel_path", "page", "formula_idx", F.greatest(F.lit(0.0), F.col("bbox.y0") - reach * height).alias("lo"), (F.col("bbox.y1") + reach * height).alias("hi"))
-    s = spans.where("block_type = 0").select("rel_path", "page", F.col("bbox.y0").alias("y0"), F.col("bbox.y1").alias("y1"), F.col("bbox.x0").alias("x0"), "seq", "text")
-    r = r.withColumn("_b", _buckets(F.col("lo"), F.col("hi"))).select("*", F.array_min("_b").alias("_r"), F.explode("_b").alias("_bucket")).drop("_b")
-    s = s.withColumn("_b", _buckets(F.col("y0"), F.col("y1"))).select("*", F.array_min("_b").alias("_s"), F.explode("_b").alias("_bucket")).drop("_b")
-    near = r.join(s, ["rel_path", "page", "_bucket"]).where((F.col("_bucket") == F.greatest("_r", "_s")) & (F.col("y1") > F.col("lo")) & (F.col("y0") < F.col("hi")))
-    got = F.array_sort(F.collect_list(F.struct("y0", "x0", "seq", "text")))
-    texts = near.groupBy("rel_path", "formula_idx").agg(F.array_join(F.transform(got, lambda x: x["text"]), " ").alias("context"))
-    return found.join(texts, ["rel_path", "formula_idx"], "left").withColumn("context", F.substring(strip(F.coalesce("context", F.lit(""))), 1, most))
+    r = found.select(*key, F.struct(*rest).alias("_f"), F.greatest(F.lit(0.0), F.col("bbox.y0") - reach * height).alias("_lo"), (F.col("bbox.y1") + reach * height).alias("_hi"))
+    s = spans.where("block_type = 0").select(F.col("rel_path").alias("_path"), F.col("page").alias("_page"), F.col("bbox.y0").alias("y0"), F.col("bbox.y1").alias("y1"), F.col("bbox.x0").alias("x0"), "seq", "text")
+    r = r.withColumn("_b", _buckets(F.col("_lo"), F.col("_hi"))).select("*", F.array_min("_b").alias("_r"), F.explode_outer("_b").alias("_bucket")).drop("_b")
+    s = s.withColumn("_b", _buckets(F.col("y0"), F.col("y1"))).select("*", F.array_min("_b").alias("_s"), F.explode("_b").alias("_at")).drop("_b")
+    same = (F.col("rel_path") == F.col("_path")) & (F.col("page") == F.col("_page")) & (F.col("_bucket") == F.col("_at"))
+    near = r.join(s, same & (F.col("_bucket") == F.greatest("_r", "_s")) & (F.col("y1") > F.col("_lo")) & (F.col("y0") < F.col("_hi")), "left")
+    got = F.array_sort(F.collect_list(F.when(F.col("_at").isNotNull(), F.struct("y0", "x0", "seq", "text"))))
+    texts = near.groupBy(*key).agg(F.first("_f").alias("_f"), F.array_join(F.transform(got, lambda x: x["text"]), " ").alias("context"))
+    return texts.select("rel_path", "formula_idx", *[c if c in key else F.col("_f")[c].alias(c) for c in found.columns if c not in ("rel_path", "formula_idx")], F.substring(strip("context"), 1, most).alias("context"))

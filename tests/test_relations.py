@@ -217,3 +217,15 @@ def test_contexts_join_what_they_need(spark, tmp_path):
         spent.append(min(took))
     assert 100 < longest <= 400
     assert spent[1] < 4.5 * spent[0], spent
+
+
+def test_regions_are_worked_out_once(spark, tmp_path):
+    """Regions carry their columns to their context, also where no text is near or the box is missing: found is read once."""
+    found = [("a", 0, 0, box(0, 100, 20, 110), True), ("a", 0, 1, box(0, 500, 20, 510), False), ("a", 1, 2, None, None), ("b", 0, 0, box(0, 100, 20, 110), True)]
+    spark.createDataFrame(found, f"rel_path string, page long, formula_idx long, bbox {BOX}, is_inline boolean").write.parquet(f"{tmp_path}/f")
+    spans = [("a", 0, n, 0, f" s{n} ", "", box(0, y, 9, y + 10), box(0, y, 9, y + 10), 500.0, 800.0) for n, y in enumerate((115, 85, 40, 300))]
+    spark.createDataFrame(spans, SPANS).write.parquet(f"{tmp_path}/s")
+    got = formulas.region_context(spark.read.parquet(f"{tmp_path}/f"), spark.read.parquet(f"{tmp_path}/s"))
+    assert got._jdf.queryExecution().sparkPlan().toString().count("FileScan") == 2
+    rows = {(r.rel_path, r.formula_idx): (r.context, r.is_inline, r.page, r.bbox and tuple(r.bbox)) for r in got.collect()}
+    assert rows == {(f[0], f[2]): ("s1   s0" if f[:3] == ("a", 0, 0) else "", f[4], f[1], f[3]) for f in found}
